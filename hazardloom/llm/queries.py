@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, language_id, license_scan, packing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_license_scan": license_scan.op4_license_scan,
+    "op6_packing": packing.op6_packing,
 }
 
 ORACLE_SQL = {
