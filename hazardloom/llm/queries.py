@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, license_scan, packing, sharding
+from . import exact_dedup, language_id, license_scan, packing, sharding, substring_dedup
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_license_scan": license_scan.op4_license_scan,
     "op6_packing": packing.op6_packing,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
 }
 
 ORACLE_SQL = {
