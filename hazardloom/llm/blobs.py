@@ -26,11 +26,12 @@ BATCH_BITS = 8
 SLICE_BYTES = 4 << 20
 
 
-def small_batches(spark, rows: int = 1000) -> None:
+def small_batches(spark, rows: int = 1000, size: int = 16 << 20) -> None:
     """Keep Arrow batches small enough for long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").lower().rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def bucket_count(docs: DataFrame, text_col: str) -> int:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, license_scan, packing, sharding, substring_dedup
+from . import exact_dedup, language_id, license_scan, ngram_jaccard, packing, sharding, substring_dedup
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op5_ngram_jaccard": ngram_jaccard.op5_ngram_jaccard,
     "op6_packing": packing.op6_packing,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
 }
