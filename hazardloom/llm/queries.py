@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, license_scan, ngram_jaccard, packing, sharding, substring_dedup
+from . import exact_dedup, language_id, license_scan, lm_scoring, ngram_jaccard, packing, sharding, substring_dedup, vector_topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,8 +12,11 @@ QUERIES = {
     "op5_ngram_jaccard": ngram_jaccard.op5_ngram_jaccard,
     "op6_packing": packing.op6_packing,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_vector_topk": vector_topk.op8_vector_topk,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op8_vector_topk": vector_topk.OP8_SQL,
 }
