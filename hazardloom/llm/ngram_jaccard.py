@@ -282,7 +282,7 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: rid, doc_id, n_shingles and component_id, the smallest id reachable by links.
+    """For each row: rid, doc_id, n_shingles, component_id (the smallest id reachable by links) and component_row.
 
     Texts link when 100 * intersection >= ``percent`` * union of their sets of distinct ``width``-word shingles
     (A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``; a shorter text is one shingle). A null, empty or blank text has
@@ -301,14 +301,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # smallest id of each component, brought back to its classes, then to the rows
     joined = alive.join(roots.select(F.col("v").alias("rep"), "root"), "rep")
     best = joined.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    linked = cut(joined.join(best, "root").select("n", "d1", "d2", "component_id"))
-    single = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    named = single.join(linked, ["n", "d1", "d2"], "left").select("n", "d1", "d2", F.coalesce("component_id", "class_id").alias("component_id"))
-    return (
-        rows.join(named, ["n", "d1", "d2"], "left")
-        .select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = cut(joined.join(best, "root").select("n", "d1", "d2", "component_id", "root"))
+    named = classes.join(linked, ["n", "d1", "d2"], "left").select(
+        "n", "d1", "d2", F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "rep").alias("component_row")
     )
+    lone = F.col("n") == 0
+    return rows.join(named, ["n", "d1", "d2"], "left").select(
+        "rid",
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(lone, F.col("rid")).otherwise(F.col("component_row")).alias("component_row"),
+    )
+
+
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) with the smallest id of each component of :func:`near_duplicates`."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    kept = near_duplicates(docs, width, percent, id_col, text_col).groupBy("component_row").agg(F.min(order).alias("first"))
+    return numbered(docs, "__rid").join(kept.select(F.col("first.rid").alias("__rid")), "__rid", "left_semi").drop("__rid")
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=90).drop("rid")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=90).drop("rid", "component_row")
