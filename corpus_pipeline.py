@@ -1,11 +1,74 @@
-"""Corpus pipeline: language ID, exact dedup, near-duplicate join, substring dedup, packing."""
+"""Corpus pipeline over ``documents``: language ID, exact dedup, near-duplicate join, substring dedup, packing.
 
-STAGES = []
+Every stage works on all rows its predecessor kept and passes the columns of ``documents`` on; the last one
+returns the pieces to train on. Stages are (name, function of (spark, docs, sf_dir)).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hazardloom.llm.common import cut
+from hazardloom.llm.exact_dedup import exact_dedup
+from hazardloom.llm.language_id import UNKNOWN, fit_filters, learnable, predict_language
+from hazardloom.llm.ngram_jaccard import near_dedup
+from hazardloom.llm.packing import pack_documents, piece_digests, tokenizer_path
+from hazardloom.llm.substring_dedup import substring_dedup
+
+#: a text whose best language covers less of its n-grams than this is rejected
+LEAST_COVER = 0.2
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; null, letterless and unrecognisable texts go."""
+    filters = fit_filters(docs.where(learnable()), "text", "lang")
+    found = predict_language(docs, filters)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_COVER)).select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8)."""
+    return near_dedup(docs, width=5, percent=80)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated passages; one that has no word left goes. Untouched texts stay as they are."""
+    found = substring_dedup(docs, carry=tuple(docs.columns)).where("n_words = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    changed = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Power-of-two pieces of what is left."""
+    return piece_digests(pack_documents(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("ngram_jaccard", near_stage),
+    ("substring_dedup", substring_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can't run the tokenizer or the language filters; tests hold the stages against brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over ``documents``; what a stage returns is written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = cut(docs)
     return docs
