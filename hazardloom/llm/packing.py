@@ -7,7 +7,9 @@ one piece, so it never crosses documents and needs no padding.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text_arrays import spaces, text_bytes, text_slices, word_spans
+from .text_arrays import ascii_lower, spaces, text_bytes, text_slices, word_spans
 
 PIECES = T.StructType(
     [
@@ -35,9 +37,10 @@ class WordEncoder:
     words in order. The table is emptied beyond ``limit`` words, which bounds memory.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self._clear()
 
@@ -49,23 +52,27 @@ class WordEncoder:
         self.used = 0
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            for word, code in zip(words[at : at + 4096], self.tokenizer.encode_batch(words[at : at + 4096], add_special_tokens=False)):
-                ids, n = code.ids, len(self.index)
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if n == len(self.first):
-                    self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.first[n], self.count[n] = self.used, len(ids)
-                self.used += len(ids)
-                self.index[word] = n
+        for at in range(0, len(words), 8192):
+            part = words[at : at + 8192]
+            ids = [code.ids for code in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
+            n, used = len(self.index), self.used + len(flat)
+            self.ids = _room(self.ids, used)
+            self.first, self.count = _room(self.first, n + len(part)), _room(self.count, n + len(part))
+            self.ids[self.used : used] = flat
+            self.first[n : n + len(part)] = self.used + np.cumsum(count) - count
+            self.count[n : n + len(part)] = count
+            self.used = used
+            self.index.update(zip(part, range(n, n + len(part))))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by ``end_id``; offsets of the texts in them)."""
         flat, offsets = text_bytes(texts)
+        if b"<|" not in flat.tobytes():  # no special token's string, so the tokenizer's lower case may come first
+            flat = ascii_lower(flat)
         keep = ~spaces(flat)
-        starts, ends, bounds = word_spans(keep, offsets)
+        starts, ends, bounds = word_spans(keep, offsets, _stops(flat))
         n = len(starts)
         places = np.zeros(n + 1, np.int64)
         np.cumsum(ends - starts, out=places[1:])
@@ -88,6 +95,30 @@ class WordEncoder:
         return out, doc_offsets
 
 
+def _stops(flat: np.ndarray) -> np.ndarray:
+    """Where a full stop or the like follows a Latin letter: the tokenizer's pattern always parts there."""
+    at = np.flatnonzero(_STOP[flat])
+    at = at[at > 1]
+    before = flat[at - 1]
+    return at[_LETTER[before] | (_ACCENTED[before] & (flat[at - 2] == 0xC3))]
+
+
+def _table(members: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+_STOP, _LETTER = _table(b".,;:!?"), _table(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: second bytes of the Latin-1 letters (after 0xC3)
+_ACCENTED = _table(bytes(set(range(0x80, 0xC0)) - {0x97, 0xB7}))
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x``, grown to hold ``n`` entries at least."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 

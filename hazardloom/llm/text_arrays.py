@@ -61,11 +61,13 @@ def spaces(flat: np.ndarray) -> np.ndarray:
     return (flat == 32) | ((flat >= 9) & (flat <= 13))
 
 
-def word_spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, words before each row) of the runs of ``is_word``, cut at row ends."""
+def word_spans(is_word: np.ndarray, offsets: np.ndarray, more_starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, words before each row) of the runs of ``is_word``, cut at row ends (and before ``more_starts``)."""
     n = len(is_word)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    if more_starts is not None:
+        edge[more_starts] = True
     first = is_word.copy()
     first[1:] &= ~is_word[:-1] | edge[1:n]
     last = is_word.copy()
