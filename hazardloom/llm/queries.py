@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, license_scan, lm_scoring, ngram_jaccard, packing, sharding, substring_dedup, vector_topk
+from . import exact_dedup, language_id, license_scan, lm_scoring, ngram_jaccard, packing, piece_coding, sharding, substring_dedup, vector_topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_vector_topk": vector_topk.op8_vector_topk,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
+    "op10_piece_coding": piece_coding.op10_piece_coding,
 }
 
 ORACLE_SQL = {
