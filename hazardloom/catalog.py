@@ -1,4 +1,13 @@
 """Registered queries over the star-schema tables and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from .plans import estimation
+
+QUERIES = {**estimation.QUERIES}
+ORACLE_SQL = {**estimation.ORACLE_SQL}
+
+
+def flagship(spark, sf_dir: str):
+    """Incidence with variance at fixed days, by line status."""
+    return estimation.aj_cif_timepoints(spark, sf_dir)
