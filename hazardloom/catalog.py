@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import estimation
+from .plans import estimation, modelling
 
-QUERIES = {**estimation.QUERIES}
-ORACLE_SQL = {**estimation.ORACLE_SQL}
+QUERIES = {**estimation.QUERIES, **modelling.QUERIES}
+ORACLE_SQL = {**estimation.ORACLE_SQL, **modelling.ORACLE_SQL}
 
 
 def flagship(spark, sf_dir: str):
