@@ -40,43 +40,42 @@ class SegmentStatistics:
             self.levels.append(np.concatenate([mean * np.sqrt(size), dev], axis=1))
 
     def upper(self, other: SegmentStatistics, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Upper bounds of the inner products of rows ``i`` here and ``j`` there."""
-        gap = self.levels[level][i] - other.levels[level][j]
-        bound = (self.square[i] + other.square[j] - np.einsum("ij,ij->i", gap, gap)) / 2
-        return bound + 1e-9 * (self.square[i] + other.square[j]) + 1e-6
+        """Upper bounds of the inner products of rows ``i`` here with rows ``j`` there (a matrix)."""
+        slack = 1e-9 * (self.square[i][:, None] + other.square[j][None, :]) + 1e-6
+        return self.levels[level][i] @ other.levels[level][j].T + slack
 
 
 def best_products(q: np.ndarray, v: np.ndarray, q_rid: np.ndarray, v_rid: np.ndarray, v_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vector row, score) of each query's k best in this block; ties to the smaller id, then row."""
-    exact_type = np.float64 if q.shape[1] * max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(v).max(initial=0)) < 2**53 else np.int64
+    in_floats = q.shape[1] * max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(v).max(initial=0)) < 2**53
+    kind, lowest = (np.float64, -np.inf) if in_floats else (np.int64, np.iinfo(np.int64).min)
     qs, order = SegmentStatistics(q), np.lexsort((v_rid, v_id))
     v, v_rid = v[order], v_rid[order]
-    qe, floor = q.astype(exact_type), np.full(len(q), -np.inf)
+    qe, floor = q.astype(kind), np.full(len(q), -np.inf)
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
     for at in range(0, len(v), STEP):
         part = v[at : at + STEP]
-        stats = SegmentStatistics(part)
-        i, j = np.divmod(np.arange(len(q) * len(part)), len(part)) if len(q) * len(part) <= 1 << 16 else (None, None)
-        if i is None:  # the coarsest bound of all pairs at once
-            a, b = qs.levels[0], stats.levels[0]
-            upper = a @ b.T  # |q|^2/2 + |v|^2/2 - |gap|^2/2 at one segment
-            i, j = np.nonzero(upper + 1e-9 * (qs.square[:, None] + stats.square[None, :]) + 1e-6 >= floor[:, None])
-        for level in range(1, len(stats.levels)):
-            keep = []
-            for x in range(0, len(i), 1 << 20):
-                s = slice(x, x + (1 << 20))
-                keep.append(qs.upper(stats, level, i[s], j[s]) >= floor[i[s]])
-            keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-            i, j = i[keep], j[keep]
-        other = q_rid[i] != v_rid[at + j]
-        i, j = i[other], j[other]
-        pe = part.astype(exact_type)
-        score = np.concatenate([np.einsum("ij,ij->i", qe[i[x : x + (1 << 18)]], pe[j[x : x + (1 << 18)]]) for x in range(0, len(i), 1 << 18)] or [np.zeros(0)]).astype(np.int64)
-        rows = [np.concatenate([h, n]) for h, n in zip(held, (i, at + j, score))]
+        stats, pe = SegmentStatistics(part), part.astype(kind)
+        i, j = np.arange(len(q)), np.arange(len(part))
+        alive = np.ones((len(i), len(j)), bool)
+        for level in range(len(stats.levels)):  # coarse to fine, on the queries and vectors that still have a pair
+            alive &= qs.upper(stats, level, i, j) >= floor[i][:, None]
+            rows, columns = alive.any(axis=1), alive.any(axis=0)
+            i, j, alive = i[rows], j[columns], alive[rows][:, columns]
+        alive &= q_rid[i][:, None] != v_rid[at + j][None, :]
+        if alive.mean() < 0.05 if alive.size else True:
+            x, y = np.nonzero(alive)
+            found = i[x], j[y], np.einsum("ij,ij->i", qe[i[x]], pe[j[y]])
+        else:
+            score = np.where(alive, qe[i] @ pe[j].T, lowest)
+            if len(j) > k:
+                alive &= score >= np.partition(score, len(j) - k, axis=1)[:, [len(j) - k]]
+            x, y = np.nonzero(alive)
+            found = i[x], j[y], score[x, y]
+        rows = [np.concatenate([h, n]) for h, n in zip(held, (found[0], at + found[1], found[2].astype(np.int64)))]
         best = np.lexsort((rows[1], -rows[2], rows[0]))
         first = np.searchsorted(rows[0][best], np.arange(len(q)))
-        rank = np.arange(len(best)) - first[rows[0][best]]
-        best = best[rank < k]
+        best = best[np.arange(len(best)) - first[rows[0][best]] < k]
         held = [r[best] for r in rows]
         full = np.bincount(held[0], minlength=len(q)) >= k
         last = np.searchsorted(held[0], np.arange(len(q)), side="right") - 1
