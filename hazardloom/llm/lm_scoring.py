@@ -15,12 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import BATCH_BITS, bucket_count, bucket_edges, first_of_runs, from_planes, pack_sorted, planes, small_batches, unpack_sorted
+from .blobs import bucket_count, bucket_edges, first_of_runs, from_planes, pack_sorted, planes, small_batches, unpack_sorted
 from .common import numbered
 from .text_arrays import ascii_lower, mix, spaces, text_bytes, word_hashes, word_spans
 
 #: the pseudo-word before a text's first word, and the key that counts all words
-START, ALL = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+START, ALL = np.uint64(0x5851F42D4C957F00), np.uint64(0x14057B7EF7678100)
+#: log2 of the rows in a batch: larger ones repeat fewer keys
+BATCH_BITS = 9
+#: keys keep 56 bits, a byte less to shuffle; two of a billion keys share one with odds of one in a hundred million each
+KEY_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 #: pseudo-counts of the shared unigram prior, and of a model's unigrams in its bigrams
 PRIOR, BACKOFF = 100.0, 4.0
 
@@ -30,11 +34,11 @@ def _pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     flat, offsets = text_bytes(texts)
     flat = ascii_lower(flat)
     starts, ends, bounds = word_spans(~spaces(flat), offsets)
-    word = word_hashes(flat, starts, ends)
+    word = word_hashes(flat, starts, ends) & KEY_BITS
     before = np.empty_like(word)
     before[1:] = word[:-1]
     before[bounds[:-1][np.diff(bounds) > 0]] = START
-    return word, before, mix(before * np.uint64(0x2545F4914F6CDD1D) + word), bounds
+    return word, before, mix(before * np.uint64(0x2545F4914F6CDD1D) + word) & KEY_BITS, bounds
 
 
 def _distinct(word: np.ndarray, before: np.ndarray, pair: np.ndarray, opens: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +127,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     small_batches(spark)
     base = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).withColumn("batch", F.shiftright("rid", BATCH_BITS))
     chosen = base.select("rid", "batch", "doc_id").join(target_ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("rid").alias("t_rid"), F.col("batch").alias("t_batch"))
-    buckets = bucket_count(base, "text")
+    buckets = 2 * bucket_count(base, "text")  # words and pairs: two keys a word
     sent = base.groupBy("batch").cogroup(chosen.groupBy("t_batch")).applyInArrow(_send(buckets), "bucket int, batch long, keys binary, counts binary, chosen binary")
     answers = sent.groupBy("bucket").applyInArrow(_total, "batch long, bucket int, counts binary, chosen binary")
     scored = base.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score, "rid long, doc_id long, n_words long, target_loss double, background_loss double")
