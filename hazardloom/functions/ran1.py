@@ -1,0 +1,55 @@
+"""The published shuffled Park-Miller generator (Bays-Durham table) and draws from it, for aligned experiments."""
+
+from __future__ import annotations
+
+# fixed values of the published generator
+MULTIPLIER, MODULUS, QUOTIENT, REMAINDER, TABLE = 16807, 2147483647, 127773, 2836, 32
+LARGEST = 1.0 - 1.2e-7
+
+
+class Ran1:
+    """Uniform numbers in (0, 1) from a negative seed."""
+
+    def __init__(self, seed: int):
+        self.state = max(1, abs(seed))
+        self.table = [0] * TABLE
+        for j in range(TABLE + 7, -1, -1):
+            self._step()
+            if j < TABLE:
+                self.table[j] = self.state
+        self.last = self.table[0]
+
+    def _step(self) -> None:
+        k = self.state // QUOTIENT
+        self.state = MULTIPLIER * (self.state - k * QUOTIENT) - REMAINDER * k
+        if self.state < 0:
+            self.state += MODULUS
+
+    def random(self) -> float:
+        self._step()
+        j = self.last // (1 + (MODULUS - 1) // TABLE)
+        self.last, self.table[j] = self.table[j], self.state
+        return min(self.last / MODULUS, LARGEST)
+
+    def below(self, n: int) -> int:
+        return int(n * self.random())
+
+    def sample(self, items: list, k: int) -> list:
+        """``k`` items without replacement, in draw order; a drawn item gives its place to the last."""
+        pool, out = list(items), []
+        for _ in range(min(k, len(pool))):
+            j = self.below(len(pool))
+            out.append(pool[j])
+            pool[j] = pool[-1]
+            pool.pop()
+        return out
+
+
+def tree_seeds(seed: int, n: int) -> list[int]:
+    """One negative seed a tree from a small linear congruential generator."""
+    # fixed values: modulus 714025, multiplier 1366, increment 150889
+    out, state = [], abs(seed) % 714025
+    for _ in range(n):
+        state = (1366 * state + 150889) % 714025
+        out.append(-max(1, state))
+    return out

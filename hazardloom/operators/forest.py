@@ -99,7 +99,7 @@ class CompetingRiskForest:
         t, e = packed["t"].to_numpy(np.int64), packed["event"].to_numpy(np.int64)
         self._data = spark.sparkContext.broadcast((bins, t.astype(np.uint16), e.astype(np.uint8)))
         nsplit = self.nsplit if self.nsplit is not None else (0 if exact else 10)
-        settings = dict(n_bins=max(2, max(len(x) for x in self.bin_edges_) + 1), n_times=int(coarse.max()) + 1, causes=self.n_causes_, mtry=resolve_max_features(self.max_features, p), nsplit=nsplit, max_depth=self.max_depth, min_split=self.min_samples_split, min_leaf=self.min_samples_leaf, rule=self.splitrule, cause=self.cause)
+        settings = dict(n_bins=max(2, max(len(x) for x in self.bin_edges_) + 1), n_times=int(coarse.max()) + 1, causes=self.n_causes_, mtry=resolve_max_features(self.max_features, p), nsplit=nsplit, max_depth=self.max_depth, min_split=self.min_samples_split, min_leaf=self.min_samples_leaf, rule=self.splitrule, cause=self.cause, weights=None if self.cause_weights is None else np.asarray(self.cause_weights, float))
         seed, bootstrap, data = 0 if self.random_state is None else int(self.random_state), self.bootstrap, self._data
 
         def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

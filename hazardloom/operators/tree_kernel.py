@@ -55,7 +55,7 @@ class Tree:
         return rate.cumsum(axis=2)
 
 
-def split_scores(n: np.ndarray, d: np.ndarray, rule: str, cause: int) -> tuple[np.ndarray, np.ndarray]:
+def split_scores(n: np.ndarray, d: np.ndarray, rule: str, cause: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(numerator, variance) for left counts n (group, slot, time) and d (group, slot, cause, time), cumulated over slots; the last slot is the whole."""
     y = n[..., ::-1].cumsum(axis=-1)[..., ::-1]
     whole_y = y[:, -1:, :]
@@ -70,6 +70,8 @@ def split_scores(n: np.ndarray, d: np.ndarray, rule: str, cause: int) -> tuple[n
     num = np.where(seen, dl - da * yl / safe, 0.0)
     twice = whole_y >= 2 if rule == "logrank" else np.broadcast_to((whole_y >= 2)[:, :, None], da.shape)
     var = np.where(twice, da * yl * (ya - yl) * (ya - da) / (safe * safe * np.maximum(ya - 1, 1.0)), 0.0)
+    if weights is not None and rule != "logrank":
+        num, var = num * weights[:, None], var * (weights * weights)[:, None]
     axes = tuple(range(2, num.ndim))
     return num.sum(axis=axes), var.sum(axis=axes)
 
@@ -103,7 +105,7 @@ def _thresholds(rng, x: np.ndarray, node: np.ndarray, nodes: int, n_bins: int, n
     return bins.reshape(nodes, m, k).astype(np.int32)
 
 
-def grow_tree(bins: np.ndarray, t_split: np.ndarray, t_full: np.ndarray, event: np.ndarray, rows: np.ndarray, seed, *, n_bins: int, n_times: int, causes: int, mtry: int, nsplit: int, max_depth: int | None, min_split: int, min_leaf: int, rule: str, cause: int, cells: int = 1 << 21) -> Tree:
+def grow_tree(bins: np.ndarray, t_split: np.ndarray, t_full: np.ndarray, event: np.ndarray, rows: np.ndarray, seed, *, n_bins: int, n_times: int, causes: int, mtry: int, nsplit: int, max_depth: int | None, min_split: int, min_leaf: int, rule: str, cause: int, weights: np.ndarray | None = None, cells: int = 1 << 21) -> Tree:
     """Grow one tree on the in-bag ``rows`` (repeats are copies). Ties go to the feature drawn first, then the lower bin."""
     rng = np.random.default_rng(seed)
     p = bins.shape[1]
@@ -147,7 +149,7 @@ def grow_tree(bins: np.ndarray, t_split: np.ndarray, t_full: np.ndarray, event:
             n = np.bincount(flat.ravel(), minlength=(z - a) * mtry * (k + 1) * (causes + 1) * n_times).reshape((z - a) * mtry, k + 1, causes + 1, n_times).astype(float)
             n = n.cumsum(axis=1)
             total = n.sum(axis=2)
-            num, var = split_scores(total, n[:, :, 1:], rule, cause)
+            num, var = split_scores(total, n[:, :, 1:], rule, cause, weights)
             n_left = total[:, :-1].sum(axis=2)
             n_all = total[:, -1].sum(axis=1)
             ok = (n_left >= min_leaf) & (n_all[:, None] - n_left >= min_leaf) & (var >= 1e-12) & (cuts.reshape(-1, k) < n_bins)
