@@ -14,15 +14,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .censoring import km_censor_uno
+from .scans import running_sums
 
 
-def dominance(df: DataFrame, rank: str, risk: str, left: str, right: str, bits: int) -> DataFrame:
-    """(less, equal): sums over pairs with rank_i < rank_j of left_i * right_j where risk_j < risk_i, or equals it."""
+def dominance(df: DataFrame, rank: str, risk: str, left: str, right: str, bits: int, blocks: int = 1) -> DataFrame:
+    """(less, equal): sums over pairs with rank_i < rank_j of left_i * right_j where risk_j < risk_i, or equals it.
+
+    The cells of the highest bits hold all rows: with ``blocks`` over 1 their scans run in that many ranges of the risk.
+    """
     cells = df.select(F.col(risk).alias("p"), F.col(left).alias("a"), F.col(right).alias("b"), F.col(rank).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
     cells = cells.select("bit", F.expr("shiftright(r, bit + 1)").alias("prefix"), (F.expr("shiftright(r, bit)") % 2).alias("high"), "p", "a", "b")
     merged = cells.groupBy("bit", "prefix", "p").agg(F.sum(F.when(F.col("high") == 0, F.col("a")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("high") == 1, F.col("b")).otherwise(0.0)).alias("b"))
-    w = Window.partitionBy("bit", "prefix").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    lower = F.coalesce(F.sum("b").over(w), F.lit(0.0))
+    merged = running_sums(merged, ["bit", "prefix"], "p", {"upto": F.col("b")}, blocks)
+    lower = F.col("upto") - F.col("b")
     return merged.select((F.col("a") * lower).alias("less"), (F.col("a") * F.col("b")).alias("equal")).agg(F.coalesce(F.sum("less"), F.lit(0.0)).alias("less"), F.coalesce(F.sum("equal"), F.lit(0.0)).alias("equal"))
 
 
@@ -33,11 +37,11 @@ def _ranked(df: DataFrame, time: str) -> tuple[DataFrame, int]:
     return df.join(times, time), max(1, int(n).bit_length())
 
 
-def concordance_pairs(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk") -> DataFrame:
+def concordance_pairs(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", blocks: int = 1) -> DataFrame:
     """One row (comparable, concordant, tied): pairs of a case of ``cause`` and any row of a later time."""
     counts = df.groupBy(F.col(time).alias("time"), F.col(risk).alias("risk")).agg(F.sum(F.when(F.col(event) == cause, 1.0).otherwise(0.0)).alias("a"), F.count("*").cast("double").alias("b"))
     ranked, bits = _ranked(counts, "time")
-    pairs = dominance(ranked, "__rank", "risk", "a", "b", bits)
+    pairs = dominance(ranked, "__rank", "risk", "a", "b", bits, blocks)
     later = F.sum("b").over(Window.orderBy("time").rowsBetween(1, Window.unboundedFollowing))
     by_time = counts.groupBy("time").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("later", F.coalesce(later, F.lit(0.0)))
     comparable = by_time.agg(F.sum(F.col("a") * F.col("later")).alias("comparable"))
@@ -91,7 +95,7 @@ def compute_uno_weights(df: DataFrame, time: str = "time", event: str = "event",
     return joined.withColumn("w", F.when(F.col("g_left").isNull(), 0.0).when(F.col("g_left") >= least, 1 / (safe * safe)).otherwise(eps_keep))
 
 
-def uno_terms(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", weight: str = "w") -> DataFrame:
+def uno_terms(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", weight: str = "w", blocks: int = 1) -> DataFrame:
     """One row (numer, denom): later or tied-censored rows (A), tied cases (B) and earlier competing rows (C)."""
     e, w = F.col(event), F.col(weight)
     rows = df.where((w > 0) & F.col(time).isNotNull() & F.col(risk).isNotNull() & ~F.isnan(F.col(risk).cast("double"))).select(
@@ -102,8 +106,8 @@ def uno_terms(df: DataFrame, cause: int = 1, event: str = "event", time: str = "
     counts = rows.groupBy("time", "risk").agg(*[F.sum(c).alias(c) for c in ("wa", "ra", "rc", "cens", "case")], F.count("*").cast("double").alias("one"))
     ranked, bits = _ranked(counts, "time")
     ranked = ranked.withColumn("__down", F.lit(1 << bits) - F.col("__rank"))
-    a = dominance(ranked, "__rank", "risk", "wa", "one", bits)
-    c = dominance(ranked, "__down", "risk", "ra", "rc", bits + 1)
+    a = dominance(ranked, "__rank", "risk", "wa", "one", bits, blocks)
+    c = dominance(ranked, "__down", "risk", "ra", "rc", bits + 1, blocks)
     at, below = Window.partitionBy("time"), Window.partitionBy("time").orderBy("risk").rowsBetween(Window.unboundedPreceding, -1)
     low = lambda x: F.coalesce(F.sum(x).over(below), F.lit(0.0))
     same = counts.withColumns({"cens_low": low("cens"), "rc_low": low("rc")}).groupBy("time").agg(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import wilson
 from .censoring import km_censor_score
 from .incidence import cif, time_counts
-from .scans import step_lookup
+from .scans import running_sums, step_lookup
 
 
 @dataclass
@@ -30,10 +30,11 @@ def long_predictions(df: DataFrame, models: dict[str, Sequence[str]], times: Seq
     return df.select(*keep, F.explode(F.array(*rows)).alias("r")).select("r.model", "r.t", "r.p", *keep)
 
 
-def brier_auc(pred: DataFrame, outcomes: DataFrame, times: Sequence[float], cause: int = 1, by: Sequence[str] = ()) -> DataFrame:
+def brier_auc(pred: DataFrame, outcomes: DataFrame, times: Sequence[float], cause: int = 1, by: Sequence[str] = (), blocks: int = 1) -> DataFrame:
     """(by.., model, t, brier, auc) from long predictions (by.., model, t, p, time, event[, m]).
 
     ``outcomes`` (by.., time, event[, m]) fit the censoring curve; ``m`` counts a row's copies (bootstrap).
+    The scan over distinct predictions of one (model, t) runs in ``blocks`` ranges.
     """
     counted = "m" in pred.columns
     m = F.col("m").cast("double") if counted else F.lit(1.0)
@@ -49,8 +50,7 @@ def brier_auc(pred: DataFrame, outcomes: DataFrame, times: Sequence[float], caus
     zero = lambda c, x: F.when(c, x * m).otherwise(0.0)
     rows = rows.select(*by, "model", "t", "p", "g", m.alias("m"), zero(case, inv).alias("wc"), (zero(rival, inv) + zero(free, past)).alias("wn"), (zero(case, inv * (1 - p) * (1 - p)) + zero(rival, inv * p * p) + zero(free, past * p * p)).alias("sq"), zero(case, F.lit(1.0)).alias("cases"), (zero(rival, F.lit(1.0)) + zero(free, F.lit(1.0))).alias("controls"))
     by_p = rows.groupBy(*by, "model", "t", "p").agg(*[F.sum(c).alias(c) for c in ("wc", "wn", "sq", "m", "cases", "controls")], F.min("g").alias("g"))
-    below = Window.partitionBy(*by, "model", "t").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_p.withColumn("low", F.coalesce(F.sum("wn").over(below), F.lit(0.0)))
+    ranked = running_sums(by_p, [*by, "model", "t"], "p", {"low": F.col("wn")}, blocks).withColumn("low", F.col("low") - F.col("wn"))
     out = ranked.groupBy(*by, "model", "t").agg(F.sum("sq").alias("sq"), F.sum("m").alias("n"), F.sum(F.col("wc") * (F.col("low") + 0.5 * F.col("wn"))).alias("num"), F.sum("wc").alias("wc"), F.sum("wn").alias("wn"), F.sum("cases").alias("cases"), F.sum("controls").alias("controls"), F.min("g").alias("g"))
     ok = F.col("g") > 0
     pairs = F.col("wc") * F.col("wn")

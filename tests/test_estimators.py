@@ -72,6 +72,8 @@ def test_concordance_equals_pairs(spark):
             c += (p[later] < p[i]).sum() + 0.5 * (p[later] == p[i]).sum()
     rows = frame(spark, t.tolist(), e.tolist(), risk=p.tolist())
     assert concordance.concordance_index_cr(rows) == pytest.approx(c / n)
+    one, many = (concordance.concordance_pairs(rows, blocks=b).first() for b in (1, 6))
+    assert one == many
     assert concordance.concordance_index_cr(rows.repartition(7)) == concordance.concordance_index_cr(rows.coalesce(1))
 
 
