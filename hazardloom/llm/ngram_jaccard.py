@@ -3,8 +3,8 @@
 1. Every text becomes the set of its distinct word n-grams (64-bit hashes); equal sets are one class.
 2. The n-grams' counts meet by hash range (:mod:`blobs`): an n-gram of one class alone can lie in no
    intersection, so a class with too many of them links with nothing and goes no further.
-3. The other classes are sorted by min-hashes, so similar ones are neighbours, and cut into groups of
-   bounded size; the matrix row of a group is the union of its members' tokens. Groups meet on the
+3. The other classes are sorted by commonest token and min-hashes, so similar ones are neighbours, and cut
+   into groups of bounded size; the matrix row of a group is the union of its members' tokens. Groups meet on the
    rarest tokens of their members, of which any linked pair shares one.
 4. A query set's overlap with a group's union bounds its Jaccard similarity with all members: only
    groups that the bound lets through are opened, and their members compared exactly.
@@ -27,7 +27,7 @@ from .text_arrays import ascii_lower, mix, spaces, text_bytes, text_slices, wind
 
 ROWS = 1 << BATCH_BITS
 #: members and tokens that one group holds at most (a longer set is a group of its own)
-GROUP_MEMBERS, GROUP_TOKENS = 64, 1 << 16
+GROUP_MEMBERS, GROUP_TOKENS = 128, 1 << 16
 #: a token in more sets than this goes last in the token order, if it is among the commonest ``COMMON_MOST``
 COMMON_OVER, COMMON_MOST = 32, 1 << 18
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -161,6 +161,31 @@ def _token_sets(width: int):
     return run
 
 
+def _ranks(common, tokens: np.ndarray) -> np.ndarray:
+    """Place of tokens in the common order: their count if they are among the commonest, else 0."""
+    names, counts = common
+    if not len(names):
+        return np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
+    return np.where(names[at] == tokens, counts[at], 0)
+
+
+def _with_commonest(common):
+    """Add to each set its commonest token (0 where none is common): large clusters of similar sets share it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("tokens"))
+            tops = []
+            for i in range(batch.num_rows):
+                token = lists[i].values.to_numpy().view(np.uint64)
+                rank = _ranks(common.value, token)
+                tops.append(int(token[np.argmax(rank)].view(np.int64)) if rank.any() else 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tops, pa.int64())], names=[*batch.schema.names, "top"])
+
+    return run
+
+
 def _prefix(n: int, percent: int) -> int:
     """How many first tokens of a set of ``n``, in any one order, meet those of every linked set."""
     return n - -(-percent * n // 100) + 1
@@ -170,16 +195,12 @@ def _grouped(percent: int, common):
     """Cut sorted sets into groups: (gid, members, sizes, tokens, index tokens, least n, most n)."""
 
     def emit(members: list) -> list:
-        order = common.value
         reps = np.array([m[0] for m in members], np.int64)
         sizes = np.array([len(m[1]) for m in members], np.int64)
         index = []
         for _, t in members:
             p = _prefix(len(t), percent)
-            if len(order[0]):
-                at = np.minimum(np.searchsorted(order[0], t), len(order[0]) - 1)
-                rank = np.where(order[0][at] == t, order[1][at], 0)
-                t = t[np.lexsort((t, rank))]
+            t = t[np.lexsort((t, _ranks(common.value, t)))]
             index.append(t[:p])
         return [int(reps[0]), reps.tobytes(), sizes.tobytes(), np.concatenate([m[1] for m in members]).tobytes(), np.unique(np.concatenate(index)).view(np.int64), int(sizes.min()), int(sizes.max())]
 
@@ -189,11 +210,13 @@ def _grouped(percent: int, common):
         names = ["gid", "reps", "sizes", "tokens", "keys", "least", "most"]
         for batch in batches:
             out: list[list] = [[] for _ in types]
-            lists = batch.column(2)
+            lists = batch.column(3)
             for i in range(batch.num_rows):
                 token = lists[i].values.to_numpy().view(np.uint64)
-                key = batch.column(1)[i].as_py()
-                if members and (key != last or len(members) == GROUP_MEMBERS or held + len(token) > GROUP_TOKENS):
+                key = batch.column(2)[i].as_py(), batch.column(1)[i].as_py()
+                # alike: the same min-hash, or the same commonest token and half of the group's first set
+                alike = members and (key == last or (key[0] and key[0] == last[0] and 2 * len(np.intersect1d(members[0][1], token, assume_unique=True)) >= max(len(members[0][1]), len(token))))
+                if members and (not alike or len(members) == GROUP_MEMBERS or held + len(token) > GROUP_TOKENS):
                     for column, value in zip(out, emit(members)):
                         column.append(value)
                     members, held = [], 0
@@ -270,8 +293,10 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     counted = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > COMMON_OVER)
     commonest = sorted((r[0] & 0xFFFFFFFFFFFFFFFF, r[1]) for r in counted.orderBy(F.desc("count"), "token").limit(COMMON_MOST).collect())
     common = spark.sparkContext.broadcast((np.array([t for t, _ in commonest], np.uint64), np.array([n for _, n in commonest], np.int64)))
-    ordered = sets.repartitionByRange(shuffle_width(spark), "h1", "h2", "n", "rep").sortWithinPartitions("h1", "h2", "n", "rep")
-    groups = cut(ordered.select("rep", "h1", "tokens").mapInArrow(_grouped(percent, common), "gid long, reps binary, sizes binary, tokens binary, keys array<long>, least long, most long"))
+    topped = sets.mapInArrow(_with_commonest(common), "rep long, n long, h1 long, h2 long, tokens array<long>, top long")
+    order = ("top", "h1", "h2", "n", "rep")
+    ordered = topped.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+    groups = cut(ordered.select("rep", "h1", "top", "tokens").mapInArrow(_grouped(percent, common), "gid long, reps binary, sizes binary, tokens binary, keys array<long>, least long, most long"))
     keys = groups.select("gid", "least", "most", F.explode("keys").alias("key"))
     x, y = keys.alias("x"), keys.alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.gid") < F.col("y.gid")) & (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least"))
