@@ -59,6 +59,8 @@ def planes(x: np.ndarray) -> bytes:
 
 def from_planes(data: bytes, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
+    if len(data) % width:
+        raise ValueError("the planes hold another type")
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 

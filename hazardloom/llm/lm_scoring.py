@@ -48,7 +48,8 @@ def _distinct(word: np.ndarray, before: np.ndarray, pair: np.ndarray, opens: int
     order = np.argsort(keys, kind="stable")
     keys, mine = keys[order], mine[order]
     first = np.flatnonzero(first_of_runs(keys))
-    return keys[first], np.diff(np.append(first, len(keys))).astype(np.uint32), np.add.reduceat(mine.astype(np.uint32), first) if len(first) else np.zeros(0, np.uint32)
+    chosen_count = np.add.reduceat(mine, first, dtype=np.uint32) if len(first) else np.zeros(0, np.uint32)
+    return keys[first], np.diff(np.append(first, len(keys))).astype(np.uint32), chosen_count
 
 
 def _in_order(table: pa.Table) -> tuple[pa.Table, pa.Array]:
