@@ -28,7 +28,7 @@ CHUNK = 32_768
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
 #: units that a task remembers
-MEMO = 500_000
+MEMO = 700_000
 
 
 class PieceModel:
@@ -85,15 +85,22 @@ class PieceModel:
 
     def trace(self, text: str, entry: int, end: int) -> tuple[list[int], float]:
         """Ids and score of the best path of ``text`` from ``entry`` to exactly ``end``; the longer last piece wins ties."""
-        best, back = [float("-inf")] * (end + 1), [0] * (end + 1)
+        low, starts, scores, reach = float("-inf"), self.starts, self.scores, self.reach
+        best, back = [low] * (end + 1), [0] * (end + 1)
         best[entry] = 0.0
         for i in range(entry, end):
             here = best[i]
-            if here == float("-inf"):
+            if here == low:
                 continue
-            for n, score in self.matches(text, i):
-                if i + n <= end and here + score > best[i + n]:
-                    best[i + n], back[i + n] = here + score, i
+            if text[i] not in scores and here + self.unknown > best[i + 1]:
+                best[i + 1], back[i + 1] = here + self.unknown, i
+            for j in range(i + 1, min(i + reach, end) + 1):
+                part = text[i:j]
+                if part not in starts:
+                    break
+                score = scores.get(part)
+                if score is not None and here + score > best[j]:
+                    best[j], back[j] = here + score, i
         ids, at = [], end
         while at > entry:
             ids.append(self.ids_of(text[back[at] : at]))
@@ -112,7 +119,7 @@ class PieceModel:
 
     def learn(self, units: list[str]) -> None:
         """Code units that are not yet remembered."""
-        new = [u for u in units if u not in self.memo]
+        new = [u for u in dict.fromkeys(units) if u not in self.memo]
         if not new:
             return
         made = [self.trace(u, 0, len(u)) for u in new]
@@ -206,21 +213,22 @@ class PieceModel:
         middle = [i for k in at for i in self.flat[self.first[k] : self.first[k] + self.count[k]].tolist()]
         return head + middle + tail, a + float(sum(self.worth[k] for k in at)) + b
 
-    def decode(self, ids: list[int]) -> str:
-        return self.processor.decode(ids)
+    def _piece_bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all pieces in id order, their offsets); control pieces have none."""
+        if not hasattr(self, "_table"):
+            p, raw = self.processor, []
+            for i in range(p.get_piece_size()):
+                raw.append(bytes([int(p.id_to_piece(i)[3:5], 16)]) if p.is_byte(i) else b"" if p.is_control(i) else p.id_to_piece(i).encode())
+            self._table = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        return self._table
 
-    def pieces_text(self, ids: np.ndarray) -> str:
-        """The normalised text that ids stand for."""
-        p, out, run = self.processor, [], bytearray()
-        for i in ids.tolist():
-            if p.is_byte(i):
-                run.append(int(p.id_to_piece(i)[3:5], 16))
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            out.append(p.id_to_piece(i))
-        return "".join(out) + run.decode("utf-8", "replace")
+    def texts_of(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The normalised texts that rows of ids (offsets ``at``) stand for."""
+        flat, offsets = self._piece_bytes()
+        first, size = offsets[ids], offsets[ids + 1] - offsets[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out = flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(ends[at].astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
@@ -336,8 +344,11 @@ def decode_documents(coded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _model(model)
         for batch in batches:
-            made = [None if x is None else held.pieces_text(np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, "decoded"])
+            column = batch.column(batch.schema.get_field_index("ids"))
+            sizes = np.array([len(x) // 4 if x is not None else 0 for x in column.to_pylist()])
+            ids = np.frombuffer(b"".join(x for x in column.to_pylist() if x), "<u4").astype(np.int64)
+            made = held.texts_of(ids, np.concatenate([[0], np.cumsum(sizes)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "decoded"])
 
     return coded.mapInArrow(run, schema)
 
