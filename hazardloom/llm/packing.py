@@ -37,13 +37,26 @@ class WordEncoder:
     words in order. The table is emptied beyond ``limit`` words, which bounds memory.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.marks = self._end_marks()
         self._clear()
 
+    def _end_marks(self) -> np.ndarray | None:
+        """Which ids end a word; None where the model has no such mark."""
+        import json
+
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        vocabulary = self.tokenizer.get_vocab()
+        marks = np.zeros(max(vocabulary.values()) + 1, bool)
+        marks[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+        return marks
+
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -52,19 +65,33 @@ class WordEncoder:
         self.used = 0
 
     def _learn(self, words: list[str]) -> None:
+        # a word of letters alone is one unit of the tokenizer's pattern, and its last piece is marked as an end:
+        # such words are coded by the thousand in one text and parted at the marks
+        plain = [w for w in words if w.isalpha() and w.isascii()]
+        if self.marks is not None:
+            for at in range(0, len(plain), 2048):
+                part = plain[at : at + 2048]
+                flat = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.marks[flat]) + 1
+                if len(ends) != len(part) or ends[-1] != len(flat):
+                    raise ValueError("the tokenizer parts words of letters")
+                self._keep(part, flat, np.diff(ends, prepend=0))
+            words = [w for w in words if w not in self.index]
         for at in range(0, len(words), 8192):
             part = words[at : at + 8192]
             ids = [code.ids for code in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             count = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
-            n, used = len(self.index), self.used + len(flat)
-            self.ids = _room(self.ids, used)
-            self.first, self.count = _room(self.first, n + len(part)), _room(self.count, n + len(part))
-            self.ids[self.used : used] = flat
-            self.first[n : n + len(part)] = self.used + np.cumsum(count) - count
-            self.count[n : n + len(part)] = count
-            self.used = used
-            self.index.update(zip(part, range(n, n + len(part))))
+            self._keep(part, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum())), count)
+
+    def _keep(self, part: list[str], flat: np.ndarray, count: np.ndarray) -> None:
+        n, used = len(self.index), self.used + len(flat)
+        self.ids = _room(self.ids, used)
+        self.first, self.count = _room(self.first, n + len(part)), _room(self.count, n + len(part))
+        self.ids[self.used : used] = flat
+        self.first[n : n + len(part)] = self.used + np.cumsum(count) - count
+        self.count[n : n + len(part)] = count
+        self.used = used
+        self.index.update(zip(part, range(n, n + len(part))))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by ``end_id``; offsets of the texts in them)."""
@@ -128,7 +155,7 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 4096, end_id: int = 2, slice_bytes: int = 4 << 20) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 4096, end_id: int = 2, slice_bytes: int = 8 << 20) -> DataFrame:
     """Pieces of all rows: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, bucket, sequence_id, offset.
 
     ``longest`` is a power of two. A null or empty text is one piece that holds ``end_id`` alone; a null id
