@@ -9,25 +9,27 @@ cell, where the row with bit 0 needs the running weight of rows with bit 1 in ri
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .censoring import km_censor_uno
 from .scans import running_sums
 
 
-def dominance(df: DataFrame, rank: str, risk: str, left: str, right: str, bits: int, blocks: int = 1) -> DataFrame:
-    """(less, equal): sums over pairs with rank_i < rank_j of left_i * right_j where risk_j < risk_i, or equals it.
+def dominance(df: DataFrame, rank: str, risk: str, left: str, right: str, bits: int, blocks: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., less, equal): sums over pairs with rank_i < rank_j of left_i * right_j where risk_j < risk_i, or equals it.
 
     The cells of the highest bits hold all rows: with ``blocks`` over 1 their scans run in that many ranges of the risk.
     """
-    cells = df.select(F.col(risk).alias("p"), F.col(left).alias("a"), F.col(right).alias("b"), F.col(rank).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
-    cells = cells.select("bit", F.expr("shiftright(r, bit + 1)").alias("prefix"), (F.expr("shiftright(r, bit)") % 2).alias("high"), "p", "a", "b")
-    merged = cells.groupBy("bit", "prefix", "p").agg(F.sum(F.when(F.col("high") == 0, F.col("a")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("high") == 1, F.col("b")).otherwise(0.0)).alias("b"))
-    merged = running_sums(merged, ["bit", "prefix"], "p", {"upto": F.col("b")}, blocks)
+    cells = df.select(*by, F.col(risk).alias("p"), F.col(left).alias("a"), F.col(right).alias("b"), F.col(rank).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    cells = cells.select(*by, "bit", F.expr("shiftright(r, bit + 1)").alias("prefix"), (F.expr("shiftright(r, bit)") % 2).alias("high"), "p", "a", "b")
+    cell = [*by, "bit", "prefix"]
+    merged = cells.groupBy(*cell, "p").agg(F.sum(F.when(F.col("high") == 0, F.col("a")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("high") == 1, F.col("b")).otherwise(0.0)).alias("b"))
+    merged = running_sums(merged, cell, "p", {"upto": F.col("b")}, blocks)
     lower = F.col("upto") - F.col("b")
-    return merged.select((F.col("a") * lower).alias("less"), (F.col("a") * F.col("b")).alias("equal")).agg(F.coalesce(F.sum("less"), F.lit(0.0)).alias("less"), F.coalesce(F.sum("equal"), F.lit(0.0)).alias("equal"))
+    return merged.groupBy(*by).agg(F.coalesce(F.sum(F.col("a") * lower), F.lit(0.0)).alias("less"), F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0)).alias("equal"))
 
 
 def _ranked(df: DataFrame, time: str) -> tuple[DataFrame, int]:
@@ -37,15 +39,21 @@ def _ranked(df: DataFrame, time: str) -> tuple[DataFrame, int]:
     return df.join(times, time), max(1, int(n).bit_length())
 
 
-def concordance_pairs(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", blocks: int = 1) -> DataFrame:
-    """One row (comparable, concordant, tied): pairs of a case of ``cause`` and any row of a later time."""
-    counts = df.groupBy(F.col(time).alias("time"), F.col(risk).alias("risk")).agg(F.sum(F.when(F.col(event) == cause, 1.0).otherwise(0.0)).alias("a"), F.count("*").cast("double").alias("b"))
+def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """A constant group where none is asked for."""
+    return (df, list(by)) if by else (df.withColumn("__all", F.lit(0)), ["__all"])
+
+
+def concordance_pairs(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", blocks: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., comparable, concordant, tied): pairs of a case of ``cause`` and any row of a later time of its group."""
+    df, by = _grouped(df, by)
+    counts = df.groupBy(*by, F.col(time).alias("time"), F.col(risk).alias("risk")).agg(F.sum(F.when(F.col(event) == cause, 1.0).otherwise(0.0)).alias("a"), F.count("*").cast("double").alias("b"))
     ranked, bits = _ranked(counts, "time")
-    pairs = dominance(ranked, "__rank", "risk", "a", "b", bits, blocks)
-    later = F.sum("b").over(Window.orderBy("time").rowsBetween(1, Window.unboundedFollowing))
-    by_time = counts.groupBy("time").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("later", F.coalesce(later, F.lit(0.0)))
-    comparable = by_time.agg(F.sum(F.col("a") * F.col("later")).alias("comparable"))
-    return comparable.join(F.broadcast(pairs)).select("comparable", F.col("less").alias("concordant"), F.col("equal").alias("tied"))
+    pairs = dominance(ranked, "__rank", "risk", "a", "b", bits, blocks, by)
+    later = F.sum("b").over(Window.partitionBy(*by).orderBy("time").rowsBetween(1, Window.unboundedFollowing))
+    by_time = counts.groupBy(*by, "time").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("later", F.coalesce(later, F.lit(0.0)))
+    comparable = by_time.groupBy(*by).agg(F.sum(F.col("a") * F.col("later")).alias("comparable"))
+    return comparable.join(pairs, by).select(*[b for b in by if b != "__all"], "comparable", F.col("less").alias("concordant"), F.col("equal").alias("tied"))
 
 
 def concordance_index_cr(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk") -> float:
@@ -56,7 +64,7 @@ def concordance_index_cr(df: DataFrame, cause: int = 1, event: str = "event", ti
     if cause > top:
         raise ValueError(f"cause {cause} is larger than the largest code {top}")
     row = concordance_pairs(df, cause, event, time, risk).first()
-    if not row["comparable"]:
+    if row is None or not row["comparable"]:
         return 0.5
     return (row["concordant"] + 0.5 * row["tied"]) / row["comparable"]
 
@@ -95,39 +103,41 @@ def compute_uno_weights(df: DataFrame, time: str = "time", event: str = "event",
     return joined.withColumn("w", F.when(F.col("g_left").isNull(), 0.0).when(F.col("g_left") >= least, 1 / (safe * safe)).otherwise(eps_keep))
 
 
-def uno_terms(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", weight: str = "w", blocks: int = 1) -> DataFrame:
-    """One row (numer, denom): later or tied-censored rows (A), tied cases (B) and earlier competing rows (C)."""
+def uno_terms(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", weight: str = "w", blocks: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., numer, denom): later or tied-censored rows (A), tied cases (B) and earlier competing rows (C)."""
+    df, by = _grouped(df, by)
     e, w = F.col(event), F.col(weight)
     rows = df.where((w > 0) & F.col(time).isNotNull() & F.col(risk).isNotNull() & ~F.isnan(F.col(risk).cast("double"))).select(
-        F.col(time).alias("time"), F.col(risk).alias("risk"),
+        *by, F.col(time).alias("time"), F.col(risk).alias("risk"),
         F.when(e == cause, w).otherwise(0.0).alias("wa"), F.when(e == cause, F.sqrt(w)).otherwise(0.0).alias("ra"),
         F.when((e > 0) & (e != cause), F.sqrt(w)).otherwise(0.0).alias("rc"), F.when(e == 0, 1.0).otherwise(0.0).alias("cens"), F.when(e == cause, 1.0).otherwise(0.0).alias("case"),
     )
-    counts = rows.groupBy("time", "risk").agg(*[F.sum(c).alias(c) for c in ("wa", "ra", "rc", "cens", "case")], F.count("*").cast("double").alias("one"))
+    counts = rows.groupBy(*by, "time", "risk").agg(*[F.sum(c).alias(c) for c in ("wa", "ra", "rc", "cens", "case")], F.count("*").cast("double").alias("one"))
     ranked, bits = _ranked(counts, "time")
     ranked = ranked.withColumn("__down", F.lit(1 << bits) - F.col("__rank"))
-    a = dominance(ranked, "__rank", "risk", "wa", "one", bits, blocks)
-    c = dominance(ranked, "__down", "risk", "ra", "rc", bits + 1, blocks)
-    at, below = Window.partitionBy("time"), Window.partitionBy("time").orderBy("risk").rowsBetween(Window.unboundedPreceding, -1)
+    a = dominance(ranked, "__rank", "risk", "wa", "one", bits, blocks, by)
+    c = dominance(ranked, "__down", "risk", "ra", "rc", bits + 1, blocks, by)
+    below = Window.partitionBy(*by, "time").orderBy("risk").rowsBetween(Window.unboundedPreceding, -1)
     low = lambda x: F.coalesce(F.sum(x).over(below), F.lit(0.0))
-    same = counts.withColumns({"cens_low": low("cens"), "rc_low": low("rc")}).groupBy("time").agg(
-        F.sum("wa").alias("wa"), F.sum("ra").alias("ra"), F.sum("rc").alias("rc"), F.sum("cens").alias("cens"), F.sum("case").alias("case"), F.sum("one").alias("one"),
+    same = counts.withColumns({"cens_low": low("cens"), "rc_low": low("rc")}).groupBy(*by, "time").agg(
+        *[F.sum(c).alias(c) for c in ("wa", "ra", "rc", "cens", "case", "one")],
         F.sum(2 * F.col("wa") * F.col("cens_low") + F.col("wa") * F.col("cens")).alias("na"),
         F.sum(2 * F.col("ra") * F.col("rc_low") + F.col("ra") * F.col("rc")).alias("nc"),
         F.sum(F.when(F.col("case") > 1, (F.col("case") - 1) * F.col("wa")).otherwise(0.0)).alias("ties"),
     )
-    after, sofar = Window.orderBy("time").rowsBetween(1, Window.unboundedFollowing), Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    same = same.withColumns({"later": F.coalesce(F.sum("one").over(after), F.lit(0.0)), "comp": F.sum("rc").over(sofar)})
+    times = Window.partitionBy(*by).orderBy("time")
+    same = same.withColumns({"later": F.coalesce(F.sum("one").over(times.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)), "comp": F.sum("rc").over(times.rowsBetween(Window.unboundedPreceding, 0))})
     tie = F.when(F.col("case") > 1, (F.col("case") - 1) * F.col("wa")).otherwise(0.0)
-    sums = same.agg(
+    sums = same.groupBy(*by).agg(
         F.sum(2 * F.col("wa") * (F.col("later") + F.col("cens")) + tie + 2 * F.col("ra") * F.col("comp")).alias("denom"),
         F.sum(F.col("na") + F.col("nc") + 0.5 * tie + 0.5 * F.col("ties")).alias("same"),
     )
-    one = lambda x, n: F.broadcast(x.select((2 * F.col("less") + F.col("equal")).alias(n)))
-    return sums.join(one(a, "x")).join(one(c, "z")).select((F.col("same") + F.col("x") + F.col("z")).alias("numer"), "denom")
+    one = lambda x, n: x.select(*by, (2 * F.col("less") + F.col("equal")).alias(n))
+    joined = sums.join(one(a, "x"), by).join(one(c, "z"), by)
+    return joined.select(*[b for b in by if b != "__all"], (F.col("same") + F.col("x") + F.col("z")).alias("numer"), "denom")
 
 
 def concordance_index_uno_cr(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", weight: str = "w") -> float:
     """Weighted C; NaN where it is undefined."""
     row = uno_terms(df, cause, event, time, risk, weight).first()
-    return row["numer"] / row["denom"] if row["denom"] else math.nan
+    return row["numer"] / row["denom"] if row is not None and row["denom"] else math.nan

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..sources.outcomes import check_inputs
 from . import minimal_depth as depth_frames
-from .concordance import compute_uno_weights, concordance_index_cr, concordance_index_uno_cr
+from .concordance import compute_uno_weights, concordance_index_cr, concordance_pairs, uno_terms
 from .grids import bin_column, coarsen_time_grid, event_time_grid, feature_bin_edges, time_index
 from .tree_kernel import Tree, grow_tree, leaf_paths, path_weights
 
@@ -315,29 +315,32 @@ class CompetingRiskForest:
         return self.trees_.sparkSession.createDataFrame(rows, f"feature string, {columns}, composite_vimp double")
 
     def _oob_drops(self, cause: int) -> list[float]:
-        base = compute_uno_weights(self._outcomes()).persist()
-        sums = self._oob_sums(cause, range(-1, self.n_features_in_)).persist()
-        score = lambda f: concordance_index_uno_cr(base.join(sums.where(F.col("feature") == f).select("row", (F.col("sum") / F.col("n")).alias("risk")), "row"), cause)
-        plain = score(-1)
-        out = [plain - score(f) for f in range(self.n_features_in_)]
-        base.unpersist()
+        """All features in one pass: the permuted scores are groups of one weighted concordance."""
+        base = compute_uno_weights(self._outcomes())
+        sums = self._oob_sums(cause, range(-1, self.n_features_in_)).select("feature", "row", (F.col("sum") / F.col("n")).alias("risk")).persist()
+        found = {r["feature"]: r["numer"] / r["denom"] if r["denom"] else math.nan for r in uno_terms(sums.join(base, "row"), cause, by=["feature"]).collect()}
         sums.unpersist()
-        return out
+        return [found[-1] - found[f] for f in range(self.n_features_in_)]
 
     def _held_out_drops(self, df: DataFrame, cause: int, n_repeats: int, seed: int) -> list[float]:
-        """Mean drop over shuffles of each column (values are dealt anew by the order of a hash)."""
+        """Mean drop over shuffles of each column: values are dealt anew by the order of a hash, all shuffles are scored at once."""
         from pyspark.sql import Window
 
-        rows = df.select(*self.features_, self.time_, self.event_).withColumn("__i", F.row_number().over(Window.orderBy(F.xxhash64(*self.features_, self.time_, self.event_)))).persist()
-        plain, out = self.score(rows, cause), []
+        w = lambda *k: Window.orderBy(*k)  # noqa: E731  a held-out set, one row each
+        rows = df.select(*self.features_, self.time_, self.event_).withColumn("__i", F.row_number().over(w(F.xxhash64(*self.features_, self.time_, self.event_)))).persist()
+        trials = [rows.withColumn("trial", F.lit(-1))]
         for j, c in enumerate(self.features_):
-            scores = []
             for r in range(n_repeats):
-                dealt = rows.select(F.col(c).alias("__v"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + 1000 * r + j), "__i"))).alias("__i"))
-                scores.append(self.score(rows.drop(c).join(dealt, "__i").withColumnRenamed("__v", c), cause))
-            out.append(plain - float(np.mean(scores)))
+                dealt = rows.select(F.col(c).alias("__v"), F.row_number().over(w(F.xxhash64(F.lit(seed + 1000 * r + j), "__i"))).alias("__i"))
+                trials.append(rows.drop(c).join(dealt, "__i").withColumnRenamed("__v", c).withColumn("trial", F.lit(j * n_repeats + r)).select(*rows.columns, "trial"))
+        every = trials[0]
+        for t in trials[1:]:
+            every = every.unionByName(t)
+        scored = self.predict_risk(every, cause).select("trial", self.time_, self.event_, "risk").persist()
+        found = {r["trial"]: (r["concordant"] + 0.5 * r["tied"]) / r["comparable"] if r["comparable"] else 0.5 for r in concordance_pairs(scored, cause, self.event_, self.time_, by=["trial"]).collect()}
+        scored.unpersist()
         rows.unpersist()
-        return out
+        return [found[-1] - float(np.mean([found[j * n_repeats + r] for r in range(n_repeats)])) for j in range(len(self.features_))]
 
     def minimal_depth(self) -> DataFrame:
         """(feature, mean_min_depth, q25, q75, frac_used, threshold, selected), rising."""

@@ -103,6 +103,12 @@ class TaskRisk:
         return self.events, np.cumsum(self.deaths / (s0 * np.exp(shift)))
 
 
+#: distinct (stratum, time) pairs whose sums the driver takes; round times beyond it
+MOST_TIMES = 2_000_000
+#: rows up to which a per-time table is broadcast (a few columns of doubles)
+BROADCAST_TIMES = 500_000
+
+
 class SparkRisk:
     """The same over a DataFrame of any size: per step, one aggregation by distinct time (whose table comes to the
     driver: one row for each distinct time and stratum) and one O(p^2) aggregation of the rows joined with it."""
@@ -111,7 +117,11 @@ class SparkRisk:
         self.features, self.p, self.subdistribution = list(features), len(features), subdistribution
         rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(time).cast("double").alias("time"), recode(F.col(event), cause).alias("event"), (F.col(stratum) if stratum else F.lit(0)).alias("k"))
         g = km_censor_fg(rows, ["k"]).select("k", "time", "g_left")
-        self.rows = rows.join(F.broadcast(g), ["k", "time"]).withColumn("inv_g", F.when((F.col("event") == 2) & (F.col("g_left") > 0), 1 / F.col("g_left")).otherwise(0.0) if subdistribution else F.lit(0.0)).persist()
+        times = g.count()
+        if times > MOST_TIMES:
+            raise ValueError(f"{times} distinct times are more than the driver's tables hold: round the times")
+        self.hint = F.broadcast if times <= BROADCAST_TIMES else (lambda df: df)
+        self.rows = rows.join(self.hint(g), ["k", "time"]).withColumn("inv_g", F.when((F.col("event") == 2) & (F.col("g_left") > 0), 1 / F.col("g_left")).otherwise(0.0) if subdistribution else F.lit(0.0)).persist()
         head = self.rows.agg(F.count("*").alias("n"), *[F.max(F.abs(f"x{i}")) for i in range(self.p)]).first()
         self.n, self.largest = head[0], np.array(head[1:], float)
 
@@ -163,13 +173,13 @@ class SparkRisk:
         return before, later
 
     def _joined(self, tables, columns: dict[str, tuple]):
-        """Rows with per-(k, time) columns: a broadcast join of one row for each distinct time and stratum."""
+        """Rows with per-(k, time) columns: a join with one row for each distinct time and stratum."""
         import pandas as pd
 
         times, strata = tables[:2]
         frames = [pd.DataFrame({"k": k, "time": times, **{f"{n}_b": b for n, (b, _) in columns.items()}, **{f"{n}_l": late[j] for n, (_, late) in columns.items()}}) for j, k in enumerate(strata)]
         small = self.rows.sparkSession.createDataFrame(pd.concat(frames)).withColumn("k", F.col("k").cast(self.rows.schema["k"].dataType))
-        return self.rows.join(F.broadcast(small), ["k", "time"])
+        return self.rows.join(self.hint(small), ["k", "time"])
 
     def _moments(self, rows: DataFrame, weight, linear):
         """(sum of x * linear, sum of x x' * weight)."""
