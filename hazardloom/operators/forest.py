@@ -2,8 +2,8 @@
 
 Training is tree-parallel: bins (one byte a feature and row) and outcomes are broadcast while they fit
 ``BROADCAST_BYTES``, every task grows its trees with the level-wise kernel, and the forest is a DataFrame of
-one row a tree. Seeds follow from (seed, tree), so results do not depend on partitioning. Beyond that size
-``mode="distributed"`` grows trees by aggregation over the rows (:mod:`splits`), which needs no copy of the data.
+one row a tree. Seeds follow from (seed, tree), so results do not depend on partitioning. Beyond that size, or with
+``mode="distributed"``, trees grow by aggregation over the rows (:mod:`forest_distributed`).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..sources.outcomes import check_inputs
 from . import minimal_depth as depth_frames
 from .concordance import compute_uno_weights, concordance_index_cr, concordance_pairs, uno_terms
+from .forest_distributed import grow_forest
 from .grids import bin_column, coarsen_time_grid, event_time_grid, feature_bin_edges, time_index
 from .tree_kernel import Tree, grow_tree, leaf_paths, path_weights
 
@@ -92,15 +93,21 @@ class CompetingRiskForest:
         rows = df.select(*[bin_column(c, e).cast("short").alias(f"b{i}") for i, (c, e) in enumerate(zip(self.features_, self.bin_edges_))], time_index(F.col(time).cast("double"), self.time_grid_).cast("int").alias("t"), F.col(event).cast("int").alias("event"))
         n, p = df.count(), len(self.features_)
         self.n_rows_, self.n_features_in_ = n, p
-        if n * (p + 5) > BROADCAST_BYTES:
-            raise ValueError("the binned rows exceed what may be broadcast: use operators.splits.grow (distributed trees) or raise BROADCAST_BYTES")
+        nsplit = self.nsplit if self.nsplit is not None else (0 if exact else 10)
+        settings = dict(n_bins=max(2, max(len(x) for x in self.bin_edges_) + 1), n_times=int(coarse.max()) + 1, causes=self.n_causes_, mtry=resolve_max_features(self.max_features, p), nsplit=nsplit, max_depth=self.max_depth, min_split=self.min_samples_split, min_leaf=self.min_samples_leaf, rule=self.splitrule, cause=self.cause, weights=None if self.cause_weights is None else np.asarray(self.cause_weights, float))
+        self._seed = 0 if self.random_state is None else int(self.random_state)
+        self._data = None
+        if self.mode == "distributed" or n * (p + 5) > BROADCAST_BYTES:
+            key = F.xxhash64(F.monotonically_increasing_id())
+            grown = grow_forest(rows.withColumn("key", key), p, coarse, n_trees=self.n_estimators, seed=self._seed, bootstrap=self.bootstrap, **settings)
+            self.trees_ = grown.persist()
+            self.trees_.count()
+            return self
         packed = rows.toPandas()  # one byte a feature: what the tasks share, of the checked size above
         bins = packed[[f"b{i}" for i in range(p)]].to_numpy(np.uint8)
         t, e = packed["t"].to_numpy(np.int64), packed["event"].to_numpy(np.int64)
         self._data = spark.sparkContext.broadcast((bins, t.astype(np.uint16), e.astype(np.uint8)))
-        nsplit = self.nsplit if self.nsplit is not None else (0 if exact else 10)
-        settings = dict(n_bins=max(2, max(len(x) for x in self.bin_edges_) + 1), n_times=int(coarse.max()) + 1, causes=self.n_causes_, mtry=resolve_max_features(self.max_features, p), nsplit=nsplit, max_depth=self.max_depth, min_split=self.min_samples_split, min_leaf=self.min_samples_leaf, rule=self.splitrule, cause=self.cause, weights=None if self.cause_weights is None else np.asarray(self.cause_weights, float))
-        seed, bootstrap, data = 0 if self.random_state is None else int(self.random_state), self.bootstrap, self._data
+        seed, bootstrap, data = self._seed, self.bootstrap, self._data
 
         def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             b, tf, ev = data.value
@@ -117,7 +124,6 @@ class CompetingRiskForest:
         ids = spark.range(0, self.n_estimators, 1, min(self.n_estimators, 4 * spark.sparkContext.defaultParallelism))
         self.trees_ = ids.mapInPandas(build, "tree_id long, tree binary").persist()
         self.trees_.count()
-        self._seed = seed
         return self
 
     def _forest(self) -> list[Tree]:
@@ -154,7 +160,7 @@ class CompetingRiskForest:
                 for i, raw in zip(frame["tree_id"], frame["tree"]):
                     t = pickle.loads(raw)
                     leaf = np.repeat(np.arange(len(t.starts) - 1), np.diff(t.starts))
-                    yield pd.DataFrame({"tree_id": i, "leaf_id": leaf, "t_idx": t.t.astype(int), "event": t.event.astype(int), "n": 1}).groupby(["tree_id", "leaf_id", "t_idx", "event"], as_index=False)["n"].sum()
+                    yield pd.DataFrame({"tree_id": i, "leaf_id": leaf, "t_idx": t.t.astype(int), "event": t.event.astype(int), "n": 1 if t.n is None else t.n.astype(int)}).groupby(["tree_id", "leaf_id", "t_idx", "event"], as_index=False)["n"].sum()
 
         return self.trees_.mapInPandas(rows, "tree_id long, leaf_id int, t_idx int, event int, n long")
 
@@ -258,6 +264,8 @@ class CompetingRiskForest:
         A task takes a (tree, feature) pair; sums meet in one shuffle of (feature, row).
         """
         self._forest()
+        if self._data is None:
+            raise ValueError("out-of-bag figures need a forest grown from shared rows; score held-out rows instead")
         spark, data, shared, me = self.trees_.sparkSession, self._data, self._shared, self._seed
         steps, k, n, bootstrap = np.diff(self.time_grid_), self.n_causes_, self.n_rows_, self.bootstrap
         m = len(self.time_grid_)
@@ -386,5 +394,5 @@ class CompetingRiskForest:
                 yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), len(features)), "feature": names, "phi": [x.tolist() for x in phi.reshape(-1, phi.shape[2])]})
 
         out = df.select(key, *[c for c in self.features_ if c != key]).mapInPandas(run, T.StructType([df.schema[key], T.StructField("feature", T.StringType()), T.StructField("phi", T.ArrayType(T.DoubleType()))]))
-        base = np.mean([np.average(values(t), axis=0, weights=np.diff(t.starts)) for t in shared.value], axis=0)
+        base = np.mean([np.average(values(t), axis=0, weights=t.cover[t.feature < 0]) for t in shared.value], axis=0)
         return out, df.sparkSession.createDataFrame([([float(b) for b in base],)], "base array<double>")

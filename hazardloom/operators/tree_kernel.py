@@ -13,7 +13,7 @@ import numpy as np
 
 @dataclass
 class Tree:
-    """Nodes in level order (children of i at left[i], left[i] + 1) and the in-bag rows sorted by leaf."""
+    """Nodes in level order (children of i at left[i], left[i] + 1) and the in-bag rows sorted by leaf (or cells of them, with counts in ``n``)."""
 
     feature: np.ndarray  # -1 in leaves
     split: np.ndarray  # rows with bin <= split go left
@@ -24,6 +24,7 @@ class Tree:
     starts: np.ndarray  # of each leaf in the row arrays (and the end)
     t: np.ndarray
     event: np.ndarray
+    n: np.ndarray | None = None
 
     def leaves_of(self, bins: np.ndarray) -> np.ndarray:
         """Leaf number of each row, all rows a level at a time."""
@@ -42,7 +43,7 @@ class Tree:
         row = np.repeat(self.starts[leaves] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         which = np.repeat(np.arange(len(leaves)), sizes)
         flat = (which * (causes + 1) + self.event[row]) * n_times + self.t[row]
-        n = np.bincount(flat, minlength=len(leaves) * (causes + 1) * n_times).reshape(len(leaves), causes + 1, n_times)
+        n = np.bincount(flat, None if self.n is None else self.n[row], minlength=len(leaves) * (causes + 1) * n_times).reshape(len(leaves), causes + 1, n_times)
         return n[:, 1:].astype(float), n.sum(axis=1)[:, ::-1].cumsum(axis=1)[:, ::-1].astype(float)
 
     def curves(self, leaves: np.ndarray, n_times: int, causes: int, hazard: bool = False) -> np.ndarray:

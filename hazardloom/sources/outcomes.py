@@ -81,3 +81,22 @@ def stratified_split(df: DataFrame, key: str, event: str = "event", seed: int =
     size = F.count("*").over(Window.partitionBy(event))
     take = F.greatest(F.lit(1), F.round(size * test_frac).cast("long"))
     return df.withColumn("is_test", (F.row_number().over(order) <= take) & (size >= 2))
+
+
+class Surv:
+    """Structured outcomes, from columns of a frame or from local sequences."""
+
+    @staticmethod
+    def from_columns(event: str | Column, time: str | Column, *, name_event: str = "event", name_time: str = "time") -> Column:
+        return surv(event, time, name_event, name_time)
+
+    @staticmethod
+    def from_arrays(spark: SparkSession, event, time, *, name_event: str = "event", name_time: str = "time") -> DataFrame:
+        """One column y of equally long, one-dimensional event codes (whole or boolean) and times."""
+        event, time = list(event), list(time)
+        if len(event) != len(time):
+            raise ValueError("event and time differ in length")
+        if any(isinstance(e, float) and e != int(e) for e in event):
+            raise ValueError("event must hold whole codes or booleans")
+        rows = spark.createDataFrame([(int(e), float(t)) for e, t in zip(event, time)], "e int, t double")
+        return rows.select(surv("e", "t", name_event, name_time).alias("y"))

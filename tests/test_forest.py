@@ -90,6 +90,26 @@ def test_single_tree_equals_the_relational_tree(spark, rows):
     assert got == sorted((d, n, f, b) for d, n, f, b, _ in found)
 
 
+def test_distributed_trees_equal_task_trees(rows):
+    kw = dict(n_estimators=2, max_depth=4, bootstrap=False, nsplit=0, max_features=None, random_state=1)
+    near = CompetingRiskForest(**kw).fit(rows, FEATURES)
+    far = CompetingRiskForest(mode="distributed", **kw).fit(rows, FEATURES)
+    node = lambda m: sorted(tuple(r) for r in m.tree_table().where("tree_id = 0").select("depth", "feature", "split_bin", "cover").collect())
+    a, b = node(near), node(far)
+    assert [x[3] for x in a] == [x[3] for x in b] and len(a) == len(b)
+    p, q = ([r["risk"] for r in m.predict_risk(rows.limit(60)).collect()] for m in (near, far))
+    assert p == pytest.approx(q)
+
+
+def test_distributed_forest_finds_the_signal(rows):
+    m = CompetingRiskForest(n_estimators=6, max_depth=5, mode="distributed", random_state=2).fit(rows, FEATURES)
+    assert m.score(rows) > 0.6 and m.trees_.count() == 6
+    again = CompetingRiskForest(n_estimators=6, max_depth=5, mode="distributed", random_state=2).fit(rows, FEATURES)
+    assert again.score(rows) == m.score(rows)
+    with pytest.raises(ValueError):
+        m.oob_score()
+
+
 def test_split_numerator_by_hand(spark):
     df = spark.createDataFrame([(1.0, 2, 0.0), (2.0, 1, 0.0), (3.0, 1, 1.0), (4.0, 1, 1.0)], "time double, event int, x double")
     binned = splits.binned_rows(df, ["x"], [[0.5]], [1.0, 2.0, 3.0, 4.0]).withColumn("node", F.lit(1))
