@@ -23,6 +23,7 @@ from . import minimal_depth as depth_frames
 from .concordance import compute_uno_weights, concordance_index_cr, concordance_pairs, uno_terms
 from .forest_distributed import grow_forest
 from .grids import bin_column, coarsen_time_grid, event_time_grid, feature_bin_edges, time_index
+from .regression import _outcome
 from .tree_kernel import Tree, grow_tree, leaf_paths, path_weights
 
 BROADCAST_BYTES = 2 << 30
@@ -79,8 +80,9 @@ class CompetingRiskForest:
 
     # ---- training ---------------------------------------------------------------------------------------
 
-    def fit(self, df: DataFrame, features: Sequence[str], time: str = "time", event: str = "event") -> CompetingRiskForest:
+    def fit(self, df: DataFrame, features: Sequence[str], time: str = "time", event: str = "event", y: str | None = None) -> CompetingRiskForest:
         self._check()
+        df, time, event = _outcome(df, time, event, y)
         spark = df.sparkSession
         self.features_, self.time_, self.event_ = list(features), time, event
         self.n_causes_ = check_inputs(df, self.features_, time, event)
