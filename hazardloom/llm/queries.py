@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op8_vector_topk": vector_topk.OP8_SQL,
 }

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,7 +76,7 @@ def _count_windows(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["batch", "places"])
 
 
-def _cut_out(width: int, names: list[str]):
+def _cut_out(width: int, untouched: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.combine_chunks().sort_by("rid") if left.num_rows else left
         texts = left.column("text").combine_chunks() if left.num_rows else pa.array([], pa.string())
@@ -109,19 +110,19 @@ def _cut_out(width: int, names: list[str]):
         edges = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(np.bincount(row, weights=span, minlength=len(texts)).astype(np.int64), out=edges[1:])
         kept = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(edges), pa.py_buffer(out)).cast(pa.string())
-        columns = {c: left.column(c) for c in names} | {
-            "n_words": pa.array(np.diff(bounds), pa.int64()),
-            "n_removed": pa.array(total[bounds[1:]] - total[bounds[:-1]], pa.int64()),
-            "kept_text": kept,
-        }
-        return pa.table(columns)
+        removed = total[bounds[1:]] - total[bounds[:-1]]
+        if untouched:
+            kept = pc.if_else(pa.array(removed == 0), texts, kept)
+        return pa.table({"carried": left.column("carried"), "n_words": pa.array(np.diff(bounds), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": kept})
 
     return run
 
 
-def substring_dedup(docs: DataFrame, width: int = 35, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 35, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), keep_untouched: bool = False) -> DataFrame:
     """For each row: the ``carry`` columns, n_words, n_removed and kept_text (kept words joined by one blank).
 
+    With ``keep_untouched`` a text that loses nothing stays as it is (a null one null), white space included.
+
     Words are runs of ``[^\\x20\\x09-\\x0D]``. A word goes when a window of ``width`` words covers it whose words
     also start anywhere else in the table, the same text included; windows are judged on the input. Texts of fewer
     than ``width`` words keep all; a null text has no words and an empty kept_text; repeated rows are copies of each
@@ -138,7 +139,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, text_col: str = "text", ca
     schema = T.StructType(
         [T.StructField("carried", base.schema["carried"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     )
-    cut_out = base.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_cut_out(width, ["carried"]), schema)
+    cut_out = base.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_cut_out(width, keep_untouched), schema)
     return cut_out.select("carried.*", "n_words", "n_removed", "kept_text")
 
 
@@ -151,3 +152,28 @@ def _answer(table: pa.Table) -> pa.Table:
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     found = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w
+  FROM documents
+), win AS (
+  SELECT rid, i, array_to_string(w[i : i + 34], ' ') AS k
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d)
+), again AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1
+), words AS (
+  SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d
+), marked AS (
+  SELECT words.rid, j, word,
+         coalesce(last_value(i IGNORE NULLS) OVER (PARTITION BY words.rid ORDER BY j ROWS UNBOUNDED PRECEDING) >= j - 34, false) AS gone
+  FROM words LEFT JOIN again ON again.rid = words.rid AND again.i = words.j
+), kept AS (
+  SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS t
+  FROM marked GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
