@@ -39,12 +39,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; one that has no word left goes. Untouched texts stay as they are."""
-    found = substring_dedup(docs, carry=tuple(docs.columns)).where("n_words = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    changed = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select("text", F.struct(*rest).alias("rest"))  # one column, so names cannot clash
+    found = substring_dedup(rows, carry=("rest",), keep_untouched=True).where("n_words = 0 or n_removed < n_words")
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in rest:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))
+    return found.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
