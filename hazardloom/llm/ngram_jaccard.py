@@ -30,6 +30,8 @@ ROWS = 1 << BATCH_BITS
 GROUP_MEMBERS, GROUP_TOKENS = 128, 1 << 16
 #: a token in more sets than this goes last in the token order, if it is among the commonest ``COMMON_MOST``
 COMMON_OVER, COMMON_MOST = 32, 1 << 18
+#: a class with more than this part of the rows is joined by broadcast
+HOT_CLASSES = 1000
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -319,7 +321,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     facts = cut(set_classes(base.select("rid", "text"), width))
     ids = base.select("rid", "doc_id")
     rows = cut(facts.join(ids, "rid"))
-    classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("rid").alias("rep"), F.max("alone").alias("alone"), F.min("doc_id").alias("class_id"))
+    classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("rid").alias("rep"), F.max("alone").alias("alone"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     alive = cut(classes.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
     sets = cut(base.select("rid", "text").join(alive.select(F.col("rep").alias("rid")), "rid", "left_semi").mapInArrow(_token_sets(width), "rep long, n long, h1 long, h2 long, tokens array<long>"))
     roots = components(class_links(sets, percent))
@@ -328,16 +330,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     best = joined.groupBy("root").agg(F.min("class_id").alias("component_id"))
     linked = cut(joined.join(best, "root").select("n", "d1", "d2", "component_id", "root"))
     named = classes.join(linked, ["n", "d1", "d2"], "left").select(
-        "n", "d1", "d2", F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "rep").alias("component_row")
-    )
-    lone = F.col("n") == 0
-    return rows.join(named, ["n", "d1", "d2"], "left").select(
-        "rid",
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(lone, F.col("rid")).otherwise(F.col("component_row")).alias("component_row"),
+        "n", "d1", "d2", "copies", F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "rep").alias("component_row")
     )
+    # a class of over a thousandth of the rows would fill a task of the join: there are under a thousand such, so they are broadcast
+    least = rows.count() / HOT_CLASSES
+    named = cut(named)
+    hot, keys = F.broadcast(named.where(F.col("copies") > least).drop("copies")), ["n", "d1", "d2"]
+    some = rows.where("n > 0")
+    rare = some.join(hot.select(*keys), keys, "left_anti").join(named.where(F.col("copies") <= least).drop("copies"), keys)
+    lone = rows.where("n = 0").withColumns({"component_id": F.col("doc_id"), "component_row": F.col("rid")})
+    placed = some.join(hot, keys).unionByName(rare).unionByName(lone, allowMissingColumns=False)
+    return placed.select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "component_row")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
