@@ -144,7 +144,9 @@ def grow_tree(bins: np.ndarray, t_split: np.ndarray, t_full: np.ndarray, event:
                 below = np.cumsum(place, axis=2) - place
                 slot = below[local[:, None], np.arange(mtry), x]
             else:
-                slot = (x[:, :, None] > cuts[local]).sum(axis=2)
+                narrow, slot = x.astype(np.int16), np.zeros(x.shape, np.int32)
+                for cut in cuts.astype(np.int16).transpose(2, 0, 1):
+                    slot += narrow > cut[local]
             e, t = event[who], t_split[who]
             flat = (((local[:, None] * mtry + np.arange(mtry)) * (k + 1) + slot) * (causes + 1) + e[:, None]) * n_times + t[:, None]
             n = np.bincount(flat.ravel(), minlength=(z - a) * mtry * (k + 1) * (causes + 1) * n_times).reshape((z - a) * mtry, k + 1, causes + 1, n_times).astype(float)
