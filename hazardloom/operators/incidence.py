@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hazard
-from .scans import before, onward, prior_product, prior_sum, step_lookup, upto
+from .scans import before, onward, prior_product, step_lookup, upto
 
 
 def time_counts(df: DataFrame, by: Sequence[str] = (), causes: int = 2, time: str = "time", event: str = "event") -> DataFrame:

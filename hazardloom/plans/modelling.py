@@ -9,7 +9,6 @@ from ..functions import scalars
 from ..operators import grids, incidence, minimal_depth, risk, splits
 from ..operators.forest import CompetingRiskForest
 from ..operators.regression import CauseSpecificCox, FineGrayRegression, PenalizedFineGrayRegression
-from ..operators.scans import upto
 from ..sources import outcomes, tables
 from . import sql
 
