@@ -11,10 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: characters deleted by normalisation and separating words: [\x20\x09-\x0D]
-SPACE_CLASS = r"[\x20\x09-\x0D]"
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

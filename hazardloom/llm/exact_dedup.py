@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut, numbered, range_index, sampled_splitters, shuffle_width
+from .common import cut, numbered, range_index, sampled_splitters, shuffle_width
 
 KEY = ("head", "sha", "d")
 KEY_TYPES = ("string", "string", "bigint")

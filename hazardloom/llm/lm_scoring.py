@@ -8,7 +8,6 @@ counts of just its own words and word pairs, so no task holds a whole model.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
