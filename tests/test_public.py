@@ -28,3 +28,22 @@ def test_score_frames(spark):
     assert {"predicted_decile", "observed_freq", "lower_ci", "upper_ci", "bin_n"} <= set(result.calibration.columns)
     with pytest.raises(ValueError):
         hazardloom.score_cr(pred, [4.5, 2.5])
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json", "orc"])
+def test_sources_round_trip(spark, tmp_path, fmt):
+    from hazardloom.sources.tables import read_survival, write_rows
+
+    df = spark.createDataFrame([(1.5, 1, "a"), (2.0, 0, "b")], "days double, status int, grp string")
+    write_rows(df, str(tmp_path / fmt), fmt)
+    back = read_survival(spark, str(tmp_path / fmt), fmt, "days", "status")
+    assert sorted((r["time"], r["event"], r["grp"]) for r in back.collect()) == [(1.5, 1, "a"), (2.0, 0, "b")]
+    assert dict(back.dtypes)["time"] == "double" and dict(back.dtypes)["event"] == "int"
+
+
+def test_views_have_their_columns(spark, sf_dir):
+    from hazardloom.sources import tables
+
+    assert set(tables.shipments_by_segment(spark, sf_dir).columns) == {"time", "event", "grp"}
+    out = tables.signup_outcome(spark, sf_dir)
+    assert out.where("time < 0 or event not in (0, 1, 2)").count() == 0 and out.count() > 0
