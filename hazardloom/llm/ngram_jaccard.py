@@ -144,7 +144,7 @@ def set_classes(docs: DataFrame, width: int) -> DataFrame:
     Of the rows of a class in one batch only the first is charged with the class's own tokens: take the largest.
     """
     small_batches(docs.sparkSession)
-    buckets = bucket_count(docs, "text")
+    buckets = -(-3 * bucket_count(docs, "text") // 2)  # an entry here also holds its class's digest
     sent = docs.mapInArrow(_send_tokens(width, buckets), SENT)
     known = sent.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod("batch", F.lit(buckets))).otherwise(F.col("bucket")))
     answers = known.groupBy("bucket").applyInArrow(_count_alone, "batch long, alone binary, rid binary, n binary, d1 binary, d2 binary")
