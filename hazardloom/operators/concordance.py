@@ -47,7 +47,7 @@ def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 def concordance_pairs(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", blocks: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """(by.., comparable, concordant, tied): pairs of a case of ``cause`` and any row of a later time of its group."""
     df, by = _grouped(df, by)
-    counts = df.groupBy(*by, F.col(time).alias("time"), F.col(risk).alias("risk")).agg(F.sum(F.when(F.col(event) == cause, 1.0).otherwise(0.0)).alias("a"), F.count("*").cast("double").alias("b"))
+    counts = df.groupBy(*by, F.col(time).alias("time"), F.col(risk).alias("risk")).agg(F.sum(F.when(F.col(event) == cause, 1.0).otherwise(0.0)).alias("a"), F.count("*").cast("double").alias("b")).persist()  # read by three branches
     ranked, bits = _ranked(counts, "time")
     pairs = dominance(ranked, "__rank", "risk", "a", "b", bits, blocks, by)
     later = F.sum("b").over(Window.partitionBy(*by).orderBy("time").rowsBetween(1, Window.unboundedFollowing))
@@ -112,7 +112,7 @@ def uno_terms(df: DataFrame, cause: int = 1, event: str = "event", time: str = "
         F.when(e == cause, w).otherwise(0.0).alias("wa"), F.when(e == cause, F.sqrt(w)).otherwise(0.0).alias("ra"),
         F.when((e > 0) & (e != cause), F.sqrt(w)).otherwise(0.0).alias("rc"), F.when(e == 0, 1.0).otherwise(0.0).alias("cens"), F.when(e == cause, 1.0).otherwise(0.0).alias("case"),
     )
-    counts = rows.groupBy(*by, "time", "risk").agg(*[F.sum(c).alias(c) for c in ("wa", "ra", "rc", "cens", "case")], F.count("*").cast("double").alias("one"))
+    counts = rows.groupBy(*by, "time", "risk").agg(*[F.sum(c).alias(c) for c in ("wa", "ra", "rc", "cens", "case")], F.count("*").cast("double").alias("one")).persist()  # read by five branches
     ranked, bits = _ranked(counts, "time")
     ranked = ranked.withColumn("__down", F.lit(1 << bits) - F.col("__rank"))
     a = dominance(ranked, "__rank", "risk", "wa", "one", bits, blocks, by)

@@ -22,7 +22,7 @@ from ..sources.outcomes import check_inputs
 from . import minimal_depth as depth_frames
 from .concordance import compute_uno_weights, concordance_index_cr, concordance_pairs, uno_terms
 from .forest_distributed import grow_forest
-from .grids import bin_column, coarsen_time_grid, event_time_grid, feature_bin_edges, time_index
+from .grids import coarsen_time_grid, event_time_grid, feature_bin_edges
 from .regression import _outcome
 from .tree_kernel import Tree, grow_tree, leaf_paths, path_weights
 
@@ -92,7 +92,7 @@ class CompetingRiskForest:
         self.time_grid_ = event_time_grid(df, None if self.equivalence == "rfsrc" else self.time_grid, time, event)
         ntime = len(self.time_grid_) if exact or self.equivalence == "rfsrc" or self.split_ntime is None else self.split_ntime
         coarse = coarsen_time_grid(self.time_grid_, ntime)
-        rows = df.select(*[bin_column(c, e).cast("short").alias(f"b{i}") for i, (c, e) in enumerate(zip(self.features_, self.bin_edges_))], time_index(F.col(time).cast("double"), self.time_grid_).cast("int").alias("t"), F.col(event).cast("int").alias("event"))
+        rows = self._binned(df, time, event)
         n, p = df.count(), len(self.features_)
         self.n_rows_, self.n_features_in_ = n, p
         nsplit = self.nsplit if self.nsplit is not None else (0 if exact else 10)
@@ -128,6 +128,21 @@ class CompetingRiskForest:
         self.trees_.count()
         return self
 
+    def _binned(self, df: DataFrame, time: str, event: str) -> DataFrame:
+        """b0 .. b{p-1}, t (grid index) and event, binned by array searches an Arrow batch at a time."""
+        edges, grid, p = self.bin_edges_, self.time_grid_, len(self.features_)
+        names = [*[f"x{i}" for i in range(p)], "time", "event"]
+
+        def run(frames):
+            for frame in frames:
+                out = {f"b{i}": np.searchsorted(e, frame[f"x{i}"].to_numpy(), side="right").astype(np.int16) for i, e in enumerate(edges)}
+                out["t"] = np.maximum(np.searchsorted(grid, frame["time"].to_numpy(), side="right") - 1, 0).astype(np.int32)
+                out["event"] = frame["event"].to_numpy().astype(np.int32)
+                yield pd.DataFrame(out)
+
+        plain = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip([*self.features_, time, event], names)])
+        return plain.mapInPandas(run, ", ".join([*[f"b{i} short" for i in range(p)], "t int", "event int"]))
+
     def _forest(self) -> list[Tree]:
         if self.trees_ is None:
             raise RuntimeError("the forest is not fitted")
