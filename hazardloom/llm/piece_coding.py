@@ -10,10 +10,12 @@ every chunk is then backtraced on its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +44,8 @@ class PieceModel:
         self.ids = {p.id_to_piece(i): i for i in plain}
         self.scores = {s: float(p.get_score(i)) for s, i in self.ids.items()}
         self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
+        #: what the normaliser puts before a text, and decoding takes off again
+        self.prefix = SPACE if p.normalize("a") == SPACE + "a" else ""
         self.bytes = [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown_id, self.has_bytes = p.unk_id(), p.is_byte(self.bytes[0])
         self.starts = {s[:n] for s in self.ids for n in range(1, len(s) + 1)}
@@ -231,6 +235,12 @@ class PieceModel:
         return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(ends[at].astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
 
 
+    def restored(self, decoded: pa.Array, first: pa.Array) -> pa.Array:
+        """``decoded`` as the library's decoder gives it: blanks for their marks, without the prefix in a text's ``first`` chunk."""
+        bare = pc.and_(first, pc.starts_with(decoded, self.prefix))
+        return pc.replace_substring(pc.if_else(bare, pc.utf8_slice_codeunits(decoded, len(self.prefix)), decoded), SPACE, " ")
+
+
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
@@ -258,8 +268,16 @@ def _model(path: str) -> PieceModel:
     return _MODELS.get(path) or _MODELS.setdefault(path, PieceModel(path))
 
 
-CHUNKS = "rid long, doc_id long, chunk int, chunks int, size int, text string, ids binary, score double"
-CODED = "rid long, doc_id long, chunk int, chunks int, ids binary, score double, text string"
+CHUNKS = "rid long, doc_id long, chunk int, chunks int, size int, text string, source binary, ids binary, score double"
+CODED = "rid long, doc_id long, chunk int, chunks int, ids binary, score double, text string, source binary"
+
+
+def _digest(*texts: str) -> bytes:
+    """Digest of the texts joined."""
+    made = hashlib.sha256()
+    for t in texts:
+        made.update(t.encode())
+    return made.digest()
 
 
 def _split(path: str, chunk: int):
@@ -268,17 +286,18 @@ def _split(path: str, chunk: int):
         for batch in batches:
             for a, z in text_slices(batch.column(2), 2 << 20):
                 part = batch.slice(a, z - a)
-                texts = [model.normal(t or "") for t in part.column(2).to_pylist()]
+                sources = [t or "" for t in part.column(2).to_pylist()]
+                texts = [model.normal(t) for t in sources]
                 ids, at, scores = model.encode_batch([t if len(t) <= chunk else "" for t in texts])
                 raw = ids.astype("<u4", copy=False).tobytes()
-                rows: list[list] = [[] for _ in range(8)]
+                rows: list[list] = [[] for _ in range(9)]
                 for i, (rid, doc, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts)):
-                    n = max(1, -(-len(text) // chunk))
+                    n, source = max(1, -(-len(text) // chunk)), _digest(sources[i])
                     for c in range(n):
                         whole = (raw[4 * at[i] : 4 * at[i + 1]], float(scores[i])) if n == 1 else (None, None)
-                        for column, value in zip(rows, (rid, doc, c, n, min(chunk, len(text) - c * chunk), text[c * chunk : (c + 1) * chunk + model.reach], *whole)):
+                        for column, value in zip(rows, (rid, doc, c, n, min(chunk, len(text) - c * chunk), text[c * chunk : (c + 1) * chunk + model.reach], source, *whole)):
                             column.append(value)
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.float64())
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=[f.split()[0] for f in CHUNKS.split(", ")])
 
     return run
@@ -314,45 +333,76 @@ def _backtrace(path: str):
                 scores.append(score)
                 texts.append(text[entry : size + leave])
             columns = [batch.column(c) for c in ("rid", "doc_id", "chunk", "chunks")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array(scores, pa.float64()), pa.array(texts, pa.string())], names=[f.split()[0] for f in CODED.split(", ")])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array(scores, pa.float64()), pa.array(texts, pa.string()), batch.column("source")], names=[f.split()[0] for f in CODED.split(", ")])
 
     return run
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Ids of all rows by chunk: rid, doc_id, chunk, chunks, ids (little-endian unsigned 32-bit), score, text.
-
-    ``text`` is the normalised text that the chunk's ids cover; of equally good paths any one is taken; ids and texts of a row's chunks join in order. A null
-    or empty text is one chunk without ids and score 0; a null id stays null; repeated rows are coded apart; an empty
-    table gives no rows; columns other than id and text are not read. Only texts of over ``chunk`` characters are
-    shuffled, a chunk at a time; a row's matrices (2 kB a chunk) meet in one task.
-    """
+def _coded(docs: DataFrame, model: str, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(texts of one chunk, chunks of longer ones), coded."""
     small_batches(docs.sparkSession)
     base = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).select("rid", "doc_id", "text")
     parts = base.mapInArrow(_split(model, chunk), CHUNKS)
-    whole = parts.where("chunks = 1").select("rid", "doc_id", "chunk", "chunks", "ids", "score", "text")
+    whole = parts.where("chunks = 1").select("rid", "doc_id", "chunk", "chunks", "ids", "score", "text", "source")
     giant = cut(base.where(F.char_length("text") >= chunk - 64).mapInArrow(_split(model, chunk), CHUNKS).where("chunks > 1").drop("ids", "score").repartition(shuffle_width(docs.sparkSession), "rid", "chunk"))
     states = giant.select("rid", "chunk", "size", "text").mapInArrow(_transfers(model), "rid long, chunk int, matrix binary").groupBy("rid").applyInArrow(_states, "rid long, chunk int, entry int, exit int")
     traced = giant.join(states, ["rid", "chunk"]).mapInArrow(_backtrace(model), CODED)
+    return whole, traced
+
+
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """Ids of all rows by chunk: rid, doc_id, chunk, chunks, ids (little-endian unsigned 32-bit), score, text, source.
+
+    ``text`` is the normalised text that the chunk's ids cover, ``source`` the SHA-256 of the row's whole text before normalising; of equally good
+    paths any one is taken; ids and texts of a row's chunks join in order. A null
+    or empty text is one chunk without ids and score 0; a null id stays null; repeated rows are coded apart; an empty
+    table gives no rows; columns other than id and text are not read. Only texts of over ``chunk`` characters are
+    shuffled, a chunk at a time; a row's matrices (2 kB a chunk) meet in one task.
+    """
+    whole, traced = _coded(docs, model, id_col, text_col, chunk)
     return whole.union(traced)
 
 
 def decode_documents(coded: DataFrame, model: str) -> DataFrame:
-    """``coded`` with decoded: the text that each chunk's ids stand for."""
-    schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())])
+    """``coded`` with decoded, the normalised text that each chunk's ids stand for, and restored, the same with the normaliser's marks undone.
+
+    The restored chunks of a row join to what the library decodes its ids to.
+    """
+    schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType()), T.StructField("restored", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _model(model)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("ids"))
-            sizes = np.array([len(x) // 4 if x is not None else 0 for x in column.to_pylist()])
-            ids = np.frombuffer(b"".join(x for x in column.to_pylist() if x), "<u4").astype(np.int64)
-            made = held.texts_of(ids, np.concatenate([[0], np.cumsum(sizes)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "decoded"])
+            for a, z in text_slices(batch.column("ids"), 1 << 20):
+                part = batch.slice(a, z - a)
+                raw = part.column("ids").to_pylist()
+                ids = np.frombuffer(b"".join(x for x in raw if x), "<u4").astype(np.int64)
+                made = held.texts_of(ids, np.concatenate([[0], np.cumsum([len(x) // 4 if x is not None else 0 for x in raw])]))
+                plain = held.restored(made, pc.equal(part.column("chunk"), 0))
+                yield pa.RecordBatch.from_arrays([*part.columns, made, plain], names=[*batch.schema.names, "decoded", "restored"])
 
     return coded.mapInArrow(run, schema)
 
 
+def _joined(table: pa.Table) -> pa.Table:
+    """Chunks of one row with round_trip: all are there, and joined they have the source's digest."""
+    table = table.combine_chunks().sort_by("chunk")
+    good = table.column("chunk").to_pylist() == list(range(table.column("chunks")[0].as_py())) and _digest(*table.column("restored").to_pylist()) == table.column("source")[0].as_py()
+    return table.drop_columns(["restored", "source"]).append_column("round_trip", pa.array([good] * len(table), pa.bool_()))
+
+
+def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """A row for each chunk: doc_id, chunk, chunks, n_ids, ids_crc32, score, round_trip.
+
+    ``round_trip`` holds for all chunks of a row or for none: whether the row's ids decode to its text as it was before normalising (a null counts
+    as empty). The decoded chunks of a text of over ``chunk`` characters meet in one task, as its characters did in the input.
+    """
+    facts = ["doc_id", "chunk", "chunks", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "score"]
+    whole, giant = (decode_documents(x.drop("text"), model) for x in _coded(docs, model, id_col, text_col, chunk))
+    giant = giant.select("rid", *facts, "restored", "source").groupBy("rid").applyInArrow(_joined, "rid long, doc_id long, chunk int, chunks int, n_ids long, ids_crc32 long, score double, round_trip boolean")
+    return whole.select(*facts, (F.unhex(F.sha2("restored", 256)) == F.col("source")).alias("round_trip")).union(giant.drop("rid"))
+
+
 def model_path() -> str:
     import public_tokenizers
 
@@ -361,7 +411,4 @@ def model_path() -> str:
 
 def op10_piece_coding(spark, sf_dir: str) -> DataFrame:
     """Every text coded and decoded again, a row for each chunk."""
-    coded = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), model_path())
-    return decode_documents(coded, model_path()).select(
-        "doc_id", "chunk", "chunks", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "score", (F.col("decoded") == F.col("text")).alias("round_trip")
-    )
+    return round_trips(spark.read.parquet(f"{sf_dir}/documents.parquet"), model_path())
