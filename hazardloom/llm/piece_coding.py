@@ -1,7 +1,10 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
+"""SentencePiece encoding and decoding, by merges or by a max-plus parallel scan.
 
-A text's best segmentation maximises the sum of piece scores over its lattice (the unigram model's
-rule; a model file of another type lends its pieces and scores). Giant texts are split into chunks. A
+A BPE model's ids come from merges (:class:`MergeModel`). No merge crosses a place that no piece spans, so texts are
+cut there and each distinct unit between is merged once by the library; giant texts are cut into chunks at such places.
+
+A unigram model's best segmentation maximises the sum of piece scores over its lattice (on request, a model file of another
+type lends its pieces and scores). Giant texts are split into chunks. A
 chunk's transfer matrix holds, for each number of characters that a piece from the left reaches into
 it and each number that its own last piece reaches beyond it, the best score between. Matrices combine
 by max-plus products, which are associative; the products give each chunk its boundary states, and
@@ -11,7 +14,7 @@ every chunk is then backtraced on its own.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
 #: units that a task remembers
 MEMO = 700_000
+#: model types of a model file
+UNIGRAM, BPE = 1, 2
 
 
 class PieceModel:
@@ -50,14 +55,18 @@ class PieceModel:
         self.unknown_id, self.has_bytes = p.unk_id(), p.is_byte(self.bytes[0])
         self.starts = {s[:n] for s in self.ids for n in range(1, len(s) + 1)}
         self.reach = max(map(len, self.ids))
-        self.inside = {s[i : i + 2] for s in self.ids for i in range(len(s) - 1)}
+        self._cuts(self.ids)
+        self._clear()
+
+    def _cuts(self, pieces: Iterable[str]) -> None:
+        """The neighbours that a piece holds, by characters and by bytes."""
+        self.inside = {s[i : i + 2] for s in pieces for i in range(len(s) - 1)}
         #: no piece holds a blank behind another character: a word always begins at its blanks
         self.blanks_lead = not any(s[1] == SPACE != s[0] for s in self.inside)
         self.byte_pairs = np.zeros(1 << 16, bool)
-        for s in self.ids:
+        for s in pieces:
             raw = np.frombuffer(s.encode(), np.uint8).astype(np.int64)
             self.byte_pairs[(raw[:-1] << 8) | raw[1:]] = True
-        self._clear()
 
     def _clear(self) -> None:
         self.memo: dict[str, int] = {}
@@ -121,12 +130,16 @@ class PieceModel:
         out.append(text[start:])
         return out
 
+    def code(self, units: list[str]) -> list[tuple[list[int], float]]:
+        """(ids, score) of units."""
+        return [self.trace(u, 0, len(u)) for u in units]
+
     def learn(self, units: list[str]) -> None:
         """Code units that are not yet remembered."""
         new = [u for u in dict.fromkeys(units) if u not in self.memo]
         if not new:
             return
-        made = [self.trace(u, 0, len(u)) for u in new]
+        made = self.code(new)
         count = np.array([len(ids) for ids, _ in made], np.int64)
         n, used = len(self.memo), self.used + int(count.sum())
         self.flat = _room(self.flat, used)
@@ -217,6 +230,10 @@ class PieceModel:
         middle = [i for k in at for i in self.flat[self.first[k] : self.first[k] + self.count[k]].tolist()]
         return head + middle + tail, a + float(sum(self.worth[k] for k in at)) + b
 
+    def chunks(self, text: str, chunk: int) -> list[tuple[int, str]]:
+        """(size, text) of each chunk; the text looks ahead as far as a piece can reach."""
+        return [(min(chunk, len(text) - c), text[c : c + chunk + self.reach]) for c in range(0, max(1, len(text)), chunk)]
+
     def _piece_bytes(self) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all pieces in id order, their offsets); control pieces have none."""
         if not hasattr(self, "_table"):
@@ -241,6 +258,79 @@ class PieceModel:
         return pc.replace_substring(pc.if_else(bare, pc.utf8_slice_codeunits(decoded, len(self.prefix)), decoded), SPACE, " ")
 
 
+class MergeModel(PieceModel):
+    """A model whose own encoder is not the lattice's: its ids are the library's, unit by unit.
+
+    Without byte pieces the library joins neighbouring unknown characters into one id, and types other than BPE do not merge: there a text is one unit.
+    """
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        super().__init__(path)
+        with open(path, "rb") as f:
+            raw = f.read()
+        #: normalizer_spec without character map, prefix, trimming and escapes: units are normalised already
+        self.merger = SentencePieceProcessor(model_proto=raw + b"\x1a\x08\x12\x00\x18\x00\x20\x00\x28\x00")
+        p = self.processor
+        self.whole = _kind(raw) != BPE or not self.has_bytes
+        self._cuts([*self.ids, *(p.id_to_piece(i) for i in range(p.get_piece_size()) if p.is_unused(i))])  # unused pieces take part in merges
+        if self.whole:
+            self.byte_pairs[:], self.blanks_lead = True, False
+        self.worths = np.array([p.get_score(i) for i in range(p.get_piece_size())])
+        if self.has_bytes:
+            self.worths[self.bytes] = [0.0 if b & 0xC0 == 0x80 else self.unknown for b in range(256)]
+        self.worths[self.unknown_id] = self.unknown
+
+    def code(self, units: list[str]) -> list[tuple[list[int], float]]:
+        return [(ids, float(self.worths[ids].sum()) if ids else 0.0) for ids in self.merger.encode(units, num_threads=1)]
+
+    def chunks(self, text: str, chunk: int) -> list[tuple[int, str]]:
+        """Chunks begin at the first cut from each multiple of ``chunk`` on; one that a unit covers is empty."""
+        at = [0]
+        for c in range(chunk, len(text), chunk):
+            i = max(c, at[-1])
+            while i < len(text) and (self.whole or (text[i - 1 : i + 1] in self.inside and not (text[i] == SPACE != text[i - 1] and self.blanks_lead))):
+                i += 1
+            at.append(i)
+        return [(z - a, text[a:z]) for a, z in zip(at, [*at[1:], len(text)])]
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        x = shift = 0
+        while True:
+            at += 1
+            x |= (raw[at - 1] & 127) << shift
+            if raw[at - 1] < 128:
+                return x
+            shift += 7
+
+    while at < len(raw):
+        field, kind = divmod(number(), 8)
+        if kind == 0:
+            yield field, number()
+        else:
+            n = {1: 8, 5: 4}.get(kind) or number()
+            at += n
+            yield field, raw[at - n : at]
+
+
+def _kind(raw: bytes) -> int:
+    """The model type of a model file (trainer_spec.model_type)."""
+    return next((v for f, spec in _fields(raw) if f == 2 for g, v in _fields(spec) if g == 3), UNIGRAM)
+
+
+def merges(path: str) -> bool:
+    """Whether the model's own encoder is another than the lattice's."""
+    with open(path, "rb") as f:
+        return _kind(f.read()) != UNIGRAM
+
+
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
@@ -261,11 +351,11 @@ def boundary_states(matrices: list[np.ndarray]) -> list[int]:
     return [0, *reversed(states)]
 
 
-_MODELS: dict[str, PieceModel] = {}
+_MODELS: dict[tuple[str, bool], PieceModel] = {}
 
 
-def _model(path: str) -> PieceModel:
-    return _MODELS.get(path) or _MODELS.setdefault(path, PieceModel(path))
+def _model(path: str, own: bool = False) -> PieceModel:
+    return _MODELS.get((path, own)) or _MODELS.setdefault((path, own), (MergeModel if own else PieceModel)(path))
 
 
 CHUNKS = "rid long, doc_id long, chunk int, chunks int, size int, text string, source binary, ids binary, score double"
@@ -280,9 +370,9 @@ def _digest(*texts: str) -> bytes:
     return made.digest()
 
 
-def _split(path: str, chunk: int):
+def _split(path: str, chunk: int, own: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path)
+        model = _model(path, own)
         for batch in batches:
             for a, z in text_slices(batch.column(2), 2 << 20):
                 part = batch.slice(a, z - a)
@@ -292,10 +382,10 @@ def _split(path: str, chunk: int):
                 raw = ids.astype("<u4", copy=False).tobytes()
                 rows: list[list] = [[] for _ in range(9)]
                 for i, (rid, doc, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts)):
-                    n, source = max(1, -(-len(text) // chunk)), _digest(sources[i])
-                    for c in range(n):
-                        whole = (raw[4 * at[i] : 4 * at[i + 1]], float(scores[i])) if n == 1 else (None, None)
-                        for column, value in zip(rows, (rid, doc, c, n, min(chunk, len(text) - c * chunk), text[c * chunk : (c + 1) * chunk + model.reach], source, *whole)):
+                    pieces, source = model.chunks(text, chunk), _digest(sources[i])
+                    for c, (size, piece) in enumerate(pieces):
+                        whole = (raw[4 * at[i] : 4 * at[i + 1]], float(scores[i])) if len(pieces) == 1 else (None, None)
+                        for column, value in zip(rows, (rid, doc, c, len(pieces), size, piece, source, *whole)):
                             column.append(value)
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=[f.split()[0] for f in CHUNKS.split(", ")])
@@ -303,6 +393,21 @@ def _split(path: str, chunk: int):
     return run
 
 
+def _merged(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(path, True)
+        for batch in batches:
+            for a, z in text_slices(batch.column("text"), 2 << 20):
+                part = batch.slice(a, z - a)
+                found, at, scores = model.encode_batch(part.column("text").to_pylist())
+                raw = found.astype("<u4", copy=False).tobytes()
+                ids = pa.array([raw[4 * i : 4 * j] for i, j in zip(at[:-1], at[1:])], pa.binary())
+                columns = [part.column(c) for c in ("rid", "doc_id", "chunk", "chunks")]
+                yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(scores, pa.float64()), part.column("text"), part.column("source")], names=[f.split()[0] for f in CODED.split(", ")])
+
+    return run
+
+
 def _transfers(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
@@ -338,28 +443,32 @@ def _backtrace(path: str):
     return run
 
 
-def _coded(docs: DataFrame, model: str, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+def _coded(docs: DataFrame, model: str, id_col: str, text_col: str, chunk: int, own: bool) -> tuple[DataFrame, DataFrame]:
     """(texts of one chunk, chunks of longer ones), coded."""
     small_batches(docs.sparkSession)
     base = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).select("rid", "doc_id", "text")
-    parts = base.mapInArrow(_split(model, chunk), CHUNKS)
+    own = own and merges(model)
+    parts = base.mapInArrow(_split(model, chunk, own), CHUNKS)
     whole = parts.where("chunks = 1").select("rid", "doc_id", "chunk", "chunks", "ids", "score", "text", "source")
-    giant = cut(base.where(F.char_length("text") >= chunk - 64).mapInArrow(_split(model, chunk), CHUNKS).where("chunks > 1").drop("ids", "score").repartition(shuffle_width(docs.sparkSession), "rid", "chunk"))
+    giant = cut(base.where(F.char_length("text") >= chunk - 64).mapInArrow(_split(model, chunk, own), CHUNKS).where("chunks > 1").drop("ids", "score").repartition(shuffle_width(docs.sparkSession), "rid", "chunk"))
+    if own:
+        return whole, giant.mapInArrow(_merged(model), CODED)
     states = giant.select("rid", "chunk", "size", "text").mapInArrow(_transfers(model), "rid long, chunk int, matrix binary").groupBy("rid").applyInArrow(_states, "rid long, chunk int, entry int, exit int")
     traced = giant.join(states, ["rid", "chunk"]).mapInArrow(_backtrace(model), CODED)
     return whole, traced
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, own: bool = False) -> DataFrame:
     """Ids of all rows by chunk: rid, doc_id, chunk, chunks, ids (little-endian unsigned 32-bit), score, text, source.
 
+    By the best path, or with ``own`` by the model's own type: then the ids are those that the library gives the row.
     ``text`` is the normalised text that the chunk's ids cover, ``source`` the SHA-256 of the row's whole text before normalising; of equally good
     paths any one is taken; ids and texts of a row's chunks join in order. A null
     or empty text is one chunk without ids and score 0; a null id stays null; repeated rows are coded apart; an empty
     table gives no rows; columns other than id and text are not read. Only texts of over ``chunk`` characters are
     shuffled, a chunk at a time; a row's matrices (2 kB a chunk) meet in one task.
     """
-    whole, traced = _coded(docs, model, id_col, text_col, chunk)
+    whole, traced = _coded(docs, model, id_col, text_col, chunk, own)
     return whole.union(traced)
 
 
@@ -391,14 +500,14 @@ def _joined(table: pa.Table) -> pa.Table:
     return table.drop_columns(["restored", "source"]).append_column("round_trip", pa.array([good] * len(table), pa.bool_()))
 
 
-def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, own: bool = True) -> DataFrame:
     """A row for each chunk: doc_id, chunk, chunks, n_ids, ids_crc32, score, round_trip.
 
     ``round_trip`` holds for all chunks of a row or for none: whether the row's ids decode to its text as it was before normalising (a null counts
     as empty). The decoded chunks of a text of over ``chunk`` characters meet in one task, as its characters did in the input.
     """
     facts = ["doc_id", "chunk", "chunks", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "score"]
-    whole, giant = (decode_documents(x.drop("text"), model) for x in _coded(docs, model, id_col, text_col, chunk))
+    whole, giant = (decode_documents(x.drop("text"), model) for x in _coded(docs, model, id_col, text_col, chunk, own))
     giant = giant.select("rid", *facts, "restored", "source").groupBy("rid").applyInArrow(_joined, "rid long, doc_id long, chunk int, chunks int, n_ids long, ids_crc32 long, score double, round_trip boolean")
     return whole.select(*facts, (F.unhex(F.sha2("restored", 256)) == F.col("source")).alias("round_trip")).union(giant.drop("rid"))
 

@@ -461,6 +461,36 @@ def test_round_trip_is_against_the_text_itself(spark, chunk, model):
     assert plain == {i: model.processor.decode(x) for i, x in ids.items()} == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("name", ["docs", "real"])
+@pytest.mark.parametrize("chunk", [piece_coding.CHUNK, 200])
+def test_ids_are_the_library_s(name, chunk, request, model):
+    df = request.getfixturevalue(name)
+    got, parts = {}, {}
+    for r in sorted(piece_coding.encode_documents(df, piece_coding.model_path(), chunk=chunk, own=True).collect(), key=lambda r: (r["rid"], r["chunk"])):
+        got[r["rid"]] = (r["doc_id"], got.get(r["rid"], (0, b""))[1] + r["ids"])
+        parts.setdefault(r["rid"], []).append((r["chunk"], r["chunks"]))
+    assert all(x == [(c, len(x)) for c in range(len(x))] for x in parts.values())
+    assert Counter(got.values()) == Counter((r["doc_id"], np.array(model.processor.encode(r["text"] or ""), "<u4").tobytes()) for r in df.collect())
+
+
+def test_registered_coding_has_the_library_s_counts(spark, sf_dir, real, model):
+    got = Counter()
+    for r in piece_coding.op10_piece_coding(spark, sf_dir).collect():
+        got[r["doc_id"]] += r["n_ids"]
+    want = Counter()
+    for r in real.collect():
+        want[r["doc_id"]] += len(model.processor.encode(r["text"] or ""))
+    assert got == want
+
+
+def test_chunks_of_merges_begin_where_no_piece_spans():
+    m = piece_coding.MergeModel(piece_coding.model_path())
+    for text in (m.normal("the quick brown fox " * 9), m.normal("e" * 50 + " ab" * 30), "a", ""):
+        pieces = m.chunks(text, 16)
+        assert len(pieces) == max(1, -(-len(text) // 16)) and "".join(x for _, x in pieces) == text
+        assert [i for _, x in pieces for i in m.merger.encode(x)] == m.merger.encode(text)
+
+
 def test_coding_is_the_best_path(model):
     """The library's own lattice search (the model read as a unigram one) finds no better sum of scores for single words."""
     from sentencepiece import SentencePieceProcessor
