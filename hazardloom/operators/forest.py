@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..sources.outcomes import check_inputs
 from . import minimal_depth as depth_frames
 from .concordance import compute_uno_weights, concordance_index_cr, concordance_pairs, uno_terms
-from .forest_distributed import grow_forest
+from .forest_distributed import copies, grow_forest, keyed, uniforms
 from .grids import coarsen_time_grid, event_time_grid, feature_bin_edges
 from .regression import _outcome
 from .tree_kernel import Tree, grow_tree, leaf_paths, path_weights
@@ -98,10 +98,13 @@ class CompetingRiskForest:
         nsplit = self.nsplit if self.nsplit is not None else (0 if exact else 10)
         settings = dict(n_bins=max(2, max(len(x) for x in self.bin_edges_) + 1), n_times=int(coarse.max()) + 1, causes=self.n_causes_, mtry=resolve_max_features(self.max_features, p), nsplit=nsplit, max_depth=self.max_depth, min_split=self.min_samples_split, min_leaf=self.min_samples_leaf, rule=self.splitrule, cause=self.cause, weights=None if self.cause_weights is None else np.asarray(self.cause_weights, float))
         self._seed = 0 if self.random_state is None else int(self.random_state)
-        self._data = None
+        self._data = self._rows = None
+        self.__dict__.pop("_shared", None)
         if self.mode == "distributed" or n * (p + 5) > BROADCAST_BYTES:
-            key = F.xxhash64(F.monotonically_increasing_id())
-            grown = grow_forest(rows.withColumn("key", key), p, coarse, n_trees=self.n_estimators, seed=self._seed, bootstrap=self.bootstrap, **settings)
+            rows = keyed(rows).persist()
+            if self.mode != "distributed":
+                self._rows = rows  # grown so for its size alone: out-of-bag figures are there as they are below it
+            grown = grow_forest(rows, p, coarse, n_trees=self.n_estimators, seed=self._seed, bootstrap=self.bootstrap, **settings)
             self.trees_ = grown.persist()
             self.trees_.count()
             return self
@@ -184,7 +187,7 @@ class CompetingRiskForest:
     def save(self, path: str) -> None:
         """The model as two Parquet tables: trees, and one row of settings."""
         self.trees_.write.parquet(f"{path}/trees")
-        state = {k: v for k, v in self.__dict__.items() if k not in ("trees_", "_data", "_shared")}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("trees_", "_data", "_rows", "_shared")}
         self.trees_.sparkSession.createDataFrame([(pickle.dumps(state),)], "state binary").write.parquet(f"{path}/state")
 
     @classmethod
@@ -281,6 +284,8 @@ class CompetingRiskForest:
         A task takes a (tree, feature) pair; sums meet in one shuffle of (feature, row).
         """
         self._forest()
+        if getattr(self, "_rows", None) is not None:
+            return self._far_oob_sums(cause, permuted)
         if self._data is None:
             raise ValueError("out-of-bag figures need a forest grown from shared rows; score held-out rows instead")
         spark, data, shared, me = self.trees_.sparkSession, self._data, self._shared, self._seed
@@ -307,8 +312,62 @@ class CompetingRiskForest:
         tasks = spark.range(self.n_estimators).select(F.col("id").alias("tree"), F.explode(F.array(*[F.lit(int(f)) for f in permuted])).alias("feature")).repartition(max(1, min(self.n_estimators * len(permuted), 8 * spark.sparkContext.defaultParallelism)))
         return tasks.mapInPandas(run, "feature int, row long, value double").groupBy("feature", "row").agg(F.sum("value").alias("sum"), F.count("*").alias("n"))
 
+    def _far_oob_sums(self, cause: int, permuted: Sequence[int]) -> DataFrame:
+        """The same over distributed rows, each with all of its trees at once. A permuted value is drawn, by a hash of the row's key, from the tree's out-of-bag values."""
+        shared, seed, p, m, k = self._shared, self._seed, self.n_features_in_, len(self.time_grid_), self.n_causes_
+        names, steps, bootstrap, permuted = [f"b{i}" for i in range(p)], np.diff(self.time_grid_), self.bootstrap, [int(f) for f in permuted]
+        dealt = [f for f in permuted if f >= 0]
+        width = max(len(x) for x in self.bin_edges_) + 1
+
+        def left_out(frame, tree):
+            return np.flatnonzero(copies(frame["key"].to_numpy(), seed, tree) == 0) if bootstrap else np.zeros(0, int)
+
+        def count(frames):
+            for frame in frames:
+                for i in range(len(shared.value)):
+                    x = frame[names].to_numpy(np.int64)[left_out(frame, i)]
+                    for f in dealt:
+                        n = np.bincount(x[:, f], minlength=width)
+                        b = np.flatnonzero(n)
+                        yield pd.DataFrame({"tree": i, "feature": f, "bin": b, "n": n[b]})
+
+        share = {}
+        if dealt:
+            for r in self._rows.mapInPandas(count, "tree int, feature int, bin int, n long").groupBy("tree", "feature", "bin").agg(F.sum("n").alias("n")).collect():
+                share.setdefault((r["tree"], r["feature"]), np.zeros(width))[r["bin"]] = r["n"]
+        held = self._rows.sparkSession.sparkContext.broadcast({at: np.cumsum(n)[:-1] / n.sum() for at, n in share.items()})
+
+        def run(frames):
+            for frame in frames:
+                bins, key = frame[names].to_numpy(np.int64), frame["key"].to_numpy()
+                total, n = np.zeros((len(permuted), len(bins))), np.zeros(len(bins), np.int64)
+                for i, tree in enumerate(shared.value):
+                    out = left_out(frame, i)
+                    if not len(out):
+                        continue
+                    n[out] += 1
+                    value = tree.curves(np.arange(len(tree.starts) - 1), m, k)[:, cause - 1][:, :-1] @ steps
+                    for j, f in enumerate(permuted):
+                        x = bins[out]
+                        if f >= 0:
+                            x[:, f] = np.searchsorted(held.value[i, f], uniforms(key[out], seed, i, 2 + f), side="right")
+                        total[j, out] += value[tree.leaves_of(x)]
+                seen = np.flatnonzero(n)
+                for j, f in enumerate(permuted):
+                    yield pd.DataFrame({"feature": f, "row": frame["row"].to_numpy()[seen], "sum": total[j, seen], "n": n[seen]})
+
+        return self._rows.mapInPandas(run, "feature int, row long, sum double, n long")
+
     def _outcomes(self) -> DataFrame:
         """(row, time on the grid, event) of the training rows."""
+        if getattr(self, "_rows", None) is not None:
+            times = self.time_grid_
+
+            def of(frames):
+                for frame in frames:
+                    yield pd.DataFrame({"row": frame["row"], "time": times[frame["t"].to_numpy()], "event": frame["event"]})
+
+            return self._rows.select("row", "t", "event").mapInPandas(of, "row long, time double, event int")
         spark, data, grid, n = self.trees_.sparkSession, self._data, self.time_grid_, self.n_rows_
 
         def run(frames):

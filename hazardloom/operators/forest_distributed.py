@@ -3,7 +3,7 @@
 A level of a batch of trees is one scan: tasks send rows down the trees known so far, count
 (tree, node, drawn feature, bin, time, event) cells, and the summed cells of a node decide its split. Only
 cells are shuffled; the driver keeps the node arrays of the batch. In-bag copies are Poisson(1) draws from
-a hash of (seed, tree, row key), so nothing depends on partitioning.
+a hash of (seed, tree, row key), and keys follow from the rows' content, so nothing depends on partitioning.
 """
 
 from __future__ import annotations
@@ -21,13 +21,31 @@ from .tree_kernel import Tree, split_scores
 _CUMULATIVE = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119])
 
 
-def copies(keys: np.ndarray, seed: int, tree: int) -> np.ndarray:
-    """In-bag copies of rows (by their hashed keys) in a tree."""
-    salt = np.random.SeedSequence([seed, tree]).generate_state(1, np.uint64)[0]
+#: copies of equal rows that one task numbers
+COPIES = 1 << 16
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with key, a hash of a row's content and of its number among equal rows: the same however rows are partitioned; and row, a number of its own."""
+    names, n, width = rows.columns, F.col("__n"), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.groupBy(*names).agg(F.count("*").alias("__n")).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / COPIES)))).repartition(width, *names, "__b")
+    each = parts.withColumn("__i", F.explode(F.sequence(F.col("__b") * COPIES, F.least((F.col("__b") + 1) * COPIES, n) - 1)))
+    # sorted, so that a partition that is made again numbers its rows alike
+    return each.sortWithinPartitions(*names, "__i").select(*names, F.xxhash64(*names, "__i").alias("key"), F.monotonically_increasing_id().alias("row"))
+
+
+def uniforms(keys: np.ndarray, *salts: int) -> np.ndarray:
+    """A number in [0, 1) for each key, by a hash."""
+    salt = np.random.SeedSequence(salts).generate_state(1, np.uint64)[0]
     x = keys.astype(np.int64).view(np.uint64) ^ salt
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return np.searchsorted(_CUMULATIVE, (x >> np.uint64(11)).astype(np.float64) / 2.0**53, side="right")
+    return (x >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
+def copies(keys: np.ndarray, seed: int, tree: int) -> np.ndarray:
+    """In-bag copies of rows (by their hashed keys) in a tree."""
+    return np.searchsorted(_CUMULATIVE, uniforms(keys, seed, tree), side="right")
 
 
 class _Growing:

@@ -110,6 +110,25 @@ def test_distributed_forest_finds_the_signal(rows):
         m.oob_score()
 
 
+def test_large_tables_keep_their_out_of_bag_figures(rows, forest, monkeypatch):
+    """Beyond ``BROADCAST_BYTES`` results follow from the rows alone, and nothing is taken away."""
+    from hazardloom.operators import forest as module
+
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    twice = rows.unionByName(rows.limit(20))
+    grown = [CompetingRiskForest(n_estimators=8, max_depth=6, random_state=5).fit(twice.repartition(n), FEATURES) for n in (1, 5)]
+    tables = [sorted(tuple(r) for r in m.tree_table().collect()) for m in grown]
+    assert tables[0] == tables[1]
+    scores = [m.oob_score() for m in grown]
+    assert scores[0] == pytest.approx(scores[1]) and abs(scores[0] - forest.oob_score()) < 0.08
+    assert grown[0].predict_oob_risk().count() == twice.count()
+    drops = [[tuple(r) for r in m.compute_importance().collect()] for m in grown]
+    near = {r["feature"]: r["composite_vimp"] for r in forest.compute_importance().collect()}
+    for a, b in zip(*drops):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:])
+        assert abs(a[-1] - near[a[0]]) < 0.08
+
+
 def test_split_numerator_by_hand(spark):
     df = spark.createDataFrame([(1.0, 2, 0.0), (2.0, 1, 0.0), (3.0, 1, 1.0), (4.0, 1, 1.0)], "time double, event int, x double")
     binned = splits.binned_rows(df, ["x"], [[0.5]], [1.0, 2.0, 3.0, 4.0]).withColumn("node", F.lit(1))
