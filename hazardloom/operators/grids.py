@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: distinct values beyond which quantiles come from a sketch
+#: distinct values that one task ranks; beyond, they are ranked in sorted partitions
 EXACT_DISTINCT = 5_000_000
 
 
 def _quantiles(distinct: DataFrame, col: str, qs: Sequence[float], n: int) -> list[float]:
     if n > EXACT_DISTINCT:
-        return distinct.agg(F.percentile_approx(col, list(qs), 100_000)).first()[0]
+        return _ranked(distinct.select(F.col(col).alias("v")), qs)
     return distinct.agg(F.percentile(col, F.array(*[F.lit(float(q)) for q in qs]))).first()[0]
 
 
+def _ranked(distinct: DataFrame, qs: Sequence[float]) -> list[float]:
+    """What ``percentile`` gives, from range partitions: only the values of the asked ranks come to the driver."""
+    width = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = distinct.where("v is not null").repartitionByRange(width, "v").withColumn("part", F.spark_partition_id()).persist()
+    counts = parts.groupBy("part").count().orderBy("part").collect()
+    earlier = dict(zip([r["part"] for r in counts], np.cumsum([0, *(r["count"] for r in counts)]).tolist()))
+    at = [float(q) * (sum(r["count"] for r in counts) - 1) for q in qs]
+    asked = {i for x in at for i in (math.floor(x), math.ceil(x))}
+    here = F.create_map(*[F.lit(x) for pair in earlier.items() for x in pair])[F.col("part")]
+    ranked = parts.withColumn("rank", here + F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1)
+    value = {r["rank"]: r["v"] for r in ranked.where(F.col("rank").isin(sorted(asked))).select("rank", "v").collect()}
+    parts.unpersist()
+    low, high = [math.floor(x) for x in at], [math.ceil(x) for x in at]
+    return [value[i] if i == j else (j - x) * value[i] + (x - i) * value[j] for x, i, j in zip(at, low, high)]
+
+
 def feature_bin_edges(df: DataFrame, features: Sequence[str], n_bins: int = 256) -> list[np.ndarray]:
-    """Midpoints between distinct values where they fit the bins, else quantiles of the distinct values: three jobs for all features."""
+    """Midpoints between distinct values where they fit the bins, else quantiles of the distinct values: three jobs for all features of up to ``EXACT_DISTINCT`` values, three for each other."""
     if not 2 <= n_bins <= 256:
         raise ValueError("n_bins must be from 2 to 256")
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(features)]))
@@ -33,11 +50,11 @@ def feature_bin_edges(df: DataFrame, features: Sequence[str], n_bins: int = 256)
             v = np.array(r["v"])
             found[r["f"]] = (v[:-1] + v[1:]) / 2
     qs = [float(q) for q in np.linspace(0, 1, n_bins + 1)[1:-1]]
-    for exact in (True, False):
-        many = [f for f, n in count.items() if n > n_bins and (n <= EXACT_DISTINCT) == exact]
-        if many:
-            cut = F.percentile("v", F.array(*[F.lit(q) for q in qs])) if exact else F.percentile_approx("v", qs, 100_000)
-            found |= {r["f"]: np.array(r["q"]) for r in distinct.where(F.col("f").isin(many)).groupBy("f").agg(cut.alias("q")).collect()}
+    many = [f for f, n in count.items() if n_bins < n <= EXACT_DISTINCT]
+    if many:
+        cut = F.percentile("v", F.array(*[F.lit(q) for q in qs]))
+        found |= {r["f"]: np.array(r["q"]) for r in distinct.where(F.col("f").isin(many)).groupBy("f").agg(cut.alias("q")).collect()}
+    found |= {f: np.array(_ranked(distinct.where(F.col("f") == f).select("v"), qs)) for f, n in count.items() if n > max(n_bins, EXACT_DISTINCT)}
     return [found.get(i, np.zeros(0)) for i in range(len(features))]
 
 

@@ -129,6 +129,17 @@ def test_large_tables_keep_their_out_of_bag_figures(rows, forest, monkeypatch):
         assert abs(a[-1] - near[a[0]]) < 0.08
 
 
+def test_quantiles_are_exact_at_every_size(rows, monkeypatch):
+    from hazardloom.operators import grids
+
+    more = rows.select(*FEATURES, "time", "event").unionByName(rows.sparkSession.range(3000).select(*[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(100_003)) / 7).alias(c) for c in FEATURES], (F.pmod(F.xxhash64("id"), F.lit(99_991)) / 11).alias("time"), F.lit(1).alias("event")))
+    near = grids.feature_bin_edges(more, FEATURES, 12), grids.event_time_grid(more, 50)
+    monkeypatch.setattr(grids, "EXACT_DISTINCT", 20)
+    monkeypatch.setattr(grids.F, "percentile_approx", None)
+    far = grids.feature_bin_edges(more, FEATURES, 12), grids.event_time_grid(more, 50)
+    assert [x.tolist() for x in near[0]] == [x.tolist() for x in far[0]] and near[1].tolist() == far[1].tolist()
+
+
 def test_split_numerator_by_hand(spark):
     df = spark.createDataFrame([(1.0, 2, 0.0), (2.0, 1, 0.0), (3.0, 1, 1.0), (4.0, 1, 1.0)], "time double, event int, x double")
     binned = splits.binned_rows(df, ["x"], [[0.5]], [1.0, 2.0, 3.0, 4.0]).withColumn("node", F.lit(1))
