@@ -41,6 +41,8 @@ UNIGRAM, BPE = 1, 2
 class PieceModel:
     """Pieces, scores and normaliser of a model file, with tables for cutting texts where no piece spans."""
 
+    most = MEMO
+
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
@@ -169,7 +171,7 @@ class PieceModel:
         at = np.flatnonzero(start)
         units = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, n).astype(np.int64)), pa.py_buffer(flat)).dictionary_encode()
         distinct = units.dictionary.to_pylist()
-        if len(self.memo) + len(distinct) > MEMO:
+        if len(self.memo) + len(distinct) > self.most:
             self._clear()
         self.learn(distinct)
         rank = np.array([self.memo[u] for u in distinct], np.int64)[units.indices.to_numpy()] if len(at) else np.zeros(0, np.int64)
@@ -261,9 +263,11 @@ class PieceModel:
 class MergeModel(PieceModel):
     """A model whose own encoder is not the lattice's: its ids are the library's, unit by unit.
 
-    Without byte pieces the library joins neighbouring unknown characters into one id, and types other than BPE do not merge: there a text is one unit.
+    The library merges about as fast as units are looked up, so few are remembered. Without byte pieces it joins neighbouring unknown characters into one id, and types other than BPE do not merge: there a text is one unit.
     """
 
+    most = 150_000
+
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
@@ -325,6 +329,12 @@ def _kind(raw: bytes) -> int:
     return next((v for f, spec in _fields(raw) if f == 2 for g, v in _fields(spec) if g == 3), UNIGRAM)
 
 
+def maps_characters(path: str) -> bool:
+    """Whether the normaliser has a character map, and may lengthen a text by more than its prefix."""
+    with open(path, "rb") as f:
+        return any(g == 2 and v for n, spec in _fields(f.read()) if n == 3 for g, v in _fields(spec))
+
+
 def merges(path: str) -> bool:
     """Whether the model's own encoder is another than the lattice's."""
     with open(path, "rb") as f:
@@ -370,7 +380,9 @@ def _digest(*texts: str) -> bytes:
     return made.digest()
 
 
-def _split(path: str, chunk: int, own: bool):
+def _split(path: str, chunk: int, own: bool, long: bool = False):
+    """Chunks of texts, with the ids of those of one chunk; or (``long``) only the chunks of texts of several."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path, own)
         for batch in batches:
@@ -378,10 +390,12 @@ def _split(path: str, chunk: int, own: bool):
                 part = batch.slice(a, z - a)
                 sources = [t or "" for t in part.column(2).to_pylist()]
                 texts = [model.normal(t) for t in sources]
-                ids, at, scores = model.encode_batch([t if len(t) <= chunk else "" for t in texts])
+                ids, at, scores = model.encode_batch([t if len(t) <= chunk and not long else "" for t in texts])
                 raw = ids.astype("<u4", copy=False).tobytes()
                 rows: list[list] = [[] for _ in range(9)]
                 for i, (rid, doc, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts)):
+                    if long and len(text) <= chunk:
+                        continue
                     pieces, source = model.chunks(text, chunk), _digest(sources[i])
                     for c, (size, piece) in enumerate(pieces):
                         whole = (raw[4 * at[i] : 4 * at[i + 1]], float(scores[i])) if len(pieces) == 1 else (None, None)
@@ -450,7 +464,9 @@ def _coded(docs: DataFrame, model: str, id_col: str, text_col: str, chunk: int,
     own = own and merges(model)
     parts = base.mapInArrow(_split(model, chunk, own), CHUNKS)
     whole = parts.where("chunks = 1").select("rid", "doc_id", "chunk", "chunks", "ids", "score", "text", "source")
-    giant = cut(base.where(F.char_length("text") >= chunk - 64).mapInArrow(_split(model, chunk, own), CHUNKS).where("chunks > 1").drop("ids", "score").repartition(shuffle_width(docs.sparkSession), "rid", "chunk"))
+    # a normaliser without a map adds its prefix alone; any other is asked for every text
+    likely = base if maps_characters(model) else base.where(F.char_length("text") >= chunk - 64)
+    giant = cut(likely.mapInArrow(_split(model, chunk, own, long=True), CHUNKS).where("chunks > 1").drop("ids", "score").repartition(shuffle_width(docs.sparkSession), "rid", "chunk"))
     if own:
         return whole, giant.mapInArrow(_merged(model), CODED)
     states = giant.select("rid", "chunk", "size", "text").mapInArrow(_transfers(model), "rid long, chunk int, matrix binary").groupBy("rid").applyInArrow(_states, "rid long, chunk int, entry int, exit int")

@@ -520,5 +520,19 @@ def test_unit_table_survives_repeats(model):
         assert m.flat[m.first[k] : m.first[k] + m.count[k]].tolist() == m.trace(u, 0, 2)[0]
 
 
+@pytest.mark.parametrize("kind", ["unigram", "bpe"])
+def test_texts_that_normalising_lengthens_are_coded(spark, kind, tmp_path):
+    from sentencepiece import SentencePieceProcessor, SentencePieceTrainer
+
+    SentencePieceTrainer.train(sentence_iterator=iter(["a few plain words ... and dots"] * 50), model_prefix=str(tmp_path / "m"), model_type=kind, vocab_size=290, byte_fallback=True, hard_vocab_limit=False, normalization_rule_name="nfkc", minloglevel=2)
+    path = str(tmp_path / "m.model")
+    texts = ["…" * 100, "words", "… words " * 100, "…" * 66]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sorted(piece_coding.encode_documents(df, path, chunk=200, own=True).collect(), key=lambda r: r["chunk"]):
+        got[r["doc_id"]] = got.get(r["doc_id"], "") + r["text"]
+    assert got == {i: SentencePieceProcessor(model_file=path).normalize(t) for i, t in enumerate(texts)}
+
+
 def test_coding_of_nothing(spark):
     assert piece_coding.encode_documents(h.empty(spark), piece_coding.model_path()).count() == 0
