@@ -1,116 +1,156 @@
-"""Licence scans by diagonal voting (DataFrame functions only).
+"""Licence scans by diagonal voting.
 
-Every rolling word k-gram of every text is joined by hash to the k-gram positions of the
-templates; hits vote for (row, template, offset diagonal); neighbouring diagonals merge; and a
-merged span counts once enough of the template's k-grams are there. The join compares the k-grams
-themselves besides their hashes, so every vote is a verified match of k words.
+Every rolling word k-gram of every text is hashed; those that a template may hold are joined by Spark to the
+k-gram positions of the templates, words compared; matches vote for (row, template, offset diagonal); neighbouring
+diagonals merge into places; and a place is verified by how many of the template's positions stand in it in
+rising order. A phrase must stand whole, on one diagonal; a licence's text up to a share of its k-grams.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blobs import SLICE_BYTES, small_batches
 from .common import numbered
+from .license_texts import PHRASES, TEXTS
+from .text_arrays import ascii_lower, text_bytes, text_slices, window_hashes, window_rows, word_hashes, word_spans
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: what separates words once A-Z are lower-cased
-BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_IS_WORD = np.zeros(256, bool)
+_IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
+
+
+def template_words(text: str) -> list[str]:
+    """Words of a template's text (A-Z lower-cased)."""
+    return re.findall(WORD, re.sub("[A-Z]+", lambda m: m.group().lower(), text))
 
 
 @dataclass(frozen=True)
 class Template:
-    """Words that stand for a licence; a base phrase must stand whole, others up to ``share`` of their k-grams."""
+    """Words that stand for a licence, found by their ``k``-grams: with a ``share`` of 1 a phrase that must stand whole."""
 
     label: str
-    words: str
+    text: str
     base: bool = False
-    share: float = 0.8
+    share: float = 1.0
+    k: int = 2
 
+    def grams(self) -> list[str]:
+        words = template_words(self.text)
+        if len(words) < self.k:
+            raise ValueError(f"a template of {self.label} has fewer than {self.k} words")
+        return [" ".join(words[i : i + self.k]) for i in range(len(words) - self.k + 1)]
 
-BASE_TEMPLATES = (
-    Template("mit", "mit license", True, 1.0),
-    Template("apache", "apache license", True, 1.0),
-    Template("gpl", "general public license", True, 1.0),
-)
-TEMPLATES = (
-    *BASE_TEMPLATES,
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    Template("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    Template("gpl", "this work is licensed under the gnu general public license version 3"),
-    Template("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0"),
-    Template("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    Template("mpl", "subject to the terms of the mozilla public license"),
-    Template("proprietary", "all rights reserved", False, 1.0),
-)
-#: diagonals this close belong to one place (words put in or left out)
+
+BASE_TEMPLATES = (Template("mit", "mit license", True), Template("apache", "apache license", True), Template("gpl", "general public license", True))
+TEMPLATES = (*BASE_TEMPLATES, *(Template(label, text) for label, text in PHRASES), *(Template(label, text, share=0.8, k=4) for label, text in TEXTS))
+#: diagonals this close belong to one place of a text (words put in or left out)
 NEAR = 3
+#: template positions up to which their table is broadcast
+BROADCAST_GRAMS = 1_000_000
+HITS = "rid long, doc_id long, n_words long, pos long, hash long, gram string"
+#: the gram of the row's own mark, which joins with template -1
+MARK = ""
 
 
-def words_of(text) -> F.Column:
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS), "")
+def gram_hash(gram: str) -> int:
+    """The hash that the scan gives a k-gram (signed)."""
+    flat = np.frombuffer(gram.encode(), np.uint8)
+    starts, ends, _ = word_spans(_IS_WORD[flat], np.array([0, len(flat)]))
+    return int(window_hashes(word_hashes(flat, starts, ends), len(starts)).view(np.int64)[0])
 
 
-def template_positions(spark, templates: Sequence[Template], k: int) -> DataFrame:
-    """(gram, template number, position): bounded by the words of the templates. Template -1 is each row's own mark."""
-    rows = [("", -1, 0)]
+def template_positions(spark, templates: Sequence[Template]) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """((hash, gram, template, position) of all templates and the row's mark; the sorted hashes by k)."""
+    rows, hashes = [(0, MARK, -1, 0)], {}
     for number, template in enumerate(templates):
-        words = template.words.split(" ")
-        rows += [(" ".join(words[i : i + k]), number, i) for i in range(len(words) - k + 1)]
-    return spark.createDataFrame(rows, "t_gram string, template int, t_pos int").coalesce(1).withColumn("t_hash", F.xxhash64("t_gram"))
-
-
-def find_spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, k: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified places: rid, doc_id, n_words, template, first, last (word numbers), hits, share; and one row with template -1 for each row of ``docs``.
-
-    A null text has no words; a text of fewer than ``k`` words has no places; a null id stays null; repeated
-    rows are scanned apart; an empty table gives no rows; columns other than id and text are not read.
+        for i, gram in enumerate(template.grams()):
+            rows.append((gram_hash(gram), gram, number, i))
+            hashes.setdefault(template.k, set()).add(rows[-1][0])
+    table = spark.createDataFrame(rows, "t_hash long, t_gram string, template int, t_pos long").coalesce(1)
+    return F.broadcast(table) if len(rows) <= BROADCAST_GRAMS else table, {k: np.array(sorted(v), np.int64) for k, v in hashes.items()}
+
+
+def _rolling(hashes):
+    """Each row's mark, and its k-grams of a template's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, z in text_slices(batch.column(2), SLICE_BYTES):
+                part = batch.slice(a, z - a)
+                flat, offsets = text_bytes(part.column(2))
+                flat = ascii_lower(flat)
+                starts, ends, bounds = word_spans(_IS_WORD[flat], offsets)
+                words, n = word_hashes(flat, starts, ends), len(starts)
+                row_of, raw = np.repeat(np.arange(z - a), np.diff(bounds)), flat.tobytes()
+                row, pos, found, grams = [np.arange(z - a)], [np.full(z - a, -1)], [np.zeros(z - a, np.int64)], [MARK] * (z - a)
+                for k, known in hashes.value.items():
+                    code = window_hashes(words, k).view(np.int64)
+                    at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                    hit = np.flatnonzero((known[at] == code) & window_rows(bounds, k, n)) if len(code) else np.zeros(0, np.int64)
+                    row.append(row_of[hit])
+                    pos.append(hit - bounds[row_of[hit]])
+                    found.append(code[hit])
+                    grams += [b" ".join(raw[starts[i + j] : ends[i + j]] for j in range(k)).decode() for i in hit.tolist()]
+                row = np.concatenate(row)
+                columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(np.diff(bounds)[row], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(pos), pa.int64()), pa.array(np.concatenate(found)), pa.array(grams, pa.string())], names=[f.split()[0] for f in HITS.split(", ")])
+
+    return run
+
+
+def find_spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verified places: rid, doc_id, n_words, template, first, last (word numbers), share; and one row with template -1 for each row of ``docs``.
+
+    ``share`` is the part of the template's k-grams that stand in the place, in rising order (each at its first
+    match there). A null text has no words; a text of fewer than ``k`` words has no places; a null id stays null; repeated
+    rows are scanned apart; an empty table gives no rows; columns other than id and text are not read. A row's matches
+    meet in one task, as its words did in the input.
     """
     spark = docs.sparkSession
-    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("rid", "doc_id", words_of(F.col("text")).alias("w"))
-    pairs = F.transform("w", lambda x, i: F.concat_ws(" ", *[x if j == 0 else F.get("w", i + j) for j in range(k)]))
-    # entry 0 is the row's mark, entry p + 1 the k-gram at word p (the last k - 1 are shorter and match nothing)
-    grams = rows.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), pairs)).alias("p", "gram"))
-    known = F.broadcast(template_positions(spark, templates, k))
-    hits = grams.withColumn("hash", F.xxhash64("gram")).join(known, (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")))
-    votes = (
-        hits.withColumn("pos", F.col("p") - 1)
-        .groupBy("rid", "doc_id", "n_words", "template", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
-        .agg(F.count("*").alias("hits"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    )
-    sizes = _per_template(templates, [len(t.words.split(" ")) - k + 1 for t in templates])
-    shares = _per_template(templates, [t.share for t in templates])
-    whole = _per_template(templates, [t.base for t in templates])
-    by = Window.partitionBy("rid", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(by) > F.when(whole, 0).otherwise(NEAR)) | (F.col("lo") - F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)) > 2 * sizes)
-    merged = (
-        votes.withColumn("place", F.sum(F.when(apart, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("rid", "doc_id", "n_words", "template", "place")
-        .agg(F.sum("hits").alias("hits"), F.min("lo").alias("first"), (F.max("hi") + k - 1).alias("last"))
-        .withColumn("share", F.when(F.col("template") < 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("hits") / sizes)))
-    )
-    return merged.where((F.col("template") < 0) | (F.col("share") >= shares)).drop("place")
+    small_batches(spark)
+    known, hashes = template_positions(spark, templates)
+    base = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).select("rid", "doc_id", "text")
+    grams = base.mapInArrow(_rolling(spark.sparkContext.broadcast(hashes)), HITS)
+    hits = grams.join(known, (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram"))).select("rid", "doc_id", "n_words", "template", "pos", "t_pos")
+    row = ["rid", "doc_id", "n_words", "template"]
+    # one exchange: everything that follows groups by the row first
+    votes = hits.repartition("rid").groupBy(*row, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_list("t_pos").alias("held"))
+    sizes, shares = (_per_template(templates, v) for v in ([float(len(t.grams())) for t in templates], [float(t.share) for t in templates]))
+    whole, spans = (_per_template(templates, v) for v in ([t.share >= 1 for t in templates], [t.k for t in templates]))
+    by = Window.partitionBy(*row).orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(by) > F.when(whole, 0).otherwise(NEAR)
+    places = votes.withColumn("place", F.sum(F.when(apart, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    firsts = places.select(*row, "place", "diagonal", F.explode("held").alias("t_pos")).groupBy(*row, "place", "t_pos").agg(F.min(F.col("diagonal") + F.col("t_pos")).alias("pos"))
+    earlier = F.max("pos").over(Window.partitionBy(*row, "place").orderBy("t_pos").rowsBetween(Window.unboundedPreceding, -1))
+    rising = firsts.withColumn("earlier", earlier).where(F.col("earlier").isNull() | (F.col("pos") > F.col("earlier")))
+    share = F.when(F.col("template") < 0, 0.0).otherwise(F.col("held") / sizes)
+    found = rising.groupBy(*row, "place").agg(F.count("*").alias("held"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return found.withColumns({"share": share, "last": F.col("last") + spans - 1}).where((F.col("template") < 0) | (F.col("share") >= shares)).drop("place", "held")
 
 
 def _per_template(templates: Sequence[Template], values: list) -> F.Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.col("template"))
 
 
-def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, k: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``score`` is the largest verified share of a template; labels are distinct, sorted and comma-joined.
+    ``score`` is the largest verified share of a template; labels are distinct, sorted and comma-joined. Awkward rows
+    are treated as :func:`find_spans` says; a row without places has empty labels, no base words and score 0.
     """
     base = _per_template(templates, [t.base for t in templates]) & (F.col("template") >= 0)
     label = F.when(F.col("template") >= 0, _per_template(templates, [t.label for t in templates]))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  at most one entry a label
     return (
-        find_spans(docs, templates, k, id_col, text_col)
+        find_spans(docs, templates, id_col, text_col)
         .groupBy("rid", "doc_id", "n_words")
         .agg(
             F.sum(F.when(base, 1).otherwise(0)).cast("long").alias("n_base"),
@@ -126,3 +166,41 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, k:
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def scan_sql(templates: Sequence[Template] = TEMPLATES) -> str:
+    """The scan over ``documents`` in DuckDB's SQL, on words instead of hashes."""
+    rows = lambda values: ", ".join("(" + ", ".join(str(v) if not isinstance(v, str) else f"'{v}'" for v in r) + ")" for r in values)
+    grams = rows((n, i, t.k, g) for n, t in enumerate(templates) for i, g in enumerate(t.grams()))
+    facts = rows((n, t.label, t.base, t.share, len(t.grams())) for n, t in enumerate(templates))
+    every_k = " UNION ALL ".join(f"SELECT rid, i, {k} AS k, array_to_string(w[i + 1 : i + {k}], ' ') AS gram FROM (SELECT rid, w, unnest(range(greatest(len(w) - {k - 1}, 0))) AS i FROM d)" for k in sorted({t.k for t in templates}))
+    return f"""
+WITH tg(template, t_pos, k, gram) AS (VALUES {grams}),
+tf(template, label, base, share, size) AS (VALUES {facts}),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+  FROM documents
+), g AS ({every_k}),
+h AS (SELECT rid, template, i AS pos, t_pos, i - t_pos AS diagonal FROM g JOIN tg ON tg.k = g.k AND tg.gram = g.gram),
+v AS (SELECT DISTINCT rid, template, diagonal FROM h),
+a AS (
+  SELECT v.*, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > (CASE WHEN share >= 1 THEN 0 ELSE {NEAR} END) THEN 1 ELSE 0 END AS apart
+  FROM v JOIN tf USING (template)
+), p AS (SELECT rid, template, diagonal, sum(apart) OVER (PARTITION BY rid, template ORDER BY diagonal) AS place FROM a),
+f AS (SELECT rid, template, place, t_pos, min(pos) AS pos FROM h JOIN p USING (rid, template, diagonal) GROUP BY ALL),
+r AS (SELECT *, max(pos) OVER (PARTITION BY rid, template, place ORDER BY t_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM f),
+s AS (SELECT rid, template, place, count(*) AS held, min(pos) AS start FROM r WHERE earlier IS NULL OR pos > earlier GROUP BY ALL),
+ok AS (SELECT rid, start, label, base, CAST(held AS DOUBLE) / size AS part FROM s JOIN tf USING (template) WHERE CAST(held AS DOUBLE) / size >= share),
+n AS (
+  SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS score
+  FROM ok GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN n USING (rid)
+"""
+
+
+OP4_SQL = scan_sql()

@@ -146,10 +146,14 @@ def test_filters_return_all_languages_and_correct_false_positives():
 # ---- 4 licence scans -------------------------------------------------------------------------------------------------
 
 
-def brute_licenses(text):
+def licence_words(text):
     import regex
 
-    w = regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(h.LOWER))
+    return regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(h.LOWER))
+
+
+def brute_licenses(text):
+    w = licence_words(text)
     at, labels = [], set()
     for label, phrase in (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")):
         p = phrase.split()
@@ -160,6 +164,37 @@ def brute_licenses(text):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+def brute_labels(text, templates=license_scan.TEMPLATES):
+    """(labels, score) by looking at every diagonal of every template."""
+    w, labels, score = licence_words(text), set(), 0.0
+    for t in templates:
+        p = licence_words(t.text)
+        grams, places = [tuple(p[i : i + t.k]) for i in range(len(p) - t.k + 1)], []
+        mine = [tuple(w[i : i + t.k]) for i in range(len(w) - t.k + 1)]
+        diagonals = {}
+        for i, g in enumerate(mine):
+            for j, q in enumerate(grams):
+                if g == q:
+                    diagonals.setdefault(i - j, []).append((j, i))
+        last = None
+        for d in sorted(diagonals):
+            if last is None or d - last > (0 if t.share >= 1 else license_scan.NEAR):
+                places.append([])
+            places[-1] += diagonals[d]
+            last = d
+        for place in places:
+            first, high, held = {}, -1, 0
+            for j, i in place:
+                first[j] = min(i, first.get(j, i))
+            for j in sorted(first):
+                held += first[j] > high
+                high = max(high, first[j])
+            if held / len(grams) >= t.share:
+                labels.add(t.label)
+                score = max(score, held / len(grams))
+    return ",".join(sorted(labels)), score
+
+
 @pytest.mark.parametrize("name", ["docs", "real"])
 def test_license_places(name, request):
     df = request.getfixturevalue(name)
@@ -169,8 +204,24 @@ def test_license_places(name, request):
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1
 
 
-def test_license_template_survives_a_changed_word(spark):
-    text = license_scan.TEMPLATES[3].words.replace("charge to any", "charge kindly to any")
+def test_license_labels_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = ["all rights all rights", "all rights are rights reserved", "rights reserved, all rights", "all rights reserved", "mit license " * 50, "the software the software and to permit persons " * 30]
+    for t in license_scan.TEMPLATES:
+        w = t.text.split()
+        for changes in (0, 1, 4, 12, 40):
+            some = list(w)
+            for i in rng.integers(0, len(w), changes):
+                some[i] = ["", "kindly", some[i] + " or so", some[int(rng.integers(0, len(w)))]][int(rng.integers(0, 4))]
+            texts.append("before " + " ".join(some) + " after " + " ".join(rng.permutation(w)[:40]) + " " + " ".join(w[: len(w) // 2]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(df).collect()}
+    assert got == {i: brute_labels(t) for i, t in enumerate(texts)}
+    assert [got[i][0] for i in range(4)] == ["", "", "", "proprietary"] and sum(bool(x) for x, _ in got.values()) > 40
+
+
+def test_license_text_survives_a_changed_word(spark):
+    text = next(t for t in license_scan.TEMPLATES if t.k == 4 and t.label == "mit").text.replace("charge, to any", "charge kindly to any")
     df = spark.createDataFrame([(1, f"before {text} after"), (2, "permission is hereby granted")], "doc_id long, text string")
     assert {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(df).collect()} == {1: "mit", 2: ""}
 
