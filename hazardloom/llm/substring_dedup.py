@@ -1,8 +1,8 @@
 """Substring dedup: Rabin-Karp hashes of every word window, counted in Spark.
 
-Map tasks hash all windows of whole texts; the counts meet by hash range (see :mod:`blobs`); the
-places of repeated windows go back to the documents, where overlapping windows merge into maximal
-removal intervals. Windows are identified by 64-bit hashes.
+Map tasks hash all windows of whole texts; the counts meet by hash range (see :mod:`blobs`); which
+windows are repeated goes back to the documents, where overlapping windows merge into maximal
+removal intervals. A window is known by 96 bits of two rolling hashes.
 """
 
 from __future__ import annotations
@@ -16,80 +16,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blobs import BATCH_BITS, bucket_count, bucket_edges, first_of_runs, from_planes, pack_sorted, planes, segments, small_batches, unpack_sorted
+from .blobs import batched, bucket_count, bucket_edges, from_planes, one_array, pack_sorted, planes, small_batches, unpack_sorted, whole_batches
 from .common import numbered
-from .text_arrays import spaces, text_bytes, window_hashes, window_rows, word_hashes, word_spans
-
-SENT = "bucket int, batch long, keys binary, places binary, many binary"
+from .text_arrays import mix, spaces, text_bytes, window_hashes, window_rows, word_hashes, word_spans
+
+SENT = "bucket int, batch long, keys binary, checks binary, many binary"
+_SECOND = np.uint64(0xE7037ED1A0B428DB)
+
+
+def _sorted_windows(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key and check, where a new window begins in that order)."""
+    order = np.argsort(key)
+    k, c = key[order], check[order]
+    same = k[1:] == k[:-1]
+    if (same & (c[1:] != c[:-1])).any():  # two windows of one key: rare enough to sort anew
+        order = np.lexsort((check, key))
+        k, c = key[order], check[order]
+        same = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+    first = np.ones(len(key), bool)
+    first[1:] = ~same
+    return order, first
+
+
+class _Windows:
+    """The distinct windows of a batch's texts, sorted, and the places of each."""
+
+    def __init__(self, texts: pa.Array, width: int):
+        self.flat, offsets = text_bytes(texts)
+        self.starts, self.ends, self.bounds = word_spans(~spaces(self.flat), offsets)
+        words = word_hashes(self.flat, self.starts, self.ends)
+        self.at = np.flatnonzero(window_rows(self.bounds, width, len(words)))
+        key = window_hashes(words, width)[self.at]
+        check = (window_hashes(mix(words ^ _SECOND), width)[self.at] >> np.uint64(32)).astype(np.uint32)
+        self.order, first = _sorted_windows(key, check)
+        begin = np.flatnonzero(first)
+        self.key, self.check = key[self.order][begin], check[self.order][begin]
+        self.count = np.diff(np.append(begin, len(key)))
+
+    def places(self, repeated: np.ndarray) -> np.ndarray:
+        """First words of all windows that are ``repeated`` (one entry for each distinct window)."""
+        return self.at[self.order[np.repeat(repeated, self.count)]]
 
 
 def _hash_windows(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, base = None, 0
-        for batch, part in segments(batches, 0, 1):
-            if batch != current:
-                current, base = batch, 0
-            flat, offsets = text_bytes(part.column(1))
-            starts, ends, bounds = word_spans(~spaces(flat), offsets)
-            n = len(starts)
-            hashes = window_hashes(word_hashes(flat, starts, ends), width)
-            at = np.flatnonzero(window_rows(bounds, width, n))
-            hashes = hashes[at]
-            order = np.argsort(hashes)
-            keys, places = hashes[order], (at[order] + base).astype(np.uint32)
-            base += n
-            if not len(keys):
-                continue
-            first = first_of_runs(keys)
-            count = np.diff(np.append(np.flatnonzero(first), len(keys)))
-            local = np.repeat(count > 1, count)
-            rows: list[list] = [[-1], [batch], [b""], [planes(places[local])], [b""]] if local.any() else [[], [], [], [], []]
-            keys, places, many = keys[first], places[first], count > 1
-            edges = bucket_edges(keys, buckets)
+        for number, table in whole_batches(batches, 0, 1):
+            w = _Windows(one_array(table, "text"), width)
+            edges, rows = bucket_edges(w.key, buckets), [[], [], [], [], []]
             for b in np.flatnonzero(np.diff(edges)):
                 x = slice(edges[b], edges[b + 1])
-                for column, value in zip(rows, (int(b), batch, pack_sorted(keys[x]), planes(places[x]), np.packbits(many[x]).tobytes())):
+                for column, value in zip(rows, (int(b), number, pack_sorted(w.key[x]), planes(w.check[x]), np.packbits(w.count[x] > 1).tobytes())):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "batch", "keys", "places", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int64(), *[pa.binary()] * 3))], names=["bucket", "batch", "keys", "checks", "many"])
 
     return run
 
 
 def _count_windows(table: pa.Table) -> pa.Table:
-    """Answer to each batch: the places whose window another batch has too (batches know their own repeats)."""
-    batches, keys, places, many = (table.column(c).to_pylist() for c in ("batch", "keys", "places", "many"))
+    """Answer to each batch: which of its windows another batch has too (batches know their own repeats)."""
+    batches, keys, checks, many = (table.column(c).to_pylist() for c in ("batch", "keys", "checks", "many"))
     parts = [unpack_sorted(k) for k in keys]
     sizes = np.array([len(p) for p in parts])
-    every = np.concatenate(parts)
-    del parts, keys
-    order = np.argsort(every)
-    first = first_of_runs(every[order])
-    count = np.diff(np.append(np.flatnonzero(first), len(every)))
-    flagged = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=int(n)) for m, n in zip(many, sizes)]).astype(bool)
-    again = np.empty(len(every), bool)
-    again[order] = np.repeat((count > 1) | np.logical_or.reduceat(flagged[order], np.flatnonzero(first)), count)
-    again &= ~flagged
-    out: list[tuple] = []
-    for batch, p, a, z in zip(batches, places, np.cumsum(sizes) - sizes, np.cumsum(sizes)):
-        if again[a:z].any():
-            out.append((batch, planes(np.sort(from_planes(p, np.uint32)[again[a:z]]))))
-    return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["batch", "places"])
-
-
-def _cut_out(width: int, untouched: bool):
+    key = np.concatenate(parts)
+    check = np.concatenate([from_planes(c, np.uint32) for c in checks])
+    del parts, keys, checks
+    order, first = _sorted_windows(key, check)
+    begin = np.flatnonzero(first)
+    count = np.diff(np.append(begin, len(key)))
+    again = np.empty(len(key), bool)
+    again[order] = np.repeat(count > 1, count)
+    ends, bucket = np.cumsum(sizes), table.column("bucket")[0].as_py()
+    out = [(batch, np.packbits(again[z - n : z]).tobytes()) for batch, n, z in zip(batches, sizes, ends) if again[z - n : z].any()]
+    return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["batch", "bucket", "again"])
+
+
+def _cut_out(width: int, buckets: int, untouched: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks().sort_by("rid") if left.num_rows else left
-        texts = left.column("text").combine_chunks() if left.num_rows else pa.array([], pa.string())
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        flat, offsets = text_bytes(texts)
-        is_word = ~spaces(flat)
-        starts, ends, bounds = word_spans(is_word, offsets)
+        left = left.combine_chunks().sort_by("rid") if left.num_rows > 1 else left
+        texts = one_array(left, "text")
+        w = _Windows(texts, width)
+        repeated, edges = w.count > 1, bucket_edges(w.key, buckets)
+        for b, bits in zip(right.column("bucket").to_pylist(), right.column("again").to_pylist()):
+            n = edges[b + 1] - edges[b]
+            repeated[edges[b] : edges[b + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=int(n)).astype(bool)
+        flat, starts, ends, bounds = w.flat, w.starts, w.ends, w.bounds
         n = len(starts)
-        step = np.zeros(n + 1, np.int64)
-        for data in right.column("places").to_pylist():
-            at = from_planes(data, np.uint32).astype(np.int64)
-            np.add.at(step, at, 1)
-            np.add.at(step, at + width, -1)
+        at, step = w.places(repeated), np.zeros(n + 1, np.int64)
+        del w
+        np.add.at(step, at, 1)
+        np.add.at(step, at + width, -1)
         gone = np.cumsum(step)[:-1] > 0
         total = np.zeros(n + 1, np.int64)
         np.cumsum(gone, out=total[1:])
@@ -128,27 +143,18 @@ def substring_dedup(docs: DataFrame, width: int = 35, text_col: str = "text", ca
     than ``width`` words keep all; a null text has no words and an empty kept_text; repeated rows are copies of each
     other; an empty table gives no rows; columns that are neither text nor carried are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    base = numbered(docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*carry).alias("carried"))).withColumn("batch", F.shiftright("rid", BATCH_BITS))
+    small_batches(docs.sparkSession)
+    base = numbered(docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*carry).alias("carried"))).select("rid", "text", "carried")
     buckets = bucket_count(base, "text")
     sent = base.select("rid", "text").mapInArrow(_hash_windows(width, buckets), SENT)
-    # the batches' own repeats pass by the counting, under buckets of their own
-    known = sent.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod("batch", F.lit(buckets))).otherwise(F.col("bucket")))
-    answers = known.groupBy("bucket").applyInArrow(_answer, "batch long, places binary")
+    answers = sent.groupBy("bucket").applyInArrow(_count_windows, "batch long, bucket int, again binary")
     schema = T.StructType(
         [T.StructField("carried", base.schema["carried"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     )
-    cut_out = base.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_cut_out(width, keep_untouched), schema)
+    cut_out = batched(base).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_cut_out(width, buckets, keep_untouched), schema)
     return cut_out.select("carried.*", "n_words", "n_removed", "kept_text")
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    if table.column("bucket")[0].as_py() < 0:
-        return table.select(["batch", "places"])
-    return _count_windows(table)
-
-
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     found = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -30,6 +30,12 @@ def text_slices(column: pa.Array, limit_bytes: int) -> Iterator[tuple[int, int]]
         start = stop
 
 
+def text_lengths(column: pa.Array) -> np.ndarray:
+    """Bytes of each row (what a null row's buffer holds counts too: nothing, as a rule)."""
+    n = len(column)
+    return np.diff(np.frombuffer(column.buffers()[1], dtype=_offset_type(column))[column.offset : column.offset + n + 1].astype(np.int64)) if n else np.zeros(0, np.int64)
+
+
 def _offset_type(column: pa.Array):
     return np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
 
