@@ -1,31 +1,31 @@
 """LM scoring by cross-entropy difference.
 
-A target and a background bigram model of the same form share one vocabulary, that of the corpus. A
-text's score is the mean over its words of the target's loss minus the background's. All counts cover
-whole texts of all rows; they meet by hash range (:mod:`blobs`), and each row batch gets back the
-counts of just its own words and word pairs, so no task holds a whole model.
+A target and a background bigram model of the same form share one vocabulary, that of the corpus, and are matched:
+the background's counts, those of all rows, are scaled to the target's number of words, so the same smoothing weighs
+alike in both. A text's score is the mean over its words of the target's loss minus the background's. No text is scored by
+itself: its own counts are taken off both models first. All counts cover whole texts of all rows; they meet by hash
+range (:mod:`blobs`), and each batch gets back the counts of just its own words and word pairs, so no task holds a whole model.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import bucket_count, bucket_edges, first_of_runs, from_planes, pack_sorted, planes, small_batches, unpack_sorted
+from .blobs import batched, bucket_count, bucket_edges, first_of_runs, from_planes, one_array, pack_sorted, planes, small_batches, unpack_sorted
 from .common import numbered
 from .text_arrays import ascii_lower, mix, spaces, text_bytes, word_hashes, word_spans
 
 #: the pseudo-word before a text's first word, and the key that counts all words
 START, ALL = np.uint64(0x5851F42D4C957F00), np.uint64(0x14057B7EF7678100)
-#: log2 of the rows in a batch: larger ones repeat fewer keys
-BATCH_BITS = 9
 #: keys keep 56 bits, a byte less to shuffle; two of a billion keys share one with odds of one in a hundred million each
 KEY_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 #: pseudo-counts of the shared unigram prior, and of a model's unigrams in its bigrams
 PRIOR, BACKOFF = 100.0, 4.0
+#: the vocabulary is open: the prior gives this much weight to as many words that were never seen, each alike
+OPEN_WEIGHT, OPEN_WORDS = 1.0, float(1 << 20)
 
 
 def _pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,9 +52,8 @@ def _distinct(word: np.ndarray, before: np.ndarray, pair: np.ndarray, opens: int
 
 
 def _in_order(table: pa.Table) -> tuple[pa.Table, pa.Array]:
-    table = table.combine_chunks().sort_by("rid")
-    text = table.column("text").combine_chunks()
-    return table, text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+    table = table.combine_chunks().sort_by("rid") if table.num_rows > 1 else table
+    return table, one_array(table, "text")
 
 
 def _send(buckets: int):
@@ -67,6 +66,7 @@ def _send(buckets: int):
             target = np.isin(left.column("rid").to_numpy(), right.column("t_rid").to_numpy())
             keys, count, chosen = _distinct(word, before, pair, len(texts), np.repeat(target, np.diff(bounds)))
             edges = bucket_edges(keys, buckets)
+            rows = [[-1], [batch], [b""], [b""], [np.packbits(target).tobytes()]]  # which rows are the target's passes by the counting
             for b in np.flatnonzero(np.diff(edges)):
                 x = slice(edges[b], edges[b + 1])
                 for column, value in zip(rows, (int(b), batch, pack_sorted(keys[x]), planes(count[x]), planes(chosen[x]))):
@@ -78,6 +78,8 @@ def _send(buckets: int):
 
 def _total(table: pa.Table) -> pa.Table:
     """For each blob: the corpus and target counts of its keys, in its order."""
+    if table.column("bucket")[0].as_py() < 0:
+        return table.select(["batch", "bucket", "counts", "chosen"])
     parts = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
     every = np.concatenate(parts)
     sizes = np.array([len(p) for p in parts])
@@ -94,6 +96,12 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table([table.column("batch"), table.column("bucket"), pa.array(answers[0], pa.binary()), pa.array(answers[1], pa.binary())], names=["batch", "bucket", "counts", "chosen"])
 
 
+def _own(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each entry's key is in its own row."""
+    _, back, count = np.unique(row * (int(key.max()) + 1) + key, return_inverse=True, return_counts=True)
+    return count[back].astype(np.float64)
+
+
 def _score(left: pa.Table, right: pa.Table) -> pa.Table:
     left, texts = _in_order(left)
     word, before, pair, bounds = _pairs(texts)
@@ -102,34 +110,41 @@ def _score(left: pa.Table, right: pa.Table) -> pa.Table:
     if len(word):
         keys, _, _ = _distinct(word, before, pair, len(texts), np.zeros(len(word), bool))
         right = right.combine_chunks().sort_by("bucket")
-        corpus, target = (np.concatenate([from_planes(x, np.int64) for x in right.column(c).to_pylist()]).astype(np.float64) for c in ("counts", "chosen"))
+        buckets, counts, chosen = (right.column(c).to_pylist() for c in ("bucket", "counts", "chosen"))
+        mine = np.unpackbits(np.frombuffer(chosen[0], np.uint8), count=len(texts)).astype(np.float64)  # the flags come first
+        corpus, target = (np.concatenate([from_planes(x, np.int64) for x, b in zip(c, buckets) if b >= 0]).astype(np.float64) for c in (counts, chosen))
+        row = np.repeat(np.arange(len(texts)), n_words)
         w, v, p = (np.searchsorted(keys, x) for x in (word, before, pair))
-        every = np.searchsorted(keys, ALL)
-        prior = corpus[w] / corpus[every]
-        for loss, n in zip(losses, (target, corpus)):
-            unigram = (n[w] + PRIOR * prior) / (n[every] + PRIOR)
-            bigram = (n[p] + BACKOFF * unigram) / (n[v] + BACKOFF)
-            total = np.zeros(len(word) + 1)
-            np.cumsum(-np.log(bigram), out=total[1:])
-            loss += (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n_words, 1)
+        every, own_w, own_p, flag = np.searchsorted(keys, ALL), _own(row, w), _own(row, p), mine[row]
+        own_v = np.where(before == START, 1.0, np.concatenate([[0.0], own_w[:-1]]))
+        size = n_words[row].astype(np.float64)
+        total, mass = corpus[every] - size, target[every] - size * flag
+        prior = (corpus[w] - own_w + OPEN_WEIGHT / OPEN_WORDS) / (total + OPEN_WEIGHT)
+        scale = mass / np.maximum(total, 1.0)
+        for loss, n, off, by in zip(losses, (target, corpus), (flag, 1.0), (1.0, scale)):
+            unigram = ((n[w] - own_w * off) * by + PRIOR * prior) / (mass + PRIOR)
+            bigram = ((n[p] - own_p * off) * by + BACKOFF * unigram) / ((n[v] - own_v * off) * by + BACKOFF)
+            sums = np.zeros(len(word) + 1)
+            np.cumsum(-np.log(bigram), out=sums[1:])
+            loss += (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n_words, 1)
     return pa.table({"rid": left.column("rid"), "doc_id": left.column("doc_id"), "n_words": pa.array(n_words), "target_loss": losses[0], "background_loss": losses[1]})
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: rid, doc_id, n_words, target_loss, background_loss (nats a word) and score, their difference.
 
-    The target is the rows whose id is in ``target_ids`` (one column of its id name), the background all rows. A low
-    score means closer to the target. A text without words (null, empty, blank) has losses and score 0; a null id is
-    never in the target; repeated rows count each; an empty target leaves the shared prior as the target model; an
-    empty table gives no rows; columns other than id and text are not read.
+    The target is the rows whose id is in ``target_ids`` (one column of its id name), the background all rows; a row's own counts
+    are left out of both when it is scored. A low score means closer to the target. A text without words (null, empty, blank) has
+    losses and score 0; a null id is never in the target; repeated rows count each, and score one another; an empty target leaves the
+    shared prior as both models, so scores are 0; an empty table gives no rows; columns other than id and text are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    base = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).withColumn("batch", F.shiftright("rid", BATCH_BITS))
+    small_batches(docs.sparkSession)
+    base = batched(numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).select("rid", "doc_id", "text"))
     chosen = base.select("rid", "batch", "doc_id").join(target_ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("rid").alias("t_rid"), F.col("batch").alias("t_batch"))
-    buckets = 2 * bucket_count(base, "text")  # words and pairs: two keys a word
+    buckets = 2 * bucket_count(docs.select(F.col(text_col).cast("string").alias("text")), "text")  # words and pairs: two keys a word
     sent = base.groupBy("batch").cogroup(chosen.groupBy("t_batch")).applyInArrow(_send(buckets), "bucket int, batch long, keys binary, counts binary, chosen binary")
-    answers = sent.groupBy("bucket").applyInArrow(_total, "batch long, bucket int, counts binary, chosen binary")
+    known = sent.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod("batch", F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
+    answers = known.groupBy("bucket").applyInArrow(_total, "batch long, bucket int, counts binary, chosen binary")
     scored = base.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score, "rid long, doc_id long, n_words long, target_loss double, background_loss double")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
