@@ -4,10 +4,11 @@
 2. The n-grams' counts meet by hash range (:mod:`blobs`): an n-gram of one class alone can lie in no
    intersection, so a class with too many of them links with nothing and goes no further.
 3. The other classes are sorted by commonest token and min-hashes, so similar ones are neighbours, and cut
-   into groups of bounded size; the matrix row of a group is the union of its members' tokens. Groups meet on the
-   rarest tokens of their members, of which any linked pair shares one.
-4. A query set's overlap with a group's union bounds its Jaccard similarity with all members: only
-   groups that the bound lets through are opened, and their members compared exactly.
+   into groups of bounded size. Two tables are written: the groups' members, and the matrix, whose row is the
+   union of a group's tokens. Groups meet on the rarest tokens of their members, of which any linked pair shares one.
+4. The members of one group are queries to the other's matrix row: a query's overlap with the union bounds its
+   similarity with all members. Only queries that the bound lets through go on to the group's members, which are
+   fetched for them alone and compared exactly.
 5. Links between class representatives give components.
 """
 
@@ -177,52 +178,57 @@ def _with_commonest(common):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("tokens"))
-            tops = []
-            for i in range(batch.num_rows):
-                token = lists[i].values.to_numpy().view(np.uint64)
-                rank = _ranks(common.value, token)
-                tops.append(int(token[np.argmax(rank)].view(np.int64)) if rank.any() else 0)
+            token, at = _flat(batch.column(batch.schema.get_field_index("tokens")))
+            rank, row = _ranks(common.value, token), np.repeat(np.arange(batch.num_rows), np.diff(at))
+            first = np.lexsort((np.arange(len(token)), -rank, row))[at[:-1]]  # no set is empty
+            tops = np.where(rank[first] > 0, token[first].view(np.int64), 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tops, pa.int64())], names=[*batch.schema.names, "top"])
 
     return run
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a list column without nulls."""
+    at = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[at[0] : at[-1]].view(np.uint64), at - at[0]
+
+
 def _prefix(n: int, percent: int) -> int:
     """How many first tokens of a set of ``n``, in any one order, meet those of every linked set."""
     return n - -(-percent * n // 100) + 1
 
 
+GROUPS = "gid long, reps binary, sizes binary, tokens binary, matrix binary, keys array<long>, least long, most long"
+
+
 def _grouped(percent: int, common):
-    """Cut sorted sets into groups: (gid, members, sizes, tokens, index tokens, least n, most n)."""
+    """Cut sorted sets into groups: members (reps, sizes, tokens), the matrix row (their union), index tokens and size range."""
 
     def emit(members: list) -> list:
-        reps = np.array([m[0] for m in members], np.int64)
-        sizes = np.array([len(m[1]) for m in members], np.int64)
-        index = []
-        for _, t in members:
-            p = _prefix(len(t), percent)
-            t = t[np.lexsort((t, _ranks(common.value, t)))]
-            index.append(t[:p])
-        return [int(reps[0]), reps.tobytes(), sizes.tobytes(), np.concatenate([m[1] for m in members]).tobytes(), np.unique(np.concatenate(index)).view(np.int64), int(sizes.min()), int(sizes.max())]
+        reps = np.array([r for r, _ in members], np.int64)
+        sizes = np.array([len(t) for _, t in members], np.int64)
+        token, row = np.concatenate([t for _, t in members]), np.repeat(np.arange(len(members)), sizes)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        rarest = token[np.lexsort((token, _ranks(common.value, token), row))]  # of each set, the commonest last
+        keys = np.unique(rarest[place < np.repeat([_prefix(int(n), percent) for n in sizes], sizes)])
+        return [int(reps[0]), reps.tobytes(), sizes.tobytes(), token.tobytes(), np.unique(token).tobytes(), keys.view(np.int64), int(sizes.min()), int(sizes.max())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, held, last = [], 0, None
-        types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64())
-        names = ["gid", "reps", "sizes", "tokens", "keys", "least", "most"]
+        types = (pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.int64(), pa.int64())
+        names = [f.split()[0] for f in GROUPS.split(", ")]
         for batch in batches:
             out: list[list] = [[] for _ in types]
-            lists = batch.column(3)
-            for i in range(batch.num_rows):
-                token = lists[i].values.to_numpy().view(np.uint64)
-                key = batch.column(2)[i].as_py(), batch.column(1)[i].as_py()
+            every, at = _flat(batch.column(3))
+            for i, rep, h1, top in zip(range(batch.num_rows), batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                token, key = every[at[i] : at[i + 1]].copy(), (top, h1)
                 # alike: the same min-hash, or the same commonest token and half of the group's first set
-                alike = members and (key == last or (key[0] and key[0] == last[0] and 2 * len(np.intersect1d(members[0][1], token, assume_unique=True)) >= max(len(members[0][1]), len(token))))
+                alike = members and (key == last or (top and top == last[0] and 2 * len(np.intersect1d(members[0][1], token, assume_unique=True)) >= max(len(members[0][1]), len(token))))
                 if members and (not alike or len(members) == GROUP_MEMBERS or held + len(token) > GROUP_TOKENS):
                     for column, value in zip(out, emit(members)):
                         column.append(value)
                     members, held = [], 0
-                members.append((batch.column(0)[i].as_py(), token))
+                members.append((rep, token))
                 held, last = held + len(token), key
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
         if members:
@@ -231,25 +237,21 @@ def _grouped(percent: int, common):
     return run
 
 
-def open_groups(percent: int, left: tuple, right: tuple | None) -> list[tuple[int, int]]:
-    """Links between members of two groups (or within one): a spanning forest of them.
+def through_bound(percent: int, sizes: np.ndarray, tokens: np.ndarray, union: np.ndarray, least: int) -> np.ndarray:
+    """Which query sets may link with a set of at least ``least`` tokens within the sorted ``union``."""
+    at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+    total = np.concatenate([[0], np.cumsum(union[at] == tokens)])
+    ends = np.cumsum(sizes)
+    return (100 + percent) * (total[ends] - total[ends - sizes]) >= percent * (sizes + least)
 
-    Each group is (reps, sizes, tokens). The members of ``left`` are tested against the union of ``right`` first.
-    """
+
+def open_groups(percent: int, left: tuple, right: tuple | None, every: bool = False) -> list[tuple[int, int]]:
+    """Links between members of two groups (or within one), each (reps, sizes, tokens): a spanning forest of them, or ``every`` one."""
     (reps, sizes, tokens), same = left, right is None
     other_reps, other_sizes, other_tokens = left if same else right
-    rows = np.repeat(np.arange(len(reps)), sizes)
     other_rows = np.repeat(np.arange(len(other_reps)), other_sizes)
-    union = np.unique(other_tokens)
-    at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-    meet = union[at] == tokens
-    overlap = np.bincount(rows[meet], minlength=len(reps))
-    through = (100 + percent) * overlap >= percent * (sizes + other_sizes.min())
-    if not through.any():
-        return []
-    pos = np.searchsorted(union, other_tokens)
-    order = np.argsort(pos, kind="stable")
-    column_rows, column_ends = other_rows[order], np.searchsorted(pos[order], np.arange(len(union) + 1))
+    order = np.argsort(other_tokens, kind="stable")
+    column, column_rows = other_tokens[order], other_rows[order]
     links, parent = [], {}
 
     def find(x):
@@ -258,38 +260,61 @@ def open_groups(percent: int, left: tuple, right: tuple | None) -> list[tuple[in
         return x
 
     ends = np.cumsum(sizes)
-    for q in np.flatnonzero(through):
-        mine = at[ends[q] - sizes[q] : ends[q]][meet[ends[q] - sizes[q] : ends[q]]]
-        spans = column_ends[mine + 1] - column_ends[mine]
-        hits = column_rows[np.repeat(column_ends[mine + 1] - np.cumsum(spans), spans) + np.arange(spans.sum())]
+    for q in range(len(reps)):
+        mine = tokens[ends[q] - sizes[q] : ends[q]]
+        first, last = np.searchsorted(column, mine), np.searchsorted(column, mine, side="right")
+        spans = last - first
+        hits = column_rows[np.repeat(last - np.cumsum(spans), spans) + np.arange(spans.sum())]
         both = np.bincount(hits, minlength=len(other_reps))
         linked = np.flatnonzero((100 + percent) * both >= percent * (sizes[q] + other_sizes))
-        for d in linked:
+        for d in linked[linked > q] if same else linked:
             a, b = find(int(reps[q])), find(int(other_reps[d]))
-            if a != b:
+            if every or a != b:
                 parent[max(a, b)] = min(a, b)
                 links.append((int(reps[q]), int(other_reps[d])))
     return links
 
 
-def _open(percent: int):
-    def group(row, side: str) -> tuple:
-        return tuple(np.frombuffer(row[f"{c}_{side}"].as_py(), t) for c, t in (("reps", np.int64), ("sizes", np.int64), ("tokens", np.uint64)))
+def _members(row: dict) -> tuple:
+    return tuple(np.frombuffer(row[c].as_py(), t) for c, t in (("reps", np.int64), ("sizes", np.int64), ("tokens", np.uint64)))
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield {c: batch.column(j)[i] for j, c in enumerate(batch.schema.names)}
 
+
+def _bounded(percent: int):
+    """Of each pair's queries those that the matrix row lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for row in _rows(batch):
+                reps, sizes, tokens = _members(row)
+                good = through_bound(percent, sizes, tokens, np.frombuffer(row["matrix"].as_py(), np.uint64), row["least"].as_py())
+                if good.any():
+                    for column, value in zip(out, (row["b"].as_py(), reps[good].tobytes(), sizes[good].tobytes(), tokens[np.repeat(good, sizes)].tobytes())):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), *[pa.binary()] * 3))], names=["b", "q_reps", "q_sizes", "q_tokens"])
+
+    return run
+
+
+def _opened(percent: int, every: bool, across: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in batch.schema.names}
-                same = row["a"].as_py() == row["b"].as_py()
-                links += open_groups(percent, group(row, "a"), None if same else group(row, "b"))
+            for row in _rows(batch):
+                queries = _members({c: row[f"q_{c}"] for c in ("reps", "sizes", "tokens")}) if across else _members(row)
+                links += open_groups(percent, queries, _members(row) if across else None, every)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def class_links(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between set representatives that give the components of all links of ``sets`` (rep, n, h1, h2, tokens)."""
+def class_links(sets: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """(a, b): links between set representatives of ``sets`` (rep, n, h1, h2, tokens), enough for the components of all links, or ``every`` one."""
     spark = sets.sparkSession
     small_batches(spark)
     counted = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > COMMON_OVER)
@@ -298,14 +323,44 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     topped = sets.mapInArrow(_with_commonest(common), "rep long, n long, h1 long, h2 long, tokens array<long>, top long")
     order = ("top", "h1", "h2", "n", "rep")
     ordered = topped.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
-    groups = cut(ordered.select("rep", "h1", "top", "tokens").mapInArrow(_grouped(percent, common), "gid long, reps binary, sizes binary, tokens binary, keys array<long>, least long, most long"))
+    groups = cut(ordered.select("rep", "h1", "top", "tokens").mapInArrow(_grouped(percent, common), GROUPS))
     keys = groups.select("gid", "least", "most", F.explode("keys").alias("key"))
     x, y = keys.alias("x"), keys.alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.gid") < F.col("y.gid")) & (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least"))
-    across = x.join(y, meet).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
-    within = groups.where(F.octet_length("reps") > 8).select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    side = lambda s: groups.select(F.col("gid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("reps", "sizes", "tokens")])
-    return across.union(within).join(side("a"), "a").join(side("b"), "b").mapInArrow(_open(percent), "a long, b long")
+    pairs = x.join(y, meet).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
+    members = groups.select("gid", "reps", "sizes", "tokens")
+    # queries of a against the matrix row of b; b's members only for queries that pass
+    asked = pairs.join(members.withColumnRenamed("gid", "a"), "a").join(groups.select(F.col("gid").alias("b"), "matrix", "least"), "b")
+    passed = asked.select("b", "reps", "sizes", "tokens", "matrix", "least").mapInArrow(_bounded(percent), "b long, q_reps binary, q_sizes binary, q_tokens binary")
+    across = passed.join(members.withColumnRenamed("gid", "b"), "b").mapInArrow(_opened(percent, every, True), "a long, b long")
+    within = members.where(F.octet_length("reps") > 8).mapInArrow(_opened(percent, every, False), "a long, b long")
+    return across.union(within)
+
+
+def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows with facts, classes of equal sets, those that may link, their sets)."""
+    base = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    facts = cut(set_classes(base.select("rid", "text"), width))
+    rows = cut(facts.join(base.select("rid", "doc_id"), "rid"))
+    classes = rows.where("n > 0").groupBy(*CLASS).agg(F.min("rid").alias("rep"), F.max("alone").alias("alone"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    alive = cut(classes.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
+    sets = cut(base.select("rid", "text").join(alive.select(F.col("rep").alias("rid")), "rid", "left_semi").mapInArrow(_token_sets(width), "rep long, n long, h1 long, h2 long, tokens array<long>"))
+    return rows, classes, alive, sets
+
+
+#: what tells the classes of equal sets apart
+CLASS = ["n", "d1", "d2"]
+
+
+def _brought_back(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of non-empty sets with the columns of their class (``named``, with its number of ``copies``).
+
+    A class of over a thousandth of the rows would fill a task of the join: there are under a thousand such, so they are broadcast.
+    """
+    least, some = rows.count() / HOT_CLASSES, rows.where("n > 0")
+    hot = F.broadcast(named.where(F.col("copies") > least))
+    rare = some.join(hot.select(*CLASS), CLASS, "left_anti").join(named.where(F.col("copies") <= least), CLASS)
+    return some.join(hot, CLASS).unionByName(rare)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,33 +371,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     an empty set and is its own component. Rows of equal sets are one class however many they are. A null id
     counts only where a component has no other; an empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    base = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    facts = cut(set_classes(base.select("rid", "text"), width))
-    ids = base.select("rid", "doc_id")
-    rows = cut(facts.join(ids, "rid"))
-    classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("rid").alias("rep"), F.max("alone").alias("alone"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    alive = cut(classes.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
-    sets = cut(base.select("rid", "text").join(alive.select(F.col("rep").alias("rid")), "rid", "left_semi").mapInArrow(_token_sets(width), "rep long, n long, h1 long, h2 long, tokens array<long>"))
+    rows, classes, alive, sets = _classes(docs, width, percent, id_col, text_col)
     roots = components(class_links(sets, percent))
     # smallest id of each component, brought back to its classes, then to the rows
     joined = alive.join(roots.select(F.col("v").alias("rep"), "root"), "rep")
     best = joined.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    linked = cut(joined.join(best, "root").select("n", "d1", "d2", "component_id", "root"))
-    named = classes.join(linked, ["n", "d1", "d2"], "left").select(
-        "n", "d1", "d2", "copies", F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "rep").alias("component_row")
+    linked = cut(joined.join(best, "root").select(*CLASS, "component_id", "root"))
+    named = classes.join(linked, CLASS, "left").select(
+        *CLASS, "copies", F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "rep").alias("component_row")
     )
-    # a class of over a thousandth of the rows would fill a task of the join: there are under a thousand such, so they are broadcast
-    least = rows.count() / HOT_CLASSES
-    named = cut(named)
-    hot, keys = F.broadcast(named.where(F.col("copies") > least).drop("copies")), ["n", "d1", "d2"]
-    some = rows.where("n > 0")
-    rare = some.join(hot.select(*keys), keys, "left_anti").join(named.where(F.col("copies") <= least).drop("copies"), keys)
     lone = rows.where("n = 0").withColumns({"component_id": F.col("doc_id"), "component_row": F.col("rid")})
-    placed = some.join(hot, keys).unionByName(rare).unionByName(lone, allowMissingColumns=False)
+    placed = _brought_back(rows, cut(named)).drop("copies").unionByName(lone)
     return placed.select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "component_row")
 
 
+def near_pairs(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join itself: (pairs of linked classes, members of the classes).
+
+    Pairs: (class_a, class_b), each once; members: one row for each row (rid, doc_id, n_shingles, class, links), where links is
+    the number of other rows it links with. A class is the rows of one set, known by its smallest rid; rows of a class link with
+    one another, and with every row of a class that theirs is paired with. Awkward rows as in :func:`near_duplicates`.
+    """
+    rows, classes, _, sets = _classes(docs, width, percent, id_col, text_col)
+    pairs = cut(class_links(sets, percent, every=True).select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b")).distinct())
+    ends = pairs.select(F.col("class_a").alias("rep"), F.col("class_b").alias("other")).union(pairs.select("class_b", "class_a"))
+    across = ends.join(classes.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("across"))
+    named = cut(classes.select(*CLASS, "rep", "copies").join(across, "rep", "left").select(*CLASS, "copies", F.col("rep").alias("class"), (F.coalesce("across", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    lone = rows.where("n = 0").withColumns({"class": F.col("rid"), "links": F.lit(0).cast("long")})
+    return pairs, _brought_back(rows, named).drop("copies").unionByName(lone).select("rid", "doc_id", F.col("n").alias("n_shingles"), "class", "links")
+
+
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) with the smallest id of each component of :func:`near_duplicates`."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
@@ -352,3 +410,22 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=90).drop("rid", "component_row")
+
+
+OP5_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([array_to_string(w[i : i + 2], ' ') FOR i IN range(1, len(w) - 1)]) END AS k
+  FROM d
+), t AS (SELECT rid, len(k) AS n, unnest(k) AS k FROM s),
+p AS (
+  SELECT x.rid AS a, y.rid AS b FROM t x JOIN t y ON y.k = x.k AND y.rid <> x.rid
+  GROUP BY x.rid, y.rid, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), r AS (SELECT rid AS a, rid AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b)
+SELECT s.doc_id, CAST(len(s.k) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM s JOIN r ON r.a = s.rid JOIN s o ON o.rid = r.b GROUP BY s.rid, s.doc_id, len(s.k)
+"""

@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_license_scan": license_scan.OP4_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op5_ngram_jaccard": ngram_jaccard.OP5_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op8_vector_topk": vector_topk.OP8_SQL,
 }

@@ -285,6 +285,33 @@ def test_opening_groups_finds_every_link():
         assert find(links) == find(pairs)
 
 
+def test_bounds_let_every_link_through():
+    rng = np.random.default_rng(6)
+    draw = lambda n, most: [np.unique(rng.integers(0, most, rng.integers(10, 60)).astype(np.uint64)) for _ in range(n)]
+    queries, others = draw(20, 90) + draw(10, 40), draw(20, 40)
+    for percent in (20, 40, 60):
+        good = ngram_jaccard.through_bound(percent, np.array([len(q) for q in queries]), np.concatenate(queries), np.unique(np.concatenate(others)), min(map(len, others)))
+        linked = [any(100 * len(np.intersect1d(q, d)) >= percent * len(np.union1d(q, d)) for d in others) for q in queries]
+        assert (good >= linked).all()
+    assert any(linked) and not good.all()
+
+
+@pytest.mark.parametrize("name", ["docs", "real"])
+def test_near_pairs_are_all_pairs(name, request):
+    df = request.getfixturevalue(name)
+    sets = [h.shingles(r["text"], 3) for r in df.collect()]
+    want = Counter(sum(bool(a) and i != j and 100 * len(a & b) >= 60 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets))
+    pairs, members = ngram_jaccard.near_pairs(df, 3, 60)
+    got = members.collect()
+    assert Counter(r["links"] for r in got) == want and len(got) == len(sets)
+    copies, partners = Counter(r["class"] for r in got), Counter()
+    for r in pairs.collect():
+        assert r["class_a"] < r["class_b"]
+        partners[r["class_a"]] += copies[r["class_b"]]
+        partners[r["class_b"]] += copies[r["class_a"]]
+    assert all(r["links"] == (partners[r["class"]] + copies[r["class"]] - 1 if r["n_shingles"] else 0) for r in got)
+
+
 def _classes(n, edges):
     root = list(range(n))
 
@@ -303,11 +330,18 @@ def _classes(n, edges):
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
-    got = {r["v"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["v"]: r["root"] for r in components(spark.createDataFrame([*links, (None, 3)], "a long, b long")).collect()}
     assert {v: r for v, r in got.items()} == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 140)}}
 
 
+def test_components_say_when_they_are_not_at_rest(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(path, rounds=1)
+
+
 def test_near_duplicates_of_nothing(spark):
+    assert all(x.count() == 0 for x in ngram_jaccard.near_pairs(h.empty(spark)))
     assert ngram_jaccard.near_duplicates(h.empty(spark)).count() == 0
     blank = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string")
     assert rows(ngram_jaccard.near_duplicates(blank), "doc_id", "n_shingles", "component_id") == {(1, 0, 1): 1, (2, 0, 2): 1, (3, 0, 3): 1}
@@ -425,27 +459,33 @@ def test_top_products_of_nothing(spark):
 
 
 def brute_scores(items, target):
+    """Both models counted anew for each text, without it."""
     low = [[w.translate(h.LOWER) for w in h.words(t)] for _, t in items]
-    models = []
-    for chosen in ([i in target and i is not None for i, _ in items], [True] * len(items)):
-        uni, pair, lead, total = Counter(), Counter(), Counter(), 0
-        for w, c in zip(low, chosen):
+    chosen = [i in target and i is not None for i, _ in items]
+    pairs = [list(zip([None, *w], w)) for w in low]
+
+    def counts(which):
+        uni, pair, lead = Counter(), Counter(), Counter()
+        for w, q, c in zip(low, pairs, which):
             if c:
-                for v, x in zip([None, *w], w):
-                    uni[x] += 1
-                    pair[v, x] += 1
-                    lead[v] += 1
-                    total += 1
-        lead = Counter({v: (uni[v] if v is not None else n) for v, n in lead.items()}) | Counter({v: uni[v] for v in uni})
-        models.append((uni, pair, lead, total))
+                uni.update(w)
+                pair.update(q)
+                lead.update([None] * bool(w))
+        return uni, pair, lead
+
+    every, good = counts([True] * len(items)), counts(chosen)
     out = []
-    for w in low:
+    for w, q, mine in zip(low, pairs, chosen):
+        uni, pair = Counter(w), Counter(q)
+        total, mass = every[0].total() - len(w), good[0].total() - len(w) * mine
         losses = []
-        for uni, pair, lead, total in models:
+        for (u, b, lead), off, by in ((good, mine, 1.0), (every, True, mass / max(total, 1))):
             loss = 0.0
-            for v, x in zip([None, *w], w):
-                one = (uni[x] + lm_scoring.PRIOR * models[1][0][x] / models[1][3]) / (total + lm_scoring.PRIOR)
-                loss -= np.log((pair[v, x] + lm_scoring.BACKOFF * one) / (lead[v] + lm_scoring.BACKOFF))
+            for v, x in q:
+                prior = (every[0][x] - uni[x] + lm_scoring.OPEN_WEIGHT / lm_scoring.OPEN_WORDS) / (total + lm_scoring.OPEN_WEIGHT)
+                one = ((u[x] - uni[x] * off) * by + lm_scoring.PRIOR * prior) / (mass + lm_scoring.PRIOR)
+                before = (lead[None] - off) if v is None else (u[v] - uni[v] * off)
+                loss -= np.log(((b[v, x] - pair[v, x] * off) * by + lm_scoring.BACKOFF * one) / (before * by + lm_scoring.BACKOFF))
             losses.append(loss / max(len(w), 1))
         out.append((len(w), *losses))
     return out
@@ -463,6 +503,36 @@ def test_scores_equal_brute_force(name, request, spark):
         assert r["score"] == pytest.approx(w[1] - w[2], abs=1e-9)
 
 
+def test_a_text_is_not_scored_by_itself(spark):
+    """Texts that occur twice stand out, and a target's only text does not score as the target does."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 60)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate([*texts, *texts[:10]])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(df, spark.createDataFrame([(i,) for i in range(20, 40)], "doc_id long")).collect()}
+    assert max(got[i]["background_loss"] for i in [*range(10), *range(60, 70)]) < min(got[i]["background_loss"] for i in range(10, 60))
+    assert abs(np.mean([got[i]["score"] for i in range(20, 40)]) - np.mean([got[i]["score"] for i in range(40, 60)])) < 0.3  # by itself it would be over 2
+
+
+def test_batches_do_not_depend_on_pieces(spark, monkeypatch):
+    from hazardloom.llm import blobs
+
+    monkeypatch.setattr(blobs, "BATCH_BYTES", 50)
+    monkeypatch.setattr(blobs, "BATCH_ROWS", 4)
+    texts = pa.array(["x" * n for n in (10, 45, 200, 0, 0, 0, 0, 0, 3, 60, 20, 20, 20)])
+    rids = pa.array(range(len(texts)), pa.int64())
+    seen = set()
+    for step in (1, 2, 5, 13):
+        pieces = [pa.RecordBatch.from_arrays([rids.slice(i, step), texts.slice(i, step)], names=["rid", "text"]) for i in range(0, len(texts), step)]
+        seen.add(tuple((n, tuple(t.column("rid").to_pylist())) for n, t in blobs.whole_batches(iter(pieces), 0, 1)))
+    assert seen == {((0, (0,)), (1, (1,)), (2, (2,)), (3, (3, 4, 5, 6)), (7, (7, 8)), (9, (9,)), (10, (10, 11)), (12, (12,)))}
+
+
+def test_windows_of_one_key_are_told_apart():
+    key, check = np.array([5, 7, 5, 5, 7], np.uint64), np.array([1, 2, 3, 1, 2], np.uint32)
+    order, first = substring_dedup._sorted_windows(key, check)
+    assert key[order].tolist() == [5, 5, 5, 7, 7] and check[order].tolist() == [1, 1, 3, 2, 2] and first.tolist() == [True, False, True, True, False]
+
+
 def test_scoring_without_target_or_rows(spark, docs):
     none = spark.createDataFrame([], "doc_id long")
     assert lm_scoring.score_documents(docs, none).count() == docs.count()
