@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,17 +91,20 @@ def _places(code: np.ndarray, size: int) -> list[np.ndarray]:
     return [(mixed * np.uint32(m) ^ (mixed >> np.uint32(11)) * np.uint32(m ^ 0x5BD1E995)) >> shift for m in _MULTIPLIERS]
 
 
-def fit_filters(training: DataFrame, text_col: str, lang_col: str, sample_rows: int = 20_000, top_grams: int = 12_000) -> LanguageFilters:
-    """Learn the filters from at most about ``sample_rows`` labelled rows (drawn by a hash of the text).
+def fit_filters(training: DataFrame, text_col: str, lang_col: str, texts_each: int = 5_000, least_share: float = 0.002) -> LanguageFilters:
+    """Learn the filters from at most about ``texts_each`` distinct labelled texts of each language.
 
-    Each language keeps its ``top_grams`` n-grams that occur in most sampled texts. Both bounds are
-    parameters of the classifier; ties go to the smaller n-gram, languages are in order of their names.
+    The texts are drawn by a hash of their content, which no text's number of copies changes, so every language has its
+    share however rare. A language keeps every n-gram that occurs in ``least_share`` of its sampled texts or more; both
+    bounds are parameters of the classifier. Languages are in order of their names. The driver gets the counts of
+    languages and the n-grams kept, of which the two bounds allow ``n-grams of a text / least_share`` a language.
     """
-    rows = training.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    total = rows.count()
-    if not total:
+    rows = training.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
+    size = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
+    if not size:
         return LanguageFilters([], np.zeros((4096, 1), np.uint64), np.zeros(0))
-    drawn = rows.where(hash_unit(F.lit(5), F.col("text")) < F.lit(sample_rows / total))
+    rates = F.create_map(*[F.lit(x) for lang, n in sorted(size.items()) for x in (lang, min(1.0, texts_each / n))])
+    drawn = rows.where(hash_unit(F.lit(5), F.col("h")) < rates[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,14 +118,12 @@ def fit_filters(training: DataFrame, text_col: str, lang_col: str, sample_rows:
                 lang = langs.dictionary.take(pa.array((key >> np.uint64(32)).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([lang, pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counts = drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_grams).select("lang", "gram").collect()
-    of: dict[str, list[int]] = {}
-    for lang, gram in top:
-        of.setdefault(lang, []).append(gram)
-    languages = sorted(of)
-    return LanguageFilters.build(languages, {k: np.array(v, np.uint32) for k, v in of.items()})
+    counts = drawn.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    least = F.create_map(*[F.lit(x) for lang, n in sorted(size.items()) for x in (lang, least_share * min(n, texts_each))])
+    kept = counts.where(F.col("n") >= least[F.col("lang")]).select("lang", "gram").toArrow()
+    codes, langs = kept.column("gram").to_numpy().astype(np.uint32), kept.column("lang").to_numpy()
+    of = {lang: np.sort(codes[langs == lang]) for lang in sorted(size)}
+    return LanguageFilters.build(list(of), of)
 
 
 def predict_language(docs: DataFrame, filters: LanguageFilters, text_col: str = "text") -> DataFrame:
