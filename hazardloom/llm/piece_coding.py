@@ -7,8 +7,10 @@ A unigram model's best segmentation maximises the sum of piece scores over its l
 type lends its pieces and scores). Giant texts are split into chunks. A
 chunk's transfer matrix holds, for each number of characters that a piece from the left reaches into
 it and each number that its own last piece reaches beyond it, the best score between. Matrices combine
-by max-plus products, which are associative; the products give each chunk its boundary states, and
-every chunk is then backtraced on its own.
+by max-plus products, which are associative: those of a block of chunks first, block by block in parallel, then
+the blocks', and on the way back the blocks' boundary states give those of their chunks. Every chunk is then backtraced on
+its own. Scores are multiples of 2**-24, so their sums are exact in any order, and where two best paths cross a
+boundary apart, that is seen: such a text is traced whole, so ids never depend on the chunks.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .blobs import small_batches
 from .common import cut, numbered, shuffle_width
 from .text_arrays import text_bytes, text_slices
 
-#: characters of one chunk
-CHUNK = 32_768
+#: characters of one chunk, and chunks of one block
+CHUNK, BLOCK = 32_768, 64
 #: an unknown character scores this much less than the lowest piece
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
@@ -49,8 +51,8 @@ class PieceModel:
         self.processor = p = SentencePieceProcessor(model_file=path)
         plain = [i for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
         self.ids = {p.id_to_piece(i): i for i in plain}
-        self.scores = {s: float(p.get_score(i)) for s, i in self.ids.items()}
-        self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
+        self.scores = {s: _exact(p.get_score(i)) for s, i in self.ids.items()}
+        self.unknown = _exact(min(self.scores.values()) - UNKNOWN_PENALTY)
         #: what the normaliser puts before a text, and decoding takes off again
         self.prefix = SPACE if p.normalize("a") == SPACE + "a" else ""
         self.bytes = [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -326,7 +328,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 def _kind(raw: bytes) -> int:
     """The model type of a model file (trainer_spec.model_type)."""
-    return next((v for f, spec in _fields(raw) if f == 2 for g, v in _fields(spec) if g == 3), UNIGRAM)
+    return ([UNIGRAM] + [v for f, spec in _fields(raw) if f == 2 for g, v in _fields(spec) if g == 3])[-1]  # of repeated fields the last counts
 
 
 def maps_characters(path: str) -> bool:
@@ -341,6 +343,11 @@ def merges(path: str) -> bool:
         return _kind(f.read()) != UNIGRAM
 
 
+def _exact(score: float) -> float:
+    """The nearest multiple of 2**-24: a file's scores are such already, but for tiny ones."""
+    return round(score * 2.0**24) / 2.0**24
+
+
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
@@ -350,15 +357,24 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.max(a[:, :, None] + b[None, :, :], axis=1)
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[int]:
-    """Reach at each chunk boundary on the best path that begins and ends at reach 0 (first and last included)."""
-    prefix = [matrices[0]]
-    for m in matrices[1:]:
-        prefix.append(max_plus(prefix[-1], m))
-    states = [0]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of neighbouring matrices, by pairs."""
+    while len(matrices) > 1:
+        matrices = [max_plus(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def boundary_states(matrices: list[np.ndarray], entry: int = 0, leave: int = 0) -> tuple[list[int], bool]:
+    """(reach at each boundary on the best path from reach ``entry`` to reach ``leave``, both included; whether no other is as good)."""
+    reached = [np.where(np.arange(len(matrices[0])) == entry, 0.0, -np.inf)]
+    for m in matrices[:-1]:
+        reached.append(np.max(reached[-1][:, None] + m, axis=0))
+    states, sure = [leave], True
     for at in range(len(matrices) - 1, 0, -1):
-        states.append(int(np.argmax(prefix[at - 1][0] + matrices[at][:, states[-1]])))
-    return [0, *reversed(states)]
+        total = reached[at] + matrices[at][:, states[-1]]
+        states.append(int(np.argmax(total)))
+        sure &= int((total == total[states[-1]]).sum()) == 1
+    return [entry, *reversed(states)], bool(sure)
 
 
 _MODELS: dict[tuple[str, bool], PieceModel] = {}
@@ -433,12 +449,52 @@ def _transfers(path: str):
     return run
 
 
-def _states(table: pa.Table) -> pa.Table:
+def _matrices(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
     table = table.combine_chunks().sort_by("chunk")
-    matrices = [np.frombuffer(m) for m in table.column("matrix").to_pylist()]
-    side = int(round(len(matrices[0]) ** 0.5))
-    states = boundary_states([m.reshape(side, side) for m in matrices])
-    return pa.table([table.column("rid"), table.column("chunk"), pa.array(states[:-1], pa.int32()), pa.array(states[1:], pa.int32())], names=["rid", "chunk", "entry", "exit"])
+    flat = [np.frombuffer(m) for m in table.column("matrix").to_pylist()]
+    side = int(round(len(flat[0]) ** 0.5))
+    return table, [m.reshape(side, side) for m in flat]
+
+
+def _block_product(table: pa.Table) -> pa.Table:
+    table, matrices = _matrices(table)
+    return pa.table({"rid": table.column("rid")[:1], "chunk": table.column("block")[:1], "matrix": pa.array([product(matrices).tobytes()], pa.binary())})
+
+
+def _block_states(table: pa.Table) -> pa.Table:
+    table, matrices = _matrices(table)
+    states, sure = boundary_states(matrices)
+    return pa.table({"rid": table.column("rid"), "block": table.column("chunk"), "enter": pa.array(states[:-1], pa.int32()), "leave": pa.array(states[1:], pa.int32()), "sure": pa.array([sure] * len(matrices))})
+
+
+def _chunk_states(table: pa.Table) -> pa.Table:
+    table, matrices = _matrices(table)
+    states, sure = boundary_states(matrices, *(table.column(c)[0].as_py() for c in ("enter", "leave")))
+    whole = pa.array([sure and table.column("sure")[0].as_py()] * len(matrices))
+    return pa.table({"rid": table.column("rid"), "chunk": table.column("chunk"), "entry": pa.array(states[:-1], pa.int32()), "exit": pa.array(states[1:], pa.int32()), "sure": whole})
+
+
+def chunk_states(matrices: DataFrame) -> DataFrame:
+    """(rid, chunk, entry, exit, sure) of chunks (rid, chunk, matrix): up a tree of two levels by products, and down again."""
+    blocks = matrices.withColumn("block", F.floor(F.col("chunk") / BLOCK).cast("int"))
+    tops = blocks.groupBy("rid", "block").applyInArrow(_block_product, "rid long, chunk int, matrix binary")
+    between = tops.groupBy("rid").applyInArrow(_block_states, "rid long, block int, enter int, leave int, sure boolean")
+    return blocks.join(between, ["rid", "block"]).groupBy("rid", "block").applyInArrow(_chunk_states, "rid long, chunk int, entry int, exit int, sure boolean")
+
+
+def _whole(path: str):
+    """A text of several chunks traced at once, as its first chunk; the others are empty."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("chunk")
+        n = table.num_rows
+        text = "".join(t[:size] for t, size in zip(table.column("text").to_pylist(), table.column("size").to_pylist()))
+        ids, score = _model(path).trace(text, 0, len(text))
+        none, facts = [b""] * (n - 1), [table.column(c) for c in ("rid", "doc_id", "chunk", "chunks")]
+        made = [pa.array([np.array(ids, "<u4").tobytes(), *none], pa.binary()), pa.array([score, *[0.0] * (n - 1)]), pa.array([text, *[""] * (n - 1)], pa.string())]
+        return pa.table([*facts, *made, table.column("source")], names=[f.split()[0] for f in CODED.split(", ")])
+
+    return run
 
 
 def _backtrace(path: str):
@@ -469,9 +525,11 @@ def _coded(docs: DataFrame, model: str, id_col: str, text_col: str, chunk: int,
     giant = cut(likely.mapInArrow(_split(model, chunk, own, long=True), CHUNKS).where("chunks > 1").drop("ids", "score").repartition(shuffle_width(docs.sparkSession), "rid", "chunk"))
     if own:
         return whole, giant.mapInArrow(_merged(model), CODED)
-    states = giant.select("rid", "chunk", "size", "text").mapInArrow(_transfers(model), "rid long, chunk int, matrix binary").groupBy("rid").applyInArrow(_states, "rid long, chunk int, entry int, exit int")
-    traced = giant.join(states, ["rid", "chunk"]).mapInArrow(_backtrace(model), CODED)
-    return whole, traced
+    matrices = cut(giant.select("rid", "chunk", "size", "text").mapInArrow(_transfers(model), "rid long, chunk int, matrix binary"))
+    states = cut(chunk_states(matrices))
+    torn = states.where(~F.col("sure")).select("rid").distinct()
+    traced = giant.join(torn, "rid", "left_anti").join(states.drop("sure"), ["rid", "chunk"]).mapInArrow(_backtrace(model), CODED)
+    return whole, traced.union(giant.join(torn, "rid", "left_semi").groupBy("rid").applyInArrow(_whole(model), CODED))
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, own: bool = False) -> DataFrame:
@@ -479,10 +537,10 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
     By the best path, or with ``own`` by the model's own type: then the ids are those that the library gives the row.
     ``text`` is the normalised text that the chunk's ids cover, ``source`` the SHA-256 of the row's whole text before normalising; of equally good
-    paths any one is taken; ids and texts of a row's chunks join in order. A null
-    or empty text is one chunk without ids and score 0; a null id stays null; repeated rows are coded apart; an empty
+    paths the one is taken whose last piece is longest, then the last but one, and so on, whatever the chunks; ids and texts of a row's chunks join in
+    order. A null or empty text is one chunk without ids and score 0; a null id stays null; repeated rows are coded apart; an empty
     table gives no rows; columns other than id and text are not read. Only texts of over ``chunk`` characters are
-    shuffled, a chunk at a time; a row's matrices (2 kB a chunk) meet in one task.
+    shuffled, a chunk at a time; the matrices (2 kB a chunk) of a block of chunks meet in one task, and one for each block of a row.
     """
     whole, traced = _coded(docs, model, id_col, text_col, chunk, own)
     return whole.union(traced)
