@@ -1,7 +1,10 @@
 """Corpus pipeline over ``documents``: language ID, exact dedup, near-duplicate join, substring dedup, packing.
 
 Every stage works on all rows its predecessor kept and passes the columns of ``documents`` on; the last one
-returns the pieces to train on. Stages are (name, function of (spark, docs, sf_dir)).
+returns the pieces to train on, with their ids. Stages are (name, function of (spark, docs, sf_dir)).
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and an empty table (which stays empty);
+columns beside doc_id, text, lang and n_chars are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -9,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm.common import cut
+from hazardloom.llm.common import settle, written
 from hazardloom.llm.exact_dedup import exact_dedup
 from hazardloom.llm.language_id import UNKNOWN, fit_filters, learnable, predict_language
 from hazardloom.llm.ngram_jaccard import near_dedup
-from hazardloom.llm.packing import pack_documents, piece_digests, tokenizer_path
+from hazardloom.llm.packing import pack_documents, tokenizer_path
 from hazardloom.llm.substring_dedup import substring_dedup
 
 #: a text whose best language covers less of its n-grams than this is rejected
@@ -21,24 +24,38 @@ LEAST_COVER = 0.2
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; null, letterless and unrecognisable texts go."""
+    """Documents whose language is recognised.
+
+    Null, empty and letterless texts go, as do those whose best language covers under ``LEAST_COVER`` of their n-grams; where no
+    row has a language to learn from, all go. Ties between languages go to the first by name; repeated rows share one fate.
+    """
     filters = fit_filters(docs.where(learnable()), "text", "lang")
     found = predict_language(docs, filters)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_COVER)).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts (white space aside).
+
+    The one with the most code points stays, then the smallest id (a null id last), then the first of repeated rows; null counts as empty.
+    """
     return exact_dedup(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8)."""
+    """One document of each group of near duplicates (five words, similarity 0.8).
+
+    The smallest id stays (a null id last), then the first of repeated rows; texts without words link with nothing and stay.
+    """
     return near_dedup(docs, width=5, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated passages; one that has no word left goes. Untouched texts stay as they are."""
+    """Documents without their repeated passages (35 words or more that start anywhere else too).
+
+    A text that loses nothing stays as it is, null and white space included; of any other the words that stay are joined by
+    one blank, and n_chars, if there, follows; one that has no word left goes. Passages of repeated rows repeat.
+    """
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select("text", F.struct(*rest).alias("rest"))  # one column, so names cannot clash
     found = substring_dedup(rows, carry=("rest",), keep_untouched=True).where("n_words = 0 or n_removed < n_words")
@@ -49,8 +66,11 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two pieces of what is left."""
-    return piece_digests(pack_documents(docs, tokenizer_path()))
+    """Power-of-two pieces of what is left: doc_id, start, length, ids (little-endian unsigned 32-bit), ids_crc32, doc_tokens, sequence_id, offset, bucket.
+
+    A null or empty text is one piece of the end id; repeated rows give pieces of their own; a null id stays null.
+    """
+    return pack_documents(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
@@ -67,9 +87,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``; what a stage returns is written and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = cut(docs)
+            docs = settle(docs, since)
     return docs

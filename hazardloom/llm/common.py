@@ -20,11 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: a short lineage that survives lost executors."""
+    """Write ``df`` as Parquet into the shared folder and read it again: a short lineage that survives lost executors.
+
+    The files go when the process ends, or earlier by :func:`settle`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hl-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -38,6 +45,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def written() -> int:
+    """How many frames were cut so far: a mark for :func:`settle`."""
+    return len(_WRITTEN)
+
+
+def settle(df: DataFrame, since: int) -> DataFrame:
+    """:func:`cut`, after which the files that were cut ``since`` a mark are no longer needed, and go."""
+    out = cut(df)
+    while len(_WRITTEN) > since + 1:
+        _remove(df.sparkSession, _WRITTEN.pop(since))
+    return out
+
+
 def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
     """Add a row number that a file-backed frame gets again whenever it is read again."""
     return docs.withColumn(name, F.monotonically_increasing_id())

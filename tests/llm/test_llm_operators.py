@@ -124,6 +124,44 @@ def test_held_out_accuracy(real):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+@pytest.mark.parametrize("name", ["docs", "real"])
+def test_languages_equal_brute_force(name, request):
+    """Exact n-gram sets in place of the filters: the same languages wherever two are not about alike, and the same scores."""
+    df = request.getfixturevalue(name)
+    items = [(r["text"], r["lang"], learn) for r, learn in ((r, r["learn"]) for r in df.withColumn("learn", language_id.learnable()).select("text", "lang", "learn").collect())]
+
+    def grams(text):
+        b = bytes(32 if c < 32 else c for c in f" {text.lower()}   ".encode())
+        return [b[i : i + 4] for i in range(len(b) - 3)]
+
+    seen, size = {}, Counter()
+    for text, lang in {(t, lang) for t, lang, learn in items if learn and t is not None and lang is not None}:
+        seen.setdefault(lang, Counter()).update(set(grams(text)))
+        size[lang] += 1
+    known = {lang: {g for g, n in c.items() if n >= 0.002 * size[lang]} for lang, c in sorted(seen.items())}
+    filters = language_id.fit_filters(df.where(language_id.learnable()), "text", "lang")
+    assert filters.languages == list(known)
+    got = language_id.predict_language(df.select("text"), filters).collect()
+    assert len(got) == len(items)
+    best = {}
+    for text in {t for t, _, _ in items}:
+        lettered = any(c.isalpha() for c in text or "")
+        g = grams(text) if lettered else []
+        best[text] = sorted(((sum(x in s for x in g) / len(g), lang) for lang, s in known.items()), key=lambda x: (-x[0], x[1])) if lettered else [(0.0, "und")]
+    for r in got:
+        (score, lang), *rest = best[r["text"]]
+        assert r["score"] == pytest.approx(score, abs=0.01)
+        assert r["lang_pred"] == lang or any(x > score - 0.01 and y == r["lang_pred"] for x, y in rest)
+
+
+def test_a_rare_language_is_learned_beside_a_hot_text(spark):
+    rows = [("the same english text again and again", "en")] * 3000 + [(f"ein seltener satz auf deutsch nummer {i}", "de") for i in range(3)]
+    filters = language_id.fit_filters(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", texts_each=2)
+    assert filters.languages == ["de", "en"]
+    got = language_id.predict_language(spark.createDataFrame([("noch ein seltener satz",), ("some english text",)], "text string"), filters).collect()
+    assert [r["lang_pred"] for r in got] == ["de", "en"]
+
+
 def test_language_of_awkward_texts(docs, spark):
     filters = language_id.fit_filters(docs.where(language_id.learnable()), "text", "lang")
     got = language_id.predict_language(docs, filters)
@@ -641,18 +679,120 @@ def test_unit_table_survives_repeats(model):
         assert m.flat[m.first[k] : m.first[k] + m.count[k]].tolist() == m.trace(u, 0, 2)[0]
 
 
-@pytest.mark.parametrize("kind", ["unigram", "bpe"])
-def test_texts_that_normalising_lengthens_are_coded(spark, kind, tmp_path):
-    from sentencepiece import SentencePieceProcessor, SentencePieceTrainer
+def with_field(path, field, body, to):
+    """A copy of a model file with one more field of a submessage (protocol buffers merge them)."""
+    size, x = [], len(body)
+    while x > 127:
+        size.append(x & 127 | 128)
+        x >>= 7
+    with open(path, "rb") as f:
+        raw = f.read()
+    with open(to, "wb") as f:
+        f.write(raw + bytes([field << 3 | 2, *size, x]) + body)
+    return str(to)
+
 
-    SentencePieceTrainer.train(sentence_iterator=iter(["a few plain words ... and dots"] * 50), model_prefix=str(tmp_path / "m"), model_type=kind, vocab_size=290, byte_fallback=True, hard_vocab_limit=False, normalization_rule_name="nfkc", minloglevel=2)
-    path = str(tmp_path / "m.model")
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """The model's pieces and ranks read as a unigram model: many of its sums are equal."""
+    return with_field(piece_coding.model_path(), 2, b"\x18\x01", tmp_path_factory.mktemp("model") / "unigram.model")
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_texts_that_normalising_lengthens_are_coded(spark, own, tmp_path):
+    import sentencepiece
+
+    nfkc = sentencepiece.SentencePieceNormalizer(rule_name="nfkc").serialized_model_proto()
+    spec = next(v for n, v in piece_coding._fields(nfkc) if n == 3)
+    path = with_field(piece_coding.model_path(), 3, next(b"\x12" + _length(v) + v for n, v in piece_coding._fields(spec) if n == 2), tmp_path / "m.model")
+    assert piece_coding.maps_characters(path)
     texts = ["…" * 100, "words", "… words " * 100, "…" * 66]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {}
-    for r in sorted(piece_coding.encode_documents(df, path, chunk=200, own=True).collect(), key=lambda r: r["chunk"]):
+    for r in sorted(piece_coding.encode_documents(df, path, chunk=200, own=own).collect(), key=lambda r: r["chunk"]):
         got[r["doc_id"]] = got.get(r["doc_id"], "") + r["text"]
-    assert got == {i: SentencePieceProcessor(model_file=path).normalize(t) for i, t in enumerate(texts)}
+    assert got == {i: sentencepiece.SentencePieceProcessor(model_file=path).normalize(t) for i, t in enumerate(texts)}
+    assert len(got[0]) > 250
+
+
+def _length(body):
+    out, x = [], len(body)
+    while x > 127:
+        out.append(x & 127 | 128)
+        x >>= 7
+    return bytes([*out, x])
+
+
+def whole_ids(df):
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: (r["rid"], r["chunk"])):
+        got[r["rid"]] = (r["doc_id"], got.get(r["rid"], (0, b""))[1] + r["ids"])
+    return Counter(got.values())
+
+
+def brute_path(m, text):
+    """Ids of the best sum, with the longest last piece of equals, by trying every piece at every place."""
+    best, back = [0.0] + [float("-inf")] * len(text), [0] * (len(text) + 1)
+    for j in range(1, len(text) + 1):
+        for i in range(max(0, j - m.reach), j):
+            score = m.scores.get(text[i:j], m.unknown if j - i == 1 else float("-inf"))
+            if best[i] + score > best[j]:
+                best[j], back[j] = best[i] + score, i
+    out, j = [], len(text)
+    while j:
+        out = m.ids_of(text[back[j] : j]) + out
+        j = back[j]
+    return out
+
+
+@pytest.mark.parametrize("name", ["docs", "real"])
+def test_ids_do_not_depend_on_chunks(name, request, model):
+    df = request.getfixturevalue(name)
+    df = df.where("length(text) < 4000 or text is null")
+    if name == "docs":
+        df = df.select("doc_id", "text").union(df.sparkSession.createDataFrame([(77, "a" * 900 + " some words of it " * 90 + "b" * 400)], "doc_id long, text string"))
+    path = piece_coding.model_path()
+    want = Counter((r["doc_id"], np.array(brute_path(model, model.normal(r["text"] or "")), "<u4").tobytes()) for r in df.collect())
+    for chunk in (100, 700, piece_coding.CHUNK):
+        assert whole_ids(piece_coding.encode_documents(df, path, chunk=chunk)) == want
+
+
+def test_unigram_sums_are_no_less_than_the_library_s(spark, real, unigram):
+    """Whole texts in unigram mode: no path that the library finds has a better sum of scores."""
+    from sentencepiece import SentencePieceProcessor
+
+    library, m = SentencePieceProcessor(model_file=unigram), piece_coding.PieceModel(unigram)
+    assert not piece_coding.merges(unigram)
+    df = real.where("length(text) < 1500").limit(60)
+    coded = piece_coding.encode_documents(df, unigram, chunk=150, own=True).collect()
+    ids, score = {}, {}
+    for r in sorted(coded, key=lambda r: (r["doc_id"], r["chunk"])):
+        ids[r["doc_id"]] = ids.get(r["doc_id"], []) + np.frombuffer(r["ids"], "<u4").tolist()
+        score[r["doc_id"]] = score.get(r["doc_id"], 0.0) + r["score"]
+    same = 0
+    for r in df.collect():
+        theirs = library.encode(r["text"])
+        if not any(library.is_byte(i) or library.is_unknown(i) for i in theirs):  # characters without a piece have no score there
+            assert score[r["doc_id"]] >= sum(m.scores[library.id_to_piece(i)] for i in theirs)
+            assert score[r["doc_id"]] == sum(m.scores[library.id_to_piece(i)] for i in ids[r["doc_id"]])
+            same += 1
+    assert same > 5
+
+
+def test_products_by_pairs_and_states_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(piece_coding, "BLOCK", 3)
+    rng = np.random.default_rng(4)
+    matrices = [rng.normal(size=(5, 5)) for _ in range(11)]
+    left = matrices[0]
+    for m in matrices[1:]:
+        left = piece_coding.max_plus(left, m)
+    assert piece_coding.product(matrices) == pytest.approx(left)
+    states, sure = piece_coding.boundary_states(matrices)
+    assert sure and sum(m[a, b] for m, a, b in zip(matrices, states, states[1:])) == pytest.approx(left[0, 0])
+    assert not piece_coding.boundary_states([np.zeros((2, 2))] * 3)[1]
+    df = spark.createDataFrame([(1, i, bytearray(m.tobytes())) for i, m in enumerate(matrices)] + [(2, 0, bytearray(matrices[0].tobytes()))], "rid long, chunk int, matrix binary")
+    got = {(r["rid"], r["chunk"]): (r["entry"], r["exit"], r["sure"]) for r in piece_coding.chunk_states(df).collect()}
+    assert got == {(1, i): (*states[i : i + 2], True) for i in range(11)} | {(2, 0): (0, 0, True)}
 
 
 def test_coding_of_nothing(spark):

@@ -1,15 +1,18 @@
 import os
 import sys
+import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 import helpers as h  # noqa: E402
 
 import corpus_pipeline as cp  # noqa: E402
-from hazardloom.llm import queries  # noqa: E402
+from hazardloom.llm import language_id, queries  # noqa: E402
+from hazardloom.llm.common import cut  # noqa: E402
 
 
 def test_queries_equal_sql(spark, sf_dir):
@@ -24,9 +27,25 @@ def test_queries_equal_sql(spark, sf_dir):
         assert Counter(tuple(r[c] for c in order) for r in got.collect()) == Counter(tuple(r[want.columns.index(c)] for c in order) for r in want.fetchall()), name
 
 
+def brute_packed(texts):
+    """(doc_id, start, ids) of all pieces of the texts by the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    from hazardloom.llm import packing
+
+    tokenizer, out = Tokenizer.from_file(packing.tokenizer_path()), Counter()
+    for i, t in texts.items():
+        ids, start = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], 0
+        for n in packing.piece_lengths(len(ids), 4096):
+            out[i, start, np.array(ids[start : start + n], "<u4").tobytes()] += 1
+            start += n
+    return out
+
+
 def test_stages_follow_each_other(spark, sf_dir, tmp_path):
+    """Every stage, and ``run`` from end to end, against brute force."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    seen = [docs.count()]
+    seen, left = [docs.count()], None
     for number, (name, stage) in enumerate(cp.STAGES):
         before = [(r["doc_id"], r["text"]) for r in docs.collect()] if number < 4 else None
         out = stage(spark, docs, sf_dir)
@@ -35,9 +54,15 @@ def test_stages_follow_each_other(spark, sf_dir, tmp_path):
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         after = {r["doc_id"]: r["text"] for r in docs.collect()} if number < 4 else None
+        if name == "language_id":
+            found = language_id.predict_language(spark.read.parquet(f"{sf_dir}/documents.parquet"), language_id.fit_filters(spark.read.parquet(f"{sf_dir}/documents.parquet").where(language_id.learnable()), "text", "lang"))
+            assert set(after) == {r["doc_id"] for r in found.collect() if r["lang_pred"] != "und" and r["score"] >= cp.LEAST_COVER}
         if name == "exact_dedup":
-            norm = lambda t: "".join(t.split())
-            assert len(after) == len({norm(t) for _, t in before})
+            norm = lambda t: "".join(c for c in t if c not in " \t\n\x0b\x0c\r")
+            best = {}
+            for i, t in before:
+                best[norm(t)] = min(best.get(norm(t), (0, i)), (-len(t), i))
+            assert set(after) == {i for _, i in best.values()}
         if name == "ngram_jaccard":
             want = h.linked([t for _, t in before], 5, 80)
             first = {}
@@ -47,15 +72,26 @@ def test_stages_follow_each_other(spark, sf_dir, tmp_path):
         if name == "substring_dedup":
             want = {i: k if gone else t for (i, t), (n, gone, k) in zip(before, h.without_repeats([t for _, t in before], 35)) if not n or gone < n}
             assert after == want
+            left = after
         seen.append(docs.count())
     assert seen[0] >= seen[1] >= seen[2] > seen[3] > 0
-    assert cp.run(spark, sf_dir).count() == seen[-1]
+    pieces = cp.run(spark, sf_dir).collect()
+    assert Counter((r["doc_id"], r["start"], bytes(r["ids"])) for r in pieces) == brute_packed(left)
+    assert all(r["ids_crc32"] == zlib.crc32(r["ids"]) and len(r["ids"]) == 4 * r["length"] for r in pieces)
+
+
+def test_a_run_leaves_one_stage_s_files(spark, sf_dir):
+    from hazardloom.llm import common
+
+    since = common.written()
+    cp.run(spark, sf_dir)
+    assert common.written() == since + 1
 
 
 def test_pipeline_of_awkward_documents(spark):
     docs = h.awkward(spark)
     for number, (_, stage) in enumerate(cp.STAGES):
-        docs = cp.cut(stage(spark, docs, ""))
+        docs = cut(stage(spark, docs, ""))
         if number == 0:
             assert all(r["text"] and r["text"].strip() for r in docs.collect())
     assert docs.count() > 0
