@@ -7,17 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scans import before, onward, prior_product, upto
+from .scans import is_wide, running, with_blocks
 
 
 def _by_time(df: DataFrame, by: Sequence[str], deaths, time: str, event: str) -> DataFrame:
+    wide = is_wide(df, *by, time)
     counts = df.groupBy(*by, F.col(time).alias("time")).agg(F.count("*").cast("double").alias("n"), F.sum(F.when(deaths(F.col(event)), 1.0).otherwise(0.0)).alias("d"))
-    return counts.withColumn("y", F.sum("n").over(onward(by, "time")))
+    return running(with_blocks(counts, "time", wide), by, "time", {"y": ("sum", F.col("n"), "onward")})
 
 
 def _with_g(counts: DataFrame, by: Sequence[str], lost, base) -> DataFrame:
     keep = F.when(base > 0, 1 - lost / F.when(base > 0, base).otherwise(1.0)).otherwise(1.0)
-    return counts.withColumn("keep", keep).withColumns({"g": F.product("keep").over(upto(by, "time")), "g_left": prior_product(F.col("keep"), before(by, "time"))}).drop("keep")
+    return running(counts, by, "time", {"g": ("product", keep, "upto"), "g_left": ("product", keep, "before")})
 
 
 def km_censor_uno(df: DataFrame, time: str = "time", event: str = "event") -> DataFrame:

@@ -11,32 +11,36 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .censoring import km_censor_uno
-from .scans import running_sums
+from .scans import ONE_TASK, is_wide, running, with_blocks
 
 
-def dominance(df: DataFrame, rank: str, risk: str, left: str, right: str, bits: int, blocks: int = 1, by: Sequence[str] = ()) -> DataFrame:
+def dominance(df: DataFrame, rank: str, risk: str, left: str, right: str, bits: int, by: Sequence[str] = (), wide: bool = True) -> DataFrame:
     """(by.., less, equal): sums over pairs with rank_i < rank_j of left_i * right_j where risk_j < risk_i, or equals it.
 
-    The cells of the highest bits hold all rows: with ``blocks`` over 1 their scans run in that many ranges of the risk.
+    The cells of the highest bits hold all rows: where those are many (``wide``) their scans run by blocks of the risk.
     """
     cells = df.select(*by, F.col(risk).alias("p"), F.col(left).alias("a"), F.col(right).alias("b"), F.col(rank).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
     cells = cells.select(*by, "bit", F.expr("shiftright(r, bit + 1)").alias("prefix"), (F.expr("shiftright(r, bit)") % 2).alias("high"), "p", "a", "b")
     cell = [*by, "bit", "prefix"]
     merged = cells.groupBy(*cell, "p").agg(F.sum(F.when(F.col("high") == 0, F.col("a")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("high") == 1, F.col("b")).otherwise(0.0)).alias("b"))
-    merged = running_sums(merged, cell, "p", {"upto": F.col("b")}, blocks)
-    lower = F.col("upto") - F.col("b")
-    return merged.groupBy(*by).agg(F.coalesce(F.sum(F.col("a") * lower), F.lit(0.0)).alias("less"), F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0)).alias("equal"))
+    merged = running(with_blocks(merged, "p", wide), cell, "p", {"lower": ("sum", F.col("b"), "before")})
+    return merged.groupBy(*by).agg(F.coalesce(F.sum(F.col("a") * F.col("lower")), F.lit(0.0)).alias("less"), F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0)).alias("equal"))
 
 
-def _ranked(df: DataFrame, time: str) -> tuple[DataFrame, int]:
-    """Dense ranks of the distinct times (a table of one row a time) and the bits they need."""
-    times = df.select(time).distinct().withColumn("__rank", F.row_number().over(Window.orderBy(time)).cast("long"))
-    n = times.agg(F.max("__rank")).first()[0] or 1
-    return df.join(times, time), max(1, int(n).bit_length())
+def _sizes(df: DataFrame, by: Sequence[str], time: str, risk: str) -> tuple[int, bool]:
+    """(distinct times, whether the distinct rows are more than one task may scan)."""
+    times, rows = df.agg(F.count_distinct(time), F.approx_count_distinct(F.struct(*by, time, risk))).first()
+    return times, rows > ONE_TASK
+
+
+def _ranked(df: DataFrame, time: str, n: int) -> tuple[DataFrame, int]:
+    """Dense ranks of the ``n`` distinct times (a table of one row a time) and the bits they need."""
+    times = running(with_blocks(df.select(time).distinct(), time, n > ONE_TASK), [], time, {"__r": ("sum", F.lit(1.0), "upto")})
+    return df.join(times.select(time, F.col("__r").cast("long").alias("__rank")), time), max(1, int(n).bit_length())
 
 
 def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -44,14 +48,15 @@ def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn("__all", F.lit(0)), ["__all"])
 
 
-def concordance_pairs(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", blocks: int = 1, by: Sequence[str] = ()) -> DataFrame:
+def concordance_pairs(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", by: Sequence[str] = ()) -> DataFrame:
     """(by.., comparable, concordant, tied): pairs of a case of ``cause`` and any row of a later time of its group."""
     df, by = _grouped(df, by)
-    counts = df.groupBy(*by, F.col(time).alias("time"), F.col(risk).alias("risk")).agg(F.sum(F.when(F.col(event) == cause, 1.0).otherwise(0.0)).alias("a"), F.count("*").cast("double").alias("b")).persist()  # read by three branches
-    ranked, bits = _ranked(counts, "time")
-    pairs = dominance(ranked, "__rank", "risk", "a", "b", bits, blocks, by)
-    later = F.sum("b").over(Window.partitionBy(*by).orderBy("time").rowsBetween(1, Window.unboundedFollowing))
-    by_time = counts.groupBy(*by, "time").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("later", F.coalesce(later, F.lit(0.0)))
+    n, wide = _sizes(df, by, time, risk)
+    counts = df.groupBy(*by, F.col(time).alias("time"), F.col(risk).alias("risk")).agg(F.sum(F.when(F.col(event) == cause, 1.0).otherwise(0.0)).alias("a"), F.count("*").cast("double").alias("b"))
+    ranked, bits = _ranked(counts, "time", n)
+    pairs = dominance(ranked, "__rank", "risk", "a", "b", bits, by, wide)
+    by_time = counts.groupBy(*by, "time").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    by_time = running(with_blocks(by_time, "time", wide), by, "time", {"later": ("sum", F.col("b"), "after")})
     comparable = by_time.groupBy(*by).agg(F.sum(F.col("a") * F.col("later")).alias("comparable"))
     return comparable.join(pairs, by).select(*[b for b in by if b != "__all"], "comparable", F.col("less").alias("concordant"), F.col("equal").alias("tied"))
 
@@ -79,8 +84,7 @@ def gmin_auto(g: DataFrame, ess_frac: float = 0.2, ess_min: int = 20, eps: float
         return 0.0
     target = min(max(ess_min, math.ceil(ess_frac * d)), int(d))
     weight = 1.0 / F.pow(F.greatest("g", F.lit(eps)), F.lit(2.0))
-    down = Window.orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, 0)
-    tail = g.withColumns({"m": F.sum("n").over(down), "w1": F.sum(F.col("n") * weight).over(down), "w2": F.sum(F.col("n") * weight * weight).over(down)})
+    tail = running(with_blocks(g, "g", is_wide(g, "g")), [], "g", {"m": ("sum", F.col("n"), "onward"), "w1": ("sum", F.col("n") * weight, "onward"), "w2": ("sum", F.col("n") * weight * weight, "onward")})
     # within one value's rows the tail can begin at any of them: the first that qualifies has the most rows of it
     fits = tail.where((F.col("m") >= target) & (F.col("w1") * F.col("w1") / F.col("w2") >= target))
     found = fits.agg(F.min("g")).first()[0]
@@ -103,7 +107,7 @@ def compute_uno_weights(df: DataFrame, time: str = "time", event: str = "event",
     return joined.withColumn("w", F.when(F.col("g_left").isNull(), 0.0).when(F.col("g_left") >= least, 1 / (safe * safe)).otherwise(eps_keep))
 
 
-def uno_terms(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", weight: str = "w", blocks: int = 1, by: Sequence[str] = ()) -> DataFrame:
+def uno_terms(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", weight: str = "w", by: Sequence[str] = ()) -> DataFrame:
     """(by.., numer, denom): later or tied-censored rows (A), tied cases (B) and earlier competing rows (C)."""
     df, by = _grouped(df, by)
     e, w = F.col(event), F.col(weight)
@@ -112,21 +116,20 @@ def uno_terms(df: DataFrame, cause: int = 1, event: str = "event", time: str = "
         F.when(e == cause, w).otherwise(0.0).alias("wa"), F.when(e == cause, F.sqrt(w)).otherwise(0.0).alias("ra"),
         F.when((e > 0) & (e != cause), F.sqrt(w)).otherwise(0.0).alias("rc"), F.when(e == 0, 1.0).otherwise(0.0).alias("cens"), F.when(e == cause, 1.0).otherwise(0.0).alias("case"),
     )
-    counts = rows.groupBy(*by, "time", "risk").agg(*[F.sum(c).alias(c) for c in ("wa", "ra", "rc", "cens", "case")], F.count("*").cast("double").alias("one")).persist()  # read by five branches
-    ranked, bits = _ranked(counts, "time")
+    counts = rows.groupBy(*by, "time", "risk").agg(*[F.sum(c).alias(c) for c in ("wa", "ra", "rc", "cens", "case")], F.count("*").cast("double").alias("one"))
+    n, wide = _sizes(rows, by, "time", "risk")
+    ranked, bits = _ranked(counts, "time", n)
     ranked = ranked.withColumn("__down", F.lit(1 << bits) - F.col("__rank"))
-    a = dominance(ranked, "__rank", "risk", "wa", "one", bits, blocks, by)
-    c = dominance(ranked, "__down", "risk", "ra", "rc", bits + 1, blocks, by)
-    below = Window.partitionBy(*by, "time").orderBy("risk").rowsBetween(Window.unboundedPreceding, -1)
-    low = lambda x: F.coalesce(F.sum(x).over(below), F.lit(0.0))
-    same = counts.withColumns({"cens_low": low("cens"), "rc_low": low("rc")}).groupBy(*by, "time").agg(
+    a = dominance(ranked, "__rank", "risk", "wa", "one", bits, by, wide)
+    c = dominance(ranked, "__down", "risk", "ra", "rc", bits + 1, by, wide)
+    low = running(with_blocks(counts, "risk", wide), [*by, "time"], "risk", {"cens_low": ("sum", F.col("cens"), "before"), "rc_low": ("sum", F.col("rc"), "before")})
+    same = low.groupBy(*by, "time").agg(
         *[F.sum(c).alias(c) for c in ("wa", "ra", "rc", "cens", "case", "one")],
         F.sum(2 * F.col("wa") * F.col("cens_low") + F.col("wa") * F.col("cens")).alias("na"),
         F.sum(2 * F.col("ra") * F.col("rc_low") + F.col("ra") * F.col("rc")).alias("nc"),
         F.sum(F.when(F.col("case") > 1, (F.col("case") - 1) * F.col("wa")).otherwise(0.0)).alias("ties"),
     )
-    times = Window.partitionBy(*by).orderBy("time")
-    same = same.withColumns({"later": F.coalesce(F.sum("one").over(times.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)), "comp": F.sum("rc").over(times.rowsBetween(Window.unboundedPreceding, 0))})
+    same = running(with_blocks(same, "time", wide), by, "time", {"later": ("sum", F.col("one"), "after"), "comp": ("sum", F.col("rc"), "upto")})
     tie = F.when(F.col("case") > 1, (F.col("case") - 1) * F.col("wa")).otherwise(0.0)
     sums = same.groupBy(*by).agg(
         F.sum(2 * F.col("wa") * (F.col("later") + F.col("cens")) + tie + 2 * F.col("ra") * F.col("comp")).alias("denom"),

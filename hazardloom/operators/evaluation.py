@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import wilson
 from .censoring import km_censor_score
 from .incidence import cif, time_counts
-from .scans import running_sums, step_lookup
+from .scans import is_wide, quantiles, running, step_lookup, with_blocks
 
 
 @dataclass
@@ -30,11 +30,11 @@ def long_predictions(df: DataFrame, models: dict[str, Sequence[str]], times: Seq
     return df.select(*keep, F.explode(F.array(*rows)).alias("r")).select("r.model", "r.t", "r.p", *keep)
 
 
-def brier_auc(pred: DataFrame, outcomes: DataFrame, times: Sequence[float], cause: int = 1, by: Sequence[str] = (), blocks: int = 1) -> DataFrame:
+def brier_auc(pred: DataFrame, outcomes: DataFrame, times: Sequence[float], cause: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """(by.., model, t, brier, auc) from long predictions (by.., model, t, p, time, event[, m]).
 
     ``outcomes`` (by.., time, event[, m]) fit the censoring curve; ``m`` counts a row's copies (bootstrap).
-    The scan over distinct predictions of one (model, t) runs in ``blocks`` ranges.
+    The scan over distinct predictions of one (model, t) runs by blocks where they are many.
     """
     counted = "m" in pred.columns
     m = F.col("m").cast("double") if counted else F.lit(1.0)
@@ -50,7 +50,7 @@ def brier_auc(pred: DataFrame, outcomes: DataFrame, times: Sequence[float], caus
     zero = lambda c, x: F.when(c, x * m).otherwise(0.0)
     rows = rows.select(*by, "model", "t", "p", "g", m.alias("m"), zero(case, inv).alias("wc"), (zero(rival, inv) + zero(free, past)).alias("wn"), (zero(case, inv * (1 - p) * (1 - p)) + zero(rival, inv * p * p) + zero(free, past * p * p)).alias("sq"), zero(case, F.lit(1.0)).alias("cases"), (zero(rival, F.lit(1.0)) + zero(free, F.lit(1.0))).alias("controls"))
     by_p = rows.groupBy(*by, "model", "t", "p").agg(*[F.sum(c).alias(c) for c in ("wc", "wn", "sq", "m", "cases", "controls")], F.min("g").alias("g"))
-    ranked = running_sums(by_p, [*by, "model", "t"], "p", {"low": F.col("wn")}, blocks).withColumn("low", F.col("low") - F.col("wn"))
+    ranked = running(with_blocks(by_p, "p", is_wide(pred, *by, "model", "t", "p")), [*by, "model", "t"], "p", {"low": ("sum", F.col("wn"), "before")})
     out = ranked.groupBy(*by, "model", "t").agg(F.sum("sq").alias("sq"), F.sum("m").alias("n"), F.sum(F.col("wc") * (F.col("low") + 0.5 * F.col("wn"))).alias("num"), F.sum("wc").alias("wc"), F.sum("wn").alias("wn"), F.sum("cases").alias("cases"), F.sum("controls").alias("controls"), F.min("g").alias("g"))
     ok = F.col("g") > 0
     pairs = F.col("wc") * F.col("wn")
@@ -69,14 +69,19 @@ def time_average(metric: DataFrame, value: str, by: Sequence[str] = ("model",),
 def calibration_cr(pred: DataFrame, cause: int = 1, n_bins: int = 10, level: float = 0.95, causes: int = 2) -> DataFrame:
     """(model, times, predicted_decile, observed_freq, lower_ci, upper_ci, bin_n) by quantile bin of p.
 
-    Bins are the number of inner breaks strictly below p; equal breaks merge bins and empty bins drop.
+    Bins are the number of inner breaks strictly below p; equal breaks merge bins and empty bins drop. Means are of
+    sums to twelve decimals, which do not depend on the rows' order.
     """
-    breaks = pred.groupBy("model", "t").agg(F.percentile("p", F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])).alias("breaks"))
+    breaks = quantiles(pred, ["model", "t"], "p", [i / n_bins for i in range(1, n_bins)]).withColumnRenamed("quantiles", "breaks")
     binned = pred.join(F.broadcast(breaks), ["model", "t"]).withColumn("bin", F.size(F.filter("breaks", lambda b: b < F.col("p")))).drop("breaks")
     by = ["model", "t", "bin"]
-    curves = cif(time_counts(binned, by, causes), by, causes)
+    # what comes after the horizon counts as at risk alone
+    late = F.col("time") > F.col("t")
+    seen = binned.select(*by, F.when(late, math.inf).otherwise(F.col("time")).alias("time"), F.when(late, 0).otherwise(F.col("event")).alias("event"))
+    curves = cif(time_counts(seen, by, causes, wide=is_wide(pred, "t", "time")), by, causes)
     observed = curves.where(F.col("time") <= F.col("t")).groupBy(*by).agg(F.max_by(f"f_{cause}", "time").alias("obs"))
-    stats = binned.groupBy(*by).agg(F.avg("p").alias("predicted_decile"), F.count("*").alias("bin_n")).join(observed, by, "left").withColumn("obs", F.coalesce("obs", F.lit(0.0)))
+    mean = F.sum(F.col("p").cast("decimal(38,12)")).cast("double") / F.count("*")
+    stats = binned.groupBy(*by).agg(mean.alias("predicted_decile"), F.count("*").alias("bin_n")).join(observed, by, "left").withColumn("obs", F.coalesce("obs", F.lit(0.0)))
     low, high = wilson(F.col("obs"), F.col("bin_n").cast("double"), level)
     return stats.select("model", F.col("t").alias("times"), "bin", "predicted_decile", F.col("obs").alias("observed_freq"), low.alias("lower_ci"), high.alias("upper_ci"), "bin_n")
 

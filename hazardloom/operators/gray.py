@@ -1,6 +1,6 @@
 """Gray's K-sample test of equal cumulative incidence.
 
-One wide row for each distinct time (group counts as columns), two prefix-window passes, and one
+One wide row for each distinct time (group counts as columns), a few scans of that table (:mod:`scans`), and one
 aggregation that returns the O(K^2) numbers from which score, covariance and statistic follow.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chi2_sf, recode
-from .scans import before, onward, prior_product, prior_sum, upto
+from .scans import is_wide, running, with_blocks
 
 
 @dataclass
@@ -37,23 +37,22 @@ def gray_terms(df: DataFrame, groups: list, cause: int = 1, rho: float = 0.0, ti
     is_g = lambda k: F.col("g") == F.lit(groups[k])
     count = lambda k, c: F.sum(F.when(is_g(k) & c, 1.0).otherwise(0.0))
     t = coded.groupBy("time").agg(*[x for k in ks for x in (count(k, F.lit(True)).alias(f"n{k}"), count(k, F.col("e") == 1).alias(f"p{k}"), count(k, F.col("e") == 2).alias(f"q{k}"))])
-    t = t.withColumns({f"y{k}": F.sum(f"n{k}").over(onward([], "time")) for k in ks})
+    t = running(with_blocks(t, "time", is_wide(df, time)), [], "time", {f"y{k}": ("sum", F.col(f"n{k}"), "onward") for k in ks})
     t = t.where(sum((F.col(f"p{k}") + F.col(f"q{k}") for k in ks), F.lit(0.0)) > 0)
-    prev, upon = before([], "time"), upto([], "time")
     alive = [F.when(F.col(f"y{k}") > 0, 1 - _safe(F.col(f"p{k}") + F.col(f"q{k}"), F.col(f"y{k}"))).otherwise(1.0) for k in ks]
-    t = t.withColumns({f"sl{k}": prior_product(alive[k], prev) for k in ks} | {f"s{k}": F.product(alive[k]).over(upon) for k in ks})
-    t = t.withColumns({f"fl{k}": prior_sum(F.col(f"sl{k}") * _safe(F.col(f"p{k}"), F.col(f"y{k}")), prev) for k in ks})
+    t = running(t, [], "time", {f"sl{k}": ("product", alive[k], "before") for k in ks} | {f"s{k}": ("product", alive[k], "upto") for k in ks})
+    t = running(t, [], "time", {f"fl{k}": ("sum", F.col(f"sl{k}") * _safe(F.col(f"p{k}"), F.col(f"y{k}")), "before") for k in ks})
     t = t.withColumns({f"u{k}": F.when(F.col(f"y{k}") > 0, _safe(F.col(f"y{k}"), F.col(f"sl{k}"))).otherwise(0.0) for k in ks})
     total = lambda name: sum((F.col(f"{name}{k}") for k in ks), F.lit(0.0))
     t = t.withColumns({"tr": total("u"), "tq": sum((F.col(f"u{k}") * (1 - F.col(f"fl{k}")) for k in ks), F.lit(0.0)), "D": total("p")})
     jump = _safe(F.col("D"), F.col("tr"))
-    t = t.withColumns({"fbl": prior_sum(jump, prev), "fb": F.sum(jump).over(upon)})
+    t = running(t, [], "time", {"fbl": ("sum", jump, "before"), "fb": ("sum", jump, "upto")})
     t = t.withColumn("w", F.pow(1 - F.col("fbl"), F.lit(float(rho))) if rho else F.lit(1.0))
     w, tr, D, fb = (F.col(c) for c in ("w", "tr", "D", "fb"))
     a = {(i, k): (-w * _safe(F.col(f"u{i}") * F.col(f"u{k}"), tr) if i != k else w * F.col(f"u{i}") * (1 - _safe(F.col(f"u{i}"), tr))) for i in ks for k in ks}
     t = t.withColumns({f"a{i}_{k}": F.when(tr > 0, x).otherwise(0.0) for (i, k), x in a.items()})
     rate = F.when((D > 0) & (F.col("fbl") < 1), _safe(D, tr * (1 - F.col("fbl")))).otherwise(0.0)
-    t = t.withColumns({f"c{i}_{k}": F.sum(F.col(f"a{i}_{k}") * rate).over(upon) for i in ks for k in ks})
+    t = running(t, [], "time", {f"c{i}_{k}": ("sum", F.col(f"a{i}_{k}") * rate, "upto") for i in ks for k in ks})
     out = {f"score{i}": F.sum(F.when(D > 0, w * (F.col(f"p{i}") - D * _safe(F.col(f"u{i}") * (1 - F.col(f"fl{i}")), F.col("tq")))).otherwise(0.0)) for i in ks}
     direct: dict = {}
     for k in ks:

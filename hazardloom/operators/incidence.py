@@ -1,7 +1,7 @@
 """Non-parametric estimators: counts by distinct time, then prefix windows.
 
-The shuffle carries one row for each (group, distinct time) thanks to partial aggregation; every window
-that follows runs on that table.
+The shuffle carries one row for each (group, distinct time) thanks to partial aggregation; every scan
+that follows runs on that table, by blocks of time where it is too large for one task a group (:mod:`scans`).
 """
 
 from __future__ import annotations
@@ -12,34 +12,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hazard
-from .scans import before, onward, prior_product, step_lookup, upto
+from .scans import is_wide, running, step_lookup, with_blocks
 
 
-def time_counts(df: DataFrame, by: Sequence[str] = (), causes: int = 2, time: str = "time", event: str = "event") -> DataFrame:
-    """by.., time, n, d (all causes), d_1 .. d_K, y (at risk just before the time)."""
+def time_counts(df: DataFrame, by: Sequence[str] = (), causes: int = 2, time: str = "time", event: str = "event", wide: bool | None = None) -> DataFrame:
+    """by.., time, n, d (all causes), d_1 .. d_K, y (at risk just before the time).
+
+    ``wide`` says whether there are more distinct (group, time) pairs than one task may scan; by default they are counted, about.
+    """
+    wide = is_wide(df, *by, time) if wide is None else wide
     counts = df.groupBy(*by, time).agg(F.count("*").cast("double").alias("n"), F.sum(F.when(F.col(event) != 0, 1.0).otherwise(0.0)).alias("d"), *[F.sum(F.when(F.col(event) == k, 1.0).otherwise(0.0)).alias(f"d_{k}") for k in range(1, causes + 1)])
-    return counts.withColumn("y", F.sum("n").over(onward(by, time)))
+    return running(with_blocks(counts, time, wide), by, time, {"y": ("sum", F.col("n"), "onward")})
 
 
 def kaplan_meier(counts: DataFrame, by: Sequence[str] = (), time: str = "time") -> DataFrame:
     """Adds s_left (just before the time) and s (at it)."""
     alive = F.when(F.col("y") > 0, (F.col("y") - F.col("d")) / F.col("y")).otherwise(1.0)
-    return counts.withColumns({"s_left": prior_product(alive, before(by, time)), "s": F.product(alive).over(upto(by, time))})
+    return running(counts, by, time, {"s_left": ("product", alive, "before"), "s": ("product", alive, "upto")})
 
 
 def nelson_aalen(counts: DataFrame, by: Sequence[str] = (), d: str = "d", name: str = "chf", time: str = "time") -> DataFrame:
-    return counts.withColumn(name, F.sum(hazard(F.col(d), F.col("y"))).over(upto(by, time)))
+    return running(counts, by, time, {name: ("sum", hazard(F.col(d), F.col("y")), "upto")})
 
 
 def cif(counts: DataFrame, by: Sequence[str] = (), causes: int = 2, time: str = "time") -> DataFrame:
     """Adds the Aalen-Johansen f_1 .. f_K to Kaplan-Meier columns."""
     km = kaplan_meier(counts, by, time)
-    return km.withColumns({f"f_{k}": F.sum(F.col("s_left") * hazard(F.col(f"d_{k}"), F.col("y"))).over(upto(by, time)) for k in range(1, causes + 1)})
+    return running(km, by, time, {f"f_{k}": ("sum", F.col("s_left") * hazard(F.col(f"d_{k}"), F.col("y")), "upto") for k in range(1, causes + 1)})
 
 
 def cif_variance(counts: DataFrame, by: Sequence[str] = (), causes: int = 2, time: str = "time") -> DataFrame:
     """Adds v_1 .. v_K, the delta-method variance of the incidences with tied-event correction."""
-    f, w = cif(counts, by, causes, time), upto(by, time)
+    f = cif(counts, by, causes, time)
     y, s = F.col("y"), F.col("s")
     sigma = {}
     for k in range(1, causes + 1):
@@ -48,12 +52,12 @@ def cif_variance(counts: DataFrame, by: Sequence[str] = (), causes: int = 2, tim
         sigma[f"g_{k}"] = F.col("s_left") * F.col("s_left") * tied * d / (y * y)
     f = f.withColumns(sigma).withColumn("b", F.when(s > 0, 1 / F.when(s > 0, s).otherwise(1.0)).otherwise(0.0))
     b, total = F.col("b"), sum((F.col(f"g_{k}") for k in range(2, causes + 1)), F.col("g_1"))
-    sums = {"bb": F.sum(b * b * total).over(w)}
+    sums = {"bb": ("sum", b * b * total, "upto")}
     for k in range(1, causes + 1):
         own, rest, fb = F.col(f"g_{k}"), total - F.col(f"g_{k}"), F.col(f"f_{k}") * b
-        sums[f"ff_{k}"] = F.sum((1 + fb) * (1 + fb) * own + fb * fb * rest).over(w)
-        sums[f"fb_{k}"] = F.sum((1 + fb) * b * own + fb * b * rest).over(w)
-    f = f.withColumns(sums)
+        sums[f"ff_{k}"] = ("sum", (1 + fb) * (1 + fb) * own + fb * fb * rest, "upto")
+        sums[f"fb_{k}"] = ("sum", (1 + fb) * b * own + fb * b * rest, "upto")
+    f = running(f, by, time, sums)
     var = {f"v_{k}": F.col(f"ff_{k}") + F.col(f"f_{k}") * F.col(f"f_{k}") * F.col("bb") - 2 * F.col(f"f_{k}") * F.col(f"fb_{k}") for k in range(1, causes + 1)}
     return f.withColumns(var).drop(*sigma, *sums, "b")
 

@@ -1,8 +1,9 @@
 """Prefix scans and step-function lookups.
 
-A scan without a grouping key would put all rows into one task. Over tables that are already one row
-for each distinct time that is fine; beyond, ``blocks`` range-partitions the order column, scans inside
-blocks, and adds (or multiplies) the totals of earlier blocks, a table of one row for each block.
+A scan over an order is one window by group, hence one task for each group, while its table is known to be small
+(``ONE_TASK`` rows in all). Beyond that the table carries a block column: blocks are ranges of the order, scans run by
+(group, block), and the blocks' totals, a table of bounded size, are scanned and joined back. Blocks need no pass over the
+data: the number of a value's block follows from the value alone and never falls as the value rises.
 """
 
 from __future__ import annotations
@@ -13,43 +14,97 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
-
-
-def ordered(by: Sequence[str], order: str):
-    return Window.partitionBy(*by).orderBy(order)
-
-
-def before(by: Sequence[str], order: str):
-    return ordered(by, order).rowsBetween(FIRST, -1)
-
-
-def upto(by: Sequence[str], order: str):
-    return ordered(by, order).rowsBetween(FIRST, 0)
-
-
-def onward(by: Sequence[str], order: str):
-    return ordered(by, order).rowsBetween(0, LAST)
-
-
-def prior_sum(x: Column, w) -> Column:
-    return F.coalesce(F.sum(x).over(w), F.lit(0.0))
-
-
-def prior_product(x: Column, w) -> Column:
-    return F.coalesce(F.product(x).over(w), F.lit(1.0))
-
-
-def running_sums(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, Column], blocks: int = 1) -> DataFrame:
-    """Add inclusive running sums; with ``blocks`` over 1, in parallel blocks of the order column."""
-    if blocks <= 1:
-        return df.withColumns({k: F.sum(x).over(upto(by, order)) for k, x in sums.items()})
-    cuts = df.approxQuantile(order, [i / blocks for i in range(1, blocks)], 0.01)
-    marked = df.withColumn("__block", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order))))
-    inside = marked.withColumns({k: F.sum(x).over(upto([*by, "__block"], order)) for k, x in sums.items()})
-    totals = marked.groupBy(*by, "__block").agg(*[F.sum(x).alias(f"__t_{k}") for k, x in sums.items()])
-    earlier = totals.withColumns({f"__p_{k}": F.sum(f"__t_{k}").over(before(by, "__block")) for k in sums}).drop(*[f"__t_{k}" for k in sums])
-    joined = inside.join(earlier, [*by, "__block"]) if by else inside.join(F.broadcast(earlier), "__block")
-    return joined.withColumns({k: F.col(k) + F.coalesce(f"__p_{k}", F.lit(0.0)) for k in sums}).drop("__block", *[f"__p_{k}" for k in sums])
+#: rows of a table that one task may scan
+ONE_TASK = 1_000_000
+#: the block column, and the blocks from one power of two to the next
+BLOCK, OCTAVE = "__block", 1024
+
+
+def block_of(value: Column) -> Column:
+    """The block of a number: null, then negative, zero, positive, infinite and NaN, as Spark sorts them."""
+    x = value.cast("double")
+    size = 1 + F.floor(F.log2(F.abs(x)) * OCTAVE) + 1075 * OCTAVE
+    top = 2200 * OCTAVE
+    return F.when(x.isNull(), -top - 1).when(F.isnan(x), top + 1).when(F.abs(x) == float("inf"), F.when(x > 0, top).otherwise(-top)).when(x > 0, size).when(x < 0, -size).otherwise(0).cast("int")
+
+
+def is_wide(df: DataFrame, *columns: str) -> bool:
+    """Whether the distinct values of the columns (about) are more than one task may scan."""
+    return (df.agg(F.approx_count_distinct(F.struct(*columns))).first()[0] or 0) > ONE_TASK
+
+
+def with_blocks(df: DataFrame, order: str, wide: bool = True) -> DataFrame:
+    """``df`` with the block column where it is ``wide``: scans over it then run by blocks."""
+    return df.withColumn(BLOCK, block_of(F.col(order))) if wide else df
+
+
+def _shortened(df: DataFrame) -> DataFrame:
+    """A checkpoint where the cluster names a folder for them: scans feed scans, and each reads its input twice."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            return df
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint()
+
+
+def running(df: DataFrame, by: Sequence[str], order: str | Sequence[str], outputs: dict[str, tuple[str, Column, str]]) -> DataFrame:
+    """``df`` with scans by group: name -> (op, value, span).
+
+    op is ``sum``, ``product``, ``last`` or ``next`` (the last, or first, value that is not null); span is ``upto`` a row, strictly ``before``
+    it, ``onward`` from it or strictly ``after`` it. Empty spans are 0, 1 and null. With a block column (:func:`with_blocks`, of the first order column) the scans run by block.
+    """
+    by, keys = list(by), [order] if isinstance(order, str) else list(order)
+    rows = {"upto": (FIRST, 0), "before": (FIRST, -1), "onward": (0, LAST), "after": (1, LAST)}
+
+    def scan(op: str, x: Column, window) -> Column:
+        if op in ("last", "next"):
+            return (F.last if op == "last" else F.first)(x, ignorenulls=True).over(window)
+        return F.coalesce(F.sum(x).over(window) if op == "sum" else F.product(x).over(window), F.lit(0.0 if op == "sum" else 1.0))
+
+    if BLOCK not in df.columns:
+        window = Window.partitionBy(*by).orderBy(*keys)
+        return df.withColumns({n: scan(op, x, window.rowsBetween(*rows[span])) for n, (op, x, span) in outputs.items()})
+    df = _shortened(df)
+    inside = Window.partitionBy(*by, BLOCK).orderBy(*keys)
+    made = df.withColumns({n: scan(op, x, inside.rowsBetween(*rows[span])) for n, (op, x, span) in outputs.items()})
+    at = lambda x: F.when(x.isNotNull(), F.struct(*keys))
+    whole = {"sum": F.sum, "product": F.product, "last": lambda x: F.max_by(x, at(x)), "next": lambda x: F.min_by(x, at(x))}
+    totals = df.groupBy(*by, BLOCK).agg(*[whole[op](x).alias(f"__t_{n}") for n, (op, x, _) in outputs.items()])
+    over = Window.partitionBy(*by).orderBy(BLOCK)
+    strict = {"upto": rows["before"], "before": rows["before"], "onward": rows["after"], "after": rows["after"]}
+    offsets = totals.select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate([*by, BLOCK])], *[scan(op, F.col(f"__t_{n}"), over.rowsBetween(*strict[span])).alias(f"__o_{n}") for n, (op, _, span) in outputs.items()])
+    match = F.lit(True)
+    for i, b in enumerate([*by, BLOCK]):
+        match &= F.col(b).eqNullSafe(F.col(f"__k{i}"))
+    joint = {"sum": lambda a, b: a + b, "product": lambda a, b: a * b, "last": F.coalesce, "next": F.coalesce}
+    joined = made.join(offsets, match).withColumns({n: joint[op](F.col(n), F.col(f"__o_{n}")) for n, (op, _, _) in outputs.items()})
+    return joined.drop(*[f"__k{i}" for i in range(len(by) + 1)], *[f"__o_{n}" for n in outputs])
+
+
+def quantiles(values: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], weight: str | None = None, wide: bool | None = None) -> DataFrame:
+    """(by.., quantiles): exact quantiles by linear interpolation of a column (null and NaN left out), each row ``weight`` times.
+
+    Equal values are added up first; ranks then come from a running sum, so no group needs to fit a task.
+    """
+    by = list(by)
+    if wide is None:
+        wide = is_wide(values, *by, value)
+    counted = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("__v")).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("__n"))
+    if not wide:
+        return counted.groupBy(*by).agg(F.percentile("__v", F.array(*[F.lit(float(q)) for q in qs]), F.col("__n")).alias("quantiles"))
+    ranked = running(with_blocks(counted, "__v"), by, "__v", {"__upto": ("sum", F.col("__n").cast("double"), "upto")})
+    total = counted.groupBy(*by).agg(F.sum("__n").alias("__all")).select(*[F.col(b).alias(f"__g{i}") for i, b in enumerate(by)], "__all")
+    match = F.lit(True)
+    for i, b in enumerate(by):
+        match &= F.col(b).eqNullSafe(F.col(f"__g{i}"))
+    ranked = ranked.join(total, match)
+    at = [(F.col("__all") - 1) * F.lit(float(q)) for q in qs]
+    first = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("__v")))  # noqa: E731  the value of a rank, counted from 0
+    found = ranked.groupBy(*by).agg(*[first(F.floor(x)).alias(f"__l{i}") for i, x in enumerate(at)], *[first(F.ceil(x)).alias(f"__h{i}") for i, x in enumerate(at)], F.max("__all").alias("__all"))
+    part = lambda i: at[i] - F.floor(at[i])
+    return found.select(*by, F.array(*[F.when(part(i) == 0, F.col(f"__l{i}")).otherwise((1 - part(i)) * F.col(f"__l{i}") + part(i) * F.col(f"__h{i}")) for i in range(len(qs))]).alias("quantiles"))
 
 
 def step_lookup(curves: DataFrame, by: Sequence[str], values: Sequence[str], times: Sequence[float], time: str = "time", default: float = 0.0, strict: bool = False, name: str = "t") -> DataFrame:
@@ -63,9 +118,9 @@ def step_lookup(curves: DataFrame, by: Sequence[str], values: Sequence[str], tim
 
 
 def asof_join(queries: DataFrame, knots: DataFrame, on: str, value: str, by: Sequence[str] = (), default: float = 0.0, strict: bool = False) -> DataFrame:
-    """As-of join of two large frames: each query row gets the last knot's value at or (strict) before it."""
+    """As-of join of two large frames: each query row gets the last knot's value at or (strict) before it; by blocks of ``on``, whatever the groups."""
     columns = queries.columns
     asked = queries.select(*[F.struct(*columns).alias("__row")], *by, F.col(on).alias("__on"), F.lit(None).cast(knots.schema[value].dataType).alias("__v"), F.lit(0 if strict else 1).alias("__q"))
     steps = knots.select(F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"), *by, F.col(on).alias("__on"), F.col(value).alias("__v"), F.lit(1 if strict else 0).alias("__q"))
-    w = Window.partitionBy(*by).orderBy("__on", "__q").rowsBetween(FIRST, 0)
-    return asked.unionByName(steps).withColumn(value, F.coalesce(F.last("__v", ignorenulls=True).over(w), F.lit(default))).where("__row is not null").select("__row.*", value)
+    found = running(with_blocks(asked.unionByName(steps), "__on"), by, ["__on", "__q"], {"__found": ("last", F.col("__v"), "upto")})
+    return found.where("__row is not null").select("__row.*", F.coalesce("__found", F.lit(default)).alias(value))

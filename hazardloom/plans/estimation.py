@@ -241,13 +241,19 @@ _CALIB = f"""{_PRED}, br AS (SELECT model, t, quantile_cont(p, [0.1, 0.2, 0.3, 0
 bn AS (SELECT p.model || '|' || p.t || '|' || len([x FOR x IN b IF x < p.p]) AS grp, p.model, p.t, len([x FOR x IN b IF x < p.p]) AS bin, p.p, time, event FROM p JOIN br ON br.model = p.model AND br.t = p.t),
 {sql.incidence('grp', 'bn')},
 o AS (SELECT bn0.grp, coalesce(max_by(f1, time) FILTER (WHERE time <= bn0.t), 0) AS obs FROM (SELECT DISTINCT grp, t FROM bn) bn0 JOIN f ON f.grp = bn0.grp GROUP BY bn0.grp),
-a AS (SELECT model, t, bin, grp, avg(p) AS pred, CAST(count(*) AS DOUBLE) AS n FROM bn GROUP BY ALL)"""
+a AS (SELECT model, t, bin, grp, CAST(sum(CAST(p AS DECIMAL(38, 12))) AS DOUBLE) / count(*) AS pred, CAST(count(*) AS DOUBLE) AS n FROM bn GROUP BY ALL)"""
 
 
-@register("calibration_deciles", f"WITH {_CALIB} SELECT model, t AS times, CAST(bin AS INTEGER) AS bin, round(pred, 8) AS predicted_decile, round(obs, 8) AS observed_freq, CAST(n AS BIGINT) AS bin_n FROM a JOIN o USING (grp)")
+#: the predictions have six decimals, so means of them end on 5 at the ninth now and then: these go up on both sides
+_UP = 1e-13
+
+
+@register("calibration_deciles", f"""WITH {_CALIB} SELECT model, t AS times, CAST(bin AS INTEGER) AS bin, round(pred + {_UP}, 8) AS predicted_decile, round(obs, 8) AS observed_freq,
+  round(greatest(0, (obs + {_Z} * {_Z} / (2 * n) - {_Z} * sqrt(obs * (1 - obs) / n + {_Z} * {_Z} / (4 * n * n))) / (1 + {_Z} * {_Z} / n)), 8) AS lower_ci,
+  round(least(1, (obs + {_Z} * {_Z} / (2 * n) + {_Z} * sqrt(obs * (1 - obs) / n + {_Z} * {_Z} / (4 * n * n))) / (1 + {_Z} * {_Z} / n)), 8) AS upper_ci, CAST(n AS BIGINT) AS bin_n FROM a JOIN o USING (grp)""")
 def calibration_deciles(spark, d):
     c = evaluation.calibration_cr(_pred(spark, d)[0])
-    return c.select("model", "times", "bin", *r8(predicted_decile=F.col("predicted_decile"), observed_freq=F.col("observed_freq")), "bin_n")
+    return c.select("model", "times", "bin", *r8(predicted_decile=F.col("predicted_decile") + _UP, observed_freq=F.col("observed_freq"), lower_ci=F.col("lower_ci"), upper_ci=F.col("upper_ci")), "bin_n")
 
 
 @register("wilson_ci", f"""WITH x AS (SELECT l_returnflag AS flag, CAST(count(*) AS DOUBLE) AS n, avg(CASE WHEN l_quantity > 40 THEN 1.0 ELSE 0.0 END) AS p FROM lineitem GROUP BY 1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.incidence import cif_variance
-from ..operators.scans import onward
+from ..operators.scans import running
 
 
 def outcome_counts(stream: DataFrame, by: Sequence[str] = (), arrived: str | None = None, delay: str = "1 hour", window: str | None = None) -> DataFrame:
@@ -30,7 +30,7 @@ def curves_from_counts(counts: DataFrame, by: Sequence[str] = (), causes: int =
     """Incidence and variance columns from (by.., time, event, n)."""
     n = F.col("n").cast("double")
     table = counts.groupBy(*by, "time").agg(F.sum(n).alias("n"), F.sum(F.when(F.col("event") != 0, n).otherwise(0.0)).alias("d"), *[F.sum(F.when(F.col("event") == k, n).otherwise(0.0)).alias(f"d_{k}") for k in range(1, causes + 1)])
-    return cif_variance(table.withColumn("y", F.sum("n").over(onward(by, "time"))), by, causes)
+    return cif_variance(running(table, by, "time", {"y": ("sum", F.col("n"), "onward")}), by, causes)
 
 
 def maintain_curves(stream: DataFrame, path: str, checkpoint: str, by: Sequence[str] = (), causes: int = 2, trigger: dict | None = None) -> StreamingQuery:

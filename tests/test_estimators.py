@@ -61,7 +61,7 @@ def test_concordance_by_hand_and_edges(spark):
         concordance.concordance_index_cr(rows, cause=5)
 
 
-def test_concordance_equals_pairs(spark):
+def test_concordance_equals_pairs(spark, monkeypatch):
     rng = np.random.default_rng(3)
     t, e, p = rng.integers(1, 15, 80).astype(float), rng.integers(0, 3, 80), rng.integers(0, 9, 80) / 8
     c = n = 0.0
@@ -72,8 +72,10 @@ def test_concordance_equals_pairs(spark):
             c += (p[later] < p[i]).sum() + 0.5 * (p[later] == p[i]).sum()
     rows = frame(spark, t.tolist(), e.tolist(), risk=p.tolist())
     assert concordance.concordance_index_cr(rows) == pytest.approx(c / n)
-    one, many = (concordance.concordance_pairs(rows, blocks=b).first() for b in (1, 6))
-    assert one == many
+    one = concordance.concordance_pairs(rows).first()
+    monkeypatch.setattr(concordance, "ONE_TASK", 0)
+    assert concordance.concordance_pairs(rows).first() == one
+    monkeypatch.undo()
     assert concordance.concordance_index_cr(rows.repartition(7)) == concordance.concordance_index_cr(rows.coalesce(1))
 
 
@@ -111,11 +113,53 @@ def test_minimal_depth_expectation_by_hand(spark):
     assert minimal_depth.threshold(trees, 4).first()["threshold"] == pytest.approx(1.171875)
 
 
-def test_blocked_scan_equals_window(spark):
-    df = spark.range(500).select((F.col("id") % 97).cast("double").alias("t"), F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("x")).groupBy("t").agg(F.sum("x").alias("x"))
-    one = {r["t"]: r["s"] for r in scans.running_sums(df, [], "t", {"s": F.col("x")}).collect()}
-    many = {r["t"]: r["s"] for r in scans.running_sums(df, [], "t", {"s": F.col("x")}, blocks=5).collect()}
-    assert one == many
+def test_blocked_scans_equal_windows(spark):
+    values = [-3.5, -1e-9, 0.0, 1e-300, 0.5, 1.0, 1.5, 2.0, 1e9, 1e9 + 1, float("inf")] + [float(x) for x in range(3, 90)]
+    df = spark.createDataFrame([(g, t, None if (i + g) % 3 else float(i % 7), 1 + (i % 5) / 10) for g in (0, 1) for i, t in enumerate(values)], "g int, t double, x double, f double")
+    df = df.unionByName(df.where("g = 1").withColumn("g", F.lit(None).cast("int")))
+    spans = ("upto", "before", "onward", "after")
+    outputs = {f"{op}_{s}": (op, F.col("f" if op == "product" else "x"), s) for op in ("sum", "product") for s in spans} | {f"last_{s}": ("last", F.col("x"), s) for s in ("upto", "before")}
+    for by in ([], ["g"]):
+        source = df if by else df.where("g = 0")
+        one = scans.running(source, by, "t", outputs)
+        many = scans.running(scans.with_blocks(source, "t"), by, "t", outputs)
+        key = lambda r: (-1 if r["g"] is None else r["g"], r["t"])
+        left, right = sorted(one.collect(), key=key), sorted(many.collect(), key=key)
+        assert len(left) == len(right)
+        for a, b in zip(left, right):
+            for name in outputs:
+                assert a[name] == (pytest.approx(b[name], rel=1e-12) if b[name] is not None else None), name
+
+
+def test_blocks_never_fall(spark):
+    rows = [(None,), (float("-inf"),), (-1e300,), (-2.0,), (-1e-320,), (0.0,), (5e-324,), (1.0,), (1.0000001,), (3.0,), (1.7e308,), (float("inf"),), (float("nan"),)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x double").select(scans.block_of(F.col("x"))).collect()]
+    assert got == sorted(got) and len(set(got)) >= 11
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_exact_quantiles(spark, wide):
+    rng = np.random.default_rng(0)
+    data = {g: rng.integers(0, 40, n) / 8 for g, n in (("a", 101), ("b", 7), ("c", 1))}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in data.items() for x in xs] + [("a", None), ("b", float("nan"))], "g string, x double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: r["quantiles"] for r in scans.quantiles(df, ["g"], "x", qs, wide=wide).collect()}
+    assert got == {g: pytest.approx(np.quantile(xs, qs)) for g, xs in data.items()}
+
+
+def test_estimators_by_blocks_equal_those_of_one_task(spark, sf_dir, monkeypatch):
+    """Every registered estimator, concordance and evaluation query with no table small enough for one task."""
+    from hazardloom.plans import estimation
+
+    names = ["km_survival", "nelson_aalen", "aj_cif_timepoints", "km_censor_uno", "gray_stat", "uno_gmin_auto", "cindex_cause", "cindex_uno", "auc_ipcw", "calibration_deciles"]
+    show = lambda df: sorted(tuple(f"{x:.7g}" if isinstance(x, float) else str(x) for x in r) for r in df.collect())
+    want = {n: show(estimation.QUERIES[n](spark, sf_dir)) for n in names}
+    monkeypatch.setattr(scans, "ONE_TASK", 0)
+    from hazardloom.operators import concordance
+
+    monkeypatch.setattr(concordance, "ONE_TASK", 0)
+    for n in names:
+        assert show(estimation.QUERIES[n](spark, sf_dir)) == want[n], n
 
 
 def test_asof_join_sides(spark):
