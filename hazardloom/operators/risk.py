@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import recode
 from .censoring import km_censor_fg
+from .scans import running, with_blocks
 
 
 class TaskRisk:
@@ -103,7 +104,7 @@ class TaskRisk:
         return self.events, np.cumsum(self.deaths / (s0 * np.exp(shift)))
 
 
-#: distinct (stratum, time) pairs whose sums the driver takes; round times beyond it
+#: distinct (stratum, time) pairs whose sums the driver takes; beyond, they stay distributed (:class:`FarRisk`)
 MOST_TIMES = 2_000_000
 #: rows up to which a per-time table is broadcast (a few columns of doubles)
 BROADCAST_TIMES = 500_000
@@ -117,10 +118,8 @@ class SparkRisk:
         self.features, self.p, self.subdistribution = list(features), len(features), subdistribution
         rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(time).cast("double").alias("time"), recode(F.col(event), cause).alias("event"), (F.col(stratum) if stratum else F.lit(0)).alias("k"))
         g = km_censor_fg(rows, ["k"]).select("k", "time", "g_left")
-        times = g.count()
-        if times > MOST_TIMES:
-            raise ValueError(f"{times} distinct times are more than the driver's tables hold: round the times")
-        self.hint = F.broadcast if times <= BROADCAST_TIMES else (lambda df: df)
+        self.times = g.count()
+        self.hint = F.broadcast if self.times <= BROADCAST_TIMES else (lambda df: df)
         self.rows = rows.join(self.hint(g), ["k", "time"]).withColumn("inv_g", F.when((F.col("event") == 2) & (F.col("g_left") > 0), 1 / F.col("g_left")).otherwise(0.0) if subdistribution else F.lit(0.0)).persist()
         head = self.rows.agg(F.count("*").alias("n"), *[F.max(F.abs(f"x{i}")) for i in range(self.p)]).first()
         self.n, self.largest = head[0], np.array(head[1:], float)
@@ -228,3 +227,111 @@ class SparkRisk:
     def baseline(self, beta: np.ndarray):
         times, _, _, d, s0, _, _, _, shift = self._tables(beta)
         return times[d > 0], np.cumsum(d[d > 0] / (s0[d > 0] * np.exp(shift)))
+
+    def losses(self, held: DataFrame, betas: Sequence[np.ndarray]) -> list[float]:
+        """Deviance of the cases in ``held`` (x0 .., time) at each coefficient vector, against the risk sets of all rows."""
+        sums = held.groupBy("time").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"x{i}") for i in range(self.p)]).toPandas()
+        x, out = sums[[f"x{i}" for i in range(self.p)]].sum().to_numpy(float), []
+        for beta in betas:
+            times, _, _, _, s0, _, _, _, shift = self._tables(beta)
+            out.append(-2 * float(x @ beta - sums["n"].to_numpy() @ (np.log(s0[np.searchsorted(times, sums["time"].to_numpy())]) + shift)))
+        return out
+
+
+class FarRisk(SparkRisk):
+    """The same with per-time tables that stay distributed: scanned by blocks of time and joined with the rows."""
+
+    @classmethod
+    def of(cls, near: SparkRisk) -> FarRisk:
+        out = cls.__new__(cls)
+        out.__dict__ |= near.__dict__
+        out.strata = sorted((r[0] for r in near.rows.select("k").distinct().collect()), key=str)
+        return out
+
+    def _by_time(self, beta: np.ndarray) -> tuple[float, DataFrame]:
+        """(shift, one row for each distinct time: d, dx.., s0, the means m.. and the censoring curves g..)."""
+        shift = float(np.abs(beta) @ self.largest)
+        r, ks = F.exp(self._eta(beta) - shift), range(len(self.strata))
+        xs = [F.lit(1.0), *[F.col(f"x{i}") for i in range(self.p)]]
+        mine = [F.col("k").eqNullSafe(F.lit(k)) for k in self.strata]
+        sums = [F.sum(r * x).alias(f"r{i}") for i, x in enumerate(xs)] + [F.sum(F.when(F.col("event") == 1, x).otherwise(0.0)).alias(f"d{i}") for i, x in enumerate(xs)]
+        sums += [F.sum(F.when(mine[j], r * x * F.col("inv_g")).otherwise(0.0)).alias(f"c{j}_{i}") for j in ks for i, x in enumerate(xs)]
+        t = with_blocks(self.rows.groupBy("time").agg(*sums, *[F.max(F.when(mine[j], F.col("g_left"))).alias(f"own{j}") for j in ks]), "time")
+        scans = {f"r{i}": ("sum", F.col(f"r{i}"), "onward") for i in range(len(xs))} | {f"c{j}_{i}": ("sum", F.col(f"c{j}_{i}"), "before") for j in ks for i in range(len(xs))}
+        # the left limit of a stratum's curve is that before its own next time
+        t = running(t.withColumnsRenamed({n: f"__{n}" for n in scans}), [], "time", {n: (op, F.col(f"__{n}"), span) for n, (op, _, span) in scans.items()} | {f"g{j}": ("next", F.col(f"own{j}"), "onward") for j in ks})
+        t = t.withColumns({f"g{j}": F.coalesce(f"g{j}", F.lit(0.0)) for j in ks})
+        s = [F.col(f"r{i}") + (sum((F.col(f"g{j}") * F.col(f"c{j}_{i}") for j in ks), F.lit(0.0)) if self.subdistribution else 0.0) for i in range(len(xs))]
+        live = F.col("d0") > 0
+        t = t.withColumns({f"s{i}": F.when(live, x).otherwise(1.0 if i == 0 else 0.0) for i, x in enumerate(s)})
+        kept = [F.col("d0").alias("d"), "s0", *[F.col(f"d{i + 1}").alias(f"dx{i}") for i in range(self.p)], *[(F.col(f"s{i + 1}") / F.col("s0")).alias(f"m{i}") for i in range(self.p)], *[f"g{j}" for j in ks]]
+        return shift, t.select("time", t["__block"], *kept).persist()
+
+    def _facts(self, t: DataFrame, beta: np.ndarray, shift: float):
+        """(log likelihood, sum of the cases' x, of the means, and of their products)."""
+        p, d = self.p, F.col("d")
+        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+        row = list(t.agg(F.sum("d"), F.sum(d * F.log("s0")), *[F.sum(f"dx{i}") for i in range(p)], *[F.sum(d * F.col(f"m{i}")) for i in range(p)], *[F.sum(d * F.col(f"m{i}") * F.col(f"m{j}")) for i, j in pairs]).first())
+        cases, means, upper = np.array(row[2 : 2 + p]), np.array(row[2 + p : 2 + 2 * p]), np.zeros((p, p))
+        upper[np.triu_indices(p)] = row[2 + 2 * p :]
+        return float(cases @ beta - shift * row[0] - row[1]), cases, means, upper + np.triu(upper, 1).T
+
+    def _with(self, t: DataFrame, columns: dict[str, tuple]) -> DataFrame:
+        """Rows with name_b, the sum of a value up to their time, and name_l, that of later ones weighted by their stratum's curve to a power."""
+        ks = range(len(self.strata))
+        scans = {f"{n}_b": ("sum", x, "upto") for n, (x, _) in columns.items()} | {f"{n}_l{j}": ("sum", F.pow(F.col(f"g{j}"), F.lit(float(power))) * x, "after") for n, (x, power) in columns.items() for j in ks}
+        small = running(t, [], "time", scans).select("time", *scans, *[f"m{i}" for i in range(self.p)])
+        pick = lambda n: F.coalesce(*[F.when(F.col("k").eqNullSafe(F.lit(k)), F.col(f"{n}_l{j}")) for j, k in enumerate(self.strata)])
+        return self.rows.join(small, "time").withColumns({f"{n}_l": pick(n) for n in columns})
+
+    def newton(self, beta: np.ndarray):
+        shift, t = self._by_time(beta)
+        ll, cases, means, products = self._facts(t, beta, shift)
+        rows = self._with(t, {"a": (F.col("d") / F.col("s0"), 1)})
+        _, gram = self._moments(rows, F.exp(self._eta(beta) - shift) * (F.col("a_b") + F.col("inv_g") * F.col("a_l")), F.lit(0.0))
+        t.unpersist()
+        return -ll, cases - means, gram - products
+
+    def gram(self, beta: np.ndarray):
+        shift, t = self._by_time(beta)
+        ll = self._facts(t, beta, shift)[0]
+        rows = self._with(t, {"a": (F.col("d") / F.col("s0"), 1), "b": (F.col("d") / (F.col("s0") * F.col("s0")), 2)})
+        r, inv = F.exp(self._eta(beta) - shift), F.col("inv_g")
+        a, a2 = F.col("a_b") + inv * F.col("a_l"), F.col("b_b") + inv * inv * F.col("b_l")
+        q, m = self._moments(rows, F.greatest(r * a - r * r * a2, F.lit(0.0)), F.when(F.col("event") == 1, 1.0).otherwise(0.0) - r * a)
+        t.unpersist()
+        return q, m, ll
+
+    def meat(self, beta: np.ndarray):
+        shift, t = self._by_time(beta)
+        rate, p = F.col("d") / F.col("s0"), self.p
+        rows = self._with(t, {"a": (rate, 1)} | {f"w{i}": (rate * F.col(f"m{i}"), 1) for i in range(p)})
+        r, inv = F.exp(self._eta(beta) - shift), F.col("inv_g")
+        a = F.col("a_b") + inv * F.col("a_l")
+        u = [F.when(F.col("event") == 1, F.col(f"x{i}") - F.col(f"m{i}")).otherwise(0.0) - r * (F.col(f"x{i}") * a - F.col(f"w{i}_b") - inv * F.col(f"w{i}_l")) for i in range(p)]
+        row = list(rows.select(*[x.alias(f"u{i}") for i, x in enumerate(u)]).agg(*[F.sum(F.col(f"u{i}") * F.col(f"u{j}")) for i in range(p) for j in range(i, p)]).first())
+        t.unpersist()
+        m = np.zeros((p, p))
+        m[np.triu_indices(p)] = row
+        return m + np.triu(m, 1).T
+
+    def baseline(self, beta: np.ndarray) -> DataFrame:
+        """(time, cum_hazard), a frame: one row for each distinct event time."""
+        shift, t = self._by_time(beta)
+        steps = t.where("d > 0").withColumn("step", F.col("d") / (F.col("s0") * float(np.exp(shift))))
+        return running(steps, [], "time", {"cum_hazard": ("sum", F.col("step"), "upto")}).select("time", "cum_hazard")
+
+    def losses(self, held: DataFrame, betas: Sequence[np.ndarray]) -> list[float]:
+        out = []
+        for beta in betas:
+            shift, t = self._by_time(beta)
+            eta = sum((F.col(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
+            out.append(-2 * float(held.join(t.select("time", "s0"), "time").agg(F.sum(eta - F.log("s0") - shift)).first()[0] or 0.0))
+            t.unpersist()
+        return out
+
+
+def distributed_risk(*args, **kwargs) -> SparkRisk:
+    """The form that the number of distinct times asks for."""
+    near = SparkRisk(*args, **kwargs)
+    return near if near.times <= MOST_TIMES else FarRisk.of(near)
