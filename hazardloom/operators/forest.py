@@ -1,9 +1,9 @@
 """Competing-risks random forest.
 
-Training is tree-parallel: bins (one byte a feature and row) and outcomes are broadcast while they fit
-``BROADCAST_BYTES``, every task grows its trees with the level-wise kernel, and the forest is a DataFrame of
-one row a tree. Seeds follow from (seed, tree), so results do not depend on partitioning. Beyond that size, or with
-``mode="distributed"``, trees grow by aggregation over the rows (:mod:`forest_distributed`).
+Training is tree-parallel while the table is small (``BROADCAST_BYTES``): bins and outcomes are broadcast, every task grows
+its trees with the level-wise kernel, and the forest is a DataFrame of one row a tree. Beyond that size, or with
+``mode="distributed"``, trees grow by aggregation over the rows (:mod:`forest_distributed`). Both give the same trees: in-bag
+copies, features and splits are drawn by hashes (:mod:`draws`) of the seed, the tree, the node and the rows' keys.
 """
 
 from __future__ import annotations
@@ -21,12 +21,19 @@ from pyspark.sql import types as T
 from ..sources.outcomes import check_inputs
 from . import minimal_depth as depth_frames
 from .concordance import compute_uno_weights, concordance_index_cr, concordance_pairs, uno_terms
-from .forest_distributed import copies, grow_forest, keyed, uniforms
-from .grids import coarsen_time_grid, event_time_grid, feature_bin_edges
+from .draws import DEAL, content_keys, copies, numbers_among_equals, uniforms
+from .forest_distributed import grow_forest, keyed
+from .grids import coarsen_time_grid, cut_points, event_time_grid, feature_bin_edges, time_points
 from .regression import _outcome
+from .scans import running, with_blocks
 from .tree_kernel import Tree, grow_tree, leaf_paths, path_weights
 
-BROADCAST_BYTES = 2 << 30
+#: bytes of the table (as doubles) that the driver may fetch and share with the tasks
+BROADCAST_BYTES = 256 << 20
+#: bytes of trees that a task may hold; larger forests predict a part at a time
+FOREST_BYTES = 1 << 30
+#: bins of a feature in ``mode="reference"``, which has one for each distinct value up to here
+REFERENCE_BINS = 4096
 
 
 def resolve_max_features(value, p: int) -> int:
@@ -73,91 +80,138 @@ class CompetingRiskForest:
             raise ValueError("only the CPU is supported")
         if self.cause_weights is not None and self.mode != "reference":
             raise ValueError("cause_weights need mode='reference'")
+        if self.rng_mode != "numpy":
+            raise ValueError(f"rng_mode {self.rng_mode!r} is not offered: draws are hashes")
         if self.equivalence not in (None, "rfsrc"):
             raise ValueError(f"unknown equivalence {self.equivalence!r}")
+        if self.equivalence and self.split_ntime not in (None, 10):
+            raise ValueError("the preset splits on every event time: leave split_ntime alone")
+        if self.nsplit is not None and self.nsplit < 0:
+            raise ValueError("nsplit must not be negative")
         if not 2 <= self.n_bins <= 256:
             raise ValueError("n_bins must be from 2 to 256")
 
     # ---- training ---------------------------------------------------------------------------------------
 
-    def fit(self, df: DataFrame, features: Sequence[str], time: str = "time", event: str = "event", y: str | None = None) -> CompetingRiskForest:
+    def fit(self, df: DataFrame, features: Sequence[str], time: str = "time", event: str = "event", y: str | None = None, key: str | None = None) -> CompetingRiskForest:
+        """Grow the forest. ``key`` names a column of whole numbers that tells rows apart, which in-bag draws then go by; by default they go
+        by the rows' binned content."""
         self._check()
         df, time, event = _outcome(df, time, event, y)
-        spark = df.sparkSession
         self.features_, self.time_, self.event_ = list(features), time, event
         self.n_causes_ = check_inputs(df, self.features_, time, event)
-        exact = self.mode == "reference"
-        self.bin_edges_ = feature_bin_edges(df, self.features_, self.n_bins)
-        # the whole grid for presets that ask for every event time
-        self.time_grid_ = event_time_grid(df, None if self.equivalence == "rfsrc" else self.time_grid, time, event)
-        ntime = len(self.time_grid_) if exact or self.equivalence == "rfsrc" or self.split_ntime is None else self.split_ntime
-        coarse = coarsen_time_grid(self.time_grid_, ntime)
-        rows = self._binned(df, time, event)
+        if self.cause_weights is not None and len(self.cause_weights) != self.n_causes_:
+            raise ValueError(f"cause_weights must have {self.n_causes_} entries")
         n, p = df.count(), len(self.features_)
         self.n_rows_, self.n_features_in_ = n, p
-        nsplit = self.nsplit if self.nsplit is not None else (0 if exact else 10)
-        settings = dict(n_bins=max(2, max(len(x) for x in self.bin_edges_) + 1), n_times=int(coarse.max()) + 1, causes=self.n_causes_, mtry=resolve_max_features(self.max_features, p), nsplit=nsplit, max_depth=self.max_depth, min_split=self.min_samples_split, min_leaf=self.min_samples_leaf, rule=self.splitrule, cause=self.cause, weights=None if self.cause_weights is None else np.asarray(self.cause_weights, float))
         self._seed = 0 if self.random_state is None else int(self.random_state)
         self._data = self._rows = None
         self.__dict__.pop("_shared", None)
-        if self.mode == "distributed" or n * (p + 5) > BROADCAST_BYTES:
-            rows = keyed(rows).persist()
-            if self.mode != "distributed":
-                self._rows = rows  # grown so for its size alone: out-of-bag figures are there as they are below it
-            grown = grow_forest(rows, p, coarse, n_trees=self.n_estimators, seed=self._seed, bootstrap=self.bootstrap, **settings)
-            self.trees_ = grown.persist()
-            self.trees_.count()
-            return self
-        packed = rows.toPandas()  # one byte a feature: what the tasks share, of the checked size above
-        bins = packed[[f"b{i}" for i in range(p)]].to_numpy(np.uint8)
-        t, e = packed["t"].to_numpy(np.int64), packed["event"].to_numpy(np.int64)
-        self._data = spark.sparkContext.broadcast((bins, t.astype(np.uint16), e.astype(np.uint8)))
-        seed, bootstrap, data = self._seed, self.bootstrap, self._data
+        self.__dict__.pop("_leaves", None)
+        names = [*[f"x{i}" for i in range(p)], "time", "event"]
+        plain = df.select(*[F.col(c).cast("double").alias(x) for c, x in zip([*self.features_, time, event], names)], *([F.col(key).cast("long").alias("key")] if key else []))
+        grow = self._grow_far if self.mode == "distributed" or n * (p + 2) * 8 > BROADCAST_BYTES else self._grow_near
+        self.trees_ = grow(plain, key is not None).persist()
+        self.trees_.count()
+        return self
+
+    def _settings(self) -> dict:
+        exact = self.mode == "reference"
+        ntime = len(self.time_grid_) if exact or self.equivalence == "rfsrc" or self.split_ntime is None else self.split_ntime
+        self._coarse = coarsen_time_grid(self.time_grid_, ntime)
+        nsplit = self.nsplit if self.nsplit is not None else (0 if exact else 10)
+        return dict(n_bins=max(2, max(len(x) for x in self.bin_edges_) + 1), n_times=int(self._coarse.max()) + 1, causes=self.n_causes_, mtry=resolve_max_features(self.max_features, self.n_features_in_), nsplit=nsplit, max_depth=self.max_depth, min_split=self.min_samples_split, min_leaf=self.min_samples_leaf, rule=self.splitrule, cause=self.cause, weights=None if self.cause_weights is None else np.asarray(self.cause_weights, float))
+
+    def _limits(self) -> tuple[int, int | None]:
+        """(bins of a feature, points of the time grid); a preset asks for every event time."""
+        return REFERENCE_BINS if self.mode == "reference" else self.n_bins, None if self.equivalence == "rfsrc" else self.time_grid
+
+    def _grow_far(self, plain: DataFrame, has_key: bool) -> DataFrame:
+        p, (n_bins, points) = self.n_features_in_, self._limits()
+        names = [f"x{i}" for i in range(p)]
+        self.bin_edges_ = feature_bin_edges(plain, names, min(n_bins, 256))
+        self.time_grid_ = event_time_grid(plain, points)
+        settings = self._settings()
+        self._rows = keyed(self._binned(plain, has_key), "key" if has_key else None).persist()
+        return grow_forest(self._rows, p, self._coarse, n_trees=self.n_estimators, seed=self._seed, bootstrap=self.bootstrap, **settings)
+
+    def _grow_near(self, plain: DataFrame, has_key: bool) -> DataFrame:
+        spark, p, (n_bins, points) = plain.sparkSession, self.n_features_in_, self._limits()
+        packed = plain.toPandas()  # of the size checked in fit
+        time, event = packed["time"].to_numpy(), packed["event"].to_numpy().astype(np.int64)
+        self.bin_edges_ = [cut_points(np.unique(packed[f"x{i}"].to_numpy()), n_bins) for i in range(p)]
+        self.time_grid_ = time_points(np.unique(time[event > 0]), points)
+        settings = self._settings()
+        columns = [np.searchsorted(e, packed[f"x{i}"].to_numpy(), side="right") for i, e in enumerate(self.bin_edges_)]
+        t = np.maximum(np.searchsorted(self.time_grid_, time, side="right") - 1, 0)
+        facts = [*columns, t, event]
+        key = packed["key"].to_numpy() if has_key else content_keys(facts, numbers_among_equals(facts))
+        del packed
+        narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        self._data = data = spark.sparkContext.broadcast((np.stack([narrow(c) for c in columns], axis=1), narrow(t), narrow(event), key))
+        seed, bootstrap, coarse = self._seed, self.bootstrap, self._coarse
 
         def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b, tf, ev = data.value
+            b, tf, ev, keys = data.value
             tf, ev = tf.astype(np.int64), ev.astype(np.int64)
             for frame in frames:
                 out = []
                 for i in frame["id"]:
-                    draw = np.random.default_rng([seed, int(i), 0])
-                    chosen = np.sort(draw.integers(0, len(b), len(b))) if bootstrap else np.arange(len(b))
-                    tree = grow_tree(b, coarse[tf], tf, ev, chosen, [seed, int(i), 1], **settings)
+                    chosen = np.repeat(np.arange(len(b)), copies(keys, seed, int(i))) if bootstrap else np.arange(len(b))
+                    tree = grow_tree(b, coarse[tf], tf, ev, chosen, seed, int(i), **settings)
                     out.append((int(i), pickle.dumps(tree)))
                 yield pd.DataFrame(out, columns=["tree_id", "tree"])
 
         ids = spark.range(0, self.n_estimators, 1, min(self.n_estimators, 4 * spark.sparkContext.defaultParallelism))
-        self.trees_ = ids.mapInPandas(build, "tree_id long, tree binary").persist()
-        self.trees_.count()
-        return self
+        return ids.mapInPandas(build, "tree_id long, tree binary")
 
-    def _binned(self, df: DataFrame, time: str, event: str) -> DataFrame:
-        """b0 .. b{p-1}, t (grid index) and event, binned by array searches an Arrow batch at a time."""
-        edges, grid, p = self.bin_edges_, self.time_grid_, len(self.features_)
-        names = [*[f"x{i}" for i in range(p)], "time", "event"]
+    def _binned(self, plain: DataFrame, has_key: bool) -> DataFrame:
+        """b0 .. b{p-1}, t (grid index), event and key if there is one, binned by array searches an Arrow batch at a time."""
+        edges, grid, p = self.bin_edges_, self.time_grid_, self.n_features_in_
 
         def run(frames):
             for frame in frames:
                 out = {f"b{i}": np.searchsorted(e, frame[f"x{i}"].to_numpy(), side="right").astype(np.int16) for i, e in enumerate(edges)}
                 out["t"] = np.maximum(np.searchsorted(grid, frame["time"].to_numpy(), side="right") - 1, 0).astype(np.int32)
                 out["event"] = frame["event"].to_numpy().astype(np.int32)
+                if has_key:
+                    out["key"] = frame["key"].to_numpy()
                 yield pd.DataFrame(out)
 
-        plain = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip([*self.features_, time, event], names)])
-        return plain.mapInPandas(run, ", ".join([*[f"b{i} short" for i in range(p)], "t int", "event int"]))
+        return plain.mapInPandas(run, ", ".join([*[f"b{i} short" for i in range(p)], "t int", "event int", *["key long"] * has_key]))
+
+    def _training_rows(self) -> DataFrame:
+        """(b0 .. b{p-1}, t, event, key, row) of the training rows, from the cluster or from what the tasks share."""
+        if getattr(self, "_rows", None) is not None:
+            return self._rows
+        if getattr(self, "_data", None) is None:
+            raise ValueError("out-of-bag figures need the training rows, which a saved model does not hold; score held-out rows instead")
+        spark, data, p = self.trees_.sparkSession, self._data, self.n_features_in_
+
+        def run(frames):
+            bins, t, event, key = data.value
+            for frame in frames:
+                i = frame["id"].to_numpy()
+                yield pd.DataFrame({**{f"b{j}": bins[i, j].astype(np.int16) for j in range(p)}, "t": t[i].astype(np.int32), "event": event[i].astype(np.int32), "key": key[i], "row": i})
+
+        return spark.range(self.n_rows_).mapInPandas(run, ", ".join([*[f"b{i} short" for i in range(p)], "t int", "event int", "key long", "row long"]))
 
-    def _forest(self) -> list[Tree]:
+    def _parts(self) -> list:
+        """The trees as broadcasts of up to ``FOREST_BYTES`` (or one tree) each."""
         if self.trees_ is None:
             raise RuntimeError("the forest is not fitted")
         if not hasattr(self, "_shared"):
-            self._shared = self.trees_.sparkSession.sparkContext.broadcast([pickle.loads(r["tree"]) for r in self.trees_.orderBy("tree_id").collect()])
+            sizes = sorted((r["tree_id"], r["n"]) for r in self.trees_.select("tree_id", F.octet_length("tree").alias("n")).collect())
+            groups, held = [[]], 0
+            for i, n in sizes:
+                if groups[-1] and held + n > FOREST_BYTES:
+                    groups, held = [*groups, []], 0
+                groups[-1].append(i)
+                held += n
+            fetch = lambda ids: [pickle.loads(r["tree"]) for r in self.trees_.where(F.col("tree_id").between(ids[0], ids[-1])).orderBy("tree_id").collect()]
+            self._shared = [self.trees_.sparkSession.sparkContext.broadcast(fetch(ids)) for ids in groups]
         return self._shared
 
-    def in_bag(self, tree_id: int) -> np.ndarray:
-        if not self.bootstrap:
-            return np.arange(self.n_rows_)
-        return np.sort(np.random.default_rng([self._seed, tree_id, 0]).integers(0, self.n_rows_, self.n_rows_))
-
     # ---- the forest as tables --------------------------------------------------------------------------------
 
     def tree_table(self) -> DataFrame:
@@ -180,14 +234,14 @@ class CompetingRiskForest:
                 for i, raw in zip(frame["tree_id"], frame["tree"]):
                     t = pickle.loads(raw)
                     leaf = np.repeat(np.arange(len(t.starts) - 1), np.diff(t.starts))
-                    yield pd.DataFrame({"tree_id": i, "leaf_id": leaf, "t_idx": t.t.astype(int), "event": t.event.astype(int), "n": 1 if t.n is None else t.n.astype(int)}).groupby(["tree_id", "leaf_id", "t_idx", "event"], as_index=False)["n"].sum()
+                    yield pd.DataFrame({"tree_id": i, "leaf_id": leaf, "t_idx": t.t.astype(int), "event": t.event.astype(int), "n": t.n})
 
         return self.trees_.mapInPandas(rows, "tree_id long, leaf_id int, t_idx int, event int, n long")
 
     def save(self, path: str) -> None:
         """The model as two Parquet tables: trees, and one row of settings."""
         self.trees_.write.parquet(f"{path}/trees")
-        state = {k: v for k, v in self.__dict__.items() if k not in ("trees_", "_data", "_rows", "_shared")}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("trees_", "_data", "_rows", "_shared", "_leaves")}
         self.trees_.sparkSession.createDataFrame([(pickle.dumps(state),)], "state binary").write.parquet(f"{path}/state")
 
     @classmethod
@@ -200,25 +254,59 @@ class CompetingRiskForest:
 
     # ---- prediction ----------------------------------------------------------------------------------------------
 
-    def _bins_of(self, frame: pd.DataFrame) -> np.ndarray:
-        return np.stack([np.searchsorted(e, frame[c].to_numpy(float), side="right") for c, e in zip(self.features_, self.bin_edges_)], axis=1).astype(np.uint8)
+    def _apply(self, df: DataFrame, name: str, width: int, values, finish, kind: T.DataType) -> DataFrame:
+        """``df`` with a column made of the forest's mean of ``values(tree, leaves)`` (leaf, width), which ``finish`` shapes.
 
-    def _apply(self, df: DataFrame, name: str, kind: T.DataType, reduce) -> DataFrame:
-        """``df`` with a column that ``reduce(forest, bins)`` makes of each Arrow batch."""
+        A forest of several parts is applied a part at a time; the parts' sums meet by row.
+        """
         missing = [c for c in self.features_ if c not in df.columns]
         if missing:
             raise ValueError(f"features are missing: {missing}")
-        shared, edges, features = self._forest(), self.bin_edges_, self.features_
-        schema = T.StructType([*[f for f in df.schema.fields if f.name != name], T.StructField(name, kind)])
+        parts, edges, features, trees = self._parts(), self.bin_edges_, self.features_, self.n_estimators
 
-        def run(frames):
+        def sums(frame, forest):
+            bins = np.stack([np.searchsorted(e, frame[c].to_numpy(float), side="right") for c, e in zip(features, edges)], axis=1).astype(np.int32)
+            total = np.zeros((len(bins), width))
+            for tree in forest:
+                used, back = np.unique(tree.leaves_of(bins), return_inverse=True)
+                total += values(tree, used)[back]
+            return total / trees
+
+        kept = [f for f in df.schema.fields if f.name != name]
+        schema = T.StructType([*kept, T.StructField(name, kind)])
+        if len(parts) == 1:
+
+            def run(frames):
+                for frame in frames:
+                    made = finish(sums(frame, parts[0].value))
+                    frame = frame.drop(columns=[name], errors="ignore")
+                    frame[name] = made
+                    yield frame
+
+            return df.mapInPandas(run, schema)
+        rows = df.withColumn("__row", F.monotonically_increasing_id())
+
+        def of(part):
+            def run(frames):
+                for frame in frames:
+                    made = sums(frame, part.value)
+                    yield pd.DataFrame({"__row": np.repeat(frame["__row"].to_numpy(), width), "at": np.tile(np.arange(width), len(frame)), "v": made.ravel()})
+
+            return rows.select("__row", *features).mapInPandas(run, "__row long, at int, v double")
+
+        every = of(parts[0])
+        for part in parts[1:]:
+            every = every.union(of(part))
+        joined = every.groupBy("__row", "at").agg(F.sum("v").alias("v")).groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("__sum"))
+
+        def shape(frames):
             for frame in frames:
-                bins = np.stack([np.searchsorted(e, frame[c].to_numpy(float), side="right") for c, e in zip(features, edges)], axis=1).astype(np.uint8)
-                frame = frame.drop(columns=[name], errors="ignore")
-                frame[name] = reduce(shared.value, bins)
-                yield frame
+                made = finish(np.stack(frame["__sum"].to_numpy())) if len(frame) else []
+                frame = frame.drop(columns=["__sum"])
+                frame[name] = made
+                yield frame[[f.name for f in schema]]
 
-        return df.mapInPandas(run, schema)
+        return rows.drop(name).join(joined, "__row").drop("__row").mapInPandas(shape, schema)
 
     def _grid_steps(self, times) -> np.ndarray | None:
         if times is None:
@@ -227,20 +315,18 @@ class CompetingRiskForest:
 
     def _curves(self, df: DataFrame, name: str, times, hazard: bool) -> DataFrame:
         m, k, steps = len(self.time_grid_), self.n_causes_, self._grid_steps(times)
+        width = m if steps is None else len(steps)
 
-        def reduce(forest, bins):
-            width = m if steps is None else len(steps)
-            total = np.zeros((len(bins), k, width))
-            for tree in forest:
-                used, back = np.unique(tree.leaves_of(bins), return_inverse=True)
-                c = tree.curves(used, m, k, hazard)
-                if steps is not None:
-                    c = np.where(steps >= 0, c[:, :, np.maximum(steps, 0)], 0.0)
-                total += c[back]
-            total /= len(forest)
-            return [[row.tolist() for row in one] for one in total]
+        def values(tree, leaves):
+            c = tree.curves(leaves, m, k, hazard)
+            if steps is not None:
+                c = np.where(steps >= 0, c[:, :, np.maximum(steps, 0)], 0.0)
+            return c.reshape(len(leaves), k * width)
+
+        def finish(total):
+            return [[row.tolist() for row in one] for one in total.reshape(len(total), k, width)]
 
-        return self._apply(df, name, T.ArrayType(T.ArrayType(T.DoubleType())), reduce)
+        return self._apply(df, name, k * width, values, finish, T.ArrayType(T.ArrayType(T.DoubleType())))
 
     def predict_cif(self, df: DataFrame, times=None, name: str = "cif") -> DataFrame:
         """Array [cause][time] of the ensemble mean incidence (on the model's grid, or at ``times``)."""
@@ -255,15 +341,11 @@ class CompetingRiskForest:
         if kind not in ("integrated_chf", "cif_last"):
             raise ValueError(f"unknown kind {kind!r}")
 
-        def reduce(forest, bins):
-            total = np.zeros(len(bins))
-            for tree in forest:
-                used, back = np.unique(tree.leaves_of(bins), return_inverse=True)
-                c = tree.curves(used, m, k, kind == "integrated_chf")[:, cause - 1]
-                total += (c.sum(axis=1) if kind == "integrated_chf" else c[:, -1])[back]
-            return total / len(forest)
+        def values(tree, leaves):
+            c = tree.curves(leaves, m, k, kind == "integrated_chf")[:, cause - 1]
+            return (c.sum(axis=1) if kind == "integrated_chf" else c[:, -1])[:, None]
 
-        return self._apply(df, name, T.DoubleType(), reduce)
+        return self._apply(df, name, 1, values, lambda total: total[:, 0], T.DoubleType())
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.predict_risk(df, 1)
@@ -273,49 +355,39 @@ class CompetingRiskForest:
 
     # ---- out of bag -------------------------------------------------------------------------------------------------
 
-    def _mortality(self, tree: Tree, leaves: np.ndarray, cause: int) -> np.ndarray:
-        """Left-Riemann integral of the incidence of some leaves."""
-        c = tree.curves(leaves, len(self.time_grid_), self.n_causes_)[:, cause - 1]
-        return c[:, :-1] @ np.diff(self.time_grid_)
+    def _mortality(self, cause: int):
+        """Broadcast of each tree's nodes with its leaves' mortality: the left-Riemann integral of the incidence."""
+        m, k, steps = len(self.time_grid_), self.n_causes_, np.diff(self.time_grid_)
+
+        def run(frames):
+            for frame in frames:
+                out = []
+                for i, raw in zip(frame["tree_id"], frame["tree"]):
+                    t = pickle.loads(raw)
+                    value = np.concatenate([t.curves(part, m, k)[:, cause - 1][:, :-1] @ steps for part in np.array_split(np.arange(len(t.starts) - 1), 1 + len(t.starts) // 4096)])
+                    out.append((i, pickle.dumps((t.feature, t.split, t.left, t.leaf, value))))
+                yield pd.DataFrame(out, columns=["tree_id", "light"])
+
+        self._leaves = getattr(self, "_leaves", {})
+        if cause not in self._leaves:
+            none = np.zeros(0, np.int64)
+            light = lambda f, s, left, leaf, value: (Tree(f, s, left, none, leaf, none, none, none, none, none), value)
+            rows = self.trees_.mapInPandas(run, "tree_id long, light binary").orderBy("tree_id").collect()
+            self._leaves[cause] = self.trees_.sparkSession.sparkContext.broadcast([light(*pickle.loads(r["light"])) for r in rows])
+        return self._leaves[cause]
+
+    def leaf_mortality(self, cause: int = 1) -> list[np.ndarray]:
+        """The mortality of each tree's leaves."""
+        return [value for _, value in self._mortality(cause).value]
 
     def _oob_sums(self, cause: int, permuted: Sequence[int] = (-1,)) -> DataFrame:
         """(feature, row, sum, n): mortality over the trees that leave a row out, with a feature permuted (-1: none).
 
-        A task takes a (tree, feature) pair; sums meet in one shuffle of (feature, row).
+        Every task takes its rows through all trees. A permuted value is drawn, by a hash of the row's key, from the tree's
+        out-of-bag values of the feature, of which the driver gets the counts by bin.
         """
-        self._forest()
-        if getattr(self, "_rows", None) is not None:
-            return self._far_oob_sums(cause, permuted)
-        if self._data is None:
-            raise ValueError("out-of-bag figures need a forest grown from shared rows; score held-out rows instead")
-        spark, data, shared, me = self.trees_.sparkSession, self._data, self._shared, self._seed
-        steps, k, n, bootstrap = np.diff(self.time_grid_), self.n_causes_, self.n_rows_, self.bootstrap
-        m = len(self.time_grid_)
-
-        def run(frames):
-            bins = data.value[0]
-            for frame in frames:
-                for i, f in zip(frame["tree"], frame["feature"]):
-                    chosen = np.random.default_rng([me, int(i), 0]).integers(0, n, n) if bootstrap else np.arange(n)
-                    out = np.flatnonzero(np.bincount(chosen, minlength=n) == 0)
-                    if not len(out):
-                        continue
-                    x = bins[out]
-                    if f >= 0:
-                        x = x.copy()
-                        x[:, f] = x[np.random.default_rng([me, int(i), 2 + int(f)]).permutation(len(out)), f]
-                    tree = shared.value[i]
-                    used, back = np.unique(tree.leaves_of(x), return_inverse=True)
-                    value = tree.curves(used, m, k)[:, cause - 1][:, :-1] @ steps
-                    yield pd.DataFrame({"feature": f, "row": out, "value": value[back]})
-
-        tasks = spark.range(self.n_estimators).select(F.col("id").alias("tree"), F.explode(F.array(*[F.lit(int(f)) for f in permuted])).alias("feature")).repartition(max(1, min(self.n_estimators * len(permuted), 8 * spark.sparkContext.defaultParallelism)))
-        return tasks.mapInPandas(run, "feature int, row long, value double").groupBy("feature", "row").agg(F.sum("value").alias("sum"), F.count("*").alias("n"))
-
-    def _far_oob_sums(self, cause: int, permuted: Sequence[int]) -> DataFrame:
-        """The same over distributed rows, each with all of its trees at once. A permuted value is drawn, by a hash of the row's key, from the tree's out-of-bag values."""
-        shared, seed, p, m, k = self._shared, self._seed, self.n_features_in_, len(self.time_grid_), self.n_causes_
-        names, steps, bootstrap, permuted = [f"b{i}" for i in range(p)], np.diff(self.time_grid_), self.bootstrap, [int(f) for f in permuted]
+        held, rows, seed, p, bootstrap = self._mortality(cause), self._training_rows(), self._seed, self.n_features_in_, self.bootstrap
+        names, permuted = [f"b{i}" for i in range(p)], [int(f) for f in permuted]
         dealt = [f for f in permuted if f >= 0]
         width = max(len(x) for x in self.bin_edges_) + 1
 
@@ -324,8 +396,9 @@ class CompetingRiskForest:
 
         def count(frames):
             for frame in frames:
-                for i in range(len(shared.value)):
-                    x = frame[names].to_numpy(np.int64)[left_out(frame, i)]
+                bins = frame[names].to_numpy(np.int64)
+                for i in range(len(held.value)):
+                    x = bins[left_out(frame, i)]
                     for f in dealt:
                         n = np.bincount(x[:, f], minlength=width)
                         b = np.flatnonzero(n)
@@ -333,53 +406,42 @@ class CompetingRiskForest:
 
         share = {}
         if dealt:
-            for r in self._rows.mapInPandas(count, "tree int, feature int, bin int, n long").groupBy("tree", "feature", "bin").agg(F.sum("n").alias("n")).collect():
+            for r in rows.mapInPandas(count, "tree int, feature int, bin int, n long").groupBy("tree", "feature", "bin").agg(F.sum("n").alias("n")).collect():
                 share.setdefault((r["tree"], r["feature"]), np.zeros(width))[r["bin"]] = r["n"]
-        held = self._rows.sparkSession.sparkContext.broadcast({at: np.cumsum(n)[:-1] / n.sum() for at, n in share.items()})
+        shares = rows.sparkSession.sparkContext.broadcast({at: np.cumsum(n)[:-1] / n.sum() for at, n in share.items()})
 
         def run(frames):
             for frame in frames:
                 bins, key = frame[names].to_numpy(np.int64), frame["key"].to_numpy()
                 total, n = np.zeros((len(permuted), len(bins))), np.zeros(len(bins), np.int64)
-                for i, tree in enumerate(shared.value):
+                for i, (tree, value) in enumerate(held.value):
                     out = left_out(frame, i)
                     if not len(out):
                         continue
                     n[out] += 1
-                    value = tree.curves(np.arange(len(tree.starts) - 1), m, k)[:, cause - 1][:, :-1] @ steps
                     for j, f in enumerate(permuted):
                         x = bins[out]
                         if f >= 0:
-                            x[:, f] = np.searchsorted(held.value[i, f], uniforms(key[out], seed, i, 2 + f), side="right")
+                            x[:, f] = np.searchsorted(shares.value[i, f], uniforms(key[out], seed, i, DEAL, f), side="right")
                         total[j, out] += value[tree.leaves_of(x)]
                 seen = np.flatnonzero(n)
                 for j, f in enumerate(permuted):
                     yield pd.DataFrame({"feature": f, "row": frame["row"].to_numpy()[seen], "sum": total[j, seen], "n": n[seen]})
 
-        return self._rows.mapInPandas(run, "feature int, row long, sum double, n long")
+        return rows.mapInPandas(run, "feature int, row long, sum double, n long")
 
     def _outcomes(self) -> DataFrame:
-        """(row, time on the grid, event) of the training rows."""
-        if getattr(self, "_rows", None) is not None:
-            times = self.time_grid_
+        """(row, time on the grid, event, key) of the training rows."""
+        times = self.time_grid_
 
-            def of(frames):
-                for frame in frames:
-                    yield pd.DataFrame({"row": frame["row"], "time": times[frame["t"].to_numpy()], "event": frame["event"]})
-
-            return self._rows.select("row", "t", "event").mapInPandas(of, "row long, time double, event int")
-        spark, data, grid, n = self.trees_.sparkSession, self._data, self.time_grid_, self.n_rows_
-
-        def run(frames):
-            _, t, e = data.value
+        def of(frames):
             for frame in frames:
-                i = frame["id"].to_numpy()
-                yield pd.DataFrame({"row": i, "time": grid[t[i]], "event": e[i].astype(int)})
+                yield pd.DataFrame({"row": frame["row"], "time": times[frame["t"].to_numpy()], "event": frame["event"], "key": frame["key"]})
 
-        return spark.range(n).mapInPandas(run, "row long, time double, event int")
+        return self._training_rows().select("row", "t", "event", "key").mapInPandas(of, "row long, time double, event int, key long")
 
     def predict_oob_risk(self, cause: int = 1) -> DataFrame:
-        """(row, risk): mean out-of-bag mortality; rows that are in every bag get 0."""
+        """(row, time, event, key, risk): mean out-of-bag mortality; rows that are in every bag get 0."""
         found = self._oob_sums(cause).select("row", (F.col("sum") / F.col("n")).alias("risk"))
         return self._outcomes().join(found, "row", "left").withColumn("risk", F.coalesce("risk", F.lit(0.0)))
 
@@ -408,14 +470,15 @@ class CompetingRiskForest:
 
     def _held_out_drops(self, df: DataFrame, cause: int, n_repeats: int, seed: int) -> list[float]:
         """Mean drop over shuffles of each column: values are dealt anew by the order of a hash, all shuffles are scored at once."""
-        from pyspark.sql import Window
+        def ordered(frame: DataFrame, by, name: str) -> DataFrame:
+            """Rows numbered in the order of a hash, by blocks of it."""
+            return running(with_blocks(frame.withColumn("__h", by), "__h"), [], ["__h", *frame.columns], {name: ("sum", F.lit(1.0), "upto")}).select(*frame.columns, F.col(name).cast("long").alias(name))
 
-        w = lambda *k: Window.orderBy(*k)  # noqa: E731  a held-out set, one row each
-        rows = df.select(*self.features_, self.time_, self.event_).withColumn("__i", F.row_number().over(w(F.xxhash64(*self.features_, self.time_, self.event_)))).persist()
+        rows = ordered(df.select(*self.features_, self.time_, self.event_), F.xxhash64(*self.features_, self.time_, self.event_), "__i").persist()
         trials = [rows.withColumn("trial", F.lit(-1))]
         for j, c in enumerate(self.features_):
             for r in range(n_repeats):
-                dealt = rows.select(F.col(c).alias("__v"), F.row_number().over(w(F.xxhash64(F.lit(seed + 1000 * r + j), "__i"))).alias("__i"))
+                dealt = ordered(rows.select(F.col(c).alias("__v"), F.col("__i").alias("__k")), F.xxhash64(F.lit(seed + 1000 * r + j), "__k"), "__i").select("__v", "__i")
                 trials.append(rows.drop(c).join(dealt, "__i").withColumnRenamed("__v", c).withColumn("trial", F.lit(j * n_repeats + r)).select(*rows.columns, "trial"))
         every = trials[0]
         for t in trials[1:]:
@@ -439,7 +502,7 @@ class CompetingRiskForest:
         up to its predicted incidence less the base.
         """
         m, k, steps, grid = len(self.time_grid_), self.n_causes_, self._grid_steps(times), self.time_grid_
-        shared, features, edges = self._forest(), self.features_, self.bin_edges_
+        parts, features, edges, trees = self._parts(), self.features_, self.bin_edges_, self.n_estimators
 
         def values(tree: Tree) -> np.ndarray:
             v = tree.curves(np.arange(len(tree.starts) - 1), m, k)[:, cause - 1]
@@ -452,23 +515,28 @@ class CompetingRiskForest:
                 v = ((v[:, 1:] + v[:, :-1]) / 2 @ np.diff(axis))[:, None]
             return v
 
+        def phis(frame, forest):
+            bins = np.stack([np.searchsorted(e, frame[c].to_numpy(float), side="right") for c, e in zip(features, edges)], axis=1)
+            phi = None
+            for tree in forest:
+                v = values(tree)
+                phi = np.zeros((len(bins), len(features), v.shape[1])) if phi is None else phi
+                for leaf, f, low, high, part in leaf_paths(tree):
+                    if len(f):
+                        inside = (bins[:, f] > low) & (bins[:, f] <= high)
+                        phi[:, f] += path_weights(inside, part)[:, :, None] * v[leaf]
+            return phi / trees
+
         def run(frames):
             for frame in frames:
                 if not len(frame):
                     continue
-                bins = np.stack([np.searchsorted(e, frame[c].to_numpy(float), side="right") for c, e in zip(features, edges)], axis=1)
-                phi = None
-                for tree in shared.value:
-                    v = values(tree)
-                    phi = np.zeros((len(bins), len(features), v.shape[1])) if phi is None else phi
-                    for leaf, f, low, high, part in leaf_paths(tree):
-                        if len(f):
-                            inside = (bins[:, f] > low) & (bins[:, f] <= high)
-                            phi[:, f] += path_weights(inside, part)[:, :, None] * v[leaf]
-                phi /= len(shared.value)
-                names = np.tile(np.array(features, dtype=object), len(bins))
+                phi = 0.0
+                for part in parts:
+                    phi = phi + phis(frame, part.value)
+                names = np.tile(np.array(features, dtype=object), len(frame))
                 yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), len(features)), "feature": names, "phi": [x.tolist() for x in phi.reshape(-1, phi.shape[2])]})
 
         out = df.select(key, *[c for c in self.features_ if c != key]).mapInPandas(run, T.StructType([df.schema[key], T.StructField("feature", T.StringType()), T.StructField("phi", T.ArrayType(T.DoubleType()))]))
-        base = np.mean([np.average(values(t), axis=0, weights=t.cover[t.feature < 0]) for t in shared.value], axis=0)
+        base = np.mean([np.average(values(t), axis=0, weights=t.cover[t.feature < 0]) for part in parts for t in part.value], axis=0)
         return out, df.sparkSession.createDataFrame([([float(b) for b in base],)], "base array<double>")

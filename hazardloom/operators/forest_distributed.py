@@ -2,8 +2,8 @@
 
 A level of a batch of trees is one scan: tasks send rows down the trees known so far, count
 (tree, node, drawn feature, bin, time, event) cells, and the summed cells of a node decide its split. Only
-cells are shuffled; the driver keeps the node arrays of the batch. In-bag copies are Poisson(1) draws from
-a hash of (seed, tree, row key), and keys follow from the rows' content, so nothing depends on partitioning.
+cells are shuffled; the driver keeps the node arrays of the batch. All draws are hashes (:mod:`draws`), in-bag copies by the
+rows' keys, so a tree is the one that a task would grow, and does not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -14,38 +14,33 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .tree_kernel import Tree, split_scores
-
-#: cumulative Poisson(1) probabilities
-_CUMULATIVE = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119])
-
+from .draws import content_keys, copies, drawn_features, drawn_ranks
+from .tree_kernel import split_scores, tree_of
 
 #: copies of equal rows that one task numbers
 COPIES = 1 << 16
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """``rows`` with key, a hash of a row's content and of its number among equal rows: the same however rows are partitioned; and row, a number of its own."""
-    names, n, width = rows.columns, F.col("__n"), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def keyed(rows: DataFrame, key: str | None = None) -> DataFrame:
+    """``rows`` with row, a number of its own, and key, which draws go by: the column of that name (whole numbers, which it gives up),
+    or a hash of the row's content and of its number among equal rows. Either is the same however rows are partitioned."""
+    names, width = [c for c in rows.columns if c != key], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if key:
+        return rows.select(*names, F.col(key).cast("long").alias("key"), F.monotonically_increasing_id().alias("row"))
+    n = F.col("__n")
     parts = rows.groupBy(*names).agg(F.count("*").alias("__n")).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / COPIES)))).repartition(width, *names, "__b")
     each = parts.withColumn("__i", F.explode(F.sequence(F.col("__b") * COPIES, F.least((F.col("__b") + 1) * COPIES, n) - 1)))
     # sorted, so that a partition that is made again numbers its rows alike
-    return each.sortWithinPartitions(*names, "__i").select(*names, F.xxhash64(*names, "__i").alias("key"), F.monotonically_increasing_id().alias("row"))
-
+    each = each.sortWithinPartitions(*names, "__i").select(*names, "__i", F.monotonically_increasing_id().alias("row"))
 
-def uniforms(keys: np.ndarray, *salts: int) -> np.ndarray:
-    """A number in [0, 1) for each key, by a hash."""
-    salt = np.random.SeedSequence(salts).generate_state(1, np.uint64)[0]
-    x = keys.astype(np.int64).view(np.uint64) ^ salt
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x >> np.uint64(11)).astype(np.float64) / 2.0**53
+    def run(frames):
+        for frame in frames:
+            frame["key"] = content_keys([frame[c].to_numpy() for c in names], frame["__i"].to_numpy())
+            yield frame[[*names, "key", "row"]]
 
-
-def copies(keys: np.ndarray, seed: int, tree: int) -> np.ndarray:
-    """In-bag copies of rows (by their hashed keys) in a tree."""
-    return np.searchsorted(_CUMULATIVE, uniforms(keys, seed, tree), side="right")
+    return each.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("key", T.LongType()), T.StructField("row", T.LongType())]))
 
 
 class _Growing:
@@ -75,10 +70,6 @@ class _Growing:
         self.open = np.arange(first, first + 2 * len(nodes))
 
 
-def _drawn(seed: int, tree: int, node: int, p: int, mtry: int) -> np.ndarray:
-    return np.random.default_rng([seed, tree, node, 7]).permutation(p)[:mtry]
-
-
 def grow_forest(rows: DataFrame, p: int, coarse: np.ndarray, *, n_trees: int, seed: int, bootstrap: bool, n_bins: int, n_times: int, causes: int, mtry: int, nsplit: int, max_depth: int | None, min_split: int, min_leaf: int, rule: str, cause: int, weights=None, batch: int = 16) -> DataFrame:
     """(tree_id, tree) from rows (key, b0 .. b{p-1}, t, event); ``key`` is a hash that tells rows apart."""
     spark, parts = rows.sparkSession, None
@@ -98,7 +89,7 @@ def grow_forest(rows: DataFrame, p: int, coarse: np.ndarray, *, n_trees: int, se
                     if not len(mine):
                         continue
                     used, back = np.unique(node[mine], return_inverse=True)
-                    drawn = np.stack([_drawn(seed, tree, int(n), p, mtry) for n in used])[back]
+                    drawn = drawn_features(used, p, mtry, seed, tree)[back]
                     x = bins[mine[:, None], drawn]
                     cell = ((np.arange(mtry) * n_bins + x) * (causes + 1) + e[mine, None]) * n_times + t[mine, None]
                     fused, where = np.unique(back[:, None] * (mtry * n_bins * cells) + cell, return_inverse=True)
@@ -119,14 +110,17 @@ def grow_forest(rows: DataFrame, p: int, coarse: np.ndarray, *, n_trees: int, se
         num, var = split_scores(total, n[:, :, 1:], rule, cause, weights)
         left = total[:, :-1].sum(axis=2)
         ok = (left >= min_leaf) & (size - left >= min_leaf) & (var >= 1e-12) & seen[:, :-1]
+        drawn = drawn_features(np.array([node]), p, mtry, seed, tree)[0]
         if nsplit > 0:
-            draw = np.where(seen[:, :-1] & (left < size), np.random.default_rng([seed, tree, node, 11]).random(ok.shape), 2.0)
-            ok &= draw <= np.sort(draw, axis=1)[:, [min(nsplit, draw.shape[1]) - 1]]
+            many = seen.sum(axis=1) - 1  # all observed bins but the largest
+            ranks = drawn_ranks(many, nsplit, np.full(mtry, node), drawn, seed, tree)
+            place = np.cumsum(seen, axis=1)[:, :-1] - 1
+            ok &= (place[:, :, None] == np.where(ranks < many[:, None], ranks, -1)[:, None, :]).any(axis=2)
         stat = np.where(ok, num * num / np.where(var > 0, var, 1.0), 0.0)
         top = int(np.argmax(stat))
         f, b = divmod(top, n_bins - 1)
         good = size >= min_split and stat.ravel()[top] > 0
-        return pd.DataFrame({"tree": [tree], "node": [node], "feature": [int(_drawn(seed, tree, node, p, mtry)[f]) if good else -1], "bin": [b]})
+        return pd.DataFrame({"tree": [tree], "node": [node], "feature": [int(drawn[f]) if good else -1], "bin": [b]})
 
     def finished(growing: dict[int, _Growing]):
         held = spark.sparkContext.broadcast(growing)
@@ -142,17 +136,13 @@ def grow_forest(rows: DataFrame, p: int, coarse: np.ndarray, *, n_trees: int, se
 
         def assemble(frame: pd.DataFrame) -> pd.DataFrame:
             tree = int(frame["tree"].iloc[0])
-            g = held.value[tree]
-            leaf = np.where(g.feature < 0, np.cumsum(g.feature < 0) - 1, -1)
-            frame = frame.sort_values(["node", "t", "event"])
-            of = leaf[frame["node"].to_numpy()]
-            cover = np.bincount(frame["node"], weights=frame["n"], minlength=len(leaf))
-            for n in np.argsort(g.depth, kind="stable")[::-1]:
-                if g.feature[n] >= 0:
-                    cover[n] = cover[g.left[n]] + cover[g.left[n] + 1]
-            order = np.argsort(of, kind="stable")
-            starts = np.searchsorted(of[order], np.arange((leaf >= 0).sum() + 1))
-            made = Tree(g.feature.astype(np.int16), g.split.astype(np.int16), g.left.astype(np.int32), g.depth.astype(np.int16), leaf.astype(np.int32), cover, starts.astype(np.int64), frame["t"].to_numpy()[order].astype(np.uint16), frame["event"].to_numpy()[order].astype(np.uint8), frame["n"].to_numpy()[order].astype(float))
+            g, n = held.value[tree], frame["n"].to_numpy(float)
+            node = frame["node"].to_numpy()
+            cover = np.bincount(node, weights=n, minlength=len(g.feature))
+            for i in np.argsort(g.depth, kind="stable")[::-1]:
+                if g.feature[i] >= 0:
+                    cover[i] = cover[g.left[i]] + cover[g.left[i] + 1]
+            made = tree_of(g.feature, g.split, g.left, g.depth, cover, node, frame["t"].to_numpy().astype(np.int64), frame["event"].to_numpy().astype(np.int64), n)
             return pd.DataFrame({"tree_id": [tree], "tree": [pickle.dumps(made)]})
 
         counts = rows.mapInPandas(run, "tree int, node int, t int, event int, n long").groupBy("tree", "node", "t", "event").agg(F.sum("n").alias("n"))

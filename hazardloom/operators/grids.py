@@ -2,59 +2,50 @@
 
 from __future__ import annotations
 
-import math
 import warnings
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: distinct values that one task ranks; beyond, they are ranked in sorted partitions
-EXACT_DISTINCT = 5_000_000
+from . import scans
 
 
-def _quantiles(distinct: DataFrame, col: str, qs: Sequence[float], n: int) -> list[float]:
-    if n > EXACT_DISTINCT:
-        return _ranked(distinct.select(F.col(col).alias("v")), qs)
-    return distinct.agg(F.percentile(col, F.array(*[F.lit(float(q)) for q in qs]))).first()[0]
+def cut_points(distinct: np.ndarray, n_bins: int) -> np.ndarray:
+    """Edges of one feature from its sorted distinct values: midpoints where they fit the bins, else quantiles."""
+    if len(distinct) <= n_bins:
+        return (distinct[:-1] + distinct[1:]) / 2
+    return sorted_quantiles(distinct, inner_shares(n_bins))
 
 
-def _ranked(distinct: DataFrame, qs: Sequence[float]) -> list[float]:
-    """What ``percentile`` gives, from range partitions: only the values of the asked ranks come to the driver."""
-    width = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = distinct.where("v is not null").repartitionByRange(width, "v").withColumn("part", F.spark_partition_id()).persist()
-    counts = parts.groupBy("part").count().orderBy("part").collect()
-    earlier = dict(zip([r["part"] for r in counts], np.cumsum([0, *(r["count"] for r in counts)]).tolist()))
-    at = [float(q) * (sum(r["count"] for r in counts) - 1) for q in qs]
-    asked = {i for x in at for i in (math.floor(x), math.ceil(x))}
-    here = F.create_map(*[F.lit(x) for pair in earlier.items() for x in pair])[F.col("part")]
-    ranked = parts.withColumn("rank", here + F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1)
-    value = {r["rank"]: r["v"] for r in ranked.where(F.col("rank").isin(sorted(asked))).select("rank", "v").collect()}
-    parts.unpersist()
-    low, high = [math.floor(x) for x in at], [math.ceil(x) for x in at]
-    return [value[i] if i == j else (j - x) * value[i] + (x - i) * value[j] for x, i, j in zip(at, low, high)]
+def inner_shares(n: int) -> np.ndarray:
+    return np.linspace(0, 1, n + 1)[1:-1]
+
+
+def sorted_quantiles(values: np.ndarray, qs: np.ndarray) -> np.ndarray:
+    """Quantiles of sorted values, in the very arithmetic of :func:`scans.quantiles`."""
+    at = np.asarray(qs, float) * (len(values) - 1)
+    low = np.floor(at).astype(int)
+    part = at - low
+    return np.where(part == 0, values[low], (1 - part) * values[low] + part * values[np.ceil(at).astype(int)])
 
 
 def feature_bin_edges(df: DataFrame, features: Sequence[str], n_bins: int = 256) -> list[np.ndarray]:
-    """Midpoints between distinct values where they fit the bins, else quantiles of the distinct values: three jobs for all features of up to ``EXACT_DISTINCT`` values, three for each other."""
+    """Midpoints between distinct values where they fit the bins, else exact quantiles of the distinct values: three jobs for all features."""
     if not 2 <= n_bins <= 256:
         raise ValueError("n_bins must be from 2 to 256")
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(features)]))
     distinct = df.select(pairs.alias("x")).select("x.f", "x.v").distinct()
     count = {r["f"]: r["count"] for r in distinct.groupBy("f").count().collect()}
-    few = [f for f, n in count.items() if n <= n_bins]
+    few, many = ([f for f, n in count.items() if (n <= n_bins) == small] for small in (True, False))
     found: dict[int, np.ndarray] = {}
     if few:
         for r in distinct.where(F.col("f").isin(few)).groupBy("f").agg(F.sort_array(F.collect_list("v")).alias("v")).collect():
-            v = np.array(r["v"])
-            found[r["f"]] = (v[:-1] + v[1:]) / 2
-    qs = [float(q) for q in np.linspace(0, 1, n_bins + 1)[1:-1]]
-    many = [f for f, n in count.items() if n_bins < n <= EXACT_DISTINCT]
+            found[r["f"]] = cut_points(np.array(r["v"]), n_bins)
     if many:
-        cut = F.percentile("v", F.array(*[F.lit(q) for q in qs]))
-        found |= {r["f"]: np.array(r["q"]) for r in distinct.where(F.col("f").isin(many)).groupBy("f").agg(cut.alias("q")).collect()}
-    found |= {f: np.array(_ranked(distinct.where(F.col("f") == f).select("v"), qs)) for f, n in count.items() if n > max(n_bins, EXACT_DISTINCT)}
+        rows = scans.quantiles(distinct.where(F.col("f").isin(many)), ["f"], "v", inner_shares(n_bins), wide=sum(count.values()) > scans.ONE_TASK)
+        found |= {r["f"]: np.array(r["quantiles"]) for r in rows.collect()}
     return [found.get(i, np.zeros(0)) for i in range(len(features))]
 
 
@@ -70,14 +61,23 @@ def bin_to_threshold(edges: Sequence[float], b: int) -> float:
 
 
 def event_time_grid(df: DataFrame, max_points: int | None = 200, time: str = "time", event: str = "event") -> np.ndarray:
-    """All distinct event times if they fit, else distinct quantiles of them."""
+    """All distinct event times if they fit (or no limit is set: they then come to the driver), else distinct exact quantiles of them."""
     distinct = df.where(F.col(event) > 0).select(F.col(time).cast("double").alias("v")).distinct()
     n = distinct.count()
     if not n:
         raise ValueError("no event times: every row is censored")
     if max_points is None or n <= max_points:
         return np.array(sorted(r[0] for r in distinct.collect()))
-    return np.unique(np.array(_quantiles(distinct, "v", np.linspace(0, 1, max_points), n)))
+    return np.unique(np.array(scans.quantiles(distinct, [], "v", np.linspace(0, 1, max_points), wide=n > scans.ONE_TASK).first()["quantiles"]))
+
+
+def time_points(event_times: np.ndarray, max_points: int | None) -> np.ndarray:
+    """:func:`event_time_grid` of sorted distinct event times at hand."""
+    if not len(event_times):
+        raise ValueError("no event times: every row is censored")
+    if max_points is None or len(event_times) <= max_points:
+        return event_times
+    return np.unique(sorted_quantiles(event_times, np.linspace(0, 1, max_points)))
 
 
 def time_index(time: Column, grid: Sequence[float]) -> Column:
@@ -86,13 +86,19 @@ def time_index(time: Column, grid: Sequence[float]) -> Column:
 
 
 def coarsen_time_grid(grid: np.ndarray, ntime: int) -> np.ndarray:
-    """Coarse bin of each grid point: quantile buckets of the grid, uniform in time if too few are distinct."""
-    n = len(grid)
-    if ntime >= n:
-        return np.arange(n)
-    starts = np.searchsorted(grid, np.quantile(grid, np.linspace(0, 1, ntime + 1)), side="left")
-    starts[-1] = n
-    if len(np.unique(starts)) < ntime // 2:
-        warnings.warn("time grid clusters too much for quantile buckets; coarsening it uniformly", UserWarning, stacklevel=2)
-        return np.clip(np.searchsorted(np.linspace(grid[0], grid[-1], ntime + 1), grid, side="right") - 1, 0, ntime - 1)
-    return np.clip(np.searchsorted(starts, np.arange(n), side="right") - 1, 0, ntime - 1)
+    """Coarse bin of each point of a rising grid: its rank dealt into ``ntime`` equal shares of the ranks.
+
+    Equal points share the rank of the last of them. Where they leave under half of the bins with a point, bins are
+    equal spans of time instead, with a warning. With ``ntime`` points or fewer each is a bin of its own.
+    """
+    grid = np.asarray(grid, float)
+    last = len(grid) - 1
+    if ntime > last:
+        return np.arange(len(grid))
+    rank = np.searchsorted(grid, grid, side="right") - 1
+    by_rank = np.minimum(rank * ntime // last, ntime - 1)
+    if len(np.unique(by_rank)) >= ntime // 2:
+        return by_rank
+    warnings.warn(f"repeated grid points leave under half of {ntime} rank bins filled; binning equal time spans", UserWarning, stacklevel=2)
+    span = grid[-1] - grid[0]
+    return np.minimum(((grid - grid[0]) / (span or 1.0) * ntime).astype(int), ntime - 1)

@@ -10,10 +10,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .draws import drawn_features, drawn_ranks
+
 
 @dataclass
 class Tree:
-    """Nodes in level order (children of i at left[i], left[i] + 1) and the in-bag rows sorted by leaf (or cells of them, with counts in ``n``)."""
+    """Nodes in level order (children of i at left[i], left[i] + 1) and the in-bag rows as cells: ``n`` rows of a leaf, time and event, in that order."""
 
     feature: np.ndarray  # -1 in leaves
     split: np.ndarray  # rows with bin <= split go left
@@ -21,10 +23,10 @@ class Tree:
     depth: np.ndarray
     leaf: np.ndarray  # leaf number, -1 inside
     cover: np.ndarray  # in-bag rows, copies counted
-    starts: np.ndarray  # of each leaf in the row arrays (and the end)
+    starts: np.ndarray  # of each leaf in the cells (and the end)
     t: np.ndarray
     event: np.ndarray
-    n: np.ndarray | None = None
+    n: np.ndarray
 
     def leaves_of(self, bins: np.ndarray) -> np.ndarray:
         """Leaf number of each row, all rows a level at a time."""
@@ -43,7 +45,7 @@ class Tree:
         row = np.repeat(self.starts[leaves] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         which = np.repeat(np.arange(len(leaves)), sizes)
         flat = (which * (causes + 1) + self.event[row]) * n_times + self.t[row]
-        n = np.bincount(flat, None if self.n is None else self.n[row], minlength=len(leaves) * (causes + 1) * n_times).reshape(len(leaves), causes + 1, n_times)
+        n = np.bincount(flat, self.n[row], minlength=len(leaves) * (causes + 1) * n_times).reshape(len(leaves), causes + 1, n_times)
         return n[:, 1:].astype(float), n.sum(axis=1)[:, ::-1].cumsum(axis=1)[:, ::-1].astype(float)
 
     def curves(self, leaves: np.ndarray, n_times: int, causes: int, hazard: bool = False) -> np.ndarray:
@@ -77,19 +79,22 @@ def split_scores(n: np.ndarray, d: np.ndarray, rule: str, cause: int, weights: n
     return num.sum(axis=axes), var.sum(axis=axes)
 
 
-def _drawn_features(rng, nodes: int, p: int, mtry: int) -> np.ndarray:
-    if mtry >= p:
-        return np.tile(np.arange(p), (nodes, 1))
-    return np.argsort(rng.random((nodes, p)), axis=1)[:, :mtry]
+def tree_of(feature, split, left, depth, cover, node: np.ndarray, t: np.ndarray, event: np.ndarray, n: np.ndarray) -> Tree:
+    """A tree from its nodes and ``n`` rows for each (node, t, event), in any order and repeated or not."""
+    leaf = np.where(feature < 0, np.cumsum(feature < 0) - 1, -1)
+    times, codes = int(t.max(initial=0)) + 1, int(event.max(initial=0)) + 1
+    cell, back = np.unique((leaf[node] * times + t) * codes + event, return_inverse=True)
+    starts = np.searchsorted(cell // (times * codes), np.arange((feature < 0).sum() + 1))
+    narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return Tree(feature.astype(np.int32), split.astype(np.int16), left.astype(np.int32), depth.astype(np.int32), leaf.astype(np.int32), cover.astype(np.int64), starts.astype(np.int64), narrow(cell // codes % times), narrow(cell % codes), np.bincount(back, n, minlength=len(cell)).astype(np.int64))
 
 
-def _thresholds(rng, x: np.ndarray, node: np.ndarray, nodes: int, n_bins: int, nsplit: int) -> np.ndarray:
-    """Drawn bins (node, feature, nsplit), rising; 255 + 1 pads. Candidates are the node's observed bins but the largest.
+def _thresholds(x: np.ndarray, node: np.ndarray, numbers: np.ndarray, drawn: np.ndarray, n_bins: int, nsplit: int, seed: int, tree: int) -> np.ndarray:
+    """Drawn bins (node, feature, nsplit), rising; ``n_bins`` pads. Candidates are the node's observed bins but the largest.
 
-    Without ``nsplit`` all observed bins are candidates. A draw takes one bin from each of ``nsplit`` equal strata of
-    the sorted candidates, so it has no repeats.
+    Without ``nsplit`` all candidates are taken, else that many of them without replacement.
     """
-    m = x.shape[1]
+    nodes, m = drawn.shape
     group = (node[:, None] * m + np.arange(m)).ravel()
     seen = np.flatnonzero(np.bincount(group * n_bins + x.ravel(), minlength=nodes * m * n_bins))
     of = seen // n_bins
@@ -98,17 +103,14 @@ def _thresholds(rng, x: np.ndarray, node: np.ndarray, nodes: int, n_bins: int, n
     k = int(many.max(initial=0)) if nsplit <= 0 else min(nsplit, int(many.max(initial=0)))
     if k <= 0:
         return np.full((nodes, m, 1), n_bins, np.int32)
-    rank = np.broadcast_to(np.arange(k), (len(many), k)).astype(float)
-    drawn = many > k
-    rank = np.where(drawn[:, None], np.floor((rank + rng.random((len(many), k))) * many[:, None] / k), rank).astype(np.int64)
+    rank = drawn_ranks(many, k, np.repeat(numbers, m), drawn.ravel(), seed, tree)
     ok = rank < many[:, None]
     bins = np.where(ok, (seen % n_bins)[np.minimum(first[:, None] + rank, len(seen) - 1)], n_bins)
     return bins.reshape(nodes, m, k).astype(np.int32)
 
 
-def grow_tree(bins: np.ndarray, t_split: np.ndarray, t_full: np.ndarray, event: np.ndarray, rows: np.ndarray, seed, *, n_bins: int, n_times: int, causes: int, mtry: int, nsplit: int, max_depth: int | None, min_split: int, min_leaf: int, rule: str, cause: int, weights: np.ndarray | None = None, cells: int = 1 << 21) -> Tree:
+def grow_tree(bins: np.ndarray, t_split: np.ndarray, t_full: np.ndarray, event: np.ndarray, rows: np.ndarray, seed: int, tree: int, *, n_bins: int, n_times: int, causes: int, mtry: int, nsplit: int, max_depth: int | None, min_split: int, min_leaf: int, rule: str, cause: int, weights: np.ndarray | None = None, cells: int = 1 << 21) -> Tree:
     """Grow one tree on the in-bag ``rows`` (repeats are copies). Ties go to the feature drawn first, then the lower bin."""
-    rng = np.random.default_rng(seed)
     p = bins.shape[1]
     feature, split, left, depth, cover = [np.full(1, -1)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.full(1, len(rows))]
     node_of = np.zeros(len(rows), np.int64)  # final node number of each in-bag row
@@ -128,14 +130,14 @@ def grow_tree(bins: np.ndarray, t_split: np.ndarray, t_full: np.ndarray, event:
         live, node = live[order], node[order]
         ends = np.cumsum(size[chosen])
         best_f, best_b = np.full(len(chosen), -1), np.zeros(len(chosen), np.int64)
-        drawn = _drawn_features(rng, len(chosen), p, mtry)
+        drawn = drawn_features(base + chosen, p, mtry, seed, tree)
         step = max(1, cells // per_node)
         for a in range(0, len(chosen), step):
             z = min(a + step, len(chosen))
             s = slice(ends[a] - size[chosen[a]], ends[z - 1])
             who, local = rows[live[s]], node[s] - a
             x = bins[who[:, None], drawn[a:z][local]].astype(np.int32)
-            cuts = _thresholds(rng, x, local, z - a, n_bins, nsplit)
+            cuts = _thresholds(x, local, base + chosen[a:z], drawn[a:z], n_bins, nsplit, seed, tree)
             k = cuts.shape[2]
             if k > 16:
                 place = np.zeros((z - a, mtry, n_bins + 1), np.int32)
@@ -180,13 +182,7 @@ def grow_tree(bins: np.ndarray, t_split: np.ndarray, t_full: np.ndarray, event:
         left.append(np.zeros(count, np.int64))
         depth.append(np.full(count, level))
         cover.append(np.bincount(node, minlength=count))
-    f = np.concatenate(feature)
-    leaf = np.where(f < 0, np.cumsum(f < 0) - 1, -1)
-    mine = leaf[node_of]
-    order = np.argsort(mine, kind="stable")
-    starts = np.searchsorted(mine[order], np.arange((f < 0).sum() + 1))
-    who = rows[order]
-    return Tree(f.astype(np.int16), np.concatenate(split).astype(np.int16), np.concatenate(left).astype(np.int32), np.concatenate(depth).astype(np.int16), leaf.astype(np.int32), np.concatenate(cover).astype(np.int32), starts.astype(np.int64), t_full[who].astype(np.uint16), event[who].astype(np.uint8))
+    return tree_of(*(np.concatenate(x) for x in (feature, split, left, depth, cover)), node_of, t_full[rows], event[rows], np.ones(len(rows)))
 
 
 # ---- path attributions ----------------------------------------------------------------------------------

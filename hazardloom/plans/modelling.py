@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import grids, incidence, minimal_depth, risk, splits
 from ..operators.forest import CompetingRiskForest
-from ..operators.regression import CauseSpecificCox, FineGrayRegression, PenalizedFineGrayRegression
+from ..operators.regression import CauseSpecificCox, FineGrayRegression, PenalizedFineGrayRegression, column_scales
 from ..sources import outcomes, tables
-from . import sql
+from . import forest_sql, sql
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -156,19 +156,23 @@ def tree_leaf_chf(spark, d):
     return incidence.nelson_aalen(_leaf_rows(spark, d), ["node"], "d_1", "chf_1", "t").select("node", "t", F.round("chf_1", 8).alias("chf_1"))
 
 
-@register("tree_depth2")
+_DEPTH2 = forest_sql.grown(False, rows=f"{sql.SV}, {_BINNED}, fr AS (SELECT b0, b1, event, tf, t FROM bt)").split("sp AS (")[0]
+
+
+@register("tree_depth2", f"""WITH {_DEPTH2.rstrip().rstrip(',')}
+SELECT 0 AS depth, CAST(node + 1 AS BIGINT) AS node, feature, CAST(bin AS INTEGER) AS bin, round(stat, 5) AS stat FROM s0 UNION ALL SELECT 1, CAST(node + 1 AS BIGINT), feature, CAST(bin AS INTEGER), round(stat, 5) FROM s1""")
 def tree_depth2(spark, d):
     rows, _ = _binned(spark, d)
-    _, found = splits.grow(rows, 2, 10, max_depth=2)
-    return _rows(spark, found, "depth int, node long, feature int, bin int, stat double")
+    _, found = splits.grow(rows, 2, 10, max_depth=2, min_split=6)
+    return _rows(spark, [(*r[:4], round(r[4], 5)) for r in found], "depth int, node long, feature int, bin int, stat double")
 
 
-_TREES = "tr AS (SELECT p_partkey % 10 AS tree_id, p_partkey AS node_id, p_size % 6 AS depth, CAST(p_partkey % 7 % 5 AS INTEGER) AS feature, p_size % 3 = 0 AS is_leaf FROM part WHERE p_size % 6 <> 0 OR p_size % 3 <> 0 OR p_partkey % 2 = 0)"
+_TREES = "tr AS (SELECT p_partkey % 10 AS tree_id, p_partkey AS node_id, p_size % 6 AS depth, CAST(p_partkey % 7 % 5 AS INTEGER) AS feature, p_size % 3 = 0 AS is_leaf FROM part)"
 
 
 def _trees(spark, d):
-    keep = (F.col("p_size") % 6 != 0) | (F.col("p_size") % 3 != 0) | (F.col("p_partkey") % 2 == 0)
-    return tables.table(spark, d, "part").where(keep).select((F.col("p_partkey") % 10).alias("tree_id"), F.col("p_partkey").alias("node_id"), (F.col("p_size") % 6).alias("depth"), (F.col("p_partkey") % 7 % 5).cast("int").alias("feature"), (F.col("p_size") % 3 == 0).alias("is_leaf"))
+    """Every part as a node of an invented tree."""
+    return tables.table(spark, d, "part").select((F.col("p_partkey") % 10).alias("tree_id"), F.col("p_partkey").alias("node_id"), (F.col("p_size") % 6).alias("depth"), (F.col("p_partkey") % 7 % 5).cast("int").alias("feature"), (F.col("p_size") % 3 == 0).alias("is_leaf"))
 
 
 @register("min_depth_from_trees", f"""WITH {_TREES}, h AS (SELECT tree_id, max(depth) AS height FROM tr GROUP BY 1), m AS (SELECT tree_id, feature, min(depth) AS depth FROM tr WHERE NOT is_leaf GROUP BY 1, 2),
@@ -186,21 +190,6 @@ def min_depth_threshold(spark, d):
     return minimal_depth.threshold(_trees(spark, d), 5).select(F.round("threshold", 8).alias("threshold"))
 
 
-@register("mortality_left_riemann", f"WITH {sql.SV}, {sql.incidence('grp')}, n AS (SELECT grp, f1 * (lead(time) OVER (PARTITION BY grp ORDER BY time) - time) AS a FROM f WHERE d > 0) SELECT grp, round(sum(a), 5) AS mortality FROM n GROUP BY grp")
-def mortality_left_riemann(spark, d):
-    from pyspark.sql import Window
-
-    f = incidence.cif(incidence.time_counts(_sv(spark, d), ["grp"]), ["grp"]).where("d > 0")
-    step = F.lead("time").over(Window.partitionBy("grp").orderBy("time")) - F.col("time")
-    return f.select("grp", (F.col("f_1") * step).alias("a")).groupBy("grp").agg(F.round(F.sum("a"), 5).alias("mortality"))
-
-
-@register("integrated_chf", f"WITH {sql.SV}, {sql.counts('grp')}, h AS (SELECT grp, d, sum(d1 / y) OVER {sql.sofar('grp')} AS chf FROM c) SELECT grp, round(sum(chf), 5) AS risk FROM h WHERE d > 0 GROUP BY grp")
-def integrated_chf(spark, d):
-    h = incidence.nelson_aalen(incidence.time_counts(_sv(spark, d), ["grp"]), ["grp"], "d_1")
-    return h.where("d > 0").groupBy("grp").agg(F.round(F.sum("chf"), 5).alias("risk"))
-
-
 # ---- scalar kernels, outcomes ---------------------------------------------------------------------------------
 
 _Z = "CAST(l_quantity - 25 AS DOUBLE) / 10"
@@ -242,7 +231,8 @@ def stratified_split_counts(spark, d):
 
 @register("standardize_columns", f"WITH {sql.SV} SELECT round(avg(l_quantity), 8) AS centre_q, round(stddev_pop(l_quantity), 8) AS scale_q, round(avg(l_discount), 8) AS centre_d, round(stddev_pop(l_discount), 8) AS scale_d FROM sv")
 def standardize_columns(spark, d):
-    return _sv(spark, d).agg(*[F.round(f(c), 8).alias(n) for n, f, c in (("centre_q", F.avg, "l_quantity"), ("scale_q", F.stddev_pop, "l_quantity"), ("centre_d", F.avg, "l_discount"), ("scale_d", F.stddev_pop, "l_discount"))])
+    centre, scale = column_scales(_sv(spark, d), ["l_quantity", "l_discount"])
+    return _rows(spark, [tuple(round(float(x), 8) for pair in zip(centre, scale) for x in pair)], "centre_q double, scale_q double, centre_d double, scale_d double")
 
 
 # ---- regression ------------------------------------------------------------------------------------------------
@@ -332,54 +322,244 @@ def lambda_max_lasso(spark, d):
     return _rows(spark, [(round(float(m.lambdas_[0]), 9),)], "lambda_max double")
 
 
-# ---- whole models (no SQL counterpart) ----------------------------------------------------------------------------
+# ---- regression with two covariates ------------------------------------------------------------------------------
+
+_XX = sql.SV.replace("l_orderkey\n", "l_orderkey, l_quantity / 50 AS x1, l_discount * 10 AS x2\n")
+
+
+def _newton2_sql(steps: int, subdistribution: bool) -> str:
+    """CTEs b0 .. (coefficients b1, b2) and w0 .. (risk sums by time) of a model with two covariates, Newton steps written out."""
+    out = [f"{_XX}, {sql.censor(*sql.FG)}, b0 AS (SELECT CAST(0.0 AS DOUBLE) AS b1, CAST(0.0 AS DOUBLE) AS b2)"]
+    terms = {"0": "1", "1": "x1", "2": "x2", "11": "x1 * x1", "12": "x1 * x2", "22": "x2 * x2"}
+    rival = "CASE WHEN event = 2 THEN 1 ELSE 0 END" if subdistribution else "0"
+    for i in range(steps + 1):
+        sums = ", ".join(f"sum({x} * exp(b1 * x1 + b2 * x2)) AS r{m}, sum({x} * exp(b1 * x1 + b2 * x2) * ({rival})) AS c{m}" for m, x in terms.items())
+        at = ", ".join(f"sum(r{m}) OVER s + g_left * coalesce(sum(CASE WHEN g_left > 0 THEN c{m} / g_left ELSE 0 END) OVER p, 0) AS s{m}" for m in terms)
+        out.append(f"e{i} AS (SELECT time, {sums}, CAST(sum(CASE WHEN event = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS d, sum(CASE WHEN event = 1 THEN x1 ELSE 0 END) AS d1, sum(CASE WHEN event = 1 THEN x2 ELSE 0 END) AS d2 FROM sv, b{i} GROUP BY time)")
+        out.append(f"w{i} AS (SELECT e{i}.*, g_left, {at} FROM e{i} JOIN k USING (time) WINDOW s AS (ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), p AS (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+        out.append(f"i{i} AS (SELECT sum(d1 - d * s1 / s0) AS u1, sum(d2 - d * s2 / s0) AS u2, sum(d * (s11 / s0 - s1 * s1 / (s0 * s0))) AS a11, sum(d * (s12 / s0 - s1 * s2 / (s0 * s0))) AS a12, sum(d * (s22 / s0 - s2 * s2 / (s0 * s0))) AS a22 FROM w{i} WHERE d > 0)")
+        if i < steps:
+            out.append(f"b{i + 1} AS (SELECT b1 + (a22 * u1 - a12 * u2) / (a11 * a22 - a12 * a12) AS b1, b2 + (a11 * u2 - a12 * u1) / (a11 * a22 - a12 * a12) AS b2 FROM b{i}, i{i})")
+    return ",\n".join(out)
+
+
+_MODEL_BASED = "v AS (SELECT sqrt(a22 / (a11 * a22 - a12 * a12)) AS e1, sqrt(a11 / (a11 * a22 - a12 * a12)) AS e2 FROM i6)"
+# the rows' score residuals, each with the sums over event times up to its own and, reweighted, after it
+_ROBUST = """j AS (SELECT *, CASE WHEN d > 0 THEN d / s0 ELSE 0 END AS q0, CASE WHEN d > 0 THEN d * s1 / (s0 * s0) ELSE 0 END AS q1, CASE WHEN d > 0 THEN d * s2 / (s0 * s0) ELSE 0 END AS q2 FROM w6),
+l AS (SELECT time, g_left, CASE WHEN d > 0 THEN s1 / s0 ELSE 0 END AS m1, CASE WHEN d > 0 THEN s2 / s0 ELSE 0 END AS m2, {both} FROM j
+  WINDOW u AS (ORDER BY time ROWS UNBOUNDED PRECEDING), o AS (ORDER BY time ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+f AS (SELECT x1, x2, exp(b1 * x1 + b2 * x2) AS r, CASE WHEN event = 1 THEN 1 ELSE 0 END AS hit, m1, m2, {sums} FROM sv JOIN l USING (time), b6),
+z AS (SELECT hit * (x1 - m1) - r * (x1 * t0 - t1) AS z1, hit * (x2 - m2) - r * (x2 * t0 - t2) AS z2 FROM f),
+n AS (SELECT sum(z1 * z1) AS n11, sum(z1 * z2) AS n12, sum(z2 * z2) AS n22 FROM z),
+h AS (SELECT a22 / det AS h11, -a12 / det AS h12, a11 / det AS h22 FROM (SELECT *, a11 * a22 - a12 * a12 AS det FROM i6)),
+v AS (SELECT sqrt(h11 * h11 * n11 + 2 * h11 * h12 * n12 + h12 * h12 * n22) AS e1, sqrt(h12 * h12 * n11 + 2 * h12 * h22 * n12 + h22 * h22 * n22) AS e2 FROM h, n)""".format(
+    both=", ".join(f"sum(q{m}) OVER u AS p{m}, coalesce(sum(g_left * q{m}) OVER o, 0) AS f{m}" for m in range(3)),
+    sums=", ".join(f"p{m} + CASE WHEN event = 2 AND g_left > 0 THEN f{m} / g_left ELSE 0 END AS t{m}" for m in range(3)),
+)
+_TWO = "SELECT 'x1' AS feature, round(b1, 6) AS coef, round(e1, 6) AS se FROM b6, v UNION ALL SELECT 'x2', round(b2, 6), round(e2, 6) FROM b6, v"
+
+
+def _xxrows(spark, d):
+    return _sv(spark, d).select("time", "event", (F.col("l_quantity") / 50).alias("x1"), (F.col("l_discount") * 10).alias("x2"))
 
-_MODEL = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
+def _coefficients(spark, m):
+    return m.coefficients(spark).select("feature", F.round("coef", 6).alias("coef"), F.round("se", 6).alias("se"))
 
-@register("fg_fit_robust")
+
+@register("fg_fit_robust", f"WITH {_newton2_sql(6, True)}, {_ROBUST} {_TWO}")
 def fg_fit_robust(spark, d):
-    return FineGrayRegression(robust_se=True).fit(_sv(spark, d), _MODEL).coefficients(spark)
+    return _coefficients(spark, FineGrayRegression(robust_se=True, gtol=1e-12, max_iter=20).fit(_xxrows(spark, d), ["x1", "x2"]))
+
+
+@register("fg_fit_distributed", f"WITH {_newton2_sql(6, True)}, {_ROBUST} {_TWO}")
+def fg_fit_distributed(spark, d):
+    """The same by aggregation over the rows."""
+    return _coefficients(spark, FineGrayRegression(robust_se=True, gtol=1e-12, max_iter=20, task_bytes=0).fit(_xxrows(spark, d), ["x1", "x2"]))
 
 
-@register("cox_fit")
+@register("cox_fit", f"WITH {_newton2_sql(6, False)}, {_MODEL_BASED} {_TWO}")
 def cox_fit(spark, d):
-    return CauseSpecificCox().fit(_sv(spark, d), _MODEL).coefficients(spark)
+    return _coefficients(spark, CauseSpecificCox(gtol=1e-12).fit(_xxrows(spark, d), ["x1", "x2"]))
 
 
 @register("pfg_path")
 def pfg_path(spark, d):
-    m = PenalizedFineGrayRegression(n_lambda=12).fit(tables.signup_outcome(spark, d).withColumn("lagged", F.pmod("user_id", F.lit(97))), ["value", "lagged"])
+    m = PenalizedFineGrayRegression().fit(_signup(spark, d), _SIGNUP)
     return _rows(spark, [(i, float(lam), f, float(b)) for i, lam in enumerate(m.lambdas_) for f, b in zip(m.features, m.coef_path_[:, i])], "step int, lam double, feature string, coef double")
 
 
-def _forest(spark, d, trees=10):
-    return CompetingRiskForest(n_estimators=trees, random_state=7).fit(_sv(spark, d), _MODEL)
+@register("pfg_cross_validation")
+def pfg_cross_validation(spark, d):
+    m = PenalizedFineGrayRegression(cv=5, cv_random_state=1).fit(_signup(spark, d), _SIGNUP)
+    return _rows(spark, [(i, float(lam), float(x), float(e), i == m.lambda_index_) for i, (lam, x, e) in enumerate(zip(m.lambdas_, m.cv_deviance_, m.cv_deviance_se_))], "step int, lam double, deviance double, se double, chosen boolean")
+
+
+# ---- one-leaf forests: the integrals of a group's curves -----------------------------------------------------------
+
+# a forest of one leaf knows times by the last event time at or before them, or the first
+_LEAF = f"""{sql.SV}, et AS (SELECT DISTINCT grp, time AS g FROM sv WHERE event > 0), ei AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY g) - 1 AS i, count(*) OVER (PARTITION BY grp) AS m, lead(g) OVER (PARTITION BY grp ORDER BY g) - g AS step FROM et),
+lt AS (SELECT sv.grp, event, coalesce(ei.i, 0) AS time FROM sv ASOF LEFT JOIN ei ON ei.grp = sv.grp AND ei.g <= sv.time), {sql.incidence('grp', 'lt')}"""
+
+
+def _one_leaf(spark, d, value):
+    rows = _sv(spark, d)
+    groups = [(g, rows.where(F.col("grp") == g).select("l_quantity", "time", "event")) for g in ("F", "O")]
+    models = [(g, part, CompetingRiskForest(n_estimators=1, max_depth=0, bootstrap=False, time_grid=None).fit(part, ["l_quantity"])) for g, part in groups]
+    return _rows(spark, [(g, round(float(value(part, m)), 5)) for g, part, m in models], "grp string, value double")
+
+
+@register("mortality_left_riemann", f"WITH {_LEAF} SELECT f.grp, round(sum(f1 * step), 5) AS mortality FROM f JOIN ei ON ei.grp = f.grp AND ei.i = f.time GROUP BY f.grp")
+def mortality_left_riemann(spark, d):
+    return _one_leaf(spark, d, lambda part, m: m.leaf_mortality()[0][0]).withColumnRenamed("value", "mortality")
+
+
+@register("integrated_chf", f"WITH {_LEAF} SELECT f.grp, round(sum(d1 / y * (m - i)), 5) AS risk FROM f JOIN ei ON ei.grp = f.grp AND ei.i = f.time GROUP BY f.grp")
+def integrated_chf(spark, d):
+    return _one_leaf(spark, d, lambda part, m: m.predict_risk(part.limit(1)).first()["risk"]).withColumnRenamed("value", "risk")
+
+
+# ---- forests: small ones that SQL can grow too ---------------------------------------------------------------------
+
+_SIGNUP = ["value", "lagged"]
+_GROWN, _SMALL = forest_sql.grown(), dict(n_estimators=forest_sql.TREES, max_depth=forest_sql.DEPTH, max_features=None, nsplit=0, n_bins=8, time_grid=20, random_state=forest_sql.SEED)
+
+
+def _signup(spark, d):
+    return tables.signup_outcome(spark, d).withColumn("lagged", F.pmod("user_id", F.lit(97)).cast("double"))
 
 
-@register("forest_predict_cif")
+def _forest(spark, d, **more):
+    return CompetingRiskForest(**_SMALL | more).fit(_signup(spark, d), _SIGNUP, key="event_id")
+
+
+_NODES = f"WITH {_GROWN}, {forest_sql.NODES} SELECT tree AS tree_id, depth, CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS split_bin, feature < 0 AS is_leaf, CAST(cover AS BIGINT) AS cover FROM nt"
+
+
+def _nodes(m):
+    return m.tree_table().select(F.col("tree_id").cast("int").alias("tree_id"), "depth", "feature", "split_bin", "is_leaf", F.col("cover").cast("long").alias("cover"))
+
+
+@register("forest_trees", _NODES)
+def forest_trees(spark, d):
+    return _nodes(_forest(spark, d))
+
+
+@register("forest_trees_distributed", _NODES)
+def forest_trees_distributed(spark, d):
+    """The same trees, grown by aggregation over the rows."""
+    return _nodes(_forest(spark, d, mode="distributed"))
+
+
+@register("forest_leaves", f"""WITH {_GROWN}, ln AS (SELECT tree, node, row_number() OVER (PARTITION BY tree ORDER BY node) - 1 AS leaf FROM (SELECT DISTINCT tree, node FROM r2 WHERE w > 0))
+SELECT tree AS tree_id, CAST(leaf AS INTEGER) AS leaf_id, CAST(tf AS INTEGER) AS t_idx, event, CAST(sum(w) AS BIGINT) AS n FROM r2 JOIN ln USING (tree, node) WHERE w > 0 GROUP BY ALL""")
+def forest_leaves(spark, d):
+    return _forest(spark, d).leaf_table().select(F.col("tree_id").cast("int").alias("tree_id"), "leaf_id", "t_idx", "event", "n")
+
+
+def _values(kind):
+    means = ", ".join(f"round(avg(v{k}_{j}), 8) AS v{k}_{j}" for k in (1, 2) for j in range(3))
+    return f"WITH {_GROWN}, {forest_sql.by_leaf(*forest_sql.at_times(kind))} SELECT event_id, {means} FROM r2 JOIN lw USING (tree, node) GROUP BY event_id"
+
+
+def _spread(df, name):
+    return df.select("event_id", *[F.round(F.col(name)[k][j], 8).alias(f"v{k + 1}_{j}") for k in range(2) for j in range(3)])
+
+
+@register("forest_predict_cif", _values("cif"))
 def forest_predict_cif(spark, d):
+    return _spread(_forest(spark, d).predict_cif(_signup(spark, d), forest_sql.TIMES), "cif")
+
+
+@register("forest_predict_chf", _values("chf"))
+def forest_predict_chf(spark, d):
+    return _spread(_forest(spark, d).predict_chf(_signup(spark, d), forest_sql.TIMES), "chf")
+
+
+_RISKS = forest_sql.by_leaf("sum(h1 * (m - tf)) AS chf", "sum(sl * d1 / y) AS cif")
+
+
+@register("forest_predict_risk", f"WITH {_GROWN}, {_RISKS} SELECT event_id, round(avg(chf), 7) AS integrated_chf, round(avg(cif), 7) AS cif_last FROM r2 JOIN lw USING (tree, node) GROUP BY event_id")
+def forest_predict_risk(spark, d):
     m = _forest(spark, d)
-    rows = _sv(spark, d).select(*_MODEL).distinct()
-    return m.predict_cif(rows, [500.0, 1000.0, 2000.0]).agg(*[F.round(F.avg(F.col("cif")[k][j]), 6).alias(f"cif_{k + 1}_{j}") for k in range(2) for j in range(3)])
+    both = m.predict_risk(m.predict_risk(_signup(spark, d), name="chf"), kind="cif_last", name="cif")
+    return both.select("event_id", F.round("chf", 7).alias("integrated_chf"), F.round("cif", 7).alias("cif_last"))
 
 
-@register("forest_minimal_depth")
-def forest_minimal_depth(spark, d):
-    return _forest(spark, d).minimal_depth()
+_OOB = f"{_GROWN}, {forest_sql.by_leaf(forest_sql.MORTALITY)}, {forest_sql.oob()}"
+
+
+@register("forest_oob_risk", f"WITH {_OOB} SELECT event_id, round(risk, 3) AS risk FROM ob")
+def forest_oob_risk(spark, d):
+    return _forest(spark, d).predict_oob_risk().select(F.col("key").alias("event_id"), F.round("risk", 3).alias("risk"))
+
+
+@register("forest_oob_score", f"""WITH {_OOB}, rr AS (SELECT time, event, round(risk, 6) AS risk FROM ob)
+SELECT round((sum(CASE WHEN j.risk < i.risk THEN 1.0 ELSE 0 END) + 0.5 * sum(CASE WHEN j.risk = i.risk THEN 1.0 ELSE 0 END)) / count(*), 6) AS score FROM rr i JOIN rr j ON j.time > i.time WHERE i.event = 1""")
+def forest_oob_score(spark, d):
+    return _rows(spark, [(round(_forest(spark, d).oob_score(), 6),)], "score double")
+
+
+_UNO = """k0 AS (SELECT time, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN event = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS d FROM oc GROUP BY time),
+k1 AS (SELECT *, sum(n) OVER (ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y FROM k0),
+k2 AS (SELECT *, CASE WHEN y - d > 0 THEN 1 - (n - d) / (y - d) ELSE 1 END AS keep FROM k1),
+k AS (SELECT *, coalesce(product(keep) OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS g_left FROM k2),
+ev AS (SELECT g_left AS g, greatest(g_left, 1e-12) AS s, row_number() OVER (ORDER BY g_left) AS i, count(*) OVER () AS n FROM oc JOIN k USING (time) WHERE event <> 0),
+ta AS (SELECT g, i, n, sum(1 / s ** 2) OVER w AS w1, sum(1 / s ** 4) OVER w AS w2, least(greatest(20, ceil(0.2 * n)), n) AS target FROM ev WINDOW w AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+gm AS (SELECT CASE WHEN (SELECT min(g) FROM ev) >= 1 - 1e-12 THEN 0 ELSE coalesce(min(g) FILTER (WHERE n - i + 1 >= target AND w1 * w1 / w2 >= target), max(g) FILTER (WHERE n - i + 1 >= target)) END AS gmin FROM ta),
+uw AS (SELECT event_id, event, time, CASE WHEN g_left >= gmin - 1e-15 THEN 1 / greatest(g_left, 1e-12) ** 2 ELSE 2.220446049250313e-16 END AS w FROM oc JOIN k USING (time), gm)"""
+_CONCORDANT = """a AS (SELECT i.f, sum(2 * i.w) AS den, sum(2 * i.w * (CASE WHEN j.risk < i.risk THEN 1 WHEN j.risk = i.risk THEN 0.5 ELSE 0 END)) AS num FROM u i JOIN u j ON i.f = j.f AND (j.time > i.time OR (j.time = i.time AND j.event = 0)) WHERE i.event = {c} GROUP BY i.f),
+b0 AS (SELECT f, time, risk, count(*) AS c, sum(w) AS w FROM u WHERE event = {c} GROUP BY f, time, risk),
+b1 AS (SELECT f, time, sum(c) AS c, sum(w) AS w, sum(CASE WHEN c > 1 THEN (c - 1) * w ELSE 0 END) AS tie FROM b0 GROUP BY f, time),
+b AS (SELECT f, sum(CASE WHEN c > 1 THEN (c - 1) * w ELSE 0 END) AS den, sum(CASE WHEN c > 1 THEN 0.5 * (c - 1) * w + 0.5 * tie ELSE 0 END) AS num FROM b1 GROUP BY f),
+x AS (SELECT i.f, sum(2 * sqrt(i.w * j.w)) AS den, sum(2 * sqrt(i.w * j.w) * (CASE WHEN j.risk < i.risk THEN 1 WHEN j.risk = i.risk THEN 0.5 ELSE 0 END)) AS num FROM u i JOIN u j ON i.f = j.f AND j.time <= i.time WHERE i.event = {c} AND j.event = {o} GROUP BY i.f),
+cc AS (SELECT a.f, (a.num + b.num + x.num) / (a.den + b.den + x.den) AS c FROM a JOIN b USING (f) JOIN x USING (f))"""
+_DEALT = ", ".join(forest_sql.dealt(f) for f in (0, 1))
+_EVERY = " UNION ALL ".join(f"SELECT {f} AS f, event_id, round(avg(value), 6) AS risk FROM {rows} JOIN lw USING (tree, node) WHERE w = 0 GROUP BY event_id" for f, rows in ((-1, "r2"), (0, "p0"), (1, "p1")))
 
 
-@register("forest_importance")
+@register("forest_importance", f"""WITH {_GROWN}, {forest_sql.by_leaf(forest_sql.MORTALITY)}, {_DEALT}, oc AS (SELECT event_id, any_value(moment) AS time, any_value(event) AS event FROM r2 GROUP BY event_id),
+{_UNO}, u AS (SELECT f, event, time, risk, w FROM ({_EVERY}) JOIN uw USING (event_id)), {_CONCORDANT.format(c=1, o=2)}
+SELECT CASE f WHEN 0 THEN 'value' ELSE 'lagged' END AS feature, round((SELECT c FROM cc WHERE f = -1) - c, 6) AS cause_1_vimp FROM cc WHERE f >= 0""")
 def forest_importance(spark, d):
-    rows = tables.signup_outcome(spark, d).withColumn("lagged", F.pmod("user_id", F.lit(97)).cast("double"))
-    return CompetingRiskForest(n_estimators=10, random_state=7).fit(rows, ["value", "lagged"]).compute_importance()
+    return _forest(spark, d).compute_importance(causes=[1]).select("feature", F.round("cause_1_vimp", 6).alias("cause_1_vimp"))
 
 
-@register("forest_attributions")
+_DEPTHS = f"""WITH {_GROWN}, {forest_sql.NODES}, h AS (SELECT tree, max(depth) AS height FROM nt GROUP BY 1), q AS (SELECT tree, feature, min(depth) AS depth FROM nt WHERE feature >= 0 GROUP BY 1, 2),
+a AS (SELECT h.tree, f.feature, coalesce(q.depth, h.height) AS depth, q.depth IS NOT NULL AS used FROM h CROSS JOIN (SELECT unnest(range(2)) AS feature) f LEFT JOIN q ON q.tree = h.tree AND q.feature = f.feature),
+o AS (SELECT count(*) AS n, round_even(avg(height), 0) AS dd FROM h), i AS (SELECT depth, count(*) AS nodes FROM nt WHERE feature >= 0 GROUP BY 1),
+g AS (SELECT x.depth, coalesce(nodes, 0) / (SELECT n FROM o) AS m FROM (SELECT unnest(range(CAST((SELECT dd FROM o) AS BIGINT))) AS depth) x LEFT JOIN i USING (depth)),
+e AS (SELECT sum(t) AS threshold FROM (SELECT power(0.5, sum(m) OVER (ORDER BY depth ROWS UNBOUNDED PRECEDING)) AS t FROM g))
+SELECT CASE feature WHEN 0 THEN 'value' ELSE 'lagged' END AS feature, round(avg(depth), 8) AS mean_min_depth, avg(CASE WHEN used THEN 1.0 ELSE 0.0 END) AS frac_used, round(any_value(threshold), 8) AS threshold, avg(depth) <= any_value(threshold) AS selected FROM a, e GROUP BY feature"""
+
+
+@register("forest_minimal_depth", _DEPTHS)
+def forest_minimal_depth(spark, d):
+    return _forest(spark, d).minimal_depth().select("feature", F.round("mean_min_depth", 8).alias("mean_min_depth"), "frac_used", F.round("threshold", 8).alias("threshold"), "selected")
+
+
+# a leaf's part in the value of a set of known features: inside or not at nodes of known features, the cover's share at others
+_REACH = "CASE WHEN sp{i}.feature IS NULL THEN 1.0 WHEN {s} THEN CASE WHEN (CASE sp{i}.feature WHEN 0 THEN b0 ELSE b1 END > sp{i}.bin) = (leaf.side{i} = 1) THEN 1.0 ELSE 0.0 END ELSE leaf.share{i} END"
+_KNOWN = {"n": "false", "a": "sp{i}.feature = 0", "b": "sp{i}.feature = 1", "t": "true"}
+_PARTS = ", ".join(f"sum(lw.value * {' * '.join(_REACH.format(i=i, s=s.format(i=i)) for i in (0, 1))}) AS v_{n}" for n, s in _KNOWN.items())
+
+
+@register("forest_attributions", f"""WITH {_GROWN}, {forest_sql.NODES}, {forest_sql.by_leaf(forest_sql.TRAPEZOID)},
+leaf AS (SELECT x.tree, x.node, CASE WHEN x.depth = 2 THEN (x.node - 1) // 2 ELSE x.node END AS upper, CASE WHEN x.depth = 2 THEN ((x.node - 1) // 2 + 1) % 2 ELSE (x.node + 1) % 2 END AS side0, (x.node + 1) % 2 AS side1,
+  o.cover / root.cover AS share0, x.cover / o.cover AS share1, x.depth FROM nt x JOIN nt o ON o.tree = x.tree AND o.node = CASE WHEN x.depth = 2 THEN (x.node - 1) // 2 ELSE x.node END JOIN nt root ON root.tree = x.tree AND root.node = 0 WHERE x.feature < 0),
+pv AS (SELECT event_id, r0.tree, {_PARTS} FROM r0 JOIN leaf ON leaf.tree = r0.tree JOIN lw ON lw.tree = leaf.tree AND lw.node = leaf.node
+  LEFT JOIN sp sp0 ON sp0.tree = r0.tree AND sp0.node = 0 LEFT JOIN sp sp1 ON sp1.tree = r0.tree AND sp1.node = leaf.upper AND leaf.depth = 2 GROUP BY event_id, r0.tree)
+SELECT event_id, 'value' AS feature, round(avg(((v_a - v_n) + (v_t - v_b)) / 2), 4) AS phi FROM pv GROUP BY event_id
+UNION ALL SELECT event_id, 'lagged', round(avg(((v_b - v_n) + (v_t - v_a)) / 2), 4) FROM pv GROUP BY event_id""")
 def forest_attributions(spark, d):
-    rows = tables.signup_outcome(spark, d).withColumn("lagged", F.pmod("user_id", F.lit(97)).cast("double"))
-    m = CompetingRiskForest(n_estimators=2, max_depth=5, random_state=7).fit(rows, ["value", "lagged"])
-    return m.shap_values(rows, "event_id", aggregate="trapezoid")[0].select("event_id", "feature", F.round(F.col("phi")[0], 6).alias("phi"))
+    return _forest(spark, d).shap_values(_signup(spark, d), "event_id", aggregate="trapezoid")[0].select("event_id", "feature", F.round(F.col("phi")[0], 4).alias("phi"))
+
+
+@register("forest_held_out_importance")
+def forest_held_out_importance(spark, d):
+    """Drops of plain concordance on the training rows, by a forest of default size (SQL does not know the hash that deals values anew)."""
+    rows = _signup(spark, d)
+    return CompetingRiskForest(random_state=7).fit(rows, _SIGNUP).compute_importance(rows)
 
 
 @register("synthetic_outcomes")

@@ -80,7 +80,7 @@ def test_single_tree_equals_the_relational_tree(spark, rows):
     _, found = splits.grow(binned, 4, 10, max_depth=3)
     local = binned.toPandas()
     bins, t, tf, e = local[[f"b{i}" for i in range(4)]].to_numpy(np.uint8), local["t"].to_numpy(), local["tf"].to_numpy(), local["event"].to_numpy()
-    tree = tree_kernel.grow_tree(bins, t, tf, e, np.arange(len(bins)), 0, n_bins=12, n_times=10, causes=2, mtry=4, nsplit=0, max_depth=3, min_split=6, min_leaf=3, rule="logrankCR", cause=1)
+    tree = tree_kernel.grow_tree(bins, t, tf, e, np.arange(len(bins)), 0, 0, n_bins=12, n_times=10, causes=2, mtry=4, nsplit=0, max_depth=3, min_split=6, min_leaf=3, rule="logrankCR", cause=1)
     where = {0: 1}
     got = []
     for i in range(len(tree.feature)):
@@ -90,43 +90,84 @@ def test_single_tree_equals_the_relational_tree(spark, rows):
     assert got == sorted((d, n, f, b) for d, n, f, b, _ in found)
 
 
-def test_distributed_trees_equal_task_trees(rows):
-    kw = dict(n_estimators=2, max_depth=4, bootstrap=False, nsplit=0, max_features=None, random_state=1)
-    near = CompetingRiskForest(**kw).fit(rows, FEATURES)
-    far = CompetingRiskForest(mode="distributed", **kw).fit(rows, FEATURES)
-    node = lambda m: sorted(tuple(r) for r in m.tree_table().where("tree_id = 0").select("depth", "feature", "split_bin", "cover").collect())
-    a, b = node(near), node(far)
-    assert [x[3] for x in a] == [x[3] for x in b] and len(a) == len(b)
-    p, q = ([r["risk"] for r in m.predict_risk(rows.limit(60)).collect()] for m in (near, far))
-    assert p == pytest.approx(q)
+def shown(m):
+    return sorted(tuple(r) for r in m.tree_table().collect()), sorted(tuple(r) for r in m.leaf_table().collect())
 
 
-def test_distributed_forest_finds_the_signal(rows):
-    m = CompetingRiskForest(n_estimators=6, max_depth=5, mode="distributed", random_state=2).fit(rows, FEATURES)
-    assert m.score(rows) > 0.6 and m.trees_.count() == 6
-    again = CompetingRiskForest(n_estimators=6, max_depth=5, mode="distributed", random_state=2).fit(rows, FEATURES)
-    assert again.score(rows) == m.score(rows)
-    with pytest.raises(ValueError):
-        m.oob_score()
-
-
-def test_large_tables_keep_their_out_of_bag_figures(rows, forest, monkeypatch):
-    """Beyond ``BROADCAST_BYTES`` results follow from the rows alone, and nothing is taken away."""
+def test_forests_are_the_same_at_every_size(rows, monkeypatch):
+    """Trees, out-of-bag figures and importance on both sides of ``BROADCAST_BYTES``, however rows are partitioned, and in distributed mode."""
     from hazardloom.operators import forest as module
 
-    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
     twice = rows.unionByName(rows.limit(20))
-    grown = [CompetingRiskForest(n_estimators=8, max_depth=6, random_state=5).fit(twice.repartition(n), FEATURES) for n in (1, 5)]
-    tables = [sorted(tuple(r) for r in m.tree_table().collect()) for m in grown]
-    assert tables[0] == tables[1]
-    scores = [m.oob_score() for m in grown]
-    assert scores[0] == pytest.approx(scores[1]) and abs(scores[0] - forest.oob_score()) < 0.08
-    assert grown[0].predict_oob_risk().count() == twice.count()
-    drops = [[tuple(r) for r in m.compute_importance().collect()] for m in grown]
-    near = {r["feature"]: r["composite_vimp"] for r in forest.compute_importance().collect()}
+    make = lambda df, mode="default": CompetingRiskForest(n_estimators=3, max_depth=4, random_state=5, mode=mode).fit(df, FEATURES)
+    near = make(twice)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    far = [make(twice.repartition(n)) for n in (1, 5)]
+    for m in (*far, make(twice, "distributed")):
+        assert shown(m) == shown(near)
+    assert far[0].oob_score() == pytest.approx(near.oob_score(), abs=1e-12) and near.oob_score() > 0.5
+    risk = lambda m: sorted((r["key"], r["risk"]) for r in m.predict_oob_risk().collect())
+    assert len(risk(near)) == twice.count() and np.allclose(risk(far[1]), risk(near))
+    drops = [sorted(tuple(r) for r in m.compute_importance().collect()) for m in (near, far[1])]
     for a, b in zip(*drops):
-        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:])
-        assert abs(a[-1] - near[a[0]]) < 0.08
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], abs=1e-12)
+
+
+def test_a_key_column_decides_the_bags(rows):
+    a, b = (CompetingRiskForest(n_estimators=2, max_depth=4, random_state=1).fit(df, FEATURES, key="id") for df in (rows, rows.orderBy(F.desc("id"))))
+    assert shown(a) == shown(b)
+    from hazardloom.operators.draws import copies
+
+    ids = np.array([r["id"] for r in rows.collect()])
+    roots = {r["tree_id"]: r["cover"] for r in a.tree_table().where("node_id = 0").collect()}
+    assert roots == {i: copies(ids, 1, i).sum() for i in range(2)}
+    out = {r["key"] for r in a.predict_oob_risk().where("risk > 0").collect()}
+    assert out <= {int(i) for i in ids if min(copies(np.array([i]), 1, t)[0] for t in range(2)) == 0}
+
+
+def test_large_forests_predict_a_part_at_a_time(rows, forest, monkeypatch):
+    from hazardloom.operators import forest as module
+
+    few = rows.limit(40).persist()
+    show = lambda m: (sorted((r["id"], r["risk"]) for r in m.predict_risk(few).collect()), sorted((r["id"], *np.ravel(r["cif"])) for r in m.predict_cif(few, [2.0, 8.0]).collect()))
+    want = show(forest)
+    phi = lambda m: sorted((r["id"], r["feature"], *r["phi"]) for r in m.shap_values(few, "id", times=[2.0])[0].collect())
+    first = phi(forest)
+    monkeypatch.setattr(module, "FOREST_BYTES", 20_000)
+    held = forest.__dict__.pop("_shared")
+    try:
+        assert len(forest._parts()) > 2
+        for got, was in zip(show(forest), want):
+            assert [r[0] for r in got] == [r[0] for r in was] and np.allclose([r[1:] for r in got], [r[1:] for r in was], atol=1e-12)
+        assert [r[:2] for r in phi(forest)] == [r[:2] for r in first] and np.allclose([r[2:] for r in phi(forest)], [r[2:] for r in first], atol=1e-12)
+    finally:
+        forest._shared = held
+
+
+def test_splits_are_drawn_without_replacement():
+    from hazardloom.operators.draws import drawn_features, drawn_ranks, uniforms
+
+    many = np.repeat([0, 3, 10, 11, 200], 4000)
+    nodes = np.tile(np.arange(4000), 5)
+    ranks = drawn_ranks(many, 10, nodes, np.ones(len(many), int), 3, 4)
+    assert (np.diff(ranks, axis=1) > 0).all() and (ranks[many > 10] < many[many > 10, None]).all()
+    assert (ranks[many <= 10] == np.arange(10)).all()
+    assert np.bincount(ranks[many == 11].ravel(), minlength=11) / 4000 == pytest.approx(np.full(11, 10 / 11), abs=0.02)
+    assert np.bincount(ranks[many == 200].ravel(), minlength=200).std() < 25
+    drawn = drawn_features(np.arange(6000), 5, 2, 0, 0)
+    assert (drawn[:, 0] != drawn[:, 1]).all() and np.bincount(drawn.ravel()) / 6000 == pytest.approx(np.full(5, 0.4), abs=0.03)
+    u = uniforms(np.arange(20000), 1, 2)
+    assert abs(u.mean() - 0.5) < 0.01 and 0 <= u.min() and u.max() < 1 and (u != uniforms(np.arange(20000), 2, 1)).all()
+
+
+def test_many_event_times_do_not_wrap(spark):
+    """More grid points than 16 bits hold, in both growers."""
+    n = 70_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n + 1).cast("double").alias("time"), F.lit(1).alias("event"), (F.col("id") % 4).cast("double").alias("x"))
+    m = CompetingRiskForest(n_estimators=1, max_depth=1, bootstrap=False, time_grid=None, random_state=0).fit(df, ["x"])
+    assert m.leaf_table().agg(F.max("t_idx"), F.sum("n")).first()[:] == (n - 1, n)
+    last = m.predict_cif(df.limit(3), [float(n)]).collect()
+    assert all(r["cif"][0][0] == pytest.approx(1.0) for r in last)
 
 
 def test_quantiles_are_exact_at_every_size(rows, monkeypatch):
@@ -134,10 +175,13 @@ def test_quantiles_are_exact_at_every_size(rows, monkeypatch):
 
     more = rows.select(*FEATURES, "time", "event").unionByName(rows.sparkSession.range(3000).select(*[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(100_003)) / 7).alias(c) for c in FEATURES], (F.pmod(F.xxhash64("id"), F.lit(99_991)) / 11).alias("time"), F.lit(1).alias("event")))
     near = grids.feature_bin_edges(more, FEATURES, 12), grids.event_time_grid(more, 50)
-    monkeypatch.setattr(grids, "EXACT_DISTINCT", 20)
+    monkeypatch.setattr(grids.scans, "ONE_TASK", 20)
     monkeypatch.setattr(grids.F, "percentile_approx", None)
     far = grids.feature_bin_edges(more, FEATURES, 12), grids.event_time_grid(more, 50)
-    assert [x.tolist() for x in near[0]] == [x.tolist() for x in far[0]] and near[1].tolist() == far[1].tolist()
+    assert all(a == pytest.approx(b, rel=1e-14) for a, b in zip((*near[0], near[1]), (*far[0], far[1])))
+    local = more.toPandas()
+    assert all(a == pytest.approx(grids.cut_points(np.unique(local[c]), 12), rel=1e-14) for a, c in zip(near[0], FEATURES))
+    assert near[1] == pytest.approx(grids.time_points(np.unique(local["time"][local["event"] > 0]), 50), rel=1e-14)
 
 
 def test_split_numerator_by_hand(spark):
@@ -162,3 +206,16 @@ def test_parameters():
         CompetingRiskForest().set_params(nothing=1)
     assert CompetingRiskForest().get_params()["max_depth"] == 15
     assert coarsen_time_grid(np.arange(5.0), 10).tolist() == [0, 1, 2, 3, 4]
+    for wrong in (dict(rng_mode="rfsrc_aligned"), dict(equivalence="rfsrc", split_ntime=7), dict(nsplit=-1), dict(cause_weights=[1.0, 1.0])):
+        with pytest.raises(ValueError):
+            CompetingRiskForest(**wrong)._check()
+
+
+def test_coarse_bins_are_shares_of_ranks():
+    for n, k in ((20, 10), (200, 10), (11, 10), (37, 5)):
+        grid = np.sort(np.random.default_rng(n).random(n)) * 100
+        starts = [np.sum(grid < np.quantile(grid, j / k)) for j in range(k)]  # where each quantile bucket begins
+        assert coarsen_time_grid(grid, k).tolist() == [sum(s <= i for s in starts) - 1 for i in range(n)]
+    with pytest.warns(UserWarning):
+        got = coarsen_time_grid(np.array([0.0] * 30 + [1.0, 10.0]), 10)
+    assert got.tolist() == [0] * 30 + [1, 9]
