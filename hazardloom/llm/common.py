@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` or the context names it; without one a temporary folder, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="hazardloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

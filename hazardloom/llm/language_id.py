@@ -46,7 +46,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageFilters:
-    """Bit-sliced filters: ``slots`` (size, words) of language bitmasks; ``rate`` false-positive rates."""
+    """Bit-sliced filters: ``slots`` (size, bytes) of language bitmasks; ``rate`` false-positive rates."""
 
     languages: list[str]
     slots: np.ndarray
@@ -56,12 +56,11 @@ class LanguageFilters:
     def build(cls, languages: list[str], grams_of: dict[str, np.ndarray], bits_each: int = 24) -> LanguageFilters:
         largest = max((len(g) for g in grams_of.values()), default=1)
         size = 1 << max(12, int(np.ceil(np.log2(max(1, largest) * bits_each))))
-        slots = np.zeros((size, max(1, -(-len(languages) // 64))), np.uint64)
+        slots = np.zeros((size, max(1, -(-len(languages) // 8))), np.uint8)
         for i, lang in enumerate(languages):
-            bit = np.uint64(1) << np.uint64(i % 64)
             for h in _places(grams_of[lang], size):
-                slots[np.unique(h), i // 64] |= bit
-        fill = np.array([np.mean((slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)) for i in range(len(languages))])
+                slots[np.unique(h), i // 8] |= np.uint8(1 << i % 8)
+        fill = np.array([np.mean((slots[:, i // 8] >> np.uint8(i % 8)) & np.uint8(1)) for i in range(len(languages))])
         return cls(languages, slots, fill ** len(_MULTIPLIERS))
 
     def containing(self, code: np.ndarray) -> np.ndarray:
@@ -77,8 +76,8 @@ class LanguageFilters:
         masks = self.containing(code)
         share = np.zeros((len(at) - 1, len(self.languages)))
         for i in range(len(self.languages)):
-            hit = np.zeros(len(code) + 1, np.int64)
-            np.cumsum((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1), out=hit[1:])
+            hit = np.zeros(len(code) + 1, np.int32)
+            np.cumsum((masks[:, i // 8] >> np.uint8(i % 8)) & np.uint8(1), out=hit[1:])
             seen = (hit[at[1:]] - hit[at[:-1]]) / n
             share[:, i] = np.clip((seen - self.rate[i]) / (1 - self.rate[i]), 0, 1)
         best = np.argmax(share, axis=1)
@@ -102,14 +101,14 @@ def fit_filters(training: DataFrame, text_col: str, lang_col: str, texts_each: i
     rows = training.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
     size = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
     if not size:
-        return LanguageFilters([], np.zeros((4096, 1), np.uint64), np.zeros(0))
+        return LanguageFilters([], np.zeros((4096, 1), np.uint8), np.zeros(0))
     rates = F.create_map(*[F.lit(x) for lang, n in sorted(size.items()) for x in (lang, min(1.0, texts_each / n))])
     drawn = rows.where(hash_unit(F.lit(5), F.col("h")) < rates[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(1).dictionary_encode()
-            for a, z in text_slices(batch.column(0), 2 << 20):
+            for a, z in text_slices(batch.column(0), 1 << 20):
                 code, at = grams(batch.column(0).slice(a, z - a))
                 where = langs.indices.to_numpy()[a:z].astype(np.uint64)
                 row = np.repeat(np.arange(z - a, dtype=np.uint64), np.diff(at))
@@ -142,7 +141,7 @@ def predict_language(docs: DataFrame, filters: LanguageFilters, text_col: str =
         for batch in batches:
             texts = batch.column(names.index(text_col))
             lang, score = [], []
-            for a, z in text_slices(texts, 2 << 20):
+            for a, z in text_slices(texts, 1 << 20):
                 part = texts.slice(a, z - a)
                 lettered = pc.match_substring_regex(part, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
                 if known.languages:

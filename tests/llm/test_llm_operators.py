@@ -177,7 +177,7 @@ def test_filters_return_all_languages_and_correct_false_positives():
     grams = {"a": np.arange(0, 5000, dtype=np.uint32) * 7919, "b": np.arange(4000, 9000, dtype=np.uint32) * 7919}
     f = language_id.LanguageFilters.build(["a", "b"], grams)
     masks = f.containing(np.arange(0, 9000, dtype=np.uint32) * 7919)[:, 0]
-    assert (masks[4000:5000] == 3).all() and (masks[:5000] & np.uint64(1)).all() and (masks[4000:] & np.uint64(2)).all()
+    assert (masks[4000:5000] == 3).all() and (masks[:5000] & np.uint8(1)).all() and (masks[4000:] & np.uint8(2)).all()
     assert (f.rate < 0.01).all() and (f.rate > 0).all()
 
 
