@@ -4,22 +4,27 @@ Each vector is summed up at several resolutions: the mean and deviation norm of
 For a query q and a vector v, the squared distance is at least
 ``sum over segments of size * (mean_q - mean_v)^2 + (dev_q - dev_v)^2``, which with the norms bounds the
 inner product from above. Bounds run coarse to fine against the k-th best score so far; only survivors
-get an exact integer product. Queries and vectors meet in bounded blocks.
+get an exact integer product. Queries and vectors meet in bounded blocks; before they do, each query's k-th best score
+against a small drawn set of vectors becomes the floor that every block starts from.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blobs import small_batches
-from .common import numbered
+from .common import hash_unit, numbered
 
 #: vectors of one block and queries of one block
 VECTOR_BLOCK, QUERY_BLOCK = 16_384, 2_048
 STEP = 2_048
+#: vectors, about, that give the queries their first floor
+DRAWN = 1_024
 LEVELS = (1, 4, 16)
 
 
@@ -45,13 +50,13 @@ class SegmentStatistics:
         return self.levels[level][i] @ other.levels[level][j].T + slack
 
 
-def best_products(q: np.ndarray, v: np.ndarray, q_rid: np.ndarray, v_rid: np.ndarray, v_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, score) of each query's k best in this block; ties to the smaller id, then row."""
+def best_products(q: np.ndarray, v: np.ndarray, q_rid: np.ndarray, v_rid: np.ndarray, v_id: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, score) of each query's k best in this block that reach its ``floor``; ties to the smaller id, then row."""
     in_floats = q.shape[1] * max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(v).max(initial=0)) < 2**53
     kind, lowest = (np.float64, -np.inf) if in_floats else (np.int64, np.iinfo(np.int64).min)
     qs, order = SegmentStatistics(q), np.lexsort((v_rid, v_id))
     v, v_rid = v[order], v_rid[order]
-    qe, floor = q.astype(kind), np.full(len(q), -np.inf)
+    qe, floor = q.astype(kind), np.full(len(q), -np.inf) if floor is None else floor.copy()
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
     for at in range(0, len(v), STEP):
         part = v[at : at + STEP]
@@ -79,10 +84,31 @@ def best_products(q: np.ndarray, v: np.ndarray, q_rid: np.ndarray, v_rid: np.nda
         held = [r[best] for r in rows]
         full = np.bincount(held[0], minlength=len(q)) >= k
         last = np.searchsorted(held[0], np.arange(len(q)), side="right") - 1
-        floor[full] = held[2][last[full]]
+        floor[full] = np.maximum(floor[full], held[2][last[full]])
     return held[0], order[held[1]], held[2]
 
 
+def _floors(drawn, k: int):
+    """Queries with the k-th best exact score among the drawn vectors of their length, their own row aside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            floor = np.full(batch.num_rows, -np.inf)
+            length, rid = batch.column(3).to_numpy(), batch.column(0).to_numpy()
+            for n, (rids, s) in drawn.value.items():
+                at = np.flatnonzero(length == n)
+                if not len(at) or len(rids) <= k:
+                    continue
+                q = np.stack(batch.column(2).take(pa.array(at)).to_numpy(zero_copy_only=False)).astype(np.float64)
+                if n * max(1.0, np.abs(q).max()) * max(1.0, np.abs(s).max()) >= 2**53:
+                    continue  # not exact in floats: no floor
+                score = np.where(rid[at][:, None] == rids[None, :], -np.inf, q @ s.T)
+                floor[at] = np.partition(score, len(rids) - k, axis=1)[:, len(rids) - k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor)], names=[*batch.schema.names, "floor"])
+
+    return run
+
+
 def _cells(k: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
@@ -90,7 +116,7 @@ def _cells(k: int):
             v, q = (np.stack(t.column("x").to_numpy(zero_copy_only=False)).astype(np.float64) for t in (vectors, queries))
             v_rid, q_rid, q_id = (t.column(c).to_numpy() for t, c in ((vectors, "rid"), (queries, "rid"), (queries, "vec_id")))
             v_id = vectors.column("vec_id").fill_null(np.iinfo(np.int64).max).to_numpy()
-            i, j, score = best_products(q, v, q_rid, v_rid, v_id, k)
+            i, j, score = best_products(q, v, q_rid, v_rid, v_id, k, queries.column("floor").to_numpy())
             ids = vectors.column("vec_id").combine_chunks().take(pa.array(j))
             return pa.table({"q_rid": q_rid[i], "query_id": q_id[i], "rid": v_rid[j], "vec_id": ids, "score": score})
         return pa.table(out, names=["q_rid", "query_id", "rid", "vec_id", "score"])
@@ -118,7 +144,12 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str =
     cell = lambda count: F.pmod(F.xxhash64("rid"), F.lit(count)).cast("int")
     every_cell = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = rows.withColumn("part", cell(parts)).withColumn("block", every_cell(blocks))
-    right = rows.where(asked).withColumn("block", cell(blocks)).withColumn("part", every_cell(parts))
+    by_length: dict[int, list] = {}
+    for x in rows.where(hash_unit(F.lit(8), F.col("rid")) < F.lit(DRAWN / max(n, 1))).select("rid", "length", "x").collect():
+        by_length.setdefault(x["length"], []).append((x["rid"], x["x"]))
+    drawn = spark.sparkContext.broadcast({m: (np.array([i for i, _ in part]), np.array([x for _, x in part], np.float64)) for m, part in by_length.items()})
+    floored = rows.where(asked).mapInArrow(_floors(drawn, k), "rid long, vec_id long, x array<double>, length int, floor double")
+    right = floored.withColumn("block", cell(blocks)).withColumn("part", every_cell(parts))
     by = ["length", "part", "block"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_cells(k), "q_rid long, query_id long, rid long, vec_id long, score long")
     order = Window.partitionBy("q_rid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "rid")
