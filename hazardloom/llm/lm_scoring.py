@@ -150,6 +150,39 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """Every document against the labelled good ones; losses to six decimals."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_documents(docs, labels.where("quality = 1").select("doc_id")).drop("rid")
+    scored = score_documents(docs, labels.where("quality = 1").select("doc_id"))
+    return scored.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
+OP9_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), t AS (SELECT rid, coalesce(good, false) AS good, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+p AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY rid ORDER BY i), '') AS v FROM t),
+one AS (SELECT x, count(*) AS n, count(*) FILTER (WHERE good) AS g FROM p GROUP BY x UNION ALL SELECT '', count(*), count(*) FILTER (WHERE good) FROM p WHERE v = ''),
+two AS (SELECT v, x, count(*) AS n, count(*) FILTER (WHERE good) AS g FROM p GROUP BY v, x),
+own AS (SELECT rid, x, count(*) AS n FROM p GROUP BY rid, x UNION ALL SELECT rid, '', 1 FROM p WHERE v = ''),
+own2 AS (SELECT rid, v, x, count(*) AS n FROM p GROUP BY rid, v, x),
+al AS (SELECT count(*) AS n, count(*) FILTER (WHERE good) AS g FROM p),
+c AS (
+  SELECT p.rid, CASE WHEN good THEN 1 ELSE 0 END AS f, CAST(al.n - len(d.w) AS DOUBLE) AS total, CAST(al.g - CASE WHEN p.good THEN len(d.w) ELSE 0 END AS DOUBLE) AS mass,
+         a.n - ox.n AS ax, a.g - CASE WHEN p.good THEN ox.n ELSE 0 END AS gx, b.n - ov.n AS av, b.g - CASE WHEN p.good THEN ov.n ELSE 0 END AS gv,
+         e.n - o2.n AS a2, e.g - CASE WHEN p.good THEN o2.n ELSE 0 END AS g2
+  FROM (SELECT * FROM p) p JOIN (SELECT rid, w FROM d) d ON d.rid = p.rid JOIN al ON true
+  JOIN one a ON a.x = p.x JOIN one b ON b.x = p.v JOIN two e ON e.v = p.v AND e.x = p.x
+  JOIN own ox ON ox.rid = p.rid AND ox.x = p.x JOIN own ov ON ov.rid = p.rid AND ov.x = p.v JOIN own2 o2 ON o2.rid = p.rid AND o2.v = p.v AND o2.x = p.x
+), q AS (SELECT *, (ax + {OPEN_WEIGHT} / {OPEN_WORDS}) / (total + {OPEN_WEIGHT}) AS prior, mass / greatest(total, 1) AS s FROM c),
+l AS (
+  SELECT rid, avg(-ln((g2 + {BACKOFF} * (gx + {PRIOR} * prior) / (mass + {PRIOR})) / (gv + {BACKOFF}))) AS target_loss,
+         avg(-ln((a2 * s + {BACKOFF} * (ax * s + {PRIOR} * prior) / (mass + {PRIOR})) / (av * s + {BACKOFF}))) AS background_loss
+  FROM q GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(target_loss, 0), 6) AS target_loss, round(coalesce(background_loss, 0), 6) AS background_loss,
+       round(coalesce(target_loss - background_loss, 0), 6) AS score
+FROM d LEFT JOIN l USING (rid)
+"""

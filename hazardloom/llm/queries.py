@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op5_ngram_jaccard": ngram_jaccard.OP5_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op8_vector_topk": vector_topk.OP8_SQL,
+    "op9_lm_scoring": lm_scoring.OP9_SQL,
 }

@@ -477,6 +477,16 @@ def test_top_products_equal_brute_force(spark):
     assert rows(vector_topk.top_products(df), "query_id", "rank", "vec_id", "score") == brute_top(items)
 
 
+def test_floors_lose_nothing(spark, monkeypatch):
+    """All vectors drawn, ties at the floor, and queries with fewer vectors than asked for."""
+    rng = np.random.default_rng(9)
+    items = [(i, [float(x) for x in rng.integers(0, 3, 4) / 4]) for i in range(400)] + [(1000, [1.0, 2.0]), (1050, [2.0, 1.0])]
+    df = spark.createDataFrame(items, "vec_id long, embedding array<float>")
+    for drawn in (1, 1_000_000):
+        monkeypatch.setattr(vector_topk, "DRAWN", drawn)
+        assert rows(vector_topk.top_products(df), "query_id", "rank", "vec_id", "score") == brute_top(items)
+
+
 def test_bounds_never_undercut():
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(40, 64)) * 100, rng.normal(size=(50, 64)) * 100

@@ -17,7 +17,7 @@ from hazardloom.llm.common import cut  # noqa: E402
 
 def test_queries_equal_sql(spark, sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got = queries.QUERIES[name](spark, sf_dir)
