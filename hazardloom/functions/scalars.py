@@ -61,6 +61,12 @@ def linear_predictor(features: list[str], coef) -> Column:
     return sum((F.col(c) * float(b) for c, b in zip(features, coef)), F.lit(0.0))
 
 
+def md5_uniform(*parts) -> Column:
+    """A number in (0, 1) from the MD5 of the parts joined by "|": 52 bits, the same wherever it is computed."""
+    text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
+
+
 def chi2_sf(x: float, df: int) -> float:
     """Upper tail of chi-square: the regularised upper incomplete gamma function Q(df / 2, x / 2)."""
     if not x > 0 or df < 1:

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import wilson
+from ..functions.scalars import md5_uniform, wilson
 from .censoring import km_censor_score
 from .incidence import cif, time_counts
 from .scans import is_wide, quantiles, running, step_lookup, with_blocks
@@ -87,16 +88,20 @@ def calibration_cr(pred: DataFrame, cause: int = 1, n_bins: int = 10, level: flo
 
 
 def bootstrap_copies(df: DataFrame, key: str, n_bootstrap: int, seed: int = 0) -> DataFrame:
-    """(rep, m): each row's Poisson(1) number of copies in each replicate, from a hash of (seed, replicate, row)."""
-    # fixed values: cumulative Poisson(1) probabilities
-    cumulative = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("rep"), F.col(key)), 11).cast("double") / float(1 << 53)
-    draws = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cumulative), F.lit(0))
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap)))).withColumn("u", unit).withColumn("m", draws).drop("u")
+    """(rep, columns of df, m): as many draws with replacement as there are rows, in each replicate; rows drawn ``m`` times, at least once.
+
+    Rows are numbered in the order of ``key`` (of its hash, if it is no number), and draw j of a replicate takes the row that
+    MD5 of "seed|rep|j" points at, so replicates do not depend on how rows are partitioned.
+    """
+    order = F.col(key) if isinstance(df.schema[key].dataType, T.NumericType) else F.xxhash64(key)
+    rows = running(with_blocks(df.withColumn("__o", order), "__o"), [], ["__o", key], {"__i": ("sum", F.lit(1.0), "before")}).select(*df.columns, F.col("__i").cast("long").alias("__i"))
+    n = df.count()
+    draws = df.sparkSession.range(n).select(F.col("id").alias("j"), F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("rep"))
+    return draws.groupBy("rep", F.floor(md5_uniform(seed, F.col("rep"), F.col("j")) * n).alias("__i")).agg(F.count("*").cast("int").alias("m")).join(rows, "__i").drop("__i")
 
 
 def score_cr(pred: DataFrame, times: Sequence[float], cause: int = 1, metrics: Sequence[str] = ("auc", "brier", "iauc", "ibs"), n_bootstrap: int = 0, level: float = 0.95, key: str = "row_id", seed: int = 0, calibration_at: Sequence[float] = (), calibration_n_bins: int = 10) -> ScoreResult:
-    """AUC, Brier and their time averages of long predictions (row key, model, t, p, time, event), with percentile intervals."""
+    """AUC, Brier and their time averages of long predictions (row key, model, t, p, time, event), with percentile intervals of replicates of as many rows drawn with replacement."""
     if not times or any(b <= a for a, b in zip(times, times[1:])):
         raise ValueError("evaluation times must increase")
     # every row has one outcome: take it from one model and time

@@ -80,9 +80,15 @@ def gray_terms(df: DataFrame, groups: list, cause: int = 1, rho: float = 0.0, ti
 
 def gray_test(df: DataFrame, time: str = "time", event: str = "event", group: str = "grp", cause: int = 1, rho: float = 0.0) -> GrayTestResult:
     """Gray's statistic on K - 1 degrees of freedom; groups in sorted order, the last is the pivot."""
-    groups = sorted(r[0] for r in df.select(group).distinct().collect())
+    missing = F.col(group).isNull() | F.col(time).isNull() | F.isnan(F.col(time).cast("double")) | F.col(event).isNull()
+    found = df.groupBy(group).agg(F.max(missing.cast("int")).alias("missing"), F.max(F.when(F.col(event) == cause, 1).otherwise(0)).alias("cases")).collect()
+    if any(r["missing"] for r in found):
+        raise ValueError("groups, times and events must not be missing")
+    groups = sorted(r[0] for r in found)
     if len(groups) < 2:
         raise ValueError("at least two groups are needed")
+    if not any(r["cases"] for r in found):
+        raise ValueError(f"no event of cause {cause}")
     row = gray_terms(df, groups, cause, rho, time, event, group).first()
     m = len(groups) - 1
     score = np.array([row[f"score{i}"] for i in range(m)])

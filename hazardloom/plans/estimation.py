@@ -135,10 +135,13 @@ def gray_rho1(spark, d):
     return _gray(spark, d, 1).select(F.round("score0", 6).alias("score"), F.round(F.col("score0") * F.col("score0") / F.col("v_0_0"), 7).alias("stat"))
 
 
-@register("gray_five_groups", "")
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@register("gray_five_groups", f"WITH {sql.SEG}, {sql.gray_many(_SEGMENTS)} SELECT round(stat, 5) AS statistic, round(exp(-stat / 2) * (1 + stat / 2), 7) AS p_value, 4 AS df FROM r")
 def gray_five_groups(spark, d):
     result = gray.gray_test(tables.shipments_by_segment(spark, d))
-    return spark.createDataFrame([(result.statistic, result.p_value, result.df)], "statistic double, p_value double, df int")
+    return spark.createDataFrame([(round(result.statistic, 5), round(result.p_value, 7), result.df)], "statistic double, p_value double, df int")
 
 
 # ---- weights and concordance -------------------------------------------------------------------
@@ -265,10 +268,27 @@ def wilson_ci(spark, d):
     return x.select("flag", *r8(lower_ci=low, upper_ci=high))
 
 
-@register("score_bootstrap", "")
+_BOOT = f"""{sql.SIGNUP}, f AS (SELECT time, event, least(1.0, abs(value) / 500) AS p, row_number() OVER (ORDER BY event_id) - 1 AS i FROM sv), nn AS (SELECT count(*) AS n FROM f),
+dr AS (SELECT rep, CAST(floor((CAST(CAST('0x' || substr(md5('0|' || rep || '|' || j), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496 * n) AS BIGINT) AS i FROM (SELECT unnest(range(1, 21)) AS rep), (SELECT unnest(range(n)) AS j, n FROM nn)),
+rw AS (SELECT rep, f.*, m FROM (SELECT rep, i, count(*) AS m FROM dr GROUP BY ALL UNION ALL SELECT 0, i, 1 FROM f) JOIN f USING (i)),
+k0 AS (SELECT rep, time, CAST(sum(m) AS DOUBLE) AS n, CAST(sum(CASE WHEN event <> 0 THEN m ELSE 0 END) AS DOUBLE) AS d FROM rw GROUP BY rep, time),
+k1 AS (SELECT *, sum(n) OVER (PARTITION BY rep ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y FROM k0),
+k2 AS (SELECT *, CASE WHEN y - d > 0 THEN 1 - (n - d) / (y - d) ELSE 1 END AS keep FROM k1),
+k AS (SELECT *, product(keep) OVER {sql.sofar('rep')} AS g, coalesce(product(keep) OVER {sql.prior('rep')}, 1.0) AS g_left FROM k2),
+gt AS (SELECT rep, t, coalesce(max_by(g, time) FILTER (WHERE time <= t), 1.0) AS g FROM k, (SELECT unnest([20000.0, 60000.0, 120000.0])::DOUBLE AS t) GROUP BY rep, t),
+w AS (SELECT rw.rep, t, p, CASE WHEN event = 1 AND rw.time <= t THEN m / g_left ELSE 0 END AS wc, CASE WHEN event = 2 AND rw.time <= t THEN m / g_left WHEN rw.time > t THEN m / gt.g ELSE 0 END AS wn
+  FROM rw JOIN k ON k.rep = rw.rep AND k.time = rw.time JOIN gt ON gt.rep = rw.rep),
+h AS (SELECT rep, t, p, sum(wc) AS wc, sum(wn) AS wn FROM w GROUP BY ALL),
+l AS (SELECT *, coalesce(sum(wn) OVER (PARTITION BY rep, t ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM h),
+a AS (SELECT rep, t, sum(wc * (low + 0.5 * wn)) / (sum(wc) * sum(wn)) AS auc FROM l GROUP BY rep, t)"""
+
+
+@register("score_bootstrap", f"""WITH {_BOOT} SELECT 'value' AS model, t AS times, round(max(auc) FILTER (WHERE rep = 0), 7) AS auc,
+  round(quantile_cont(auc, 0.025) FILTER (WHERE rep > 0), 7) AS lower, round(quantile_cont(auc, 0.975) FILTER (WHERE rep > 0), 7) AS upper FROM a GROUP BY t""")
 def score_bootstrap(spark, d):
     """Percentile intervals of AUC over 20 replicates (rows of the signup view)."""
     rows = tables.signup_outcome(spark, d).select(F.col("event_id").alias("row_id"), "time", "event", F.least(F.lit(1.0), F.abs("value") / 500).alias("p"))
     times = [float(t) for t in (20000, 60000, 120000)]
     pred = evaluation.long_predictions(rows, {"value": ["p"] * 3}, times, ("row_id", "time", "event"))
-    return evaluation.score_cr(pred, times, n_bootstrap=20).auc
+    found = evaluation.score_cr(pred, times, n_bootstrap=20).auc
+    return found.select("model", "times", *[F.round(c, 7).alias(n) for c, n in (("AUC", "auc"), ("lower", "lower"), ("upper", "upper"))])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import grids, incidence, minimal_depth, risk, splits
 from ..operators.forest import CompetingRiskForest
-from ..operators.regression import CauseSpecificCox, FineGrayRegression, PenalizedFineGrayRegression, column_scales
+from ..operators.regression import CauseSpecificCox, FineGrayRegression, PenalizedFineGrayRegression, column_scales, penalty_slope, proximal
 from ..sources import outcomes, tables
 from . import forest_sql, sql
 
@@ -73,6 +73,12 @@ def feature_bin_edges(spark, d):
     return _rows(spark, [(c, round(float(e), 6)) for c, es in zip(_FEATURES, found) for e in es], "feature string, edge double")
 
 
+@register("bin_thresholds", f"WITH {sql.SV}, {_EDGES}, t AS (SELECT unnest(eq) AS e, generate_subscripts(eq, 1) - 1 AS b FROM ed) SELECT CAST(b AS INTEGER) AS bin, round(e, 6) AS threshold FROM t UNION ALL SELECT 7, CAST('inf' AS DOUBLE)")
+def bin_thresholds(spark, d):
+    edges = grids.feature_bin_edges(_sv(spark, d), _FEATURES, 8)[0]
+    return _rows(spark, [(b, round(grids.bin_to_threshold(edges, b), 6)) for b in range(8)], "bin int, threshold double")
+
+
 _BINNED = f"""{_EDGES}, {_COARSE}, bn AS (
   SELECT len([e FOR e IN eq IF e <= l_quantity]) AS b0, len([e FOR e IN ep IF e <= l_extendedprice]) AS b1, event,
          greatest(len([x FOR x IN g.g IF x <= time]) - 1, 0) AS tf FROM sv, ed, g),
@@ -206,6 +212,20 @@ def penalty_kernels(spark, d):
     return x.select(F.round("z", 6).alias("z"), r(scalars.soft_threshold(z, l1)).alias("soft"), r(scalars.prox_lasso(z, v, l1, l2)).alias("lasso"), r(scalars.prox_mcp(z, v, l1, l2, 2.7)).alias("mcp"), r(scalars.prox_scad(z, v, l1, l2, 3.7)).alias("scad"))
 
 
+@register("penalty_solver", f"""WITH x AS (SELECT DISTINCT {_Z} AS z FROM lineitem), s AS (SELECT z, sign(z) * greatest(abs(z) - 0.5, 0) AS soft FROM x)
+SELECT round(z, 6) AS z, round(soft / 1.2, 8) AS lasso, round(CASE WHEN abs(z) <= 2.7 * 0.5 * 1.2 THEN soft / (1.2 - 1 / 2.7) ELSE z / 1.2 END, 8) AS mcp,
+  round(CASE WHEN abs(z) <= 0.5 * 2.2 THEN soft / 1.2 WHEN abs(z) <= 3.7 * 0.5 * 1.2 THEN sign(z) * greatest(abs(z) - 3.7 * 0.5 / 2.7, 0) / (1.2 - 1 / 2.7) ELSE z / 1.2 END, 8) AS scad,
+  CAST(CASE WHEN z = 0 THEN 0 ELSE 0.5 END AS DOUBLE) AS slope_lasso, round(CASE WHEN z = 0 THEN 0 ELSE greatest(0.5 - abs(z) / 2.7, 0) END, 8) AS slope_mcp,
+  round(CASE WHEN z = 0 THEN 0 WHEN abs(z) <= 0.5 THEN 0.5 ELSE greatest(3.7 * 0.5 - abs(z), 0) / 2.7 END, 8) AS slope_scad FROM s""")
+def penalty_solver(spark, d):
+    """The solver's own minimisers and penalty slopes, at the distinct values."""
+    z = [r[0] for r in tables.table(spark, d, "lineitem").select(((F.col("l_quantity") - 25).cast("double") / 10).alias("z")).distinct().collect()]
+    kinds = (("lasso", 1.0), ("mcp", 2.7), ("scad", 3.7))
+    slopes = [penalty_slope(k, np.abs(np.array(z)), 0.5, g) for k, g in kinds]
+    rows = [(round(x, 6), *[round(proximal(k, x, 1.0, 0.5, 0.2, g) + 0.0, 8) for k, g in kinds], *[round(float(s[i]), 8) for s in slopes]) for i, x in enumerate(z)]
+    return _rows(spark, rows, "z double, lasso double, mcp double, scad double, slope_lasso double, slope_mcp double, slope_scad double")
+
+
 @register("event_recode", f"WITH {sql.SV} SELECT CAST(CASE WHEN event = 0 THEN 0 WHEN event = 2 THEN 1 ELSE 2 END AS INTEGER) AS code, CAST(CASE WHEN event = 2 THEN 1 ELSE 0 END AS INTEGER) AS hit, CAST(CASE WHEN event = 1 THEN 0 WHEN event = 0 THEN -999 ELSE event END AS INTEGER) AS moved, count(*) AS n FROM sv GROUP BY ALL")
 def event_recode(spark, d):
     e = F.col("event")
@@ -301,6 +321,14 @@ def cox_newton_1cov(spark, d):
     return _rows(spark, [(round(float(m.coef_[0]), 7), round(float(m.se_[0]), 7))], "coef double, se double")
 
 
+@register("cox_structured_outcome", f"WITH {_COX} SELECT round((SELECT b FROM b6), 7) AS coef, round(1 / sqrt(sum(d * (s2 / s0 - (s1 / s0) * (s1 / s0)))), 7) AS se FROM w6 WHERE d > 0")
+def cox_structured_outcome(spark, d):
+    """The same from one structured outcome column."""
+    rows = _xrows(spark, d).select("x", outcomes.surv("event", "time").alias("y"))
+    m = CauseSpecificCox(gtol=1e-12).fit(rows, ["x"], y="y")
+    return _rows(spark, [(round(float(m.coef_[0]), 7), round(float(m.se_[0]), 7))], "coef double, se double")
+
+
 @register("fg_baseline_hazard", f"WITH {_FG} SELECT time, round(sum(d / s0) OVER (ORDER BY time ROWS UNBOUNDED PRECEDING), 7) AS cum_hazard FROM w6 WHERE d > 0")
 def fg_baseline_hazard(spark, d):
     m = FineGrayRegression(gtol=1e-12, max_iter=20).fit(_xrows(spark, d), ["x"])
@@ -322,6 +350,28 @@ def lambda_max_lasso(spark, d):
     return _rows(spark, [(round(float(m.lambdas_[0]), 9),)], "lambda_max double")
 
 
+def _lasso_sql(steps: int = 8) -> str:
+    """A path of one standardised covariate: the score meets n * lambda, Newton steps from zero written out for each lambda."""
+    out = [f"{_FG0.replace('l_quantity / 50 AS x', '(l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_pop(l_quantity) FROM lineitem) AS x')}"]
+    out.append("top AS (SELECT sum(dx - d * s1 / s0) AS u, (SELECT count(*) FROM sv) AS n FROM w0 WHERE d > 0)")
+    out.append("q0 AS (SELECT f, f * abs(u) / n AS lam, u, n, CAST(0.0 AS DOUBLE) AS b FROM top, (SELECT unnest([1.0, 0.1, 0.01])::DOUBLE AS f))")
+    for i in range(steps + 1):
+        powers = ", ".join(f"sum(power(x, {m}) * exp(b * x)) AS r{m}, sum(power(x, {m}) * exp(b * x) * (CASE WHEN event = 2 THEN 1 ELSE 0 END)) AS c{m}" for m in range(3))
+        sums = ", ".join(f"sum(r{m}) OVER s + g_left * coalesce(sum(CASE WHEN g_left > 0 THEN c{m} / g_left ELSE 0 END) OVER p, 0) AS s{m}" for m in range(3))
+        out.append(f"y{i} AS (SELECT f, time, {powers}, CAST(sum(CASE WHEN event = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS d, sum(CASE WHEN event = 1 THEN x ELSE 0 END) AS dx FROM sv, q{i} GROUP BY f, time)")
+        out.append(f"z{i} AS (SELECT y{i}.*, {sums} FROM y{i} JOIN k USING (time) WINDOW s AS (PARTITION BY f ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), p AS (PARTITION BY f ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+        out.append(f"m{i} AS (SELECT f, sum(dx - d * s1 / s0) AS score, sum(d * (s2 / s0 - (s1 / s0) * (s1 / s0))) AS info, sum(dx) AS dx, -sum(d * ln(s0)) AS logs FROM z{i} WHERE d > 0 GROUP BY f)")
+        if i < steps:
+            out.append(f"q{i + 1} AS (SELECT q{i}.* REPLACE (CASE WHEN f >= 1 THEN 0.0 ELSE b + (score - n * lam * sign(u)) / info END AS b) FROM q{i} JOIN m{i} USING (f))")
+    return ",\n".join(out)
+
+
+@register("pfg_lasso_1cov", f"WITH {_lasso_sql()} SELECT round(lam, 9) AS lam, round(b / (SELECT stddev_pop(l_quantity) FROM lineitem) * 50, 6) AS coef, round(-2 * (b * dx + logs), 3) AS deviance FROM q8 JOIN m8 USING (f)")
+def pfg_lasso_1cov(spark, d):
+    m = PenalizedFineGrayRegression(n_lambda=3, lambda_min_ratio=0.01, tol=1e-10, max_iter=5000).fit(_xrows(spark, d), ["x"])
+    return _rows(spark, [(round(float(a), 9), round(float(b) + 0.0, 6), round(float(c), 3)) for a, b, c in zip(m.lambdas_, m.coef_path_[0], m.deviance_path_)], "lam double, coef double, deviance double")
+
+
 # ---- regression with two covariates ------------------------------------------------------------------------------
 
 _XX = sql.SV.replace("l_orderkey\n", "l_orderkey, l_quantity / 50 AS x1, l_discount * 10 AS x2\n")
@@ -562,6 +612,14 @@ def forest_held_out_importance(spark, d):
     return CompetingRiskForest(random_state=7).fit(rows, _SIGNUP).compute_importance(rows)
 
 
-@register("synthetic_outcomes")
+def _synthetic_sql(n: int, p: int, seed: int) -> str:
+    u = lambda name: f"((CAST(CAST('0x' || substr(md5('{seed}|{name}|' || id), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496)"
+    x = ", ".join(f"sqrt(-2 * ln({u(f'r{i}')})) * cos(2 * pi() * {u(f'a{i}')}) AS x{i}" for i in range(p))
+    return f"""x AS (SELECT id, {x}, {u('1')} AS u1, {u('2')} AS u2, {u('3')} AS u3 FROM (SELECT unnest(range({n})) AS id)),
+t AS (SELECT *, power(-ln(1 - u1) / exp(0.5 * x0 - 0.4 * x1 + 0.3 * x2 + 0.2 * x3 - 0.2 * x4 - 3.0), 1 / 1.2) AS t1, power(-ln(1 - u2) / exp(-0.3 * x0 + 0.4 * x1 + 0.2 * x2 - 0.2 * x3 + 0.3 * x4 - 3.5), 1 / 0.9) AS t2, -ln(1 - u3) / 0.06 AS tc FROM x)"""
+
+
+@register("synthetic_outcomes", f"WITH {_synthetic_sql(2000, 6, 20260417)} SELECT CASE WHEN tc <= least(t1, t2) THEN 0 WHEN t1 <= t2 THEN 1 ELSE 2 END AS event, count(*) AS n, round(avg(least(t1, t2, tc)), 6) AS mean_time, round(avg(x5), 8) AS mean_x5 FROM t GROUP BY 1")
 def synthetic_outcomes(spark, d):
-    return outcomes.synthetic_outcomes(spark, 2000, 10, partitions=4).groupBy("event").agg(F.count("*").alias("n"))
+    rows = outcomes.synthetic_outcomes(spark, 2000, 6, partitions=4)
+    return rows.groupBy("event").agg(F.count("*").alias("n"), F.round(F.avg("time"), 6).alias("mean_time"), F.round(F.avg("x5"), 8).alias("mean_x5"))

@@ -102,3 +102,37 @@ t8 AS (SELECT *, sum(a00 * rate) OVER {u} AS c00, sum(a01 * rate) OVER {u} AS c0
 t9 AS (SELECT sum(CASE WHEN dd > 0 THEN {w} * (p0 - dd * u0 * (1 - fl0) / tq) ELSE 0 END) AS score, sum({pieces}) AS direct,
   {both("sum(z# * z# * h# + x# * x# * j#) AS v3#, sum((a0# - z# * c0#) * z# * h# - x# * c0# * x# * j#) AS v2#, max_by(c0#, time) AS e#")} FROM t8),
 r AS (SELECT score, direct + e0 * e0 * v30 + 2 * e0 * v20 + e1 * e1 * v31 + 2 * e1 * v21 AS v FROM t9)"""
+
+
+def gray_many(groups: list[str]) -> str:
+    """Groups of sv, cause 1, rho 0: CTEs up to r, one row with Gray's statistic (the last group is the pivot), by elimination."""
+    ks, free = range(len(groups)), range(len(groups) - 1)
+    p, u = "(ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "(ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    each = lambda text: ", ".join(text.replace("#", str(k)) for k in ks)
+    n = ", ".join(f"CAST(sum(CASE WHEN grp = '{g}' AND {c} THEN 1 ELSE 0 END) AS DOUBLE) AS {x}{k}" for k, g in enumerate(groups) for x, c in (("n", "true"), ("p", "event = 1"), ("q", "event = 2")))
+    a = lambda i, k: f"CASE WHEN tr > 0 THEN {f'-u{i} * u{k} / tr' if i != k else f'u{i} * (1 - u{i} / tr)'} ELSE 0 END"
+    s1 = "CASE WHEN dd > 0 AND y# > 0 THEN (CASE WHEN dd <= 1 OR tr * sl# - 1 <= 0 THEN 1 ELSE 1 - (dd - 1) / (tr * sl# - 1) END) * sl# * dd / (tr * y#) ELSE 0 END AS h#"
+    s2 = "CASE WHEN q# > 0 AND s# > 0 THEN (CASE WHEN q# <= 1 OR y# <= 1 THEN 1 ELSE 1 - (q# - 1) / (y# - 1) END) * sl# * sl# * q# / (y# * y#) ELSE 0 END AS j#"
+    z = "CASE WHEN s# > 0 THEN 1 - (1 - fb) / s# ELSE 1 END AS z#, CASE WHEN s# > 0 THEN (1 - fb) / s# ELSE 0 END AS x#"
+    move, drift = (lambda i, k: f"(a{i}_{k} - z{k} * c{i}_{k})"), (lambda i, k: f"x{k} * c{i}_{k}")
+    sums = [f"sum(CASE WHEN dd > 0 THEN p{i} - dd * u{i} * (1 - fl{i}) / tq ELSE 0 END) AS t{i}" for i in free]
+    sums += [f"sum(z{k} * z{k} * h{k} + x{k} * x{k} * j{k}) AS v3_{k}" for k in ks] + [f"sum({move(i, k)} * z{k} * h{k} - {drift(i, k)} * x{k} * j{k}) AS v2_{i}_{k}, max_by(c{i}_{k}, time) AS e{i}_{k}" for i in free for k in ks]
+    sums += ["sum(" + " + ".join(f"{move(i, k)} * {move(j, k)} * h{k} + {drift(i, k)} * {drift(j, k)} * j{k}" for k in ks) + f") AS d{i}_{j}" for i in free for j in free]
+    cov = [f"d{i}_{j} + " + " + ".join(f"e{i}_{k} * e{j}_{k} * v3_{k} + e{i}_{k} * v2_{j}_{k} + e{j}_{k} * v2_{i}_{k}" for k in ks) + f" AS m{i}_{j}" for i in free for j in free]
+    steps = [f"g0 AS (SELECT {', '.join(f't{i}' for i in free)}, {', '.join(cov)}, 0.0 AS stat FROM t9)"]
+    for r in free:  # each step takes a row out and adds its part of the quadratic form
+        rest = [i for i in free if i > r]
+        kept = [f"t{i} - m{i}_{r} / m{r}_{r} * t{r} AS t{i}" for i in rest] + [f"m{i}_{j} - m{i}_{r} / m{r}_{r} * m{r}_{j} AS m{i}_{j}" for i in rest for j in rest]
+        steps.append(f"g{r + 1} AS (SELECT {', '.join([*kept, f'stat + t{r} * t{r} / m{r}_{r} AS stat'])} FROM g{r})")
+    return f"""t0 AS (SELECT time, {n} FROM sv GROUP BY time),
+t1 AS (SELECT *, {each("sum(n#) OVER (ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y#")} FROM t0),
+t2 AS (SELECT *, {each("CASE WHEN y# > 0 THEN 1 - (p# + q#) / y# ELSE 1 END AS k#")} FROM t1 WHERE {" + ".join(f"p{k} + q{k}" for k in ks)} > 0),
+t3 AS (SELECT *, {each(f"coalesce(product(k#) OVER {p}, 1.0) AS sl#, product(k#) OVER {u} AS s#")} FROM t2),
+t4 AS (SELECT *, {each(f"coalesce(sum(CASE WHEN y# > 0 THEN sl# * p# / y# ELSE 0 END) OVER {p}, 0.0) AS fl#, CASE WHEN y# > 0 AND sl# > 0 THEN y# / sl# ELSE 0 END AS u#")}, {" + ".join(f"p{k}" for k in ks)} AS dd FROM t3),
+t5 AS (SELECT *, {" + ".join(f"u{k}" for k in ks)} AS tr, {" + ".join(f"u{k} * (1 - fl{k})" for k in ks)} AS tq FROM t4),
+t6 AS (SELECT *, coalesce(sum(CASE WHEN tr > 0 THEN dd / tr ELSE 0 END) OVER {p}, 0.0) AS fbl, sum(CASE WHEN tr > 0 THEN dd / tr ELSE 0 END) OVER {u} AS fb FROM t5),
+t7 AS (SELECT *, {", ".join(f"{a(i, k)} AS a{i}_{k}" for i in free for k in ks)}, CASE WHEN dd > 0 AND fbl < 1 THEN dd / (tr * (1 - fbl)) ELSE 0 END AS rate FROM t6),
+t8 AS (SELECT *, {", ".join(f"sum(a{i}_{k} * rate) OVER {u} AS c{i}_{k}" for i in free for k in ks)}, {each(s1)}, {each(s2)}, {each(z)} FROM t7),
+t9 AS (SELECT {", ".join(sums)} FROM t8),
+{", ".join(steps)},
+r AS (SELECT stat FROM g{len(groups) - 1})"""

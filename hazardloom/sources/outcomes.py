@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import md5_uniform
+from ..operators.scans import running, with_blocks
+
 
 def surv(event: str | Column, time: str | Column, name_event: str = "event", name_time: str = "time") -> Column:
     """The structured outcome STRUCT<event INT, time DOUBLE>."""
@@ -63,11 +66,13 @@ def check_inputs(df: DataFrame, features: list[str], time: str = "time", event:
 
 
 def synthetic_outcomes(spark: SparkSession, n: int, p: int = 10, seed: int = 20260417, partitions: int | None = None) -> DataFrame:
-    """Two-cause Weibull outcomes with normal features x0 .. x{p-1} (generated in place, a row at a time)."""
+    """Two-cause Weibull outcomes with normal features x0 .. x{p-1}: made in place, a row at a time, from hashes of the row's number."""
     # fixed values: shapes 1.2 and 0.9, intercepts -3 and -3.5, censoring rate 0.06
     one = [0.5, -0.4, 0.3, 0.2, -0.2]
     two = [-0.3, 0.4, 0.2, -0.2, 0.3]
-    rows = spark.range(0, n, 1, partitions).select("id", *[F.randn(seed + i).alias(f"x{i}") for i in range(p)], F.rand(seed + 1001).alias("u1"), F.rand(seed + 1002).alias("u2"), F.rand(seed + 1003).alias("u3"))
+    u = lambda name: md5_uniform(seed, name, F.col("id"))
+    normal = lambda i: F.sqrt(-2 * F.log(u(f"r{i}"))) * F.cos(2 * math.pi * u(f"a{i}"))
+    rows = spark.range(0, n, 1, partitions).select("id", *[normal(i).alias(f"x{i}") for i in range(p)], u("1").alias("u1"), u("2").alias("u2"), u("3").alias("u3"))
     dot = lambda w: sum((F.col(f"x{i}") * b for i, b in enumerate(w[:p])), F.lit(0.0))
     wait = lambda u, shape, eta: F.pow(-F.log(F.lit(1.0) - F.col(u)) / F.exp(eta), 1 / shape)
     rows = rows.withColumns({"t1": wait("u1", 1.2, dot(one) - 3.0), "t2": wait("u2", 0.9, dot(two) - 3.5), "tc": -F.log(F.lit(1.0) - F.col("u3")) / 0.06})
@@ -76,11 +81,11 @@ def synthetic_outcomes(spark: SparkSession, n: int, p: int = 10, seed: int = 202
 
 
 def stratified_split(df: DataFrame, key: str, event: str = "event", seed: int = 0, test_frac: float = 0.2) -> DataFrame:
-    """``df`` with is_test: in each event stratum exactly ``greatest(1, round(n * frac))`` rows by a hash of ``key``."""
-    order = Window.partitionBy(event).orderBy(F.xxhash64(F.lit(seed), key), key)
-    size = F.count("*").over(Window.partitionBy(event))
-    take = F.greatest(F.lit(1), F.round(size * test_frac).cast("long"))
-    return df.withColumn("is_test", (F.row_number().over(order) <= take) & (size >= 2))
+    """``df`` with is_test: in each event stratum exactly ``greatest(1, round(n * frac))`` rows by a hash of ``key``, ranked by blocks of the hash."""
+    ranked = running(with_blocks(df.withColumn("__h", F.xxhash64(F.lit(seed), key)), "__h"), [event], ["__h", key], {"__r": ("sum", F.lit(1.0), "upto")})
+    sizes = df.groupBy(F.col(event).alias("__e")).agg(F.count("*").alias("__n"))
+    take = F.greatest(F.lit(1), F.round(F.col("__n") * test_frac).cast("long"))
+    return ranked.join(sizes, F.col(event).eqNullSafe(F.col("__e"))).select(*df.columns, ((F.col("__r") <= take) & (F.col("__n") >= 2)).alias("is_test"))
 
 
 class Surv:

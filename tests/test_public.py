@@ -47,3 +47,22 @@ def test_views_have_their_columns(spark, sf_dir):
     assert set(tables.shipments_by_segment(spark, sf_dir).columns) == {"time", "event", "grp"}
     out = tables.signup_outcome(spark, sf_dir)
     assert out.where("time < 0 or event not in (0, 1, 2)").count() == 0 and out.count() > 0
+
+
+def test_models_are_stages_of_pipelines(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from hazardloom import ml
+    from hazardloom.sources.outcomes import synthetic_outcomes
+
+    rows = synthetic_outcomes(spark, 200, 2, seed=3, partitions=2).persist()
+    cox = ml.CauseSpecificCoxStage(features=["x0", "x1"], prediction="eta")
+    both = Pipeline(stages=[cox, ml.FineGrayStage(features=["eta"], robust_se=True)]).fit(rows)
+    out = both.transform(rows)
+    assert out.columns[-2:] == ["eta", "prediction"] and both.stages[0].fitted.converged_
+    assert ml.ConcordanceEvaluator().evaluate(out) > 0.55
+    forest = ml.ForestStage(features=["x0", "x1"], n_estimators=2, random_state=1)
+    grid = ParamGridBuilder().addGrid(forest.max_depth, [0, 3]).build()
+    found = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=ml.ConcordanceEvaluator(), numFolds=2, seed=1).fit(rows)
+    assert found.avgMetrics[0] == 0.5 < found.avgMetrics[1]
