@@ -24,7 +24,7 @@ from .text_arrays import text_lengths, text_slices
 #: text bytes whose hashes one reduce call holds (about eight times as much memory)
 BUCKET_BYTES = 8 << 20
 #: text bytes and rows of a batch
-BATCH_BYTES, BATCH_ROWS = 2 << 20, 1 << 16
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 1 << 10
 #: log2 of the rows in a batch of fixed length (:func:`segments`), which is ``rid >> BATCH_BITS``
 BATCH_BITS = 8
 SLICE_BYTES = 4 << 20
