@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, license_scan, lm_scoring, ngram_jaccard, packing, piece_coding, sharding, substring_dedup, vector_topk
+from . import exact_dedup, fill_in_middle, language_id, license_scan, lm_scoring, ngram_jaccard, packing, piece_coding, sharding, spelling_variants, substring_dedup, vector_topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_vector_topk": vector_topk.op8_vector_topk,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_piece_coding": piece_coding.op10_piece_coding,
+    "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op8_vector_topk": vector_topk.OP8_SQL,
     "op9_lm_scoring": lm_scoring.OP9_SQL,
+    "op12_spelling_variants": spelling_variants.OP12_SQL,
+    "op13_fill_in_middle": fill_in_middle.OP13_SQL,
 }
