@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fill_in_middle, language_id, license_scan, lm_scoring, ngram_jaccard, packing, piece_coding, sharding, spelling_variants, substring_dedup, vector_topk
+from . import exact_dedup, fill_in_middle, language_id, license_scan, lm_scoring, ngram_jaccard, packing, piece_coding, quality_rules, sharding, spelling_variants, substring_dedup, vector_topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_vector_topk": vector_topk.op8_vector_topk,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_piece_coding": piece_coding.op10_piece_coding,
+    "op11_quality_rules": quality_rules.op11_quality_rules,
     "op12_spelling_variants": spelling_variants.op12_spelling_variants,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
