@@ -1,14 +1,16 @@
 """Licence scans by diagonal voting.
 
 Every rolling word k-gram of every text is hashed; those that a template may hold are joined by Spark to the
-k-gram positions of the templates, words compared; matches vote for (row, template, offset diagonal); neighbouring
-diagonals merge into places; and a place is verified by how many of the template's positions stand in it in
-rising order. A phrase must stand whole, on one diagonal; a licence's text up to a share of its k-grams.
+k-gram positions of the templates, words compared; matches vote for (row, template, offset diagonal). Words that a copy
+puts in or leaves out move what follows to another diagonal, so diagonals whose matches lie in one window of the text, twice as long as the template,
+are merged into a place; and a place is verified by its longest chain of matches that rises in text and template alike, across any gap. A phrase must
+stand whole, on one diagonal; a licence's text up to a share of its k-grams.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .blobs import SLICE_BYTES, small_batches
 from .common import numbered
-from .license_texts import PHRASES, TEXTS
+from .license_texts import PHRASES, TEXTS, WEAK
 from .text_arrays import ascii_lower, text_bytes, text_slices, window_hashes, window_rows, word_hashes, word_spans
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,13 +36,17 @@ def template_words(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Template:
-    """Words that stand for a licence, found by their ``k``-grams: with a ``share`` of 1 a phrase that must stand whole."""
+    """Words that stand for a licence, found by their ``k``-grams: with a ``share`` of 1 a phrase that must stand whole.
+
+    The label of a ``weak`` template counts only where a text has no other.
+    """
 
     label: str
     text: str
     base: bool = False
     share: float = 1.0
     k: int = 2
+    weak: bool = False
 
     def grams(self) -> list[str]:
         words = template_words(self.text)
@@ -50,9 +56,7 @@ class Template:
 
 
 BASE_TEMPLATES = (Template("mit", "mit license", True), Template("apache", "apache license", True), Template("gpl", "general public license", True))
-TEMPLATES = (*BASE_TEMPLATES, *(Template(label, text) for label, text in PHRASES), *(Template(label, text, share=0.8, k=4) for label, text in TEXTS))
-#: diagonals this close belong to one place of a text (words put in or left out)
-NEAR = 3
+TEMPLATES = (*BASE_TEMPLATES, *(Template(label, text, weak=label in WEAK) for label, text in PHRASES), *(Template(label, text, share=0.8, k=4) for label, text in TEXTS))
 #: template positions up to which their table is broadcast
 BROADCAST_GRAMS = 1_000_000
 HITS = "rid long, doc_id long, n_words long, pos long, hash long, gram string"
@@ -106,13 +110,44 @@ def _rolling(hashes):
     return run
 
 
+def rising_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of (pos, t_pos) pairs that rises in both (of equally long ones, one that ends lowest)."""
+    pairs = sorted(pairs, key=lambda x: (x[0], -x[1]))
+    tails, at, before = [], [], [-1] * len(pairs)
+    for i, (_, t) in enumerate(pairs):
+        j = bisect_left(tails, t)
+        before[i] = at[j - 1] if j else -1
+        tails[j:], at[j:] = [t, *tails[j + 1 :]], [i, *at[j + 1 :]]
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(pairs[i])
+        i = before[i]
+    return out[::-1]
+
+
+PLACES = "rid long, doc_id long, n_words long, template int, place long, held long, first long, last long"
+
+
+def _verified(spans: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list[int]] = [[], [], []]
+            for template, votes in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist()):
+                chain = rising_chain([(v["diagonal"] + t, t) for v in votes for t in v["held"]])
+                for column, value in zip(found, (len(chain), chain[0][0], chain[-1][0] + spans[template] - 1 if template >= 0 else -1)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *[pa.array(c, pa.int64()) for c in found]], names=[f.split()[0] for f in PLACES.split(", ")])
+
+    return run
+
+
 def find_spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified places: rid, doc_id, n_words, template, first, last (word numbers), share; and one row with template -1 for each row of ``docs``.
 
-    ``share`` is the part of the template's k-grams that stand in the place, in rising order (each at its first
-    match there). A null text has no words; a text of fewer than ``k`` words has no places; a null id stays null; repeated
-    rows are scanned apart; an empty table gives no rows; columns other than id and text are not read. A row's matches
-    meet in one task, as its words did in the input.
+    ``share`` is the part of the template's k-grams in the longest chain that rises in text and template, within twice the template's
+    length; of two places that overlap the better one stays. A null text has no words; a text of fewer than ``k`` words has no places; a null
+    id stays null; repeated rows are scanned apart; an empty table gives no rows; columns other than id and text are not read. A row's matches
+    meet in one task, as its words did in the input; what is verified at once is the matches of one window.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -121,19 +156,23 @@ def find_spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id_co
     grams = base.mapInArrow(_rolling(spark.sparkContext.broadcast(hashes)), HITS)
     hits = grams.join(known, (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram"))).select("rid", "doc_id", "n_words", "template", "pos", "t_pos")
     row = ["rid", "doc_id", "n_words", "template"]
-    # one exchange: everything that follows groups by the row first
-    votes = hits.repartition("rid").groupBy(*row, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_list("t_pos").alias("held"))
     sizes, shares = (_per_template(templates, v) for v in ([float(len(t.grams())) for t in templates], [float(t.share) for t in templates]))
-    whole, spans = (_per_template(templates, v) for v in ([t.share >= 1 for t in templates], [t.k for t in templates]))
-    by = Window.partitionBy(*row).orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal").over(by) > F.when(whole, 0).otherwise(NEAR)
-    places = votes.withColumn("place", F.sum(F.when(apart, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    firsts = places.select(*row, "place", "diagonal", F.explode("held").alias("t_pos")).groupBy(*row, "place", "t_pos").agg(F.min(F.col("diagonal") + F.col("t_pos")).alias("pos"))
-    earlier = F.max("pos").over(Window.partitionBy(*row, "place").orderBy("t_pos").rowsBetween(Window.unboundedPreceding, -1))
-    rising = firsts.withColumn("earlier", earlier).where(F.col("earlier").isNull() | (F.col("pos") > F.col("earlier")))
-    share = F.when(F.col("template") < 0, 0.0).otherwise(F.col("held") / sizes)
-    found = rising.groupBy(*row, "place").agg(F.count("*").alias("held"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    return found.withColumns({"share": share, "last": F.col("last") + spans - 1}).where((F.col("template") < 0) | (F.col("share") >= shares)).drop("place", "held")
+    whole, length = (_per_template(templates, v) for v in ([t.share >= 1 for t in templates], [len(t.grams()) + t.k - 1 for t in templates]))
+    diagonal, step = F.col("pos") - F.col("t_pos"), F.floor(F.col("pos") / length)
+    # a phrase's place is its diagonal; a text's are windows that begin at every multiple of its length, so each match is in two
+    places = F.when(whole | (F.col("template") < 0), F.array(diagonal)).otherwise(F.array(step, step - 1))
+    # one exchange: everything up to the chains groups by the row first
+    votes = hits.repartition("rid").select(*row, "t_pos", diagonal.alias("diagonal"), F.explode(places).alias("place")).groupBy(*row, "place", "diagonal").agg(F.collect_list("t_pos").alias("held"))
+    merged = votes.groupBy(*row, "place").agg(F.collect_list(F.struct("diagonal", "held")).alias("votes"))
+    enough = F.size(F.array_distinct(F.flatten(F.transform("votes", lambda v: v["held"])))) / sizes >= shares  # no chain is longer
+    found = merged.where((F.col("template") < 0) | enough).mapInArrow(_verified([t.k for t in templates]), PLACES)
+    sized = found.withColumn("share", F.when(F.col("template") < 0, 0.0).otherwise(F.col("held") / sizes)).where((F.col("template") < 0) | (F.col("share") >= shares))
+    by = Window.partitionBy(*row).orderBy("place")
+    me = F.struct("place", "held", "first", "last")
+    best = sized.withColumns({"prior": F.lag(me).over(by), "next": F.lead(me).over(by)})
+    meets = lambda o: (F.abs(F.col(f"{o}.place") - F.col("place")) == 1) & (F.col(f"{o}.first") <= F.col("last")) & (F.col(f"{o}.last") >= F.col("first"))
+    worse = (meets("prior") & (F.col("prior.held") >= F.col("held"))) | (meets("next") & (F.col("next.held") > F.col("held")))
+    return best.where((F.col("template") < 0) | whole | ~F.coalesce(worse, F.lit(False))).select(*row, "first", "last", "share")
 
 
 def _per_template(templates: Sequence[Template], values: list) -> F.Column:
@@ -143,11 +182,12 @@ def _per_template(templates: Sequence[Template], values: list) -> F.Column:
 def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``score`` is the largest verified share of a template; labels are distinct, sorted and comma-joined. Awkward rows
-    are treated as :func:`find_spans` says; a row without places has empty labels, no base words and score 0.
+    ``score`` is the largest verified share of a template; labels are distinct, sorted and comma-joined, those of weak templates left out
+    where there is another. Awkward rows are treated as :func:`find_spans` says; a row without places has empty labels, no base words and score 0.
     """
     base = _per_template(templates, [t.base for t in templates]) & (F.col("template") >= 0)
     label = F.when(F.col("template") >= 0, _per_template(templates, [t.label for t in templates]))
+    weak = _per_template(templates, [t.weak for t in templates])
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  at most one entry a label
     return (
         find_spans(docs, templates, id_col, text_col)
@@ -157,7 +197,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id
             F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"),
             F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"),
             joined(F.when(base, label)).alias("base_labels"),
-            joined(label).alias("labels"),
+            F.coalesce(F.nullif(joined(F.when(~weak, label)), F.lit("")), joined(label)).alias("labels"),
             F.max("share").alias("score"),
         )
         .drop("rid")
@@ -169,32 +209,32 @@ def op4_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def scan_sql(templates: Sequence[Template] = TEMPLATES) -> str:
-    """The scan over ``documents`` in DuckDB's SQL, on words instead of hashes."""
+    """The scan over ``documents`` in DuckDB's SQL, on words instead of hashes; chains are found by patience sorting."""
     rows = lambda values: ", ".join("(" + ", ".join(str(v) if not isinstance(v, str) else f"'{v}'" for v in r) + ")" for r in values)
     grams = rows((n, i, t.k, g) for n, t in enumerate(templates) for i, g in enumerate(t.grams()))
-    facts = rows((n, t.label, t.base, t.share, len(t.grams())) for n, t in enumerate(templates))
+    facts = rows((n, t.label, t.base, t.weak, t.share, len(t.grams()), len(t.grams()) + t.k - 1) for n, t in enumerate(templates))
     every_k = " UNION ALL ".join(f"SELECT rid, i, {k} AS k, array_to_string(w[i + 1 : i + {k}], ' ') AS gram FROM (SELECT rid, w, unnest(range(greatest(len(w) - {k - 1}, 0))) AS i FROM d)" for k in sorted({t.k for t in templates}))
     return f"""
 WITH tg(template, t_pos, k, gram) AS (VALUES {grams}),
-tf(template, label, base, share, size) AS (VALUES {facts}),
+tf(template, label, base, weak, share, size, length) AS (VALUES {facts}),
 d AS (
   SELECT row_number() OVER () AS rid, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
   FROM documents
 ), g AS ({every_k}),
-h AS (SELECT rid, template, i AS pos, t_pos, i - t_pos AS diagonal FROM g JOIN tg ON tg.k = g.k AND tg.gram = g.gram),
-v AS (SELECT DISTINCT rid, template, diagonal FROM h),
-a AS (
-  SELECT v.*, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > (CASE WHEN share >= 1 THEN 0 ELSE {NEAR} END) THEN 1 ELSE 0 END AS apart
-  FROM v JOIN tf USING (template)
-), p AS (SELECT rid, template, diagonal, sum(apart) OVER (PARTITION BY rid, template ORDER BY diagonal) AS place FROM a),
-f AS (SELECT rid, template, place, t_pos, min(pos) AS pos FROM h JOIN p USING (rid, template, diagonal) GROUP BY ALL),
-r AS (SELECT *, max(pos) OVER (PARTITION BY rid, template, place ORDER BY t_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM f),
-s AS (SELECT rid, template, place, count(*) AS held, min(pos) AS start FROM r WHERE earlier IS NULL OR pos > earlier GROUP BY ALL),
-ok AS (SELECT rid, start, label, base, CAST(held AS DOUBLE) / size AS part FROM s JOIN tf USING (template) WHERE CAST(held AS DOUBLE) / size >= share),
+h AS (SELECT rid, template, i AS pos, t_pos FROM g JOIN tg ON tg.k = g.k AND tg.gram = g.gram),
+p AS (
+  SELECT rid, template, pos, t_pos, unnest(CASE WHEN share >= 1 THEN [pos - t_pos] ELSE [pos // length, pos // length - 1] END) AS place FROM h JOIN tf USING (template)
+), m AS (
+  SELECT rid, template, place, min(pos) AS start, list([t_pos] ORDER BY pos, t_pos DESC) AS held
+  FROM p JOIN tf USING (template) GROUP BY rid, template, place, size, share HAVING CAST(count(DISTINCT t_pos) AS DOUBLE) / size >= share
+), c AS (
+  SELECT rid, template, start, len(list_reduce(list_prepend([-1], held), lambda tails, x: list_filter(tails, lambda y: y < x[1]) || x || list_filter(tails, lambda y: y >= x[1])[2:])) - 1 AS held FROM m
+), ok AS (SELECT rid, start, label, base, weak, CAST(held AS DOUBLE) / size AS part FROM c JOIN tf USING (template) WHERE CAST(held AS DOUBLE) / size >= share),
 n AS (
   SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
-         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS score
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+         coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE NOT weak), string_agg(DISTINCT label, ',' ORDER BY label)) AS labels, max(part) AS score
   FROM ok GROUP BY rid
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,

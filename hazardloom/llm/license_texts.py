@@ -98,6 +98,44 @@ TEXTS = (
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     ),
+    (
+        "x11",
+        """Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote
+        the sale, use or other dealings in this Software without prior written authorization from the X Consortium.""",
+    ),
+    (
+        "bsd",
+        """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission.""",
+    ),
+    # passages by which the full texts are known
+    (
+        "apache",
+        """Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a
+        perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare
+        Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in
+        Source or Object form.""",
+    ),
+    (
+        "gpl",
+        """The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most
+        software and other practical works are designed to take away your freedom to share and change the works. By contrast, the
+        GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make
+        sure it remains free software for all its users.""",
+    ),
+    (
+        "gpl",
+        """The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU
+        General Public License is intended to guarantee your freedom to share and change free software--to make sure the software
+        is free for all its users.""",
+    ),
+    (
+        "mpl",
+        """Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: under intellectual property rights
+        (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display,
+        perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with Modifications, or as
+        part of a Larger Work""",
+    ),
 )
 
 #: phrases that must stand whole, word after word
@@ -116,3 +154,6 @@ PHRASES = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("proprietary", "all rights reserved"),
 )
+
+#: labels that a found licence outranks: its notice may say so too
+WEAK = ("proprietary",)

@@ -202,35 +202,29 @@ def brute_licenses(text):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+def brute_chain(pairs):
+    """The length of the longest chain that rises in both, by trying every pair as an end."""
+    best = []
+    for i, (x, t) in enumerate(pairs):
+        best.append(1 + max((best[j] for j in range(i) if pairs[j][0] < x and pairs[j][1] < t), default=0))
+    return max(best, default=0)
+
+
 def brute_labels(text, templates=license_scan.TEMPLATES):
-    """(labels, score) by looking at every diagonal of every template."""
-    w, labels, score = licence_words(text), set(), 0.0
+    """(labels, score) by looking at every diagonal of a phrase and at every window of a licence's text."""
+    w, labels, weak, score = licence_words(text), set(), set(), 0.0
     for t in templates:
         p = licence_words(t.text)
-        grams, places = [tuple(p[i : i + t.k]) for i in range(len(p) - t.k + 1)], []
-        mine = [tuple(w[i : i + t.k]) for i in range(len(w) - t.k + 1)]
-        diagonals = {}
-        for i, g in enumerate(mine):
-            for j, q in enumerate(grams):
-                if g == q:
-                    diagonals.setdefault(i - j, []).append((j, i))
-        last = None
-        for d in sorted(diagonals):
-            if last is None or d - last > (0 if t.share >= 1 else license_scan.NEAR):
-                places.append([])
-            places[-1] += diagonals[d]
-            last = d
-        for place in places:
-            first, high, held = {}, -1, 0
-            for j, i in place:
-                first[j] = min(i, first.get(j, i))
-            for j in sorted(first):
-                held += first[j] > high
-                high = max(high, first[j])
-            if held / len(grams) >= t.share:
-                labels.add(t.label)
-                score = max(score, held / len(grams))
-    return ",".join(sorted(labels)), score
+        grams = [tuple(p[i : i + t.k]) for i in range(len(p) - t.k + 1)]
+        pairs = [(i, j) for i in range(len(w) - t.k + 1) for j, q in enumerate(grams) if tuple(w[i : i + t.k]) == q]
+        if t.share >= 1:
+            held = max((sum(i - j == d for i, j in pairs) for d in {i - j for i, j in pairs}), default=0)
+        else:
+            held = max((brute_chain([x for x in pairs if a <= x[0] < a + 2 * len(p)]) for a in range(-len(p), len(w), len(p))), default=0)
+        if held / len(grams) >= t.share:
+            (weak if t.weak else labels).add(t.label)
+            score = max(score, held / len(grams))
+    return ",".join(sorted(labels or weak)), score
 
 
 @pytest.mark.parametrize("name", ["docs", "real"])
@@ -264,6 +258,57 @@ def test_license_text_survives_a_changed_word(spark):
     assert {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(df).collect()} == {1: "mit", 2: ""}
 
 
+BSD3 = """Copyright (c) 2019, Some Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS
+BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF
+SUCH DAMAGE."""
+
+
+def test_licences_as_projects_word_them(spark):
+    text = {t.label: t.text for t in reversed(license_scan.TEMPLATES) if t.k == 4}
+    mit = text["mit"]
+    middle = mit.replace("subject to the following conditions:", "subject to the following conditions, which our lawyers have asked us to put before you in a plain and friendly way:")
+    old = BSD3.replace("the copyright holder nor the names of its", "the University nor the names of its").replace("COPYRIGHT HOLDERS AND", "REGENTS AND").replace("COPYRIGHT HOLDER OR", "REGENTS OR")
+    variants = {
+        1: (BSD3, "bsd"), 2: (old, "bsd"), 3: ("All rights reserved. " + mit, "mit"), 4: (middle, "mit"),
+        5: (mit + " " + text["x11"].replace("X Consortium", "authors"), "mit,x11"), 6: (mit + "\n" + BSD3, "bsd,mit"), 7: ("all rights all rights", ""), 8: ("All rights reserved.", "proprietary"),
+        9: (" ".join(reversed(mit.split())), ""), 10: (" filler ".join(mit.split()), ""), 11: (mit[: len(mit) // 2], ""), 12: ("preface " * 5000 + mit + " tail" * 5000, "mit"),
+        13: ("\n".join("// " + line for line in mit.split("\n")), "mit"), 14: ("Apache License Version 2.0, January 2004 " + text["apache"], "apache"),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in variants.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(df).collect()} == {i: labels for i, (_, labels) in variants.items()}
+    places = license_scan.find_spans(df.where("doc_id in (6, 12)")).where("share > 0.9").collect()
+    assert {(r["doc_id"], license_scan.TEMPLATES[r["template"]].label) for r in places} == {(6, "mit"), (6, "bsd"), (6, "proprietary"), (12, "mit")}  # the scan still finds the phrase
+    (far,) = [r for r in places if r["doc_id"] == 12]
+    assert (far["first"], far["last"]) == (5000, 5000 + len(licence_words(mit)) - 1)
+
+
+def test_chains_rise_in_text_and_template():
+    assert license_scan.rising_chain([]) == []
+    assert license_scan.rising_chain([(0, 9), (1, 0), (2, 1), (3, 2)]) == [(1, 0), (2, 1), (3, 2)]  # an early outlier drops nothing
+    assert len(license_scan.rising_chain([(0, 0), (0, 1), (0, 2), (1, 1)])) == 2
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        pairs = [tuple(x) for x in rng.integers(0, 12, (15, 2)).tolist()]
+        chain = license_scan.rising_chain(pairs)
+        assert len(chain) == brute_chain(sorted(pairs)) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chain, chain[1:])) and set(chain) <= set(pairs)
+
+
 def test_license_scan_of_nothing(spark):
     assert license_scan.scan_licenses(h.empty(spark)).count() == 0
 
