@@ -23,6 +23,8 @@ RUN = "[A-Za-zÀ-ÿ]+"
 PREFIX = 3
 #: words of one bigram, place and length above which they meet by halves too
 HOT = 64
+#: distinct bigrams up to which their counts are broadcast
+BROADCAST_GRAMS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,7 +58,9 @@ def rare_grams(words: DataFrame) -> DataFrame:
     The order is over bigrams whatever their place, as an edit moves what follows it.
     """
     grams = _grams(words)
-    held = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    held = cut(grams.groupBy("gram").agg(F.count("*").alias("df")))
+    # bigrams of a few alphabets fit every task, and common ones then meet where they are
+    held = F.broadcast(held) if held.count() <= BROADCAST_GRAMS else held
     # one row a word: its bigrams are sorted where they are, so no second pass by word is needed
     ranked = grams.join(held, "gram").groupBy("word", "len").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram", "at"))), 1, PREFIX).alias("rare"))
     return ranked.select("word", "len", F.explode("rare").alias("g")).select("word", "len", "g.at", "g.gram")
