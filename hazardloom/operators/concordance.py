@@ -3,7 +3,8 @@
 "How many rows have a later time and a lower risk" is counted exactly without a pair join: times become
 dense ranks; two ranks differ first at one bit, so every ordered pair meets in exactly one (bit, prefix)
 cell, where the row with bit 0 needs the running weight of rows with bit 1 in risk order. Rows of equal
-(time, risk) are added up first. n rows make n log(times) cell rows instead of n^2 pairs.
+(time, risk) are added up first and stored with their ranks, which everything else is counted from. n rows make
+n log(times) cell rows instead of n^2 pairs.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .censoring import km_censor_uno
 from .scans import ONE_TASK, is_wide, running, with_blocks
+from .stored import stored
 
 
 def dominance(df: DataFrame, rank: str, risk: str, left: str, right: str, bits: int, by: Sequence[str] = (), wide: bool = True) -> DataFrame:
@@ -31,16 +33,13 @@ def dominance(df: DataFrame, rank: str, risk: str, left: str, right: str, bits:
     return merged.groupBy(*by).agg(F.coalesce(F.sum(F.col("a") * F.col("lower")), F.lit(0.0)).alias("less"), F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0)).alias("equal"))
 
 
-def _sizes(df: DataFrame, by: Sequence[str], time: str, risk: str) -> tuple[int, bool]:
-    """(distinct times, whether the distinct rows are more than one task may scan)."""
-    times, rows = df.agg(F.count_distinct(time), F.approx_count_distinct(F.struct(*by, time, risk))).first()
-    return times, rows > ONE_TASK
-
-
-def _ranked(df: DataFrame, time: str, n: int) -> tuple[DataFrame, int]:
-    """Dense ranks of the ``n`` distinct times (a table of one row a time) and the bits they need."""
-    times = running(with_blocks(df.select(time).distinct(), time, n > ONE_TASK), [], time, {"__r": ("sum", F.lit(1.0), "upto")})
-    return df.join(times.select(time, F.col("__r").cast("long").alias("__rank")), time), max(1, int(n).bit_length())
+def _ranked(counts: DataFrame, time: str) -> tuple[DataFrame, int, bool]:
+    """(counts with __rank, the dense rank of their time, stored; the bits that ranks need; whether they are more rows than one task may scan)."""
+    counts = stored(counts)
+    times = counts.select(time).distinct()
+    n, rows = times.count(), counts.count()
+    ranks = running(with_blocks(times, time, n > ONE_TASK), [], time, {"__r": ("sum", F.lit(1.0), "upto")})
+    return stored(counts.join(ranks.select(time, F.col("__r").cast("long").alias("__rank")), time)), max(1, int(n).bit_length()), rows > ONE_TASK
 
 
 def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -51,11 +50,10 @@ def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 def concordance_pairs(df: DataFrame, cause: int = 1, event: str = "event", time: str = "time", risk: str = "risk", by: Sequence[str] = ()) -> DataFrame:
     """(by.., comparable, concordant, tied): pairs of a case of ``cause`` and any row of a later time of its group."""
     df, by = _grouped(df, by)
-    n, wide = _sizes(df, by, time, risk)
     counts = df.groupBy(*by, F.col(time).alias("time"), F.col(risk).alias("risk")).agg(F.sum(F.when(F.col(event) == cause, 1.0).otherwise(0.0)).alias("a"), F.count("*").cast("double").alias("b"))
-    ranked, bits = _ranked(counts, "time", n)
+    ranked, bits, wide = _ranked(counts, "time")
     pairs = dominance(ranked, "__rank", "risk", "a", "b", bits, by, wide)
-    by_time = counts.groupBy(*by, "time").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    by_time = ranked.groupBy(*by, "time").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     by_time = running(with_blocks(by_time, "time", wide), by, "time", {"later": ("sum", F.col("b"), "after")})
     comparable = by_time.groupBy(*by).agg(F.sum(F.col("a") * F.col("later")).alias("comparable"))
     return comparable.join(pairs, by).select(*[b for b in by if b != "__all"], "comparable", F.col("less").alias("concordant"), F.col("equal").alias("tied"))
@@ -117,12 +115,11 @@ def uno_terms(df: DataFrame, cause: int = 1, event: str = "event", time: str = "
         F.when((e > 0) & (e != cause), F.sqrt(w)).otherwise(0.0).alias("rc"), F.when(e == 0, 1.0).otherwise(0.0).alias("cens"), F.when(e == cause, 1.0).otherwise(0.0).alias("case"),
     )
     counts = rows.groupBy(*by, "time", "risk").agg(*[F.sum(c).alias(c) for c in ("wa", "ra", "rc", "cens", "case")], F.count("*").cast("double").alias("one"))
-    n, wide = _sizes(rows, by, "time", "risk")
-    ranked, bits = _ranked(counts, "time", n)
-    ranked = ranked.withColumn("__down", F.lit(1 << bits) - F.col("__rank"))
+    counts, bits, wide = _ranked(counts, "time")
+    ranked = counts.withColumn("__down", F.lit(1 << bits) - F.col("__rank"))
     a = dominance(ranked, "__rank", "risk", "wa", "one", bits, by, wide)
     c = dominance(ranked, "__down", "risk", "ra", "rc", bits + 1, by, wide)
-    low = running(with_blocks(counts, "risk", wide), [*by, "time"], "risk", {"cens_low": ("sum", F.col("cens"), "before"), "rc_low": ("sum", F.col("rc"), "before")})
+    low = running(with_blocks(counts.drop("__rank"), "risk", wide), [*by, "time"], "risk", {"cens_low": ("sum", F.col("cens"), "before"), "rc_low": ("sum", F.col("rc"), "before")})
     same = low.groupBy(*by, "time").agg(
         *[F.sum(c).alias(c) for c in ("wa", "ra", "rc", "cens", "case", "one")],
         F.sum(2 * F.col("wa") * F.col("cens_low") + F.col("wa") * F.col("cens")).alias("na"),

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import recode
 from .censoring import km_censor_fg
-from .scans import running, with_blocks
+from .scans import running, splitters, with_blocks
+from .stored import mark, release, stored
 
 
 class TaskRisk:
@@ -246,6 +247,8 @@ class FarRisk(SparkRisk):
         out = cls.__new__(cls)
         out.__dict__ |= near.__dict__
         out.strata = sorted((r[0] for r in near.rows.select("k").distinct().collect()), key=str)
+        # every table by time has the same times, so their ranges are found once
+        out.bounds = splitters(near.rows, "time", near.rows.count())
         return out
 
     def _by_time(self, beta: np.ndarray) -> tuple[float, DataFrame]:
@@ -256,16 +259,18 @@ class FarRisk(SparkRisk):
         mine = [F.col("k").eqNullSafe(F.lit(k)) for k in self.strata]
         sums = [F.sum(r * x).alias(f"r{i}") for i, x in enumerate(xs)] + [F.sum(F.when(F.col("event") == 1, x).otherwise(0.0)).alias(f"d{i}") for i, x in enumerate(xs)]
         sums += [F.sum(F.when(mine[j], r * x * F.col("inv_g")).otherwise(0.0)).alias(f"c{j}_{i}") for j in ks for i, x in enumerate(xs)]
-        t = with_blocks(self.rows.groupBy("time").agg(*sums, *[F.max(F.when(mine[j], F.col("g_left"))).alias(f"own{j}") for j in ks]), "time")
+        t = with_blocks(self.rows.groupBy("time").agg(*sums, *[F.max(F.when(mine[j], F.col("g_left"))).alias(f"own{j}") for j in ks]), "time", True, self.bounds)
         scans = {f"r{i}": ("sum", F.col(f"r{i}"), "onward") for i in range(len(xs))} | {f"c{j}_{i}": ("sum", F.col(f"c{j}_{i}"), "before") for j in ks for i in range(len(xs))}
         # the left limit of a stratum's curve is that before its own next time
-        t = running(t.withColumnsRenamed({n: f"__{n}" for n in scans}), [], "time", {n: (op, F.col(f"__{n}"), span) for n, (op, _, span) in scans.items()} | {f"g{j}": ("next", F.col(f"own{j}"), "onward") for j in ks})
+        t = t.withColumnsRenamed({n: f"__{n}" for n in scans})
+        t._stored = True
+        t = running(t, [], "time", {n: (op, F.col(f"__{n}"), span) for n, (op, _, span) in scans.items()} | {f"g{j}": ("next", F.col(f"own{j}"), "onward") for j in ks})
         t = t.withColumns({f"g{j}": F.coalesce(f"g{j}", F.lit(0.0)) for j in ks})
         s = [F.col(f"r{i}") + (sum((F.col(f"g{j}") * F.col(f"c{j}_{i}") for j in ks), F.lit(0.0)) if self.subdistribution else 0.0) for i in range(len(xs))]
         live = F.col("d0") > 0
         t = t.withColumns({f"s{i}": F.when(live, x).otherwise(1.0 if i == 0 else 0.0) for i, x in enumerate(s)})
         kept = [F.col("d0").alias("d"), "s0", *[F.col(f"d{i + 1}").alias(f"dx{i}") for i in range(self.p)], *[(F.col(f"s{i + 1}") / F.col("s0")).alias(f"m{i}") for i in range(self.p)], *[f"g{j}" for j in ks]]
-        return shift, t.select("time", t["__block"], *kept).persist()
+        return shift, stored(t.select("time", t["__block"], *kept))
 
     def _facts(self, t: DataFrame, beta: np.ndarray, shift: float):
         """(log likelihood, sum of the cases' x, of the means, and of their products)."""
@@ -285,24 +290,27 @@ class FarRisk(SparkRisk):
         return self.rows.join(small, "time").withColumns({f"{n}_l": pick(n) for n in columns})
 
     def newton(self, beta: np.ndarray):
+        since = mark()
         shift, t = self._by_time(beta)
         ll, cases, means, products = self._facts(t, beta, shift)
         rows = self._with(t, {"a": (F.col("d") / F.col("s0"), 1)})
         _, gram = self._moments(rows, F.exp(self._eta(beta) - shift) * (F.col("a_b") + F.col("inv_g") * F.col("a_l")), F.lit(0.0))
-        t.unpersist()
+        release(self.rows.sparkSession, since)
         return -ll, cases - means, gram - products
 
     def gram(self, beta: np.ndarray):
+        since = mark()
         shift, t = self._by_time(beta)
         ll = self._facts(t, beta, shift)[0]
         rows = self._with(t, {"a": (F.col("d") / F.col("s0"), 1), "b": (F.col("d") / (F.col("s0") * F.col("s0")), 2)})
         r, inv = F.exp(self._eta(beta) - shift), F.col("inv_g")
         a, a2 = F.col("a_b") + inv * F.col("a_l"), F.col("b_b") + inv * inv * F.col("b_l")
         q, m = self._moments(rows, F.greatest(r * a - r * r * a2, F.lit(0.0)), F.when(F.col("event") == 1, 1.0).otherwise(0.0) - r * a)
-        t.unpersist()
+        release(self.rows.sparkSession, since)
         return q, m, ll
 
     def meat(self, beta: np.ndarray):
+        since = mark()
         shift, t = self._by_time(beta)
         rate, p = F.col("d") / F.col("s0"), self.p
         rows = self._with(t, {"a": (rate, 1)} | {f"w{i}": (rate * F.col(f"m{i}"), 1) for i in range(p)})
@@ -310,7 +318,7 @@ class FarRisk(SparkRisk):
         a = F.col("a_b") + inv * F.col("a_l")
         u = [F.when(F.col("event") == 1, F.col(f"x{i}") - F.col(f"m{i}")).otherwise(0.0) - r * (F.col(f"x{i}") * a - F.col(f"w{i}_b") - inv * F.col(f"w{i}_l")) for i in range(p)]
         row = list(rows.select(*[x.alias(f"u{i}") for i, x in enumerate(u)]).agg(*[F.sum(F.col(f"u{i}") * F.col(f"u{j}")) for i in range(p) for j in range(i, p)]).first())
-        t.unpersist()
+        release(self.rows.sparkSession, since)
         m = np.zeros((p, p))
         m[np.triu_indices(p)] = row
         return m + np.triu(m, 1).T
@@ -324,10 +332,11 @@ class FarRisk(SparkRisk):
     def losses(self, held: DataFrame, betas: Sequence[np.ndarray]) -> list[float]:
         out = []
         for beta in betas:
+            since = mark()
             shift, t = self._by_time(beta)
             eta = sum((F.col(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
             out.append(-2 * float(held.join(t.select("time", "s0"), "time").agg(F.sum(eta - F.log("s0") - shift)).first()[0] or 0.0))
-            t.unpersist()
+            release(self.rows.sparkSession, since)
         return out
 
 

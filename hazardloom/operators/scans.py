@@ -2,8 +2,9 @@
 
 A scan over an order is one window by group, hence one task for each group, while its table is known to be small
 (``ONE_TASK`` rows in all). Beyond that the table carries a block column: blocks are ranges of the order, scans run by
-(group, block), and the blocks' totals, a table of bounded size, are scanned and joined back. Blocks need no pass over the
-data: the number of a value's block follows from the value alone and never falls as the value rises.
+(group, block), and the blocks' totals, a table of bounded size, are scanned and joined back. Ranges are cut at quantiles of a sample of
+the order, so they are even however narrow or skewed its values are. A table that is scanned by blocks is written to the shared folder first (:mod:`stored`): it
+is read for the sample, the scan and the totals, and scans of scans do not make what came before anew.
 """
 
 from __future__ import annotations
@@ -13,19 +14,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
 #: rows of a table that one task may scan
 ONE_TASK = 1_000_000
-#: the block column, and the blocks from one power of two to the next
-BLOCK, OCTAVE = "__block", 1024
+#: rows that a block should have, the most blocks there are, and values drawn for each to find its bounds
+BLOCK_ROWS, MOST_BLOCKS, DRAWN = 250_000, 4096, 32
+#: the block column
+BLOCK = "__block"
+
 
+def splitters(df: DataFrame, order: str, rows: int) -> list[float]:
+    """Rising bounds that part ``df`` into even ranges of a number: quantiles of a sample of bounded size, which comes to the driver.
 
-def block_of(value: Column) -> Column:
-    """The block of a number: null, then negative, zero, positive, infinite and NaN, as Spark sorts them."""
+    Null and NaN need no bound: they sort before and after all others.
+    """
+    pieces = min(MOST_BLOCKS, max(2, -(-rows // BLOCK_ROWS)))
+    x = F.col(order).cast("double")
+    drawn = df.select(x.alias("x")).where(x.isNotNull() & ~F.isnan(x)).sample(min(1.0, 2.0 * pieces * DRAWN / max(rows, 1)), seed=11)
+    found = sorted(r[0] for r in drawn.collect())
+    return sorted({found[len(found) * i // pieces] for i in range(1, pieces)}) if found else []
+
+
+def block_of(value: Column, bounds: Sequence[float]) -> Column:
+    """How many of the rising bounds are at or below a number, by binary search; null counts as below all, NaN as above all."""
+    if not bounds:
+        return F.lit(0)
+    array, steps = F.array(*[F.lit(float(b)) for b in bounds]), [1 << b for b in reversed(range(len(bounds).bit_length()))]
     x = value.cast("double")
-    size = 1 + F.floor(F.log2(F.abs(x)) * OCTAVE) + 1075 * OCTAVE
-    top = 2200 * OCTAVE
-    return F.when(x.isNull(), -top - 1).when(F.isnan(x), top + 1).when(F.abs(x) == float("inf"), F.when(x > 0, top).otherwise(-top)).when(x > 0, size).when(x < 0, -size).otherwise(0).cast("int")
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when(F.get(array, at + step - 1) <= x, at + step).otherwise(at))
 
 
 def is_wide(df: DataFrame, *columns: str) -> bool:
@@ -33,20 +51,22 @@ def is_wide(df: DataFrame, *columns: str) -> bool:
     return (df.agg(F.approx_count_distinct(F.struct(*columns))).first()[0] or 0) > ONE_TASK
 
 
-def with_blocks(df: DataFrame, order: str, wide: bool = True) -> DataFrame:
-    """``df`` with the block column where it is ``wide``: scans over it then run by blocks."""
-    return df.withColumn(BLOCK, block_of(F.col(order))) if wide else df
+def with_blocks(df: DataFrame, order: str, wide: bool | None = None, bounds: Sequence[float] | None = None) -> DataFrame:
+    """``df`` with the block column where it is ``wide``: scans over it then run by blocks. By default its rows are counted.
 
-
-def _shortened(df: DataFrame) -> DataFrame:
-    """A checkpoint where the cluster names a folder for them: scans feed scans, and each reads its input twice."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
+    ``bounds`` are of :func:`splitters`, for tables that share an order; by default they are drawn from ``df``.
+    """
+    if wide is False:
+        return df
+    df = df if getattr(df, "_stored", False) else stored(df)
+    if wide is None or bounds is None:
+        rows = df.count()
+        if wide is None and rows <= ONE_TASK:
             return df
-        spark.sparkContext.setCheckpointDir(named)
-    return df.checkpoint()
+        bounds = splitters(df, order, rows) if bounds is None else bounds
+    out = df.withColumn(BLOCK, block_of(F.col(order), bounds))
+    out._stored = True
+    return out
 
 
 def running(df: DataFrame, by: Sequence[str], order: str | Sequence[str], outputs: dict[str, tuple[str, Column, str]]) -> DataFrame:
@@ -66,7 +86,7 @@ def running(df: DataFrame, by: Sequence[str], order: str | Sequence[str], output
     if BLOCK not in df.columns:
         window = Window.partitionBy(*by).orderBy(*keys)
         return df.withColumns({n: scan(op, x, window.rowsBetween(*rows[span])) for n, (op, x, span) in outputs.items()})
-    df = _shortened(df)
+    df = df if getattr(df, "_stored", False) else stored(df)
     inside = Window.partitionBy(*by, BLOCK).orderBy(*keys)
     made = df.withColumns({n: scan(op, x, inside.rowsBetween(*rows[span])) for n, (op, x, span) in outputs.items()})
     at = lambda x: F.when(x.isNotNull(), F.struct(*keys))

@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -6,9 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hazardloom.functions.ran1 import Ran1, tree_seeds
 from hazardloom.functions.scalars import chi2_sf
-from hazardloom.operators import censoring, concordance, evaluation, gray, incidence, minimal_depth, scans
+from hazardloom.operators import censoring, concordance, evaluation, gray, incidence, minimal_depth, scans, stored
 from hazardloom.sources import outcomes
 from hazardloom.streaming import incremental
 
@@ -113,7 +113,8 @@ def test_minimal_depth_expectation_by_hand(spark):
     assert minimal_depth.threshold(trees, 4).first()["threshold"] == pytest.approx(1.171875)
 
 
-def test_blocked_scans_equal_windows(spark):
+def test_blocked_scans_equal_windows(spark, monkeypatch):
+    monkeypatch.setattr(scans, "BLOCK_ROWS", 12)
     values = [-3.5, -1e-9, 0.0, 1e-300, 0.5, 1.0, 1.5, 2.0, 1e9, 1e9 + 1, float("inf")] + [float(x) for x in range(3, 90)]
     df = spark.createDataFrame([(g, t, None if (i + g) % 3 else float(i % 7), 1 + (i % 5) / 10) for g in (0, 1) for i, t in enumerate(values)], "g int, t double, x double, f double")
     df = df.unionByName(df.where("g = 1").withColumn("g", F.lit(None).cast("int")))
@@ -122,7 +123,7 @@ def test_blocked_scans_equal_windows(spark):
     for by in ([], ["g"]):
         source = df if by else df.where("g = 0")
         one = scans.running(source, by, "t", outputs)
-        many = scans.running(scans.with_blocks(source, "t"), by, "t", outputs)
+        many = scans.running(scans.with_blocks(source, "t", True), by, "t", outputs)
         key = lambda r: (-1 if r["g"] is None else r["g"], r["t"])
         left, right = sorted(one.collect(), key=key), sorted(many.collect(), key=key)
         assert len(left) == len(right)
@@ -133,8 +134,32 @@ def test_blocked_scans_equal_windows(spark):
 
 def test_blocks_never_fall(spark):
     rows = [(None,), (float("-inf"),), (-1e300,), (-2.0,), (-1e-320,), (0.0,), (5e-324,), (1.0,), (1.0000001,), (3.0,), (1.7e308,), (float("inf"),), (float("nan"),)]
-    got = [r[0] for r in spark.createDataFrame(rows, "x double").select(scans.block_of(F.col("x"))).collect()]
-    assert got == sorted(got) and len(set(got)) >= 11
+    bounds = [-1e300, -1.0, 0.0, 5e-324, 1.0000001, 2.0, float("inf")]
+    got = [r[0] for r in spark.createDataFrame(rows, "x double").select(scans.block_of(F.col("x"), bounds)).collect()]
+    assert got == [0, 0, 1, 1, 2, 3, 4, 4, 5, 6, 6, 7, 7]
+    assert {r[0] for r in spark.createDataFrame(rows, "x double").select(scans.block_of(F.col("x"), [])).collect()} == {0}
+
+
+@pytest.mark.parametrize("value", ["1.7e9 + id * 31.0", "2020.0 + 5.0 * id / 20000", "exp(id / 100.0)", "cast(id % 7 as double)", "case when id % 3 > 0 then cast(id as double) end"])
+def test_blocks_are_even_however_narrow_the_values_are(spark, monkeypatch, value):
+    """A year of epoch seconds, years with decimals, values over many magnitudes, few values, many nulls."""
+    monkeypatch.setattr(scans, "BLOCK_ROWS", 1000)
+    df = spark.range(20_000).selectExpr("id", f"{value} as x")
+    blocks = scans.with_blocks(df, "x", True)
+    sizes = sorted(r["count"] for r in blocks.where("x is not null").groupBy(scans.BLOCK).count().collect())
+    distinct = df.select("x").where("x is not null").distinct().count()
+    hottest = df.where("x is not null").groupBy("x").count().agg(F.max("count")).first()[0]
+    assert len(sizes) >= min(distinct, 12) and sizes[-1] <= max(2 * 1000, hottest)
+
+
+def test_stored_tables_are_released(spark):
+    since = stored.mark()
+    df = stored.stored(spark.range(5).toDF("x"))
+    assert sorted(r[0] for r in df.collect()) == list(range(5)) and stored.mark() == since + 1
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path)
+    stored.release(spark, since)
+    assert not os.path.exists(path) and stored.mark() == since
 
 
 @pytest.mark.parametrize("wide", [True, False])
@@ -155,6 +180,7 @@ def test_estimators_by_blocks_equal_those_of_one_task(spark, sf_dir, monkeypatch
     show = lambda df: sorted(tuple(f"{x:.7g}" if isinstance(x, float) else str(x) for x in r) for r in df.collect())
     want = {n: show(estimation.QUERIES[n](spark, sf_dir)) for n in names}
     monkeypatch.setattr(scans, "ONE_TASK", 0)
+    monkeypatch.setattr(scans, "BLOCK_ROWS", 300)
     from hazardloom.operators import concordance
 
     monkeypatch.setattr(concordance, "ONE_TASK", 0)
@@ -190,14 +216,6 @@ def test_stratified_split_is_exact(spark):
     assert got == {0: 18, 1: 2}
 
 
-def test_generator_follows_the_published_sequence():
-    a = Ran1(-1)
-    # first numbers of the generator for seed -1
-    assert [a.random() for _ in range(3)] == pytest.approx([0.4159994, 0.0919649, 0.7564105], abs=1e-6)
-    assert sorted(Ran1(-7).sample(list(range(9)), 9)) == list(range(9))
-    assert all(s < 0 for s in tree_seeds(5, 10)) and len(set(tree_seeds(5, 10))) == 10
-
-
 def test_stream_keeps_curves(spark, tmp_path):
     src = str(tmp_path / "in")
     frame(spark, [1, 2, 2, 3], [1, 0, 2, 1]).write.parquet(src)
