@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 #: fixed values of the published splitmix64 generator
 GOLDEN, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-#: cumulative Poisson(1) probabilities
-POISSON = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119])
+#: cumulative Poisson(1) probabilities, as far as doubles tell them from 1
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+POISSON = POISSON[POISSON < 1.0]
+#: most splits drawn of a node's feature
+MOST_DRAWN = 256
 #: purposes
 BAG, FEATURE, SPLIT, DEAL = 1, 2, 3, 4
 
@@ -32,10 +37,11 @@ def uniforms(keys: np.ndarray, *parts: int) -> np.ndarray:
 
 
 def content_keys(columns: list[np.ndarray], number: np.ndarray) -> np.ndarray:
-    """A key for each row from its columns (whole numbers) and its number among equal rows."""
+    """A key for each row from its columns (whole numbers, or the bits of doubles) and its number among equal rows."""
     h = np.zeros(len(number), np.uint64)
     for c in columns:
-        h = mix64(h + np.uint64(GOLDEN) + np.asarray(c, np.int64).view(np.uint64))
+        bits = (c + 0.0).astype(np.float64).view(np.uint64) if np.asarray(c).dtype.kind == "f" else np.asarray(c, np.int64).view(np.uint64)
+        h = mix64(h + np.uint64(GOLDEN) + bits)
     return mix64(h ^ mix64(np.asarray(number, np.int64).view(np.uint64) + np.uint64(GOLDEN))).view(np.int64)
 
 

@@ -3,7 +3,8 @@
 Training is tree-parallel while the table is small (``BROADCAST_BYTES``): bins and outcomes are broadcast, every task grows
 its trees with the level-wise kernel, and the forest is a DataFrame of one row a tree. Beyond that size, or with
 ``mode="distributed"``, trees grow by aggregation over the rows (:mod:`forest_distributed`). Both give the same trees: in-bag
-copies, features and splits are drawn by hashes (:mod:`draws`) of the seed, the tree, the node and the rows' keys.
+copies, features and splits are drawn by hashes (:mod:`draws`) of the seed, the tree, the node and the rows' keys. ``mode="reference"`` searches every
+midpoint of a node's values against every event time, at every size (:mod:`exact_splits`).
 """
 
 from __future__ import annotations
@@ -21,19 +22,19 @@ from pyspark.sql import types as T
 from ..sources.outcomes import check_inputs
 from . import minimal_depth as depth_frames
 from .concordance import compute_uno_weights, concordance_index_cr, concordance_pairs, uno_terms
-from .draws import DEAL, content_keys, copies, numbers_among_equals, uniforms
-from .forest_distributed import grow_forest, keyed
+from .draws import DEAL, MOST_DRAWN, content_keys, copies, numbers_among_equals, uniforms
+from .exact_splits import grow_exact, node_arrays, threshold_edges
+from .forest_distributed import _Growing, grow_forest, keyed, leaf_trees
 from .grids import coarsen_time_grid, cut_points, event_time_grid, feature_bin_edges, time_points
 from .regression import _outcome
 from .scans import running, with_blocks
+from .stored import stored
 from .tree_kernel import Tree, grow_tree, leaf_paths, path_weights
 
 #: bytes of the table (as doubles) that the driver may fetch and share with the tasks
 BROADCAST_BYTES = 256 << 20
 #: bytes of trees that a task may hold; larger forests predict a part at a time
 FOREST_BYTES = 1 << 30
-#: bins of a feature in ``mode="reference"``, which has one for each distinct value up to here
-REFERENCE_BINS = 4096
 
 
 def resolve_max_features(value, p: int) -> int:
@@ -86,8 +87,8 @@ class CompetingRiskForest:
             raise ValueError(f"unknown equivalence {self.equivalence!r}")
         if self.equivalence and self.split_ntime not in (None, 10):
             raise ValueError("the preset splits on every event time: leave split_ntime alone")
-        if self.nsplit is not None and self.nsplit < 0:
-            raise ValueError("nsplit must not be negative")
+        if self.nsplit is not None and not 0 <= self.nsplit <= MOST_DRAWN:
+            raise ValueError(f"nsplit must be from 0 (all) to {MOST_DRAWN}")
         if not 2 <= self.n_bins <= 256:
             raise ValueError("n_bins must be from 2 to 256")
 
@@ -110,7 +111,7 @@ class CompetingRiskForest:
         self.__dict__.pop("_leaves", None)
         names = [*[f"x{i}" for i in range(p)], "time", "event"]
         plain = df.select(*[F.col(c).cast("double").alias(x) for c, x in zip([*self.features_, time, event], names)], *([F.col(key).cast("long").alias("key")] if key else []))
-        grow = self._grow_far if self.mode == "distributed" or n * (p + 2) * 8 > BROADCAST_BYTES else self._grow_near
+        grow = self._grow_exact if self.mode == "reference" else self._grow_far if self.mode == "distributed" or n * (p + 2) * 8 > BROADCAST_BYTES else self._grow_near
         self.trees_ = grow(plain, key is not None).persist()
         self.trees_.count()
         return self
@@ -120,21 +121,37 @@ class CompetingRiskForest:
         ntime = len(self.time_grid_) if exact or self.equivalence == "rfsrc" or self.split_ntime is None else self.split_ntime
         self._coarse = coarsen_time_grid(self.time_grid_, ntime)
         nsplit = self.nsplit if self.nsplit is not None else (0 if exact else 10)
-        return dict(n_bins=max(2, max(len(x) for x in self.bin_edges_) + 1), n_times=int(self._coarse.max()) + 1, causes=self.n_causes_, mtry=resolve_max_features(self.max_features, self.n_features_in_), nsplit=nsplit, max_depth=self.max_depth, min_split=self.min_samples_split, min_leaf=self.min_samples_leaf, rule=self.splitrule, cause=self.cause, weights=None if self.cause_weights is None else np.asarray(self.cause_weights, float))
+        return dict(n_bins=max(2, max((len(x) for x in self.bin_edges_), default=0) + 1), n_times=int(self._coarse.max()) + 1, causes=self.n_causes_, mtry=resolve_max_features(self.max_features, self.n_features_in_), nsplit=nsplit, max_depth=self.max_depth, min_split=self.min_samples_split, min_leaf=self.min_samples_leaf, rule=self.splitrule, cause=self.cause, weights=None if self.cause_weights is None else np.asarray(self.cause_weights, float))
 
     def _limits(self) -> tuple[int, int | None]:
         """(bins of a feature, points of the time grid); a preset asks for every event time."""
-        return REFERENCE_BINS if self.mode == "reference" else self.n_bins, None if self.equivalence == "rfsrc" else self.time_grid
+        return self.n_bins, None if self.equivalence == "rfsrc" else self.time_grid
 
     def _grow_far(self, plain: DataFrame, has_key: bool) -> DataFrame:
         p, (n_bins, points) = self.n_features_in_, self._limits()
         names = [f"x{i}" for i in range(p)]
-        self.bin_edges_ = feature_bin_edges(plain, names, min(n_bins, 256))
+        self.bin_edges_ = feature_bin_edges(plain, names, n_bins)
         self.time_grid_ = event_time_grid(plain, points)
         settings = self._settings()
         self._rows = keyed(self._binned(plain, has_key), "key" if has_key else None).persist()
         return grow_forest(self._rows, p, self._coarse, n_trees=self.n_estimators, seed=self._seed, bootstrap=self.bootstrap, **settings)
 
+    def _grow_exact(self, plain: DataFrame, has_key: bool) -> DataFrame:
+        """Trees by exact splits; what they split at become the bins that prediction goes by."""
+        p, (_, points) = self.n_features_in_, self._limits()
+        self.time_grid_ = event_time_grid(plain, points)
+        rows = stored(keyed(plain, "key" if has_key else None))
+        self.bin_edges_ = []
+        settings = {k: v for k, v in self._settings().items() if k not in ("n_bins", "n_times")}
+        splits = grow_exact(rows, p, n_trees=self.n_estimators, seed=self._seed, bootstrap=self.bootstrap, **settings)
+        self.bin_edges_ = threshold_edges(splits, p)
+        self._rows = self._binned(rows, True, row=True).persist()
+        growing = {}
+        for i, found in splits.items():
+            growing[i] = g = _Growing()
+            g.feature, g.split, g.left, g.depth = node_arrays(found, self.bin_edges_)
+        return leaf_trees(self._rows, growing, p, self._seed, self.bootstrap)
+
     def _grow_near(self, plain: DataFrame, has_key: bool) -> DataFrame:
         spark, p, (n_bins, points) = plain.sparkSession, self.n_features_in_, self._limits()
         packed = plain.toPandas()  # of the size checked in fit
@@ -165,20 +182,19 @@ class CompetingRiskForest:
         ids = spark.range(0, self.n_estimators, 1, min(self.n_estimators, 4 * spark.sparkContext.defaultParallelism))
         return ids.mapInPandas(build, "tree_id long, tree binary")
 
-    def _binned(self, plain: DataFrame, has_key: bool) -> DataFrame:
-        """b0 .. b{p-1}, t (grid index), event and key if there is one, binned by array searches an Arrow batch at a time."""
+    def _binned(self, plain: DataFrame, has_key: bool, row: bool = False) -> DataFrame:
+        """b0 .. b{p-1}, t (grid index), event, and key and row if there are, binned by array searches an Arrow batch at a time."""
         edges, grid, p = self.bin_edges_, self.time_grid_, self.n_features_in_
+        more, wide = [*["key"] * has_key, *["row"] * row], any(len(e) >= 1 << 15 for e in edges)
 
         def run(frames):
             for frame in frames:
-                out = {f"b{i}": np.searchsorted(e, frame[f"x{i}"].to_numpy(), side="right").astype(np.int16) for i, e in enumerate(edges)}
+                out = {f"b{i}": np.searchsorted(e, frame[f"x{i}"].to_numpy(), side="right").astype(np.int32 if wide else np.int16) for i, e in enumerate(edges)}
                 out["t"] = np.maximum(np.searchsorted(grid, frame["time"].to_numpy(), side="right") - 1, 0).astype(np.int32)
                 out["event"] = frame["event"].to_numpy().astype(np.int32)
-                if has_key:
-                    out["key"] = frame["key"].to_numpy()
-                yield pd.DataFrame(out)
+                yield pd.DataFrame(out | {c: frame[c].to_numpy() for c in more})
 
-        return plain.mapInPandas(run, ", ".join([*[f"b{i} short" for i in range(p)], "t int", "event int", *["key long"] * has_key]))
+        return plain.mapInPandas(run, ", ".join([*[f"b{i} {'int' if wide else 'short'}" for i in range(p)], "t int", "event int", *[f"{c} long" for c in more]]))
 
     def _training_rows(self) -> DataFrame:
         """(b0 .. b{p-1}, t, event, key, row) of the training rows, from the cluster or from what the tasks share."""
@@ -406,9 +422,10 @@ class CompetingRiskForest:
 
         share = {}
         if dealt:
-            for r in rows.mapInPandas(count, "tree int, feature int, bin int, n long").groupBy("tree", "feature", "bin").agg(F.sum("n").alias("n")).collect():
-                share.setdefault((r["tree"], r["feature"]), np.zeros(width))[r["bin"]] = r["n"]
-        shares = rows.sparkSession.sparkContext.broadcast({at: np.cumsum(n)[:-1] / n.sum() for at, n in share.items()})
+            for r in rows.mapInPandas(count, "tree int, feature int, bin int, n long").groupBy("tree", "feature", "bin").agg(F.sum("n").alias("n")).orderBy("bin").collect():
+                share.setdefault((r["tree"], r["feature"]), []).append((r["bin"], r["n"]))
+        # the bins that a tree's out-of-bag rows have, and their shares
+        shares = rows.sparkSession.sparkContext.broadcast({at: (np.array([b for b, _ in x]), np.cumsum([n for _, n in x])[:-1] / sum(n for _, n in x)) for at, x in share.items()})
 
         def run(frames):
             for frame in frames:
@@ -422,7 +439,8 @@ class CompetingRiskForest:
                     for j, f in enumerate(permuted):
                         x = bins[out]
                         if f >= 0:
-                            x[:, f] = np.searchsorted(shares.value[i, f], uniforms(key[out], seed, i, DEAL, f), side="right")
+                            found, parts = shares.value[i, f]
+                            x[:, f] = found[np.searchsorted(parts, uniforms(key[out], seed, i, DEAL, f), side="right")]
                         total[j, out] += value[tree.leaves_of(x)]
                 seen = np.flatnonzero(n)
                 for j, f in enumerate(permuted):

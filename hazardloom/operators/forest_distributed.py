@@ -70,6 +70,35 @@ class _Growing:
         self.open = np.arange(first, first + 2 * len(nodes))
 
 
+def leaf_trees(rows: DataFrame, growing: dict[int, _Growing], p: int, seed: int, bootstrap: bool) -> DataFrame:
+    """(tree_id, tree): trees whose nodes are known, with their leaves' cells from rows (key, b0 .. b{p-1}, t, event)."""
+    names = [f"b{i}" for i in range(p)]
+    held = rows.sparkSession.sparkContext.broadcast(growing)
+
+    def run(frames):
+        for frame in frames:
+            bins, t, e, key = frame[names].to_numpy(np.int64), frame["t"].to_numpy(), frame["event"].to_numpy(), frame["key"].to_numpy()
+            for tree, g in held.value.items():
+                m = copies(key, seed, tree) if bootstrap else np.ones(len(key), int)
+                mine = m > 0
+                part = pd.DataFrame({"tree": tree, "node": g.nodes_of(bins[mine]), "t": t[mine], "event": e[mine], "n": m[mine]})
+                yield part.groupby(["tree", "node", "t", "event"], as_index=False)["n"].sum()
+
+    def assemble(frame: pd.DataFrame) -> pd.DataFrame:
+        tree = int(frame["tree"].iloc[0])
+        g, n = held.value[tree], frame["n"].to_numpy(float)
+        node = frame["node"].to_numpy()
+        cover = np.bincount(node, weights=n, minlength=len(g.feature))
+        for i in np.argsort(g.depth, kind="stable")[::-1]:
+            if g.feature[i] >= 0:
+                cover[i] = cover[g.left[i]] + cover[g.left[i] + 1]
+        made = tree_of(g.feature, g.split, g.left, g.depth, cover, node, frame["t"].to_numpy().astype(np.int64), frame["event"].to_numpy().astype(np.int64), n)
+        return pd.DataFrame({"tree_id": [tree], "tree": [pickle.dumps(made)]})
+
+    counts = rows.mapInPandas(run, "tree int, node int, t int, event int, n long").groupBy("tree", "node", "t", "event").agg(F.sum("n").alias("n"))
+    return counts.groupBy("tree").applyInPandas(assemble, "tree_id long, tree binary")
+
+
 def grow_forest(rows: DataFrame, p: int, coarse: np.ndarray, *, n_trees: int, seed: int, bootstrap: bool, n_bins: int, n_times: int, causes: int, mtry: int, nsplit: int, max_depth: int | None, min_split: int, min_leaf: int, rule: str, cause: int, weights=None, batch: int = 16) -> DataFrame:
     """(tree_id, tree) from rows (key, b0 .. b{p-1}, t, event); ``key`` is a hash that tells rows apart."""
     spark, parts = rows.sparkSession, None
@@ -122,32 +151,6 @@ def grow_forest(rows: DataFrame, p: int, coarse: np.ndarray, *, n_trees: int, se
         good = size >= min_split and stat.ravel()[top] > 0
         return pd.DataFrame({"tree": [tree], "node": [node], "feature": [int(drawn[f]) if good else -1], "bin": [b]})
 
-    def finished(growing: dict[int, _Growing]):
-        held = spark.sparkContext.broadcast(growing)
-
-        def run(frames):
-            for frame in frames:
-                bins, t, e, key = frame[names].to_numpy(np.int64), frame["t"].to_numpy(), frame["event"].to_numpy(), frame["key"].to_numpy()
-                for tree, g in held.value.items():
-                    m = copies(key, seed, tree) if bootstrap else np.ones(len(key), int)
-                    mine = m > 0
-                    part = pd.DataFrame({"tree": tree, "node": g.nodes_of(bins[mine]), "t": t[mine], "event": e[mine], "n": m[mine]})
-                    yield part.groupby(["tree", "node", "t", "event"], as_index=False)["n"].sum()
-
-        def assemble(frame: pd.DataFrame) -> pd.DataFrame:
-            tree = int(frame["tree"].iloc[0])
-            g, n = held.value[tree], frame["n"].to_numpy(float)
-            node = frame["node"].to_numpy()
-            cover = np.bincount(node, weights=n, minlength=len(g.feature))
-            for i in np.argsort(g.depth, kind="stable")[::-1]:
-                if g.feature[i] >= 0:
-                    cover[i] = cover[g.left[i]] + cover[g.left[i] + 1]
-            made = tree_of(g.feature, g.split, g.left, g.depth, cover, node, frame["t"].to_numpy().astype(np.int64), frame["event"].to_numpy().astype(np.int64), n)
-            return pd.DataFrame({"tree_id": [tree], "tree": [pickle.dumps(made)]})
-
-        counts = rows.mapInPandas(run, "tree int, node int, t int, event int, n long").groupBy("tree", "node", "t", "event").agg(F.sum("n").alias("n"))
-        return counts.groupBy("tree").applyInPandas(assemble, "tree_id long, tree binary")
-
     for start in range(0, n_trees, batch):
         growing = {i: _Growing() for i in range(start, min(start + batch, n_trees))}
         level = 0
@@ -158,6 +161,6 @@ def grow_forest(rows: DataFrame, p: int, coarse: np.ndarray, *, n_trees: int, se
             for i, g in growing.items():
                 g.divide(found[i], level)
             level += 1
-        done = finished(growing)
+        done = leaf_trees(rows, growing, p, seed, bootstrap)
         parts = done if parts is None else parts.union(done)
     return parts

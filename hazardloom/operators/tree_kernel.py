@@ -86,7 +86,7 @@ def tree_of(feature, split, left, depth, cover, node: np.ndarray, t: np.ndarray,
     cell, back = np.unique((leaf[node] * times + t) * codes + event, return_inverse=True)
     starts = np.searchsorted(cell // (times * codes), np.arange((feature < 0).sum() + 1))
     narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
-    return Tree(feature.astype(np.int32), split.astype(np.int16), left.astype(np.int32), depth.astype(np.int32), leaf.astype(np.int32), cover.astype(np.int64), starts.astype(np.int64), narrow(cell // codes % times), narrow(cell % codes), np.bincount(back, n, minlength=len(cell)).astype(np.int64))
+    return Tree(feature.astype(np.int32), split.astype(np.int16 if split.max(initial=0) < 1 << 15 else np.int32), left.astype(np.int32), depth.astype(np.int32), leaf.astype(np.int32), cover.astype(np.int64), starts.astype(np.int64), narrow(cell // codes % times), narrow(cell % codes), np.bincount(back, n, minlength=len(cell)).astype(np.int64))
 
 
 def _thresholds(x: np.ndarray, node: np.ndarray, numbers: np.ndarray, drawn: np.ndarray, n_bins: int, nsplit: int, seed: int, tree: int) -> np.ndarray:
@@ -199,7 +199,7 @@ def leaf_paths(tree: Tree):
             yield int(tree.leaf[node]), np.array(names, int), np.array([path[n][0] for n in names]), np.array([path[n][1] for n in names]), np.array([path[n][2] for n in names], float)
             continue
         child, b = int(tree.left[node]), int(tree.split[node])
-        low, high, part = path.get(f, (-1, 1 << 20, 1.0))
+        low, high, part = path.get(f, (-1, 1 << 30, 1.0))
         for side in (0, 1):
             share = tree.cover[child + side] / max(tree.cover[node], 1)
             span = (low, min(high, b)) if side == 0 else (max(low, b), high)
