@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -44,13 +45,20 @@ _LAST = np.array([z for _, _, z in SCRIPTS])
 _NUMBER = np.array([NAMES.index(n) for n, _, _ in SCRIPTS])
 
 
+@lru_cache(maxsize=4096)
+def _letter_script(c: str) -> int:
+    at = int(np.searchsorted(_FIRST, ord(c), side="right")) - 1
+    return int(_NUMBER[at]) if at >= 0 and ord(c) <= _LAST[at] else len(NAMES) - 1
+
+
 def word_script(word: str) -> int:
     """The number in ``NAMES`` of the script of a word's first letter that has one."""
-    for c in map(ord, word):
-        at = int(np.searchsorted(_FIRST, c, side="right")) - 1
-        if at >= 0 and c <= _LAST[at]:
-            return int(_NUMBER[at])
-    return len(NAMES) - 1
+    none = len(NAMES) - 1
+    for c in word:
+        script = _letter_script(c)
+        if script != none:
+            return script
+    return none
 
 
 @dataclass(frozen=True)
@@ -86,7 +94,25 @@ class _Coder:
             model.encode_special_tokens = True
             size = model.get_vocab_size()
             self.bare = np.array(["�" in s for s in model.decode_batch([[i] for i in range(size)], skip_special_tokens=False)])
-            self.code = lambda words: [c.ids for c in model.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+            self.begins = np.zeros(size, bool)  # pieces that begin with a blank, as byte-level models write it
+            self.begins[[i for piece, i in model.get_vocab().items() if piece.startswith("Ġ")]] = True
+            self.model, self.code = model, self._by_thousands
+
+    def _by_thousands(self, words: list[str]) -> list:
+        """Ids of each word after a blank: words that hold no white space of any kind are coded in one text, which pieces never span a blank of."""
+        out: list = [None] * len(words)
+        joint = [i for i, w in enumerate(words) if w.isascii() or w.isalpha()]
+        for at in range(0, len(joint), 2048):
+            part = joint[at : at + 2048]
+            ids = np.array(self.model.encode_batch_fast([" " + " ".join([words[i] for i in part])], add_special_tokens=False)[0].ids, np.int32)
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) == len(part) and first[0] == 0:
+                for i, a, z in zip(part, first.tolist(), [*first[1:].tolist(), len(ids)]):
+                    out[i] = ids[a:z]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, c in zip(rest, self.model.encode_batch_fast([" " + words[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(c.ids, np.int32)
+        return out
 
 
 class WordTable:
@@ -111,8 +137,9 @@ class WordTable:
         for i, coder in enumerate(self.coders):
             ids = coder.code(new) if new else []
             count = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.concatenate(ids) if new and isinstance(ids[0], np.ndarray) else np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))
             self.first[i] = np.concatenate([self.first[i], self.first[i][-1] + np.cumsum(count)])
-            self.ids[i] = np.concatenate([self.ids[i], np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))])
+            self.ids[i] = np.concatenate([self.ids[i], flat])
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         return np.fromiter((self.index[w] for w in words), np.int64, len(words))
 
@@ -224,6 +251,8 @@ def measures(texts: pa.Array, table: WordTable) -> list[np.ndarray]:
     return out
 
 
+#: bands up to which they are broadcast, so that a common language is judged where its texts are
+BROADCAST_BANDS = 20_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: what a band is about, and the least spread between quartiles that its fences reckon with
 SPREADS = {"chars_per_token": 0.05, "bare_share": 0.02, "entropy_gap": 0.2}
@@ -305,12 +334,14 @@ def quality_rules(
     """
     vocabularies = tuple(vocabularies or public_vocabularies())
     measured = cut(measure_texts(docs, vocabularies, id_col, text_col, language_col))
-    bands = fit_bands(measured, vocabularies, least_texts, reach) if bands is None else bands
+    bands = cut(fit_bands(measured, vocabularies, least_texts, reach)) if bands is None else bands
+    few = bands.count() <= BROADCAST_BANDS
+    near = lambda df: F.broadcast(df) if few else df
     limits = [c for c in bands.columns if c.endswith(("_low", "_high"))]
     cells = bands.where("octave is not null").select("kin", "octave", F.struct(*limits).alias("cell"))
     pooled = bands.where("octave is null").select("kin", F.struct(*limits).alias("pooled"))
     keyed = measured.withColumn("octave", _octave(F.col(f"{vocabularies[0].name}_n_tokens")))
-    judged = keyed.join(cells, ["kin", "octave"], "left").join(pooled, "kin", "left").withColumn("band", F.coalesce("cell", "pooled"))
+    judged = keyed.join(near(cells), ["kin", "octave"], "left").join(near(pooled), "kin", "left").withColumn("band", F.coalesce("cell", "pooled"))
     names = [f"{v.name}_{m}" for v in vocabularies for m in SPREADS]
     out = F.array_compact(F.array(*[F.when((F.col(c) < F.col(f"band.{c}_low")) | (F.col(c) > F.col(f"band.{c}_high")), F.lit(c)) for c in names]))
     measured_columns = [c for c in measured.columns if c.startswith(tuple(f"{v.name}_" for v in vocabularies))]
