@@ -22,7 +22,13 @@ def binned_rows(df: DataFrame, features: Sequence[str], edges: Sequence[Sequence
 
 
 def split_statistics(rows: DataFrame, p: int, n_times: int, causes: int = 2, rule: str = "logrankCR", cause: int = 1, min_leaf: int = 1, by: Sequence[str] = ("node",), weights: Sequence[float] | None = None) -> DataFrame:
-    """(by.., feature, bin, num, var, stat, n_left, n) of every candidate split "bin <= b" of every node."""
+    """(by.., feature, bin, num, var, stat, n_left, n) of every candidate split "bin <= b" of every node.
+
+    ``rule`` is ``logrankCR`` (all causes pooled; rows of another cause stay at risk), ``relabeled`` (the same risk sets, ``cause`` alone)
+    or ``logrank`` (``cause`` alone, others censored).
+    """
+    if rule not in ("logrankCR", "relabeled", "logrank"):
+        raise ValueError(f"unknown rule {rule!r}")
     ts, ks = range(n_times), range(1, causes + 1)
     long = rows.select(*by, "t", "event", F.posexplode(F.array(*[F.col(f"b{i}") for i in range(p)])).alias("feature", "bin"))
     cell = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
@@ -38,8 +44,8 @@ def split_statistics(rows: DataFrame, p: int, n_times: int, causes: int = 2, rul
     def others(side: str, k: int, j: int) -> Column:
         return sum((F.col(f"{side}_d{m}_{i}") for m in ks if m != k for i in range(j)), F.lit(0.0))
 
-    lau = rule == "logrankCR"
-    used = ks if lau else [cause]
+    lau = rule != "logrank"
+    used = ks if rule == "logrankCR" else [cause]
     num, var = [], []
     for k in used:
         w = 1.0 if weights is None else float(weights[k - 1])

@@ -37,28 +37,54 @@ fb AS (SELECT event_id, event, len([e FOR e IN e0 IF e <= x0]) AS b0, len([e FOR
 fr AS (SELECT fb.*, least(fb.tf * 10 // (gi.m - 1), 9) AS t, gi.g AS moment FROM fb JOIN gi ON gi.i = fb.tf)"""
 
 
-def level(i: int) -> str:
-    """The splits s{i} of the nodes of a level, and the rows r{i + 1} below them."""
+def terms(rule: str) -> tuple[str, str]:
+    """(numerator, variance) of one time: pooled over the causes with Lau's risk sets, or of cause 1 alone with the plain one."""
+    if rule == "logrank":
+        return "CASE WHEN y >= 2 THEN l1 - a1 * yl / y ELSE 0 END", "CASE WHEN y >= 2 THEN a1 * yl * (y - yl) * (y - a1) / (y * y * (y - 1)) ELSE 0 END"
     stat = " + ".join(f"(CASE WHEN y >= 1 THEN l{k} - a{k} * (yl + ol{k}) / (y + o{k}) ELSE 0 END)" for k in (1, 2))
-    var = " + ".join(f"(CASE WHEN y >= 2 THEN a{k} * (yl + ol{k}) * (y + o{k} - yl - ol{k}) * (y + o{k} - a{k}) / ((y + o{k}) * (y + o{k}) * (y + o{k} - 1)) ELSE 0 END)" for k in (1, 2))
+    return stat, " + ".join(f"(CASE WHEN y >= 2 THEN a{k} * (yl + ol{k}) * (y + o{k} - yl - ol{k}) * (y + o{k} - a{k}) / ((y + o{k}) * (y + o{k}) * (y + o{k} - 1)) ELSE 0 END)" for k in (1, 2))
+
+
+def level(i: int, exact: bool = False, rule: str = "logrankCR") -> str:
+    """The splits s{i} of the nodes of a level, and the rows r{i + 1} below them; ``exact`` over the values and times that each node has."""
+    stat, var = terms(rule)
     cell = lambda c: f"CAST(sum(CASE WHEN {c} THEN w ELSE 0 END) AS DOUBLE)"
-    return f"""la{i} AS (SELECT tree, node, 0 AS feature, b0 AS bin, t, event, w FROM r{i} WHERE node >= {2**i - 1} UNION ALL SELECT tree, node, 1, b1, t, event, w FROM r{i} WHERE node >= {2**i - 1}),
+    every = f"(SELECT DISTINCT tree, node, feature FROM la{i}) q CROSS JOIN (SELECT unnest(range(8)) AS bin) b CROSS JOIN (SELECT unnest(range(10)) AS t) s"
+    if exact:
+        every = f"(SELECT DISTINCT tree, node, feature, bin FROM la{i}) q JOIN (SELECT DISTINCT tree, node, t FROM la{i}) s ON s.tree = q.tree AND s.node = q.node, (SELECT 1 AS one) b"
+    bin_ = "q.bin" if exact else "b.bin"
+    return f"""la{i} AS (SELECT tree, node, 0 AS feature, b0 AS bin, t, event, w FROM r{i} WHERE node >= {2**i - 1} AND w > 0 UNION ALL SELECT tree, node, 1, b1, t, event, w FROM r{i} WHERE node >= {2**i - 1} AND w > 0),
 lb{i} AS (SELECT tree, node, feature, bin, t, {cell('true')} AS n, {cell('event = 1')} AS d1, {cell('event = 2')} AS d2 FROM la{i} GROUP BY ALL),
-lc{i} AS (SELECT q.tree, q.node, q.feature, b.bin, s.t, coalesce(n, 0) AS n, coalesce(d1, 0) AS d1, coalesce(d2, 0) AS d2
-  FROM (SELECT DISTINCT tree, node, feature FROM la{i}) q CROSS JOIN (SELECT unnest(range(8)) AS bin) b CROSS JOIN (SELECT unnest(range(10)) AS t) s
-  LEFT JOIN lb{i} x ON x.tree = q.tree AND x.node = q.node AND x.feature = q.feature AND x.bin = b.bin AND x.t = s.t),
+lc{i} AS (SELECT q.tree, q.node, q.feature, {bin_}, s.t, coalesce(n, 0) AS n, coalesce(d1, 0) AS d1, coalesce(d2, 0) AS d2
+  FROM {every}
+  LEFT JOIN lb{i} x ON x.tree = q.tree AND x.node = q.node AND x.feature = q.feature AND x.bin = {bin_} AND x.t = s.t),
 ld{i} AS (SELECT *, sum(n) OVER l AS ln, sum(d1) OVER l AS l1, sum(d2) OVER l AS l2, sum(n) OVER a AS an, sum(d1) OVER a AS a1, sum(d2) OVER a AS a2 FROM lc{i}
   WINDOW l AS (PARTITION BY tree, node, feature, t ORDER BY bin ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY tree, node, feature, t)),
 le{i} AS (SELECT *, sum(an) OVER s AS y, sum(ln) OVER s AS yl, coalesce(sum(a1) OVER p, 0) AS o2, coalesce(sum(l1) OVER p, 0) AS ol2, coalesce(sum(a2) OVER p, 0) AS o1, coalesce(sum(l2) OVER p, 0) AS ol1 FROM ld{i}
   WINDOW s AS (PARTITION BY tree, node, feature, bin ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), p AS (PARTITION BY tree, node, feature, bin ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-lf{i} AS (SELECT tree, node, feature, bin, sum({stat}) AS num, sum({var}) AS var, max(yl) FILTER (WHERE t = 0) AS n_left, max(y) FILTER (WHERE t = 0) AS n FROM le{i} GROUP BY ALL),
+lf{i} AS (SELECT tree, node, feature, bin, sum({stat}) AS num, sum({var}) AS var, max(yl) AS n_left, max(y) AS n FROM le{i} GROUP BY ALL),
 s{i} AS (SELECT *, num * num / var AS stat FROM lf{i} WHERE var >= 1e-12 AND n_left >= 3 AND n - n_left >= 3 AND n >= 6
   QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY num * num / var DESC, feature, bin) = 1),
 r{i + 1} AS (SELECT r.* EXCLUDE (node), CASE WHEN s.feature IS NULL THEN r.node ELSE 2 * r.node + 1 + CASE WHEN CASE s.feature WHEN 0 THEN b0 ELSE b1 END > s.bin THEN 1 ELSE 0 END END AS node
   FROM r{i} r LEFT JOIN s{i} s ON s.tree = r.tree AND s.node = r.node)"""
 
 
-def grown(bag: bool = True, trees: int = TREES, rows: str = ROWS, key: str = "event_id") -> str:
+#: rows whose bins are the ranks of their values and whose times are the ranks of theirs
+RANKED = f"""{sql.SIGNUP},
+fv AS (SELECT event_id, time, event, value AS x0, CAST(user_id % 97 AS DOUBLE) AS x1 FROM sv),
+fr AS (SELECT *, dense_rank() OVER (ORDER BY x0) AS b0, dense_rank() OVER (ORDER BY x1) AS b1, dense_rank() OVER (ORDER BY time) AS t, dense_rank() OVER (ORDER BY time) AS tf FROM fv)"""
+
+
+def exact_splits(bag: bool, trees: int, rule: str = "logrankCR") -> str:
+    """(tree_id, depth, feature, threshold, n_left, n) of the splits of exactly grown trees; a threshold lies midway to the node's next value."""
+    one = lambda i: f"""SELECT tree AS tree_id, {i} AS depth, CAST(feature AS INTEGER) AS feature,
+  round(((SELECT max(CASE s.feature WHEN 0 THEN x0 ELSE x1 END) FROM r{i} r WHERE r.tree = s.tree AND r.node = s.node AND w > 0 AND CASE s.feature WHEN 0 THEN b0 ELSE b1 END <= s.bin)
+  + (SELECT min(CASE s.feature WHEN 0 THEN x0 ELSE x1 END) FROM r{i} r WHERE r.tree = s.tree AND r.node = s.node AND w > 0 AND CASE s.feature WHEN 0 THEN b0 ELSE b1 END > s.bin)) / 2, 6) AS threshold,
+  CAST(n_left AS BIGINT) AS n_left, CAST(n AS BIGINT) AS n FROM s{i} s"""
+    return f"WITH {grown(bag, trees, RANKED, exact=True, rule=rule).split('sp AS (')[0].rstrip().rstrip(',')} {' UNION ALL '.join(one(i) for i in range(DEPTH))}"
+
+
+def grown(bag: bool = True, trees: int = TREES, rows: str = ROWS, key: str = "event_id", exact: bool = False, rule: str = "logrankCR") -> str:
     """CTEs up to the leaves' curves: r{DEPTH} (rows with node, copies w), sp (splits), lv (increments by leaf and grid index)."""
     if bag:
         salts = ", ".join(f"({i}, CAST({salt(SEED, i, BAG)} AS UBIGINT))" for i in range(trees))
@@ -66,7 +92,7 @@ def grown(bag: bool = True, trees: int = TREES, rows: str = ROWS, key: str = "ev
         first = f"ts(tree, salt) AS (VALUES {salts}), tu AS (SELECT fr.*, tree, {uniform(key, 'salt')} FROM fr, ts), r0 AS (SELECT * EXCLUDE (h1, h2, h3, u), {copies} AS w, 0 AS node FROM tu)"
     else:
         first = "r0 AS (SELECT fr.*, 0 AS tree, 1 AS w, 0 AS node FROM fr)"
-    levels = ",\n".join(level(i) for i in range(DEPTH))
+    levels = ",\n".join(level(i, exact, rule) for i in range(DEPTH))
     splits = " UNION ALL ".join(f"SELECT tree, {i} AS depth, node, feature, bin, stat FROM s{i}" for i in range(DEPTH))
     return f"""{rows}, {first},
 {levels},

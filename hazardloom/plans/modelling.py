@@ -108,10 +108,10 @@ c3 AS (SELECT *, sum(an) OVER s AS y, sum(ln) OVER s AS yl, coalesce(sum(a1) OVE
   FROM c2 WINDOW s AS (PARTITION BY feature, bin ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), p AS (PARTITION BY feature, bin ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
-def _stat(cr: bool, w=(1.0, 1.0)) -> str:
+def _stat(cr: bool, w=(1.0, 1.0), causes=(1, 2)) -> str:
     if cr:
-        num = " + ".join(f"(CASE WHEN y >= 1 THEN {w[k - 1]} * (l{k} - a{k} * (yl + ol{k}) / (y + o{k})) ELSE 0 END)" for k in (1, 2))
-        var = " + ".join(f"(CASE WHEN y >= 2 THEN {w[k - 1] ** 2} * a{k} * (yl + ol{k}) * (y + o{k} - yl - ol{k}) * (y + o{k} - a{k}) / ((y + o{k}) * (y + o{k}) * (y + o{k} - 1)) ELSE 0 END)" for k in (1, 2))
+        num = " + ".join(f"(CASE WHEN y >= 1 THEN {w[k - 1]} * (l{k} - a{k} * (yl + ol{k}) / (y + o{k})) ELSE 0 END)" for k in causes)
+        var = " + ".join(f"(CASE WHEN y >= 2 THEN {w[k - 1] ** 2} * a{k} * (yl + ol{k}) * (y + o{k} - yl - ol{k}) * (y + o{k} - a{k}) / ((y + o{k}) * (y + o{k}) * (y + o{k} - 1)) ELSE 0 END)" for k in causes)
     else:
         num = "CASE WHEN y >= 2 THEN l1 - a1 * yl / y ELSE 0 END"
         var = "CASE WHEN y >= 2 THEN a1 * yl * (y - yl) * (y - a1) / (y * y * (y - 1)) ELSE 0 END"
@@ -119,9 +119,9 @@ def _stat(cr: bool, w=(1.0, 1.0)) -> str:
 ss AS (SELECT *, num * num / var AS stat FROM st WHERE var >= 1e-12 AND n_left >= 3 AND n - n_left >= 3)"""
 
 
-def _root(spark, d, rule, weights=None):
+def _root(spark, d, rule, weights=None, cause=1):
     rows, _ = _binned(spark, d)
-    return splits.split_statistics(rows.withColumn("node", F.lit(1)), 2, 10, 2, rule, 1, 3, weights=weights)
+    return splits.split_statistics(rows.withColumn("node", F.lit(1)), 2, 10, 2, rule, cause, 3, weights=weights)
 
 
 _ROOT = "SELECT CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, round(num, 5) AS num, round(var, 4) AS var, round(stat, 6) AS stat FROM ss"
@@ -130,6 +130,11 @@ for _name, _rule, _cr, _w in (("logrank_lau_root", "logrankCR", True, None), ("l
         lambda spark, d, rule=_rule, w=_w: _root(spark, d, rule, w).select("feature", "bin", F.round("num", 5).alias("num"), F.round("var", 4).alias("var"), F.round("stat", 6).alias("stat"))
     )
 
+for _cause in (1, 2):
+    register(f"logrank_relabeled_root_{_cause}", f"WITH {sql.SV}, {_stat(True, causes=(_cause,))} {_ROOT}")(
+        lambda spark, d, k=_cause: _root(spark, d, "relabeled", cause=k).select("feature", "bin", F.round("num", 5).alias("num"), F.round("var", 4).alias("var"), F.round("stat", 6).alias("stat"))
+    )
+
 _BEST = "SELECT CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, round(stat, 6) AS stat FROM ss ORDER BY ss.stat DESC, feature, bin LIMIT 1"
 for _name, _rule, _cr in (("best_split_root_cr", "logrankCR", True), ("best_split_root_lr", "logrank", False)):
     register(_name, f"WITH {sql.SV}, {_stat(_cr)} {_BEST}")(
@@ -501,6 +506,35 @@ def forest_trees_distributed(spark, d):
     return _nodes(_forest(spark, d, mode="distributed"))
 
 
+def _thresholds(m):
+    """The splits of trees by the values they part, with the in-bag rows of the node and of its left child."""
+    t, edges = m.tree_table(), [[float(x) for x in e] or [0.0] for e in m.bin_edges_]
+    value = F.get(F.get(F.array(*[F.array(*[F.lit(x) for x in e]) for e in edges]), F.col("feature")), F.col("split_bin"))
+    left = t.select("tree_id", F.col("node_id").alias("left"), F.col("cover").alias("n_left"))
+    return t.where("feature >= 0").join(left, ["tree_id", "left"]).select(F.col("tree_id").cast("int").alias("tree_id"), "depth", "feature", F.round(value, 6).alias("threshold"), F.col("n_left").cast("long").alias("n_left"), F.col("cover").cast("long").alias("n"))
+
+
+@register("forest_reference_trees", forest_sql.exact_splits(True, forest_sql.TREES))
+def forest_reference_trees(spark, d):
+    """Trees that try every midpoint of every node against each of its event times."""
+    return _thresholds(_forest(spark, d, mode="reference"))
+
+
+@register("forest_reference_logrank", forest_sql.exact_splits(False, 1, "logrank"))
+def forest_reference_logrank(spark, d):
+    """One tree of the whole table by the log-rank statistic of cause 1."""
+    return _thresholds(_forest(spark, d, mode="reference", splitrule="logrank", n_estimators=1, bootstrap=False))
+
+
+_LOGRANK = forest_sql.grown(rule="logrank")
+
+
+@register("forest_trees_logrank", f"WITH {_LOGRANK}, {forest_sql.NODES} SELECT tree AS tree_id, depth, CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS split_bin, feature < 0 AS is_leaf, CAST(cover AS BIGINT) AS cover FROM nt")
+def forest_trees_logrank(spark, d):
+    """The forest's other rule: cause 1 alone, other causes censored."""
+    return _nodes(_forest(spark, d, splitrule="logrank"))
+
+
 @register("forest_leaves", f"""WITH {_GROWN}, ln AS (SELECT tree, node, row_number() OVER (PARTITION BY tree ORDER BY node) - 1 AS leaf FROM (SELECT DISTINCT tree, node FROM r2 WHERE w > 0))
 SELECT tree AS tree_id, CAST(leaf AS INTEGER) AS leaf_id, CAST(tf AS INTEGER) AS t_idx, event, CAST(sum(w) AS BIGINT) AS n FROM r2 JOIN ln USING (tree, node) WHERE w > 0 GROUP BY ALL""")
 def forest_leaves(spark, d):
