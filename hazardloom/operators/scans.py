@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .stored import stored
 
-FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
+FIRST = Window.unboundedPreceding
 #: rows of a table that one task may scan
 ONE_TASK = 1_000_000
 #: rows that a block should have, the most blocks there are, and values drawn for each to find its bounds
@@ -72,29 +72,31 @@ def with_blocks(df: DataFrame, order: str, wide: bool | None = None, bounds: Seq
 def running(df: DataFrame, by: Sequence[str], order: str | Sequence[str], outputs: dict[str, tuple[str, Column, str]]) -> DataFrame:
     """``df`` with scans by group: name -> (op, value, span).
 
-    op is ``sum``, ``product``, ``last`` or ``next`` (the last, or first, value that is not null); span is ``upto`` a row, strictly ``before``
+    op is ``sum``, ``product``, ``last`` (the last value that is not null, looking back) or ``next`` (the first, looking on); span is ``upto`` a row, strictly ``before``
     it, ``onward`` from it or strictly ``after`` it. Empty spans are 0, 1 and null. With a block column (:func:`with_blocks`, of the first order column) the scans run by block.
     """
     by, keys = list(by), [order] if isinstance(order, str) else list(order)
-    rows = {"upto": (FIRST, 0), "before": (FIRST, -1), "onward": (0, LAST), "after": (1, LAST)}
+    spans = {"upto": (True, 0), "before": (True, -1), "onward": (False, 0), "after": (False, -1)}
 
-    def scan(op: str, x: Column, window) -> Column:
+    def scan(op: str, x: Column, span: str, by: Sequence[str], keys: Sequence[str]) -> Column:
+        """What comes later is scanned from the far end: a frame that grows takes one step a row, one that shrinks is summed anew for each."""
+        forward, to = spans[span]
+        window = Window.partitionBy(*by).orderBy(*keys if forward else [F.col(k).desc() for k in keys]).rowsBetween(FIRST, to)
         if op in ("last", "next"):
-            return (F.last if op == "last" else F.first)(x, ignorenulls=True).over(window)
+            if (op == "last") != forward:
+                raise ValueError(f"{op} does not go with {span}")
+            return F.last(x, ignorenulls=True).over(window)
         return F.coalesce(F.sum(x).over(window) if op == "sum" else F.product(x).over(window), F.lit(0.0 if op == "sum" else 1.0))
 
     if BLOCK not in df.columns:
-        window = Window.partitionBy(*by).orderBy(*keys)
-        return df.withColumns({n: scan(op, x, window.rowsBetween(*rows[span])) for n, (op, x, span) in outputs.items()})
+        return df.withColumns({n: scan(op, x, span, by, keys) for n, (op, x, span) in outputs.items()})
     df = df if getattr(df, "_stored", False) else stored(df)
-    inside = Window.partitionBy(*by, BLOCK).orderBy(*keys)
-    made = df.withColumns({n: scan(op, x, inside.rowsBetween(*rows[span])) for n, (op, x, span) in outputs.items()})
+    made = df.withColumns({n: scan(op, x, span, [*by, BLOCK], keys) for n, (op, x, span) in outputs.items()})
     at = lambda x: F.when(x.isNotNull(), F.struct(*keys))
     whole = {"sum": F.sum, "product": F.product, "last": lambda x: F.max_by(x, at(x)), "next": lambda x: F.min_by(x, at(x))}
     totals = df.groupBy(*by, BLOCK).agg(*[whole[op](x).alias(f"__t_{n}") for n, (op, x, _) in outputs.items()])
-    over = Window.partitionBy(*by).orderBy(BLOCK)
-    strict = {"upto": rows["before"], "before": rows["before"], "onward": rows["after"], "after": rows["after"]}
-    offsets = totals.select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate([*by, BLOCK])], *[scan(op, F.col(f"__t_{n}"), over.rowsBetween(*strict[span])).alias(f"__o_{n}") for n, (op, _, span) in outputs.items()])
+    strict = {"upto": "before", "before": "before", "onward": "after", "after": "after"}
+    offsets = totals.select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate([*by, BLOCK])], *[scan(op, F.col(f"__t_{n}"), strict[span], by, [BLOCK]).alias(f"__o_{n}") for n, (op, _, span) in outputs.items()])
     match = F.lit(True)
     for i, b in enumerate([*by, BLOCK]):
         match &= F.col(b).eqNullSafe(F.col(f"__k{i}"))

@@ -89,4 +89,4 @@ def grow(rows: DataFrame, p: int, n_times: int, causes: int = 2, max_depth: int
 def leaf_counts(rows: DataFrame, causes: int = 2, t: str = "tf") -> DataFrame:
     """(node, t, n, d_1 .. d_K, y): sufficient statistics of the leaves by grid index."""
     counts = rows.groupBy("node", F.col(t).alias("t")).agg(F.count("*").cast("double").alias("n"), F.sum(F.when(F.col("event") > 0, 1.0).otherwise(0.0)).alias("d"), *[F.sum(F.when(F.col("event") == k, 1.0).otherwise(0.0)).alias(f"d_{k}") for k in range(1, causes + 1)])
-    return counts.withColumn("y", F.sum("n").over(Window.partitionBy("node").orderBy("t").rowsBetween(0, Window.unboundedFollowing)))
+    return counts.withColumn("y", F.sum("n").over(Window.partitionBy("node").orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)))

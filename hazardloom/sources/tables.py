@@ -45,7 +45,7 @@ def shipments_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signup_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SV2: seconds from each signup to the user's next purchase (1) or error (2), else censored at the last event."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    later = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)  # from the far end: one step a row
     after = lambda kind: F.min(F.when(F.col("event_type") == kind, F.col("ts"))).over(later)
     end = events.agg(F.max("ts").alias("end"))
     seen = events.withColumn("buy", after("purchase")).withColumn("err", after("error")).where("event_type = 'signup'")
