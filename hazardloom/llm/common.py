@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import json
 import tempfile
+import threading
 import uuid
 from collections.abc import Sequence
 
@@ -17,12 +18,21 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
-        named = tempfile.mkdtemp(prefix="hazardloom-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="hazardloom-"))
+        return _LOCAL[0]
     return named.rstrip("/")
 
 
-_WRITTEN: list[str] = []
+_LOCAL: list[str] = []
+_MINE = threading.local()
+
+
+def _written() -> list[str]:
+    """What this thread cut and has not settled: runs in other threads keep their own."""
+    if not hasattr(_MINE, "written"):
+        _MINE.written = []
+    return _MINE.written
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hl-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _written().append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,15 +58,15 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def written() -> int:
-    """How many frames were cut so far: a mark for :func:`settle`."""
-    return len(_WRITTEN)
+    """How many frames this thread has cut so far: a mark for :func:`settle`."""
+    return len(_written())
 
 
 def settle(df: DataFrame, since: int) -> DataFrame:
-    """:func:`cut`, after which the files that were cut ``since`` a mark are no longer needed, and go."""
+    """:func:`cut`, after which the files that this thread cut ``since`` a mark are no longer needed, and go."""
     out = cut(df)
-    while len(_WRITTEN) > since + 1:
-        _remove(df.sparkSession, _WRITTEN.pop(since))
+    while len(_written()) > since + 1:
+        _remove(df.sparkSession, _written().pop(since))
     return out
 
 

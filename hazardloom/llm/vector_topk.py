@@ -131,7 +131,8 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str =
     rows but the query's own. Vectors that are null, empty or hold a null or non-finite component take no part;
     vectors of different lengths are not compared; ties go to the smaller id (a null id last), then the earlier
     row; repeated rows take part each on their own; an empty table gives no rows; other columns are not read.
-    Every block pair is searched, so the result is exact.
+    Every block pair is searched, so the result is exact. ValueError where scaled components reach 2**53 or squared lengths 2**63: their
+    products would not be whole numbers that 64 bits hold.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -139,7 +140,10 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str =
     sound = F.size(vector_col) > 0, ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     rows = numbered(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col))).where(sound[0] & sound[1]).select("rid", "vec_id", values.alias("x"), F.size(vector_col).alias("length"))
     asked = (F.col("vec_id") % every == 0) & F.col("vec_id").isNotNull()
-    n, n_asked = rows.agg(F.count("*"), F.count(F.when(asked, 1))).first()
+    square = F.aggregate("x", F.lit(0.0), lambda at, x: at + x * x)
+    n, n_asked, widest, longest = rows.agg(F.count("*"), F.count(F.when(asked, 1)), F.max(F.array_max(F.transform("x", F.abs))), F.max(square)).first()
+    if (widest or 0.0) >= 2.0**53 or (longest or 0.0) >= 2.0**63:
+        raise ValueError(f"components up to {widest:.3g} are too large for exact products")
     parts, blocks = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
     cell = lambda count: F.pmod(F.xxhash64("rid"), F.lit(count)).cast("int")
     every_cell = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))

@@ -544,6 +544,14 @@ def test_bounds_never_undercut():
         last = upper.mean()
 
 
+@pytest.mark.parametrize("big", [1e17, 4e7])
+def test_products_that_do_not_fit_are_refused(spark, big):
+    df = spark.createDataFrame([(50, [big] * 4096), (1, [1.0] * 4096)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        vector_topk.top_products(df)
+    assert vector_topk.top_products(df.withColumn("embedding", F.transform("embedding", lambda x: x / big))).count() == 1
+
+
 def test_top_products_of_nothing(spark):
     assert vector_topk.top_products(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -88,6 +88,26 @@ def test_a_run_leaves_one_stage_s_files(spark, sf_dir):
     assert common.written() == since + 1
 
 
+def test_threads_settle_only_their_own_files(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from hazardloom.llm import common
+
+    met = Barrier(2)
+
+    def run(i):
+        since = common.written()
+        first = cut(spark.range(i, i + 3).toDF("x"))
+        met.wait(60)
+        kept = common.settle(first.where("x >= 0"), since)
+        met.wait(60)
+        return sorted(r[0] for r in kept.collect()), common.written() - since
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(run, (0, 10))) == [([0, 1, 2], 1), ([10, 11, 12], 1)]
+
+
 def test_pipeline_of_awkward_documents(spark):
     docs = h.awkward(spark)
     for number, (_, stage) in enumerate(cp.STAGES):
