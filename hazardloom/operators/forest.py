@@ -9,8 +9,8 @@ midpoint of a node's values against every event time, at every size (:mod:`exact
 
 from __future__ import annotations
 
+import json
 import math
-import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,7 +29,7 @@ from .grids import coarsen_time_grid, cut_points, event_time_grid, feature_bin_e
 from .regression import _outcome
 from .scans import running, with_blocks
 from .stored import stored
-from .tree_kernel import Tree, grow_tree, leaf_paths, path_weights
+from .tree_kernel import TREES, Tree, grow_tree, leaf_paths, path_weights, tree_frame, trees_of
 
 #: bytes of the table (as doubles) that the driver may fetch and share with the tasks
 BROADCAST_BYTES = 256 << 20
@@ -176,11 +176,11 @@ class CompetingRiskForest:
                 for i in frame["id"]:
                     chosen = np.repeat(np.arange(len(b)), copies(keys, seed, int(i))) if bootstrap else np.arange(len(b))
                     tree = grow_tree(b, coarse[tf], tf, ev, chosen, seed, int(i), **settings)
-                    out.append((int(i), pickle.dumps(tree)))
-                yield pd.DataFrame(out, columns=["tree_id", "tree"])
+                    out.append((int(i), tree))
+                yield tree_frame(out)
 
         ids = spark.range(0, self.n_estimators, 1, min(self.n_estimators, 4 * spark.sparkContext.defaultParallelism))
-        return ids.mapInPandas(build, "tree_id long, tree binary")
+        return ids.mapInPandas(build, TREES)
 
     def _binned(self, plain: DataFrame, has_key: bool, row: bool = False) -> DataFrame:
         """b0 .. b{p-1}, t (grid index), event, and key and row if there are, binned by array searches an Arrow batch at a time."""
@@ -217,14 +217,14 @@ class CompetingRiskForest:
         if self.trees_ is None:
             raise RuntimeError("the forest is not fitted")
         if not hasattr(self, "_shared"):
-            sizes = sorted((r["tree_id"], r["n"]) for r in self.trees_.select("tree_id", F.octet_length("tree").alias("n")).collect())
+            sizes = sorted((r["tree_id"], r["n"]) for r in self.trees_.select("tree_id", (30 * F.size("feature") + 12 * F.size("t")).alias("n")).collect())
             groups, held = [[]], 0
             for i, n in sizes:
                 if groups[-1] and held + n > FOREST_BYTES:
                     groups, held = [*groups, []], 0
                 groups[-1].append(i)
                 held += n
-            fetch = lambda ids: [pickle.loads(r["tree"]) for r in self.trees_.where(F.col("tree_id").between(ids[0], ids[-1])).orderBy("tree_id").collect()]
+            fetch = lambda ids: [t for _, t in trees_of(self.trees_.where(F.col("tree_id").between(ids[0], ids[-1])).orderBy("tree_id").toArrow())]
             self._shared = [self.trees_.sparkSession.sparkContext.broadcast(fetch(ids)) for ids in groups]
         return self._shared
 
@@ -235,8 +235,7 @@ class CompetingRiskForest:
 
         def rows(frames):
             for frame in frames:
-                for i, raw in zip(frame["tree_id"], frame["tree"]):
-                    t = pickle.loads(raw)
+                for i, t in trees_of(frame):
                     leaf = t.feature < 0
                     yield pd.DataFrame({"tree_id": i, "node_id": np.arange(len(leaf)), "depth": t.depth, "feature": t.feature, "split_bin": t.split, "left": np.where(leaf, -1, t.left), "right": np.where(leaf, -1, t.left + 1), "is_leaf": leaf, "leaf_id": t.leaf, "cover": t.cover})
 
@@ -247,27 +246,48 @@ class CompetingRiskForest:
 
         def rows(frames):
             for frame in frames:
-                for i, raw in zip(frame["tree_id"], frame["tree"]):
-                    t = pickle.loads(raw)
+                for i, t in trees_of(frame):
                     leaf = np.repeat(np.arange(len(t.starts) - 1), np.diff(t.starts))
                     yield pd.DataFrame({"tree_id": i, "leaf_id": leaf, "t_idx": t.t.astype(int), "event": t.event.astype(int), "n": t.n})
 
         return self.trees_.mapInPandas(rows, "tree_id long, leaf_id int, t_idx int, event int, n long")
 
+    #: what a fitted forest knows beside its trees
+    _LEARNED = ("features_", "time_", "event_", "n_causes_", "n_rows_", "n_features_in_", "_seed")
+
     def save(self, path: str) -> None:
-        """The model as two Parquet tables: trees, and one row of settings."""
+        """The model as two Parquet tables: trees (``TREES``: whole numbers in arrays), and one row of settings as JSON, bin edges and the time grid."""
+        if self.trees_ is None:
+            raise RuntimeError("the forest is not fitted")
         self.trees_.write.parquet(f"{path}/trees")
-        state = {k: v for k, v in self.__dict__.items() if k not in ("trees_", "_data", "_rows", "_shared", "_leaves")}
-        self.trees_.sparkSession.createDataFrame([(pickle.dumps(state),)], "state binary").write.parquet(f"{path}/state")
+        plain = lambda x: x.tolist() if isinstance(x, (np.ndarray, np.generic)) else list(x)
+        settings = json.dumps({"params": self.get_params(), "learned": {k: getattr(self, k) for k in self._LEARNED}}, default=plain)
+        row = (settings, [[float(v) for v in e] for e in self.bin_edges_], [float(t) for t in self.time_grid_])
+        self.trees_.sparkSession.createDataFrame([row], "settings string, bin_edges array<array<double>>, time_grid array<double>").coalesce(1).write.parquet(f"{path}/model")
 
     @classmethod
     def load(cls, spark, path: str) -> CompetingRiskForest:
-        """A saved model (only from a source you trust: the tables hold pickled arrays)."""
-        out = cls()
-        out.__dict__ |= pickle.loads(spark.read.parquet(f"{path}/state").first()[0])
+        """A saved model. It holds numbers and text alone, so that loading one runs nothing."""
+        row = spark.read.parquet(f"{path}/model").first()
+        settings = json.loads(row["settings"])
+        out = cls(**settings["params"])
+        out.__dict__ |= settings["learned"]
+        out.bin_edges_, out.time_grid_ = [np.array(e, float) for e in row["bin_edges"]], np.array(row["time_grid"], float)
+        out._data = out._rows = None
+        out._settings()
         out.trees_ = spark.read.parquet(f"{path}/trees").persist()
         return out
 
+    def close(self) -> None:
+        """Free what the cluster holds for the model: training rows, trees and broadcasts. It can then no longer predict."""
+        for held in (self.trees_, getattr(self, "_rows", None)):
+            if held is not None:
+                held.unpersist()
+        for held in [getattr(self, "_data", None), *self.__dict__.pop("_shared", []), *self.__dict__.pop("_leaves", {}).values()]:
+            if held is not None:
+                held.unpersist()
+        self._data = self._rows = self.trees_ = None
+
     # ---- prediction ----------------------------------------------------------------------------------------------
 
     def _apply(self, df: DataFrame, name: str, width: int, values, finish, kind: T.DataType) -> DataFrame:
@@ -373,23 +393,23 @@ class CompetingRiskForest:
 
     def _mortality(self, cause: int):
         """Broadcast of each tree's nodes with its leaves' mortality: the left-Riemann integral of the incidence."""
-        m, k, steps = len(self.time_grid_), self.n_causes_, np.diff(self.time_grid_)
+        m, k, steps, light = len(self.time_grid_), self.n_causes_, np.diff(self.time_grid_), ("feature", "split", "left", "leaf")
 
         def run(frames):
             for frame in frames:
                 out = []
-                for i, raw in zip(frame["tree_id"], frame["tree"]):
-                    t = pickle.loads(raw)
+                for i, t in trees_of(frame):
                     value = np.concatenate([t.curves(part, m, k)[:, cause - 1][:, :-1] @ steps for part in np.array_split(np.arange(len(t.starts) - 1), 1 + len(t.starts) // 4096)])
-                    out.append((i, pickle.dumps((t.feature, t.split, t.left, t.leaf, value))))
-                yield pd.DataFrame(out, columns=["tree_id", "light"])
+                    out.append((i, t.feature, t.split, t.left, t.leaf, value))
+                yield pd.DataFrame(out, columns=["tree_id", *light, "value"])
 
         self._leaves = getattr(self, "_leaves", {})
         if cause not in self._leaves:
-            none = np.zeros(0, np.int64)
-            light = lambda f, s, left, leaf, value: (Tree(f, s, left, none, leaf, none, none, none, none, none), value)
-            rows = self.trees_.mapInPandas(run, "tree_id long, light binary").orderBy("tree_id").collect()
-            self._leaves[cause] = self.trees_.sparkSession.sparkContext.broadcast([light(*pickle.loads(r["light"])) for r in rows])
+            none, kinds = np.zeros(0, np.int64), ", ".join(f"{c} array<int>" for c in light)
+            rows = self.trees_.mapInPandas(run, f"tree_id long, {kinds}, value array<double>").orderBy("tree_id").toArrow()
+            array = lambda c, i: rows.column(c)[i].values.to_numpy(zero_copy_only=False)
+            made = [(Tree(array("feature", i), array("split", i), array("left", i), none, array("leaf", i), none, none, none, none, none), array("value", i)) for i in range(rows.num_rows)]
+            self._leaves[cause] = self.trees_.sparkSession.sparkContext.broadcast(made)
         return self._leaves[cause]
 
     def leaf_mortality(self, cause: int = 1) -> list[np.ndarray]:

@@ -8,8 +8,6 @@ rows' keys, so a tree is the one that a task would grow, and does not depend on
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .draws import content_keys, copies, drawn_features, drawn_ranks
-from .tree_kernel import split_scores, tree_of
+from .tree_kernel import TREES, split_scores, tree_frame, tree_of
 
 #: copies of equal rows that one task numbers
 COPIES = 1 << 16
@@ -71,7 +69,7 @@ class _Growing:
 
 
 def leaf_trees(rows: DataFrame, growing: dict[int, _Growing], p: int, seed: int, bootstrap: bool) -> DataFrame:
-    """(tree_id, tree): trees whose nodes are known, with their leaves' cells from rows (key, b0 .. b{p-1}, t, event)."""
+    """Rows of ``TREES``: trees whose nodes are known, with their leaves' cells from rows (key, b0 .. b{p-1}, t, event)."""
     names = [f"b{i}" for i in range(p)]
     held = rows.sparkSession.sparkContext.broadcast(growing)
 
@@ -93,14 +91,14 @@ def leaf_trees(rows: DataFrame, growing: dict[int, _Growing], p: int, seed: int,
             if g.feature[i] >= 0:
                 cover[i] = cover[g.left[i]] + cover[g.left[i] + 1]
         made = tree_of(g.feature, g.split, g.left, g.depth, cover, node, frame["t"].to_numpy().astype(np.int64), frame["event"].to_numpy().astype(np.int64), n)
-        return pd.DataFrame({"tree_id": [tree], "tree": [pickle.dumps(made)]})
+        return tree_frame([(tree, made)])
 
     counts = rows.mapInPandas(run, "tree int, node int, t int, event int, n long").groupBy("tree", "node", "t", "event").agg(F.sum("n").alias("n"))
-    return counts.groupBy("tree").applyInPandas(assemble, "tree_id long, tree binary")
+    return counts.groupBy("tree").applyInPandas(assemble, TREES)
 
 
 def grow_forest(rows: DataFrame, p: int, coarse: np.ndarray, *, n_trees: int, seed: int, bootstrap: bool, n_bins: int, n_times: int, causes: int, mtry: int, nsplit: int, max_depth: int | None, min_split: int, min_leaf: int, rule: str, cause: int, weights=None, batch: int = 16) -> DataFrame:
-    """(tree_id, tree) from rows (key, b0 .. b{p-1}, t, event); ``key`` is a hash that tells rows apart."""
+    """Rows of ``TREES`` from rows (key, b0 .. b{p-1}, t, event); ``key`` is a hash that tells rows apart."""
     spark, parts = rows.sparkSession, None
     names = [f"b{i}" for i in range(p)]
     cells = (causes + 1) * n_times

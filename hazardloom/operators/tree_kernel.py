@@ -9,6 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 
 from .draws import drawn_features, drawn_ranks
 
@@ -58,6 +60,36 @@ class Tree:
         return rate.cumsum(axis=2)
 
 
+#: the arrays of a tree as columns of a table
+FIELDS = {"feature": "int", "split": "int", "left": "int", "depth": "int", "leaf": "int", "cover": "long", "starts": "long", "t": "int", "event": "int", "n": "long"}
+TREES = "tree_id long, " + ", ".join(f"{f} array<{t}>" for f, t in FIELDS.items())
+
+
+def tree_frame(trees: list[tuple[int, Tree]]) -> pd.DataFrame:
+    """Trees as rows of a table of ``TREES``."""
+    wide = {"int": np.int32, "long": np.int64}
+    return pd.DataFrame({"tree_id": [i for i, _ in trees], **{f: [getattr(t, f).astype(wide[kind]) for _, t in trees] for f, kind in FIELDS.items()}})
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The smallest whole numbers that hold an array."""
+    return x.astype(np.result_type(np.min_scalar_type(int(x.min(initial=0))), np.min_scalar_type(int(x.max(initial=0)))))
+
+
+def _tree(arrays) -> Tree:
+    return Tree(**{f: _narrow(x) if f in ("t", "event") else x for f, x in arrays.items()})
+
+
+def trees_of(table: pd.DataFrame | pa.Table):
+    """(tree_id, tree) of each row of a table of ``TREES``."""
+    if isinstance(table, pa.Table):
+        for i, number in enumerate(table.column("tree_id").to_pylist()):
+            yield number, _tree({f: table.column(f)[i].values.to_numpy(zero_copy_only=False) for f in FIELDS})
+    else:
+        for i, number in enumerate(table["tree_id"]):
+            yield int(number), _tree({f: np.asarray(table[f].iloc[i]) for f in FIELDS})
+
+
 def split_scores(n: np.ndarray, d: np.ndarray, rule: str, cause: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(numerator, variance) for left counts n (group, slot, time) and d (group, slot, cause, time), cumulated over slots; the last slot is the whole."""
     y = n[..., ::-1].cumsum(axis=-1)[..., ::-1]

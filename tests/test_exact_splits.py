@@ -1,12 +1,12 @@
 """The exact split search against brute force, and its two forms against each other."""
 
-import pickle
+
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazardloom.operators import draws, exact_splits, scans
+from hazardloom.operators import draws, exact_splits, scans, tree_kernel
 from hazardloom.operators.forest import CompetingRiskForest
 
 FEATURES = ["x0", "x1", "x2"]
@@ -98,7 +98,7 @@ def test_reference_forest_routes_rows_by_its_thresholds(rows):
     found = exact_splits.grow_exact(_keyed(some), 3, n_trees=3, seed=1, bootstrap=True, causes=2, mtry=2, nsplit=0, max_depth=4, min_split=6, min_leaf=3, rule="logrankCR", cause=1)
     frame = some.select(*FEATURES).toPandas().to_numpy(float)
     bins = np.stack([np.searchsorted(e, frame[:, j], side="right") for j, e in enumerate(model.bin_edges_)], axis=1)
-    trees = {r["tree_id"]: pickle.loads(r["tree"]) for r in model.trees_.collect()}
+    trees = dict(tree_kernel.trees_of(model.trees_.toArrow()))
     for i, splits in found.items():
         g = exact_splits._Growing()
         g.splits = splits
