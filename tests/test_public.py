@@ -66,3 +66,46 @@ def test_models_are_stages_of_pipelines(spark):
     grid = ParamGridBuilder().addGrid(forest.max_depth, [0, 3]).build()
     found = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=ml.ConcordanceEvaluator(), numFolds=2, seed=1).fit(rows)
     assert found.avgMetrics[0] == 0.5 < found.avgMetrics[1]
+
+
+def test_stages_and_pipelines_are_saved_and_loaded(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from hazardloom import ml
+    from hazardloom.sources.outcomes import synthetic_outcomes
+
+    rows, x = synthetic_outcomes(spark, 150, 2, seed=3, partitions=2).persist(), ["x0", "x1"]
+    stages = [
+        ml.ForestStage(features=x, prediction="risk", n_estimators=3, max_depth=3, random_state=4, time_grid=20), ml.FineGrayStage(features=x, prediction="fg"),
+        ml.CauseSpecificCoxStage(features=x, prediction="cox", cause=2), ml.PenalizedFineGrayStage(features=x, prediction="pfg", n_lambda=3),
+    ]
+    pipeline = Pipeline(stages=stages)
+    pipeline.save(str(tmp_path / "unfitted"))
+    again = Pipeline.load(str(tmp_path / "unfitted"))
+    assert [type(s) for s in again.getStages()] == [type(s) for s in stages] and again.getStages()[0].getOrDefault("n_estimators") == 3
+    model = pipeline.fit(rows)
+    model.write().overwrite().save(str(tmp_path / "fitted"))
+    loaded = PipelineModel.load(str(tmp_path / "fitted"))
+    show = lambda m: sorted(tuple(r) for r in m.transform(rows).select("id", "risk", "fg", "cox", "pfg").collect())
+    assert show(loaded) == show(model) and [s.uid for s in loaded.stages] == [s.uid for s in model.stages]
+    cif = lambda m: [r["cif"] for r in m.stages[1].fitted.predict_cumulative_incidence(rows, [5.0, 10.0]).orderBy("id").select("cif").collect()]
+    assert cif(loaded) == cif(model)
+    with pytest.raises(ValueError):
+        loaded.stages[0].fitted.predict_oob_risk()  # the training rows are not saved
+    files = [p.read_bytes() for p in (tmp_path / "fitted").rglob("*") if p.is_file()]
+    assert not any(b"\x80\x04\x95" in f or b"\x80\x05\x95" in f for f in files)  # how pickles begin
+    forest = model.stages[0].fitted
+    forest.close()
+    with pytest.raises(RuntimeError):
+        forest.predict_risk(rows)
+
+
+def test_survival_curve_in_sql(spark):
+    from hazardloom.functions.table_functions import register_survival_curve
+
+    register_survival_curve(spark)
+    spark.createDataFrame([(1, [[0.1, 0.3], [0.0, 0.2]]), (2, None)], "id int, cif array<array<double>>").createOrReplaceTempView("curves_in_sql")
+    got = spark.sql("SELECT id, c.* FROM curves_in_sql, LATERAL survival_curve(cif, array(10.0D, 20.0D), array(5, 10, 99)) c").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 5.0, 0.0, 1.0), (1, 1, 10.0, 0.1, 0.9), (1, 1, 99.0, 0.3, 0.5), (1, 2, 5.0, 0.0, 1.0), (1, 2, 10.0, 0.0, 0.9), (1, 2, 99.0, 0.2, 0.5)]
+    with pytest.raises(Exception, match="survival_curve takes"):
+        spark.sql("SELECT * FROM survival_curve(1, 2, 3)").collect()
