@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from .grids import coarsen_time_grid, cut_points, event_time_grid, feature_bin_e
 from .regression import _outcome
 from .scans import running, with_blocks
 from .stored import stored
-from .tree_kernel import TREES, Tree, grow_tree, leaf_paths, path_weights, tree_frame, trees_of
+from .tree_kernel import FIELDS, TREES, Tree, grow_tree, leaf_paths, path_weights, tree_frame, trees_of
 
 #: bytes of the table (as doubles) that the driver may fetch and share with the tasks
 BROADCAST_BYTES = 256 << 20
@@ -107,8 +108,8 @@ class CompetingRiskForest:
         self.n_rows_, self.n_features_in_ = n, p
         self._seed = 0 if self.random_state is None else int(self.random_state)
         self._data = self._rows = None
-        self.__dict__.pop("_shared", None)
-        self.__dict__.pop("_leaves", None)
+        for held in ("_shared", "_shared_nodes", "_leaves"):
+            self.__dict__.pop(held, None)
         names = [*[f"x{i}" for i in range(p)], "time", "event"]
         plain = df.select(*[F.col(c).cast("double").alias(x) for c, x in zip([*self.features_, time, event], names)], *([F.col(key).cast("long").alias("key")] if key else []))
         grow = self._grow_exact if self.mode == "reference" else self._grow_far if self.mode == "distributed" or n * (p + 2) * 8 > BROADCAST_BYTES else self._grow_near
@@ -212,22 +213,36 @@ class CompetingRiskForest:
 
         return spark.range(self.n_rows_).mapInPandas(run, ", ".join([*[f"b{i} short" for i in range(p)], "t int", "event int", "key long", "row long"]))
 
-    def _parts(self) -> list:
-        """The trees as broadcasts of up to ``FOREST_BYTES`` (or one tree) each."""
+    def _groups(self, size) -> list[list[int]]:
+        """Runs of trees of up to ``FOREST_BYTES`` (or one tree) each, as a Column tells their bytes."""
         if self.trees_ is None:
             raise RuntimeError("the forest is not fitted")
+        groups, held = [[]], 0
+        for i, n in sorted((r["tree_id"], r["n"]) for r in self.trees_.select("tree_id", size.alias("n")).collect()):
+            if groups[-1] and held + n > FOREST_BYTES:
+                groups, held = [*groups, []], 0
+            groups[-1].append(i)
+            held += n
+        return groups
+
+    def _fetched(self, trees: DataFrame, ids: list[int]):
+        return trees.where(F.col("tree_id").between(ids[0], ids[-1])).orderBy("tree_id").toArrow()
+
+    def _parts(self) -> list:
+        """The trees as broadcasts of up to ``FOREST_BYTES`` (or one tree) each."""
         if not hasattr(self, "_shared"):
-            sizes = sorted((r["tree_id"], r["n"]) for r in self.trees_.select("tree_id", (30 * F.size("feature") + 12 * F.size("t")).alias("n")).collect())
-            groups, held = [[]], 0
-            for i, n in sizes:
-                if groups[-1] and held + n > FOREST_BYTES:
-                    groups, held = [*groups, []], 0
-                groups[-1].append(i)
-                held += n
-            fetch = lambda ids: [t for _, t in trees_of(self.trees_.where(F.col("tree_id").between(ids[0], ids[-1])).orderBy("tree_id").toArrow())]
-            self._shared = [self.trees_.sparkSession.sparkContext.broadcast(fetch(ids)) for ids in groups]
+            groups = self._groups(30 * F.size("feature") + 12 * F.size("t"))
+            self._shared = [self.trees_.sparkSession.sparkContext.broadcast([t for _, t in trees_of(self._fetched(self.trees_, ids))]) for ids in groups]
         return self._shared
 
+    def _nodes(self) -> list:
+        """(numbers, trees without their cells) as broadcasts: what a row needs to find its leaves."""
+        if not hasattr(self, "_shared_nodes"):
+            spark, empty = self.trees_.sparkSession, F.array().cast("array<long>")
+            bare = self.trees_.select("tree_id", *[empty.cast(f"array<{kind}>").alias(f) if f in ("depth", "cover", "starts", "t", "event", "n") else F.col(f) for f, kind in FIELDS.items()])
+            self._shared_nodes = [spark.sparkContext.broadcast(list(trees_of(self._fetched(bare, ids)))) for ids in self._groups(16 * F.size("feature"))]
+        return self._shared_nodes
+
     # ---- the forest as tables --------------------------------------------------------------------------------
 
     def tree_table(self) -> DataFrame:
@@ -283,7 +298,7 @@ class CompetingRiskForest:
         for held in (self.trees_, getattr(self, "_rows", None)):
             if held is not None:
                 held.unpersist()
-        for held in [getattr(self, "_data", None), *self.__dict__.pop("_shared", []), *self.__dict__.pop("_leaves", {}).values()]:
+        for held in [getattr(self, "_data", None), *self.__dict__.pop("_shared", []), *self.__dict__.pop("_shared_nodes", []), *sum(self.__dict__.pop("_leaves", {}).values(), [])]:
             if held is not None:
                 held.unpersist()
         self._data = self._rows = self.trees_ = None
@@ -293,28 +308,26 @@ class CompetingRiskForest:
     def _apply(self, df: DataFrame, name: str, width: int, values, finish, kind: T.DataType) -> DataFrame:
         """``df`` with a column made of the forest's mean of ``values(tree, leaves)`` (leaf, width), which ``finish`` shapes.
 
-        A forest of several parts is applied a part at a time; the parts' sums meet by row.
+        Where the forest is more than a task may hold, only its nodes are broadcast: rows find their leaves, leaf values are a table of
+        (tree, leaf) made where the trees are, and the two are joined.
         """
         missing = [c for c in self.features_ if c not in df.columns]
         if missing:
             raise ValueError(f"features are missing: {missing}")
-        parts, edges, features, trees = self._parts(), self.bin_edges_, self.features_, self.n_estimators
-
-        def sums(frame, forest):
-            bins = np.stack([np.searchsorted(e, frame[c].to_numpy(float), side="right") for c, e in zip(features, edges)], axis=1).astype(np.int32)
-            total = np.zeros((len(bins), width))
-            for tree in forest:
-                used, back = np.unique(tree.leaves_of(bins), return_inverse=True)
-                total += values(tree, used)[back]
-            return total / trees
-
+        edges, features, trees = self.bin_edges_, self.features_, self.n_estimators
+        binned = lambda frame: np.stack([np.searchsorted(e, frame[c].to_numpy(float), side="right") for c, e in zip(features, edges)], axis=1).astype(np.int32)
         kept = [f for f in df.schema.fields if f.name != name]
         schema = T.StructType([*kept, T.StructField(name, kind)])
-        if len(parts) == 1:
+        if len(getattr(self, "_shared", ())) == 1 or len(self._groups(30 * F.size("feature") + 12 * F.size("t"))) == 1:
+            (forest,) = self._parts()
 
             def run(frames):
                 for frame in frames:
-                    made = finish(sums(frame, parts[0].value))
+                    bins, total = binned(frame), np.zeros((len(frame), width))
+                    for tree in forest.value:
+                        used, back = np.unique(tree.leaves_of(bins), return_inverse=True)
+                        total += values(tree, used)[back]
+                    made = finish(total / trees)
                     frame = frame.drop(columns=[name], errors="ignore")
                     frame[name] = made
                     yield frame
@@ -322,27 +335,33 @@ class CompetingRiskForest:
             return df.mapInPandas(run, schema)
         rows = df.withColumn("__row", F.monotonically_increasing_id())
 
-        def of(part):
+        def placed(part):
             def run(frames):
                 for frame in frames:
-                    made = sums(frame, part.value)
-                    yield pd.DataFrame({"__row": np.repeat(frame["__row"].to_numpy(), width), "at": np.tile(np.arange(width), len(frame)), "v": made.ravel()})
+                    bins = binned(frame)
+                    for number, tree in part.value:
+                        yield pd.DataFrame({"__row": frame["__row"], "tree": number, "leaf": tree.leaves_of(bins)})
 
-            return rows.select("__row", *features).mapInPandas(run, "__row long, at int, v double")
+            return rows.select("__row", *features).mapInPandas(run, "__row long, tree long, leaf int")
+
+        def leaf_values(frames):
+            for frame in frames:
+                for number, tree in trees_of(frame):
+                    for part in np.array_split(np.arange(len(tree.starts) - 1), 1 + len(tree.starts) // 4096):
+                        yield pd.DataFrame({"tree": number, "leaf": part.astype(np.int32), "v": list(values(tree, part))})
 
-        every = of(parts[0])
-        for part in parts[1:]:
-            every = every.union(of(part))
-        joined = every.groupBy("__row", "at").agg(F.sum("v").alias("v")).groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("__sum"))
+        where = reduce(DataFrame.union, [placed(part) for part in self._nodes()])
+        met = where.join(self.trees_.mapInPandas(leaf_values, "tree long, leaf int, v array<double>"), ["tree", "leaf"])
+        totals = met.groupBy("__row").agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).alias("__sum"))
 
         def shape(frames):
             for frame in frames:
-                made = finish(np.stack(frame["__sum"].to_numpy())) if len(frame) else []
+                made = finish(np.stack(frame["__sum"].to_numpy()) / trees) if len(frame) else []
                 frame = frame.drop(columns=["__sum"])
                 frame[name] = made
                 yield frame[[f.name for f in schema]]
 
-        return rows.drop(name).join(joined, "__row").drop("__row").mapInPandas(shape, schema)
+        return rows.drop(name).join(totals, "__row").drop("__row").mapInPandas(shape, schema)
 
     def _grid_steps(self, times) -> np.ndarray | None:
         if times is None:
@@ -391,8 +410,8 @@ class CompetingRiskForest:
 
     # ---- out of bag -------------------------------------------------------------------------------------------------
 
-    def _mortality(self, cause: int):
-        """Broadcast of each tree's nodes with its leaves' mortality: the left-Riemann integral of the incidence."""
+    def _mortality(self, cause: int) -> list:
+        """(number, nodes, mortality of the leaves) of the trees, as broadcasts of up to ``FOREST_BYTES``: the left-Riemann integral of the incidence."""
         m, k, steps, light = len(self.time_grid_), self.n_causes_, np.diff(self.time_grid_), ("feature", "split", "left", "leaf")
 
         def run(frames):
@@ -406,23 +425,27 @@ class CompetingRiskForest:
         self._leaves = getattr(self, "_leaves", {})
         if cause not in self._leaves:
             none, kinds = np.zeros(0, np.int64), ", ".join(f"{c} array<int>" for c in light)
-            rows = self.trees_.mapInPandas(run, f"tree_id long, {kinds}, value array<double>").orderBy("tree_id").toArrow()
-            array = lambda c, i: rows.column(c)[i].values.to_numpy(zero_copy_only=False)
-            made = [(Tree(array("feature", i), array("split", i), array("left", i), none, array("leaf", i), none, none, none, none, none), array("value", i)) for i in range(rows.num_rows)]
-            self._leaves[cause] = self.trees_.sparkSession.sparkContext.broadcast(made)
+            small = self.trees_.mapInPandas(run, f"tree_id long, {kinds}, value array<double>")
+
+            def made(rows):
+                array = lambda c, i: rows.column(c)[i].values.to_numpy(zero_copy_only=False)
+                return [(number, Tree(array("feature", i), array("split", i), array("left", i), none, array("leaf", i), none, none, none, none, none), array("value", i)) for i, number in enumerate(rows.column("tree_id").to_pylist())]
+
+            self._leaves[cause] = [self.trees_.sparkSession.sparkContext.broadcast(made(self._fetched(small, ids))) for ids in self._groups(24 * F.size("feature"))]
         return self._leaves[cause]
 
     def leaf_mortality(self, cause: int = 1) -> list[np.ndarray]:
         """The mortality of each tree's leaves."""
-        return [value for _, value in self._mortality(cause).value]
+        return [value for part in self._mortality(cause) for _, _, value in part.value]
 
     def _oob_sums(self, cause: int, permuted: Sequence[int] = (-1,)) -> DataFrame:
         """(feature, row, sum, n): mortality over the trees that leave a row out, with a feature permuted (-1: none).
 
-        Every task takes its rows through all trees. A permuted value is drawn, by a hash of the row's key, from the tree's
+        Every task takes its rows through the trees, a part of them at a time where they are many. A permuted value is drawn, by a hash of the row's key, from the tree's
         out-of-bag values of the feature, of which the driver gets the counts by bin.
         """
-        held, rows, seed, p, bootstrap = self._mortality(cause), self._training_rows(), self._seed, self.n_features_in_, self.bootstrap
+        parts, rows, seed, p, bootstrap = self._mortality(cause), self._training_rows(), self._seed, self.n_features_in_, self.bootstrap
+        trees = self.n_estimators
         names, permuted = [f"b{i}" for i in range(p)], [int(f) for f in permuted]
         dealt = [f for f in permuted if f >= 0]
         width = max(len(x) for x in self.bin_edges_) + 1
@@ -433,7 +456,7 @@ class CompetingRiskForest:
         def count(frames):
             for frame in frames:
                 bins = frame[names].to_numpy(np.int64)
-                for i in range(len(held.value)):
+                for i in range(trees):
                     x = bins[left_out(frame, i)]
                     for f in dealt:
                         n = np.bincount(x[:, f], minlength=width)
@@ -447,11 +470,14 @@ class CompetingRiskForest:
         # the bins that a tree's out-of-bag rows have, and their shares
         shares = rows.sparkSession.sparkContext.broadcast({at: (np.array([b for b, _ in x]), np.cumsum([n for _, n in x])[:-1] / sum(n for _, n in x)) for at, x in share.items()})
 
-        def run(frames):
+        def of(held):
+            return lambda frames: run(frames, held)
+
+        def run(frames, held):
             for frame in frames:
                 bins, key = frame[names].to_numpy(np.int64), frame["key"].to_numpy()
                 total, n = np.zeros((len(permuted), len(bins))), np.zeros(len(bins), np.int64)
-                for i, (tree, value) in enumerate(held.value):
+                for i, tree, value in held.value:
                     out = left_out(frame, i)
                     if not len(out):
                         continue
@@ -466,7 +492,10 @@ class CompetingRiskForest:
                 for j, f in enumerate(permuted):
                     yield pd.DataFrame({"feature": f, "row": frame["row"].to_numpy()[seen], "sum": total[j, seen], "n": n[seen]})
 
-        return rows.mapInPandas(run, "feature int, row long, sum double, n long")
+        every = [rows.mapInPandas(of(held), "feature int, row long, sum double, n long") for held in parts]
+        if len(every) == 1:
+            return every[0]
+        return reduce(DataFrame.union, every).groupBy("feature", "row").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
 
     def _outcomes(self) -> DataFrame:
         """(row, time on the grid, event, key) of the training rows."""

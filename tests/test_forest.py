@@ -125,23 +125,29 @@ def test_a_key_column_decides_the_bags(rows):
     assert out <= {int(i) for i in ids if min(copies(np.array([i]), 1, t)[0] for t in range(2)) == 0}
 
 
-def test_large_forests_predict_a_part_at_a_time(rows, forest, monkeypatch):
+def test_large_forests_meet_their_leaves_by_a_join(rows, forest, monkeypatch):
     from hazardloom.operators import forest as module
 
     few = rows.limit(40).persist()
     show = lambda m: (sorted((r["id"], r["risk"]) for r in m.predict_risk(few).collect()), sorted((r["id"], *np.ravel(r["cif"])) for r in m.predict_cif(few, [2.0, 8.0]).collect()))
     want = show(forest)
     phi = lambda m: sorted((r["id"], r["feature"], *r["phi"]) for r in m.shap_values(few, "id", times=[2.0])[0].collect())
-    first = phi(forest)
+    first, oob = phi(forest), [r["risk"] for r in forest.predict_oob_risk(1).orderBy("row").collect()]
     monkeypatch.setattr(module, "FOREST_BYTES", 20_000)
-    held = forest.__dict__.pop("_shared")
+    held = {n: forest.__dict__.pop(n) for n in ("_shared", "_shared_nodes", "_leaves") if n in forest.__dict__}
     try:
         assert len(forest._parts()) > 2
+        monkeypatch.setattr(module, "FOREST_BYTES", 2_000)
+        assert len(forest._nodes()) > 2
         for got, was in zip(show(forest), want):
             assert [r[0] for r in got] == [r[0] for r in was] and np.allclose([r[1:] for r in got], [r[1:] for r in was], atol=1e-12)
         assert [r[:2] for r in phi(forest)] == [r[:2] for r in first] and np.allclose([r[2:] for r in phi(forest)], [r[2:] for r in first], atol=1e-12)
+        assert len(forest._mortality(1)) > 2
+        assert np.allclose([r["risk"] for r in forest.predict_oob_risk(1).orderBy("row").collect()], oob, atol=1e-12)
     finally:
-        forest._shared = held
+        for n in ("_shared", "_shared_nodes", "_leaves"):
+            forest.__dict__.pop(n, None)
+        forest.__dict__ |= held
 
 
 def test_splits_are_drawn_without_replacement():
