@@ -122,11 +122,11 @@ def test_stages_of_nothing(number, spark):
     assert cp.STAGES[number][1](spark, h.empty(spark), "").count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_sharding", "op2_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_sharding", "op2_exact_dedup", "op12_spelling_variants", "op13_fill_in_middle"])
 def test_native_operators_run_no_python(name, spark, sf_dir):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "BatchEval"))
 
 
 def test_every_operator_is_registered_once():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
