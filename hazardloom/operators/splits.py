@@ -38,11 +38,19 @@ def split_statistics(rows: DataFrame, p: int, n_times: int, causes: int = 2, rul
     left = node.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.select(*by, "feature", "bin", *[F.sum(c).over(left).alias(f"l_{c}") for c in names], *[F.sum(c).over(node).alias(f"a_{c}") for c in names])
 
+    # rows at risk and earlier events of other causes, a step of time at a projection: each is the one before and one count more
+    counts = counts.withColumns({f"{s}_y{n_times - 1}": F.col(f"{s}_n{n_times - 1}") for s in "al"} | {f"{s}_o{k}_0": F.lit(0.0) for s in "al" for k in ks})
+    for j in range(1, n_times):
+        back = n_times - 1 - j
+        steps = {f"{s}_y{back}": F.col(f"{s}_y{back + 1}") + F.col(f"{s}_n{back}") for s in "al"}
+        steps |= {f"{s}_o{k}_{j}": sum((F.col(f"{s}_d{m}_{j - 1}") for m in ks if m != k), F.col(f"{s}_o{k}_{j - 1}")) for s in "al" for k in ks}
+        counts = counts.withColumns(steps)
+
     def at_risk(side: str, j: int) -> Column:
-        return sum((F.col(f"{side}_n{i}") for i in range(j + 1, n_times)), F.col(f"{side}_n{j}"))
+        return F.col(f"{side}_y{j}")
 
     def others(side: str, k: int, j: int) -> Column:
-        return sum((F.col(f"{side}_d{m}_{i}") for m in ks if m != k for i in range(j)), F.lit(0.0))
+        return F.col(f"{side}_o{k}_{j}")
 
     lau = rule != "logrank"
     used = ks if rule == "logrankCR" else [cause]
