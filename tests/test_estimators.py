@@ -224,3 +224,24 @@ def test_stream_keeps_curves(spark, tmp_path):
     query.awaitTermination(60)
     got = {r["time"]: r["f_1"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[3.0] == pytest.approx(brute_cif([1, 2, 2, 3], [1, 0, 2, 1], 1, 3))
+
+
+def test_counts_are_appended_by_batch_and_merged(spark, tmp_path):
+    src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    parts = [([1, 2, 2, 3], [1, 0, 2, 1]), ([2, 5], [1, 1]), ([4, 5, 5], [0, 2, 1])]
+    time, event = [], []
+    for i, (t, e) in enumerate(parts):
+        frame(spark, t, e, g=["a"] * len(t)).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("time double, event long, g string").parquet(src)
+        incremental.append_counts(stream, out, check, ["g"]).awaitTermination(60)
+        time, event = time + t, event + e
+        got = {r["time"]: (r["f_1"], r["f_2"]) for r in incremental.current_curves(spark, out, ["g"]).collect()}
+        assert got[max(time)] == pytest.approx(tuple(brute_cif(time, event, k, max(time)) for k in (1, 2)))
+        if i == 1:
+            incremental.compact(spark, out)
+            incremental.compact(spark, out)
+            assert len(os.listdir(f"{out}/merged")) == 1 and os.listdir(f"{out}/deltas") == []
+            # a batch that was merged and is made again counts once
+            frame(spark, [9.0], [1], g=["a"]).groupBy("g", "time", "event").agg(F.count("*").alias("n")).write.parquet(f"{out}/deltas/batch=1")
+    assert incremental.current_counts(spark, str(tmp_path / "none")) is None
+    assert sum(r["n"] for r in incremental.current_counts(spark, out).collect()) == len(time)
