@@ -14,6 +14,7 @@ from ..functions.scalars import md5_uniform, wilson
 from .censoring import km_censor_score
 from .incidence import cif, time_counts
 from .scans import is_wide, quantiles, running, step_lookup, with_blocks
+from .stored import stored
 
 
 @dataclass
@@ -97,7 +98,9 @@ def bootstrap_copies(df: DataFrame, key: str, n_bootstrap: int, seed: int = 0) -
     rows = running(with_blocks(df.withColumn("__o", order), "__o"), [], ["__o", key], {"__i": ("sum", F.lit(1.0), "before")}).select(*df.columns, F.col("__i").cast("long").alias("__i"))
     n = df.count()
     draws = df.sparkSession.range(n).select(F.col("id").alias("j"), F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("rep"))
-    return draws.groupBy("rep", F.floor(md5_uniform(seed, F.col("rep"), F.col("j")) * n).alias("__i")).agg(F.count("*").cast("int").alias("m")).join(rows, "__i").drop("__i")
+    drawn = draws.groupBy("rep", F.floor(md5_uniform(seed, F.col("rep"), F.col("j")) * n).alias("__i")).agg(F.count("*").cast("int").alias("m"))
+    # Spark's estimate of the draws leaves the replicates out, so it would send them whole through the driver for a broadcast
+    return drawn.hint("merge").join(rows, "__i").drop("__i")
 
 
 def score_cr(pred: DataFrame, times: Sequence[float], cause: int = 1, metrics: Sequence[str] = ("auc", "brier", "iauc", "ibs"), n_bootstrap: int = 0, level: float = 0.95, key: str = "row_id", seed: int = 0, calibration_at: Sequence[float] = (), calibration_n_bins: int = 10) -> ScoreResult:
@@ -110,7 +113,7 @@ def score_cr(pred: DataFrame, times: Sequence[float], cause: int = 1, metrics: S
     averages = {"iauc": time_average(point, "auc"), "ibs": time_average(point, "brier")}
     low, high = None, {}
     if n_bootstrap:
-        copies = bootstrap_copies(first, key, n_bootstrap, seed)
+        copies = stored(bootstrap_copies(first, key, n_bootstrap, seed))  # drawn once: curves, predictions and their counts read them
         reps = brier_auc(pred.join(copies.select("rep", key, "m"), key).drop(key), copies.drop(key), times, cause, ["rep"])
         low = lambda c: [F.percentile(F.when(~F.isnan(c), F.col(c)), q).alias(n) for n, q in (("lower", (1 - level) / 2), ("upper", (1 + level) / 2))]
         high = {c: reps.groupBy("model", "t").agg(*low(c)) for c in ("auc", "brier")}

@@ -200,6 +200,16 @@ def test_estimators_by_blocks_equal_those_of_one_task(spark, sf_dir, monkeypatch
         assert show(estimation.QUERIES[n](spark, sf_dir)) == want[n], n
 
 
+def test_bootstrap_draws_are_made_once_and_not_broadcast(spark):
+    rows = spark.range(500).select(F.col("id").alias("row_id"), (F.col("id") + 1.0).alias("time"), (F.col("id") % 3).cast("int").alias("event"), (F.col("id") % 7 / 10).alias("p"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    copies = evaluation.bootstrap_copies(rows.select("row_id", "time", "event"), "row_id", 6)
+    assert "md5" in plan(copies) and "Broadcast" not in plan(copies)
+    assert {r["n"] for r in copies.groupBy("rep").agg(F.sum("m").alias("n")).collect()} == {500} and copies.select("rep").distinct().count() == 6
+    auc = evaluation.score_cr(evaluation.long_predictions(rows, {"a": ["p"]}, [200.0], ("row_id", "time", "event")), [200.0], n_bootstrap=6).auc
+    assert "md5" not in plan(auc)
+
+
 def test_asof_join_sides(spark):
     knots = spark.createDataFrame([(1.0, 10.0), (2.0, 20.0)], "t double, v double")
     asked = spark.createDataFrame([(0.5,), (1.0,), (2.5,)], "t double")
