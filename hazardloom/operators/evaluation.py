@@ -17,6 +17,10 @@ from .scans import is_wide, quantiles, running, step_lookup, with_blocks
 from .stored import stored
 
 
+#: draws of a bootstrap that one task makes, and rows drawn that a task of its joins takes, whatever the session's shuffle partitions
+DRAWS, TASK_ROWS = 1_000_000, 250_000
+
+
 @dataclass
 class ScoreResult:
     auc: DataFrame | None = None
@@ -32,27 +36,35 @@ def long_predictions(df: DataFrame, models: dict[str, Sequence[str]], times: Seq
     return df.select(*keep, F.explode(F.array(*rows)).alias("r")).select("r.model", "r.t", "r.p", *keep)
 
 
-def brier_auc(pred: DataFrame, outcomes: DataFrame, times: Sequence[float], cause: int = 1, by: Sequence[str] = ()) -> DataFrame:
+def brier_auc(pred: DataFrame, outcomes: DataFrame, times: Sequence[float], cause: int = 1, by: Sequence[str] = (), key: str | None = None) -> DataFrame:
     """(by.., model, t, brier, auc) from long predictions (by.., model, t, p, time, event[, m]).
 
-    ``outcomes`` (by.., time, event[, m]) fit the censoring curve; ``m`` counts a row's copies (bootstrap).
+    ``outcomes`` (by.., time, event[, m]) fit the censoring curve; ``m`` counts a row's copies (bootstrap). With ``key``
+    the outcomes hold each row's key and ``m``, and predictions are (key, model, t, p): copies meet the curve first, then their predictions.
     The scan over distinct predictions of one (model, t) runs by blocks where they are many.
     """
-    counted = "m" in pred.columns
+    counted = "m" in outcomes.columns
     m = F.col("m").cast("double") if counted else F.lit(1.0)
-    source = outcomes
+    curve = (km_censor_score(outcomes.where("m > 0"), by, weight="m") if counted else km_censor_score(outcomes, by)).select(*by, "time", "g", "g_left")
     if counted:
-        source = outcomes.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("m")))).where("m > 0").drop("__i")
-    curve = km_censor_score(source, by).select(*by, "time", "g", "g_left")
+        curve = stored(curve)  # read for the values at the times and for the join
     at = step_lookup(curve, by, ["g"], times, default=1.0)
-    rows = pred.join(curve.select(*by, "time", "g_left"), [*by, "time"]).join(F.broadcast(at), [*by, "t"])
+    left = curve.select(*by, "time", "g_left")
+    if key:
+        parts = max(1, -(-outcomes.count() // TASK_ROWS))
+        met = outcomes.repartition(parts, *by, "time").join(left.repartition(parts, *by, "time").hint("merge"), [*by, "time"])
+        rows = met.repartition(parts, key).join(pred.repartition(parts, key).hint("merge"), key)
+    else:
+        rows = pred.join(left, [*by, "time"])
+    rows = rows.join(F.broadcast(at), [*by, "t"])
     inv, past = F.when(F.col("g_left") > 0, 1 / F.when(F.col("g_left") > 0, F.col("g_left")).otherwise(1.0)).otherwise(0.0), F.when(F.col("g") > 0, 1 / F.when(F.col("g") > 0, F.col("g")).otherwise(1.0)).otherwise(0.0)
     e, seen, p = F.col("event"), F.col("time") <= F.col("t"), F.col("p")
     case, rival, free = (e == cause) & seen, (e != 0) & (e != cause) & seen, ~seen
     zero = lambda c, x: F.when(c, x * m).otherwise(0.0)
     rows = rows.select(*by, "model", "t", "p", "g", m.alias("m"), zero(case, inv).alias("wc"), (zero(rival, inv) + zero(free, past)).alias("wn"), (zero(case, inv * (1 - p) * (1 - p)) + zero(rival, inv * p * p) + zero(free, past * p * p)).alias("sq"), zero(case, F.lit(1.0)).alias("cases"), (zero(rival, F.lit(1.0)) + zero(free, F.lit(1.0))).alias("controls"))
     by_p = rows.groupBy(*by, "model", "t", "p").agg(*[F.sum(c).alias(c) for c in ("wc", "wn", "sq", "m", "cases", "controls")], F.min("g").alias("g"))
-    ranked = running(with_blocks(by_p, "p", is_wide(pred, *by, "model", "t", "p")), [*by, "model", "t"], "p", {"low": ("sum", F.col("wn"), "before")})
+    # counted rows are stored and counted, not joined once more for their number
+    ranked = running(with_blocks(by_p, "p", None if counted else is_wide(pred, *by, "model", "t", "p")), [*by, "model", "t"], "p", {"low": ("sum", F.col("wn"), "before")})
     out = ranked.groupBy(*by, "model", "t").agg(F.sum("sq").alias("sq"), F.sum("m").alias("n"), F.sum(F.col("wc") * (F.col("low") + 0.5 * F.col("wn"))).alias("num"), F.sum("wc").alias("wc"), F.sum("wn").alias("wn"), F.sum("cases").alias("cases"), F.sum("controls").alias("controls"), F.min("g").alias("g"))
     ok = F.col("g") > 0
     pairs = F.col("wc") * F.col("wn")
@@ -97,9 +109,11 @@ def bootstrap_copies(df: DataFrame, key: str, n_bootstrap: int, seed: int = 0) -
     order = F.col(key) if isinstance(df.schema[key].dataType, T.NumericType) else F.xxhash64(key)
     rows = running(with_blocks(df.withColumn("__o", order), "__o"), [], ["__o", key], {"__i": ("sum", F.lit(1.0), "before")}).select(*df.columns, F.col("__i").cast("long").alias("__i"))
     n = df.count()
-    draws = df.sparkSession.range(n).select(F.col("id").alias("j"), F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("rep"))
+    # a task's draws are of few replicates, so it adds up most of their copies before the shuffle
+    spark, every = df.sparkSession, n * n_bootstrap
+    draws = spark.range(0, every, 1, max(spark.sparkContext.defaultParallelism, -(-every // DRAWS))).selectExpr(f"id % {max(n, 1)} AS j", f"CAST(id DIV {max(n, 1)} + 1 AS INT) AS rep")
     drawn = draws.groupBy("rep", F.floor(md5_uniform(seed, F.col("rep"), F.col("j")) * n).alias("__i")).agg(F.count("*").cast("int").alias("m"))
-    # Spark's estimate of the draws leaves the replicates out, so it would send them whole through the driver for a broadcast
+    # neither side goes whole through the driver for a broadcast, whatever Spark's estimate of it
     return drawn.hint("merge").join(rows, "__i").drop("__i")
 
 
@@ -107,6 +121,8 @@ def score_cr(pred: DataFrame, times: Sequence[float], cause: int = 1, metrics: S
     """AUC, Brier and their time averages of long predictions (row key, model, t, p, time, event), with percentile intervals of replicates of as many rows drawn with replacement."""
     if not times or any(b <= a for a, b in zip(times, times[1:])):
         raise ValueError("evaluation times must increase")
+    if n_bootstrap:
+        pred = stored(pred)  # read for the outcomes, the point and the replicates
     # every row has one outcome: take it from one model and time
     first = pred.where(F.col("t") == float(times[0])).dropDuplicates([key]).select(key, "time", "event")
     point = brier_auc(pred.drop(key), first.drop(key), times, cause)
@@ -114,7 +130,7 @@ def score_cr(pred: DataFrame, times: Sequence[float], cause: int = 1, metrics: S
     low, high = None, {}
     if n_bootstrap:
         copies = stored(bootstrap_copies(first, key, n_bootstrap, seed))  # drawn once: curves, predictions and their counts read them
-        reps = brier_auc(pred.join(copies.select("rep", key, "m"), key).drop(key), copies.drop(key), times, cause, ["rep"])
+        reps = brier_auc(pred.select(key, "model", "t", "p"), copies, times, cause, ["rep"], key)
         low = lambda c: [F.percentile(F.when(~F.isnan(c), F.col(c)), q).alias(n) for n, q in (("lower", (1 - level) / 2), ("upper", (1 + level) / 2))]
         high = {c: reps.groupBy("model", "t").agg(*low(c)) for c in ("auc", "brier")}
         high |= {n: time_average(reps, c, ("rep", "model")).groupBy("model").agg(*low(c)) for n, c in (("iauc", "auc"), ("ibs", "brier"))}

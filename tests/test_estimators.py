@@ -210,6 +210,25 @@ def test_bootstrap_draws_are_made_once_and_not_broadcast(spark):
     assert "md5" not in plan(auc)
 
 
+def test_bootstrap_reads_its_input_once_and_joins_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from hazardloom.operators import scans
+
+    made, plan = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(evaluation, "TASK_ROWS", 100)
+    monkeypatch.setattr(scans, "stored", lambda df, f=scans.stored: made.append(plan(df)) or f(df))
+    rows = spark.range(500).select(F.col("id").alias("row_id"), (F.col("id") + 1.0).alias("time"), (F.length(F.sha1(F.col("id").cast("string"))) * 0 + F.col("id") % 3).cast("int").alias("event"), (F.col("id") % 7 / 10).alias("p"))
+    pred = evaluation.long_predictions(rows, {"a": ["p", "p"]}, [200.0, 300.0], ("row_id", "time", "event"))
+    auc = evaluation.score_cr(pred, [200.0, 300.0], n_bootstrap=6).auc
+    drawn = evaluation.bootstrap_copies(rows.select("row_id", "time", "event"), "row_id", 6).count()
+    assert "sha1(" not in plan(auc) and any(f", {-(-drawn // 100)}), REPARTITION_BY_NUM" in p for p in made)
+    # copies counted by m score as rows repeated that often
+    outcomes = rows.select("row_id", "time", "event", F.lit(1).alias("rep"), (F.col("row_id") % 3).cast("int").alias("m"))
+    counted = evaluation.brier_auc(pred.select("row_id", "model", "t", "p"), outcomes.where("m > 0"), [200.0, 300.0], 1, ["rep"], "row_id").orderBy("t").collect()
+    repeat = lambda df: df.join(outcomes.select("row_id", "m"), "row_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m")))).where("i < m").drop("row_id", "m", "i")
+    plain = evaluation.brier_auc(repeat(pred), repeat(rows.select("row_id", "time", "event")), [200.0, 300.0]).orderBy("t").collect()
+    assert [(round(r["auc"], 12), round(r["brier"], 12)) for r in counted] == [(round(r["auc"], 12), round(r["brier"], 12)) for r in plain] and len(plain) == 2
+
+
 def test_asof_join_sides(spark):
     knots = spark.createDataFrame([(1.0, 10.0), (2.0, 20.0)], "t double, v double")
     asked = spark.createDataFrame([(0.5,), (1.0,), (2.5,)], "t double")
